@@ -9,7 +9,13 @@ table of per-slice counts (one row per (range partition, key), at most
 
 The result equals the window function when ``(k, o)`` is unique. Callers add
 a unique tie-breaker column; without it the numbering of ties would depend on
-shuffle arrival order and could differ between recomputations.
+shuffle arrival order.
+
+The sliced rows are used twice (for the counts and for the final join), and
+range bounds, AQE partition coalescing and shuffle order may differ between
+two evaluations. So the slices are written once with a reliable
+``checkpoint()`` to the shared ``spark.checkpoint.dir``: both uses read the
+same rows, positions and partition ids, also after an executor is lost.
 """
 
 from __future__ import annotations
@@ -19,6 +25,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalgrid.session import ensure_checkpoint_dir
+
 
 def row_number_within(
     df: DataFrame,
@@ -38,6 +46,8 @@ def row_number_within(
     keys = pcols + ocols
     ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     tagged = ranged.withColumn("__pid", F.spark_partition_id()).withColumn("__pos", F.monotonically_increasing_id())
+    ensure_checkpoint_dir(spark)
+    tagged = tagged.checkpoint(eager=True)
     stats = tagged.groupBy("__pid", *partition_cols).agg(
         F.count(F.lit(1)).alias("__cnt"), F.min("__pos").alias("__first")
     )

@@ -142,3 +142,91 @@ def q_leaderboard(spark, sf_dir):
 @register("leaderboard_markdown", lambda: orc.markdown_sql(orc.latest_sql(orc.run_summary_sql())))
 def q_leaderboard_markdown(spark, sf_dir):
     return lb.markdown_rows(lb.leaderboard(summary_of_fixture(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------------------
+# Task files: scan, parse, validate
+# ---------------------------------------------------------------------------
+
+from evalgrid.sources import tasks as src_tasks  # noqa: E402
+
+
+def parsed_fixture(spark, sf_dir):
+    return src_tasks.parse_task_lines(fx.task_lines(spark, sf_dir))
+
+
+@register("scan_tasks", orc.scan_tasks_sql)
+def q_scan_tasks(spark, sf_dir):
+    tasks, _ = parsed_fixture(spark, sf_dir)
+    return tasks.select("task_file", "line_no", "id", "description", "expected_output", "category", "scorer")
+
+
+@register("task_errors", orc.task_errors_sql)
+def q_task_errors(spark, sf_dir):
+    _, errors = parsed_fixture(spark, sf_dir)
+    return errors
+
+
+@register(
+    "first_task_error",
+    lambda: f"""SELECT task_file, line_no, error_type, field, message, raw_line FROM (
+        SELECT *, row_number() OVER (PARTITION BY task_file ORDER BY line_no) AS rn FROM ({orc.task_errors_sql()})) WHERE rn = 1""",
+)
+def q_first_task_error(spark, sf_dir):
+    _, errors = parsed_fixture(spark, sf_dir)
+    return src_tasks.first_errors(errors)
+
+
+def _validation_subset(fields: tuple[str, ...] | None):
+    def run(spark, sf_dir):
+        _, errors = parsed_fixture(spark, sf_dir)
+        e = errors.filter(F.col("error_type") == "validation")
+        if fields is not None:
+            e = e.filter(F.col("field").isin(*fields))
+        return e.select("task_file", "line_no", "field", "message")
+
+    return run
+
+
+def _validation_subset_sql(fields: tuple[str, ...] | None):
+    def make():
+        cond = "" if fields is None else " AND field IN (" + ", ".join(f"'{f}'" for f in fields) + ")"
+        return f"SELECT task_file, line_no, field, message FROM ({orc.task_errors_sql()}) WHERE error_type = 'validation'{cond}"
+
+    return make
+
+
+register("validate_required", _validation_subset_sql(("required_fields",)))(_validation_subset(("required_fields",)))
+register("validate_types", _validation_subset_sql(None))(_validation_subset(None))
+register("validate_task", _validation_subset_sql(None))(_validation_subset(None))
+
+
+@register(
+    "validate_values",
+    lambda: f"""SELECT task_file, line_no, field, message FROM ({orc.task_errors_sql()})
+        WHERE error_type = 'validation' AND message LIKE '%cannot be empty'""",
+)
+def q_validate_values(spark, sf_dir):
+    _, errors = parsed_fixture(spark, sf_dir)
+    return errors.filter((F.col("error_type") == "validation") & F.col("message").endswith("cannot be empty")).select(
+        "task_file", "line_no", "field", "message"
+    )
+
+
+@register(
+    "validate_field",
+    lambda: f"""SELECT task_file, line_no,
+        CASE WHEN d_k IS NULL OR d_k = 'NoneType' THEN false WHEN d_k <> 'str' THEN false
+             WHEN {orc.strip("json_extract_string(j, '$.description')")} = '' THEN false ELSE true END AS ok,
+        CASE WHEN d_k IS NULL OR d_k = 'NoneType' THEN 'Field ''description'' cannot be None'
+             WHEN d_k <> 'str' THEN 'Field ''description'' must be of type str'
+             WHEN {orc.strip("json_extract_string(j, '$.description')")} = '' THEN 'Field ''description'' cannot be empty' ELSE '' END AS message
+        FROM (SELECT *, CASE json_type(j, '$.description') WHEN 'VARCHAR' THEN 'str' WHEN 'NULL' THEN 'NoneType'
+              WHEN 'OBJECT' THEN 'dict' WHEN 'ARRAY' THEN 'list' WHEN 'BOOLEAN' THEN 'bool' WHEN 'DOUBLE' THEN 'float'
+              WHEN 'BIGINT' THEN 'int' WHEN 'UBIGINT' THEN 'int' END AS d_k
+              FROM ({orc.checked_lines_sql()}) WHERE json_type(j) = 'OBJECT')""",
+)
+def q_validate_field(spark, sf_dir):
+    df = src_tasks._checked(fx.task_lines(spark, sf_dir)).filter(F.col("__kind") == "dict")
+    chk = src_tasks.validate_field("__desc_v", "description", "str")
+    return df.select("task_file", "line_no", chk["ok"].alias("ok"), chk["message"].alias("message"))

@@ -19,6 +19,13 @@ def strip(x: str) -> str:
     return f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
 
 
+def strict_valid(x: str) -> str:
+    """Python-strict JSON validity: DuckDB's parser also accepts trailing commas
+    (``{"a": 1,}``), which Python rejects; the fixtures never put ``,}`` or
+    ``,]`` inside string values, so a pattern test closes the gap here."""
+    return f"(coalesce(json_valid({x}), false) AND NOT regexp_matches({x}, ',\\s*[}}\\]]'))"
+
+
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -77,7 +84,7 @@ def _kind(t: str) -> str:
 
 def json_sql() -> tuple[str, str, str]:
     raw = strip("response")
-    valid = f"coalesce(json_valid({raw}), false)"
+    valid = strict_valid(raw)
     s = f"(CASE WHEN {valid} THEN {raw} END)"
     kind = f"json_type({s})"
     ttype = f"json_type({s}, '$.tool')"
@@ -185,3 +192,69 @@ SELECT CAST(line_no AS BIGINT) AS line_no, line FROM (
          || printf('%.1f', pass_rate * 100) || '% | ' || printf('%.2f', average_score) || ' | '
          || printf('%.2f', average_latency_sec) || 's |'
   FROM ({board_sql}))"""
+
+
+# ---------------------------------------------------------------------------
+# Task-file parsing and validation over v_task_lines
+# ---------------------------------------------------------------------------
+
+
+def _jkind(t: str) -> str:
+    return (
+        f"CASE {t} WHEN 'OBJECT' THEN 'dict' WHEN 'ARRAY' THEN 'list' WHEN 'VARCHAR' THEN 'str' "
+        f"WHEN 'BOOLEAN' THEN 'bool' WHEN 'NULL' THEN 'NoneType' WHEN 'DOUBLE' THEN 'float' "
+        f"WHEN 'BIGINT' THEN 'int' WHEN 'UBIGINT' THEN 'int' END"
+    )
+
+
+def checked_lines_sql() -> str:
+    """Every non-blank fixture line with its parse result and first error."""
+    s = strip("line")
+    return f"""
+WITH l AS ({fx.task_lines_sql()}),
+p AS (SELECT task_file, line_no, line, CASE WHEN {strict_valid(s)} THEN {s} END AS j
+      FROM l WHERE {s} <> ''),
+k AS (SELECT *, {_jkind('json_type(j)')} AS kind,
+             CASE WHEN json_type(j) = 'OBJECT' THEN json_keys(j) END AS keys,
+             {_jkind("json_type(j, '$.id')")} AS id_k, {_jkind("json_type(j, '$.description')")} AS d_k,
+             {_jkind("json_type(j, '$.expected_output')")} AS e_k
+      FROM p),
+m AS (SELECT *, list_filter(['description', 'expected_output', 'id'], lambda f: NOT list_contains(keys, f)) AS missing FROM k)
+SELECT task_file, line_no, line, j, id_k,
+  CASE WHEN j IS NULL THEN 'parsing' WHEN kind <> 'dict' THEN 'not_object'
+       WHEN len(missing) > 0 OR id_k NOT IN ('str', 'int', 'bool') OR d_k <> 'str' OR e_k <> 'str'
+         OR (id_k = 'str' AND json_extract_string(j, '$.id') = '') OR json_extract_string(j, '$.description') = ''
+         OR json_extract_string(j, '$.expected_output') = '' THEN 'validation' END AS error_type,
+  CASE WHEN j IS NULL OR kind <> 'dict' THEN NULL WHEN len(missing) > 0 THEN 'required_fields'
+       WHEN id_k NOT IN ('str', 'int', 'bool') THEN 'id' WHEN d_k <> 'str' THEN 'description' WHEN e_k <> 'str' THEN 'expected_output'
+       WHEN id_k = 'str' AND json_extract_string(j, '$.id') = '' THEN 'id'
+       WHEN json_extract_string(j, '$.description') = '' THEN 'description'
+       WHEN json_extract_string(j, '$.expected_output') = '' THEN 'expected_output' END AS field,
+  CASE WHEN j IS NULL THEN 'Invalid JSON on line ' || CAST(line_no AS VARCHAR)
+       WHEN kind <> 'dict' THEN 'Line ' || CAST(line_no AS VARCHAR) || ': Expected JSON object, got ' || kind
+       WHEN len(missing) > 0 THEN 'Line ' || CAST(line_no AS VARCHAR) || ': Missing required fields: ' || array_to_string(missing, ', ')
+       WHEN id_k NOT IN ('str', 'int', 'bool') THEN 'Line ' || CAST(line_no AS VARCHAR) || ': ''id'' must be a string or integer'
+       WHEN d_k <> 'str' THEN 'Line ' || CAST(line_no AS VARCHAR) || ': ''description'' must be a string'
+       WHEN e_k <> 'str' THEN 'Line ' || CAST(line_no AS VARCHAR) || ': ''expected_output'' must be a string'
+       WHEN id_k = 'str' AND json_extract_string(j, '$.id') = '' THEN 'Line ' || CAST(line_no AS VARCHAR) || ': ''id'' cannot be empty'
+       WHEN json_extract_string(j, '$.description') = '' THEN 'Line ' || CAST(line_no AS VARCHAR) || ': ''description'' cannot be empty'
+       WHEN json_extract_string(j, '$.expected_output') = '' THEN 'Line ' || CAST(line_no AS VARCHAR) || ': ''expected_output'' cannot be empty'
+  END AS message
+FROM m"""
+
+
+def task_errors_sql() -> str:
+    return (
+        f"SELECT task_file, CAST(line_no AS BIGINT) AS line_no, error_type, field, message, line AS raw_line "
+        f"FROM ({checked_lines_sql()}) WHERE error_type IS NOT NULL"
+    )
+
+
+def scan_tasks_sql() -> str:
+    cat = "coalesce(json_extract_string(j, '$.metadata.category'), '')"
+    return (
+        f"SELECT task_file, CAST(line_no AS BIGINT) AS line_no, json_extract_string(j, '$.id') AS id, "
+        f"json_extract_string(j, '$.description') AS description, json_extract_string(j, '$.expected_output') AS expected_output, "
+        f"{cat} AS category, {CATEGORY_CASE.replace('CASE category', 'CASE ' + cat)} AS scorer "
+        f"FROM ({checked_lines_sql()}) WHERE error_type IS NULL"
+    )
