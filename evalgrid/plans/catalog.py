@@ -230,3 +230,241 @@ def q_validate_field(spark, sf_dir):
     df = src_tasks._checked(fx.task_lines(spark, sf_dir)).filter(F.col("__kind") == "dict")
     chk = src_tasks.validate_field("__desc_v", "description", "str")
     return df.select("task_file", "line_no", chk["ok"].alias("ok"), chk["message"].alias("message"))
+
+
+# ---------------------------------------------------------------------------
+# Configs, call logs, planning, attempts
+# ---------------------------------------------------------------------------
+
+from evalgrid.operators import attempts as at  # noqa: E402
+from evalgrid.operators import plan as pl  # noqa: E402
+from evalgrid.sources import configs as cfg  # noqa: E402
+from evalgrid.sources import responses as rsp  # noqa: E402
+
+_CONFIG_ORACLE = f"""
+WITH m AS (SELECT DISTINCT user_id % 5 AS m FROM events), e AS (SELECT DISTINCT event_type AS e FROM events)
+SELECT 'configs/model-' || CAST(m AS VARCHAR) || '.yaml' AS config_file, 'model-' || CAST(m AS VARCHAR) AS id,
+       CAST(NULL AS VARCHAR) AS error FROM m
+UNION ALL
+SELECT 'configs/' || e || '.yaml',
+       CASE e WHEN 'click' THEN 'cfg-click' WHEN 'purchase' THEN 'model-0' END,
+       CASE e WHEN 'view' THEN 'Missing required top-level key(s): runtime, settings'
+              WHEN 'signup' THEN 'Missing required key ''max_tokens'' in ''settings'''
+              WHEN 'error' THEN 'Config file must contain a YAML mapping (dict), got list' END
+FROM e"""
+
+
+@register("model_configs", lambda: _CONFIG_ORACLE)
+def q_model_configs(spark, sf_dir):
+    configs, errors = cfg.load_configs(fx.config_texts(spark, sf_dir))
+    ok = configs.select("config_file", "id", F.lit(None).cast("string").alias("error"))
+    bad = errors.select("config_file", F.lit(None).cast("string").alias("id"), F.col("message").alias("error"))
+    return ok.unionByName(bad)
+
+
+@register(
+    "duplicate_model_ids",
+    lambda: f"""SELECT id, CAST(count(*) AS BIGINT) AS n_files, list(config_file ORDER BY config_file) AS config_files
+        FROM ({_CONFIG_ORACLE}) WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1""",
+)
+def q_duplicate_model_ids(spark, sf_dir):
+    configs, _ = cfg.load_configs(fx.config_texts(spark, sf_dir))
+    return cfg.duplicate_ids(configs)
+
+
+@register(
+    "attempt_settings",
+    lambda: f"""SELECT a.event_id, a.model_config_id, s.context_size, s.temperature, s.top_p, s.max_tokens
+        FROM ({fx.attempt_input_sql()}) a LEFT JOIN ({fx.MODEL_SETTINGS_SQL}) s USING (model_config_id)""",
+)
+def q_attempt_settings(spark, sf_dir):
+    a = fx.attempt_input(spark, sf_dir).select("event_id", "model_config_id")
+    j = at.with_settings(a, fx.model_configs(spark, sf_dir))
+    return j.select("event_id", "model_config_id", *[F.col(f"settings.{f}").alias(f) for f in at.SETTINGS_FIELDS])
+
+
+@register(
+    "request_payloads",
+    lambda: f"""SELECT a.event_id, json_object('messages', json_array(json_object('role', 'user', 'content', a.prompt)),
+        'temperature', s.temperature, 'top_p', s.top_p, 'max_tokens', s.max_tokens) AS payload
+        FROM ({fx.attempt_input_sql()}) a JOIN ({fx.MODEL_SETTINGS_SQL}) s USING (model_config_id)""",
+)
+def q_request_payloads(spark, sf_dir):
+    a = fx.attempt_input(spark, sf_dir).select("event_id", "model_config_id", "prompt")
+    j = at.with_settings(a, fx.model_configs(spark, sf_dir))
+    return j.select("event_id", at.request_payload("prompt", "settings").alias("payload"))
+
+
+def _decoded_sql() -> str:
+    body_v = "CASE WHEN json_valid(body) THEN body END"
+    content = f"json_extract_string({body_v}, '$.choices[0].message.content')"
+    keys = f"json_keys({body_v})"
+    return f"""SELECT event_id,
+      CASE WHEN transport_error = 'connection' THEN 'connection' WHEN transport_error = 'timeout' THEN 'timeout'
+           WHEN status_code <> 200 THEN 'http_status' WHEN {body_v} IS NULL THEN 'non_json'
+           WHEN {content} IS NULL THEN 'missing_content' END AS error_kind,
+      CASE WHEN transport_error = 'connection' THEN 'Could not connect to llama-server at ' || server_url || ': connection'
+           WHEN transport_error = 'timeout' THEN 'Request to llama-server timed out after 120s: timeout'
+           WHEN status_code <> 200 THEN 'llama-server returned HTTP ' || CAST(status_code AS VARCHAR) || ': ' || coalesce(body, '')
+           WHEN {body_v} IS NULL THEN 'llama-server returned non-JSON response: ' || substr(coalesce(body, ''), 1, 200)
+           WHEN {content} IS NULL THEN 'Response JSON missing expected field ''choices[0].message.content'': available keys are ['
+                || array_to_string(list_transform({keys}, lambda k: '''' || k || ''''), ', ') || ']' END AS error,
+      CASE WHEN transport_error IS NULL AND status_code = 200 THEN {content} END AS response,
+      CAST(json_extract({body_v}, '$.usage.total_tokens') AS BIGINT) AS total_tokens,
+      latency_sec
+    FROM (SELECT c.*, s.server_url FROM ({fx.call_log_sql()}) c
+          JOIN (SELECT event_id, 'model-' || CAST(user_id % 5 AS VARCHAR) AS model_config_id FROM events) u USING (event_id)
+          JOIN ({fx.MODEL_SETTINGS_SQL}) s USING (model_config_id))"""
+
+
+def decoded_calls(spark, sf_dir):
+    log = fx.call_log(spark, sf_dir)
+    ev = fx.table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("model-"), (F.col("user_id") % 5).cast("string")).alias("model_config_id"))
+    urls = fx.model_configs(spark, sf_dir).select(F.col("id").alias("model_config_id"), F.col("runtime.server_url").alias("server_url"))
+    log = log.join(ev, "event_id").join(at.sized_broadcast(urls), "model_config_id", "left")
+    return rsp.decode_calls(log)
+
+
+@register("decode_responses", lambda: f"SELECT event_id, response, total_tokens, latency_sec FROM ({_decoded_sql()})")
+def q_decode_responses(spark, sf_dir):
+    d = decoded_calls(spark, sf_dir)
+    return d.select("event_id", "response", F.col("usage")["total_tokens"].alias("total_tokens"), "latency_sec")
+
+
+@register("classify_failures", lambda: f"SELECT event_id, error_kind, error FROM ({_decoded_sql()})")
+def q_classify_failures(spark, sf_dir):
+    return decoded_calls(spark, sf_dir).select("event_id", "error_kind", "error")
+
+
+_ATTEMPT_COLS = ["event_id", "run_id", "model_config_id", "task_id", "category", "task_file", "prompt", "expected",
+                 "response", "latency_sec", "score", "passed", "reason"]
+
+
+@register(
+    "error_attempts",
+    lambda: f"""SELECT a.event_id, run_id, model_config_id, task_id, category, task_file, prompt, expected_output AS expected,
+        CASE WHEN d.error IS NOT NULL THEN '' ELSE a.response END AS response,
+        CASE WHEN d.error IS NOT NULL THEN 0.0 ELSE a.latency_sec END AS latency_sec,
+        CASE WHEN d.error IS NOT NULL THEN 0.0 ELSE a.score END AS score,
+        CASE WHEN d.error IS NOT NULL THEN false ELSE a.passed END AS passed,
+        CASE WHEN d.error IS NOT NULL THEN d.error ELSE a.reason END AS reason
+        FROM ({orc.scored_all()}) a JOIN ({_decoded_sql()}) d USING (event_id)""",
+)
+def q_error_attempts(spark, sf_dir):
+    scored = scored_attempts(spark, sf_dir)
+    calls = decoded_calls(spark, sf_dir).select("event_id", "error")
+    return at.attempt_rows(scored.join(calls, "event_id"), keep=("event_id",)).select(*_ATTEMPT_COLS)
+
+
+@register(
+    "expand_repeats",
+    lambda: f"""SELECT task_file, line_no, id, CAST(unnest(range(0, 3)) AS INTEGER) AS repeat_index, 3 AS repeat_count
+        FROM ({orc.scan_tasks_sql()})""",
+)
+def q_expand_repeats(spark, sf_dir):
+    tasks, _ = parsed_fixture(spark, sf_dir)
+    return pl.expand_repeats(tasks.select("task_file", "line_no", "id"), 3)
+
+
+def _runs(spark, sf_dir):
+    return fx.attempt_input(spark, sf_dir).select("model_config_id", "task_file").distinct()
+
+
+@register(
+    "run_plan",
+    lambda: f"""WITH t AS ({orc.scan_tasks_sql()}), c AS (SELECT task_file, count(*) AS tasks FROM t GROUP BY task_file),
+        r AS (SELECT DISTINCT model_config_id, task_file FROM ({fx.attempt_input_sql()}))
+        SELECT r.model_config_id, r.task_file, t.line_no, '  ' || t.id || ': "' || t.description || '" -> ' || t.scorer AS line,
+               CAST(c.tasks AS BIGINT) AS tasks, CAST(c.tasks * 3 AS BIGINT) AS total_attempts
+        FROM r JOIN t USING (task_file) JOIN c USING (task_file)""",
+)
+def q_run_plan(spark, sf_dir):
+    tasks, _ = parsed_fixture(spark, sf_dir)
+    return pl.plan_lines(tasks, _runs(spark, sf_dir), 3).select(
+        "model_config_id", "task_file", "line_no", "line", "tasks", "total_attempts"
+    )
+
+
+def _attempt_keys_sql() -> str:
+    return f"SELECT *, {fx.REPEAT_INDEX_SQL} AS repeat_index FROM ({orc.scored_all()})"
+
+
+@register(
+    "join_responses",
+    lambda: f"""WITH r AS ({_attempt_keys_sql()}),
+        p AS (SELECT run_id, model_config_id, task_file, task_id, CAST(unnest(range(0, 3)) AS INTEGER) AS repeat_index
+              FROM (SELECT DISTINCT run_id, model_config_id, task_file, task_id FROM r))
+        SELECT p.run_id, p.model_config_id, p.task_file, p.task_id, p.repeat_index, r.response,
+               CASE WHEN r.event_id IS NULL THEN 'No response' END AS error
+        FROM p LEFT JOIN r USING (run_id, model_config_id, task_file, task_id, repeat_index)""",
+)
+def q_join_responses(spark, sf_dir):
+    responses = fx.attempt_input_with_repeats(spark, sf_dir).select(*at.ATTEMPT_KEYS, "response")
+    planned = pl.expand_repeats(responses.select("run_id", "model_config_id", "task_file", "task_id").distinct(), 3).drop("repeat_count")
+    j = at.join_responses(planned, responses)
+    return j.select(*at.ATTEMPT_KEYS, "response", "error")
+
+
+@register(
+    "attempts",
+    lambda: f"""WITH r AS ({_attempt_keys_sql()})
+        SELECT r.event_id, run_id, model_config_id, task_id, category, task_file, prompt, expected_output AS expected, response,
+               latency_sec, score, passed, reason, s.context_size, s.temperature, s.top_p, s.max_tokens, repeat_index,
+               CAST(count(*) OVER (PARTITION BY run_id, model_config_id, task_file, task_id) AS INTEGER) AS repeat_count
+        FROM r LEFT JOIN ({fx.MODEL_SETTINGS_SQL}) s USING (model_config_id)""",
+)
+def q_attempts(spark, sf_dir):
+    keys = ["run_id", "model_config_id", "task_file", "task_id"]
+    inp = fx.attempt_input_with_repeats(spark, sf_dir)
+    counts = inp.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("repeat_count"))
+    scored = sc.score_frame(sc.with_task_spec(inp.join(counts, keys), task="task"), response="response", spec="spec")
+    scored = scored.select("*", F.col("result.score").alias("score"), F.col("result.passed").alias("passed"),
+                           F.col("result.reason").alias("reason"))
+    rows = at.attempt_rows(at.with_settings(scored, fx.model_configs(spark, sf_dir)), keep=("event_id",))
+    return rows.select(*_ATTEMPT_COLS, *[F.col(f"settings.{f}").alias(f) for f in at.SETTINGS_FIELDS], "repeat_index", "repeat_count")
+
+
+@register(
+    "attempt_ordinal",
+    lambda: f"""WITH r AS ({_attempt_keys_sql()})
+        SELECT event_id,
+          CAST(row_number() OVER (PARTITION BY run_id, model_config_id, task_file ORDER BY task_id, repeat_index) AS BIGINT) AS ordinal,
+          CAST(count(*) OVER (PARTITION BY run_id, model_config_id, task_file) AS BIGINT) AS total
+        FROM r""",
+)
+def q_attempt_ordinal(spark, sf_dir):
+    a = fx.attempt_input_with_repeats(spark, sf_dir).select("event_id", "run_id", "model_config_id", "task_file", "task_id", "repeat_index")
+    o = pl.attempt_ordinals(a, ["run_id", "model_config_id", "task_file"], ["task_id", "repeat_index"])
+    return o.select("event_id", "ordinal", "total")
+
+
+@register(
+    "raw_output_path",
+    lambda: f"""SELECT DISTINCT run_id, model_config_id, task_file,
+        'results/raw/' || model_config_id || '/' || regexp_extract(task_file, '([^/\\\\]+?)(\\.[^./\\\\]*)?$', 1) || '_' || run_id || '.jsonl'
+          AS raw_path FROM ({fx.attempt_input_sql()})""",
+)
+def q_raw_output_path(spark, sf_dir):
+    from evalgrid.sinks.files import raw_results_path
+
+    a = fx.attempt_input(spark, sf_dir).select("run_id", "model_config_id", "task_file").distinct()
+    return a.withColumn("raw_path", raw_results_path("model_config_id", "task_file", "run_id"))
+
+
+@register(
+    "max_tasks",
+    lambda: f"""SELECT task_file, line_no, id FROM (SELECT *, row_number() OVER (PARTITION BY task_file ORDER BY line_no) AS rn
+        FROM ({orc.scan_tasks_sql()})) WHERE rn <= 25""",
+)
+def q_max_tasks(spark, sf_dir):
+    tasks, _ = parsed_fixture(spark, sf_dir)
+    return pl.first_n_tasks(tasks.select("task_file", "line_no", "id"), 25)
+
+
+@register(
+    "resume_missing_attempts",
+    lambda: f"""SELECT p.* FROM ({fx.BENCH_PLAN_SQL}) p
+        WHERE NOT EXISTS (SELECT 1 FROM ({fx.BENCH_COMPLETED_SQL}) c WHERE c.task_id = p.task_id AND c.repeat_index = p.repeat_index)""",
+)
+def q_resume_missing_attempts(spark, sf_dir):
+    return pl.missing_attempts(fx.bench_plan(spark, sf_dir), fx.bench_completed(spark, sf_dir), ["task_id", "repeat_index"])

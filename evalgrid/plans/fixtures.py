@@ -213,3 +213,83 @@ def work_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def work_items_sql() -> str:
     return select_sql(WORK_ITEMS, "orders")
+
+
+# --- model configs: YAML documents derived from the events table ------------------
+# One valid config per model id (user_id % 5), plus one config per event type
+# that exercises the loader's checks: 'click' valid, 'view' lacks runtime and
+# settings, 'signup' lacks settings.max_tokens, 'error' is a YAML list,
+# 'purchase' reuses the id model-0 (a duplicate id).
+
+NL = "chr(10)"
+
+MODEL_CONFIG_TEXT = (
+    f"'id: model-' || CAST(m AS STRING) || {NL} || 'model_name: Model ' || CAST(m AS STRING) || {NL} "
+    f"|| 'model_path: /models/model-' || CAST(m AS STRING) || '.gguf' || {NL} "
+    f"|| 'runtime:' || {NL} || '  engine: llama.cpp' || {NL} "
+    f"|| '  server_url: http://127.0.0.1:' || CAST(8080 + m AS STRING) || '/v1/chat/completions' || {NL} "
+    f"|| 'settings:' || {NL} || '  context_size: ' || CAST(4096 * (m + 1) AS STRING) || {NL} "
+    f"|| '  temperature: ' || CAST(CAST(m AS DOUBLE) / 10 AS STRING) || {NL} || '  top_p: 0.9' || {NL} "
+    f"|| '  max_tokens: ' || CAST(256 * (m + 1) AS STRING) || {NL} "
+    f"|| 'hardware:' || {NL} || '  gpu: gpu-' || CAST(m AS STRING) || {NL} || '  vram_gb: 16' || {NL} || '  backend: cpu' || {NL}"
+)
+
+VARIANT_CONFIG_TEXT = (
+    "CASE e "
+    f"WHEN 'error' THEN '- a' || {NL} || '- b' || {NL} "
+    f"WHEN 'view' THEN 'id: cfg-view' || {NL} || 'model_name: View' || {NL} "
+    f"ELSE 'id: ' || CASE e WHEN 'purchase' THEN 'model-0' ELSE 'cfg-' || e END || {NL} || 'model_name: ' || upper(e) || {NL} "
+    f"|| 'runtime:' || {NL} || '  server_url: http://127.0.0.1:9000/' || e || {NL} "
+    f"|| 'settings:' || {NL} || '  temperature: 0.5' || {NL} || '  top_p: 1.0' || {NL} "
+    f"|| CASE WHEN e = 'signup' THEN '' ELSE '  max_tokens: 128' || {NL} END END"
+)
+
+
+def config_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(config_file, text): five model configs and five loader-check configs."""
+    ev = table(spark, sf_dir, "events")
+    models = ev.selectExpr("user_id % 5 AS m").distinct().selectExpr(
+        "'configs/model-' || CAST(m AS STRING) || '.yaml' AS config_file", f"{MODEL_CONFIG_TEXT} AS text"
+    )
+    variants = ev.selectExpr("event_type AS e").distinct().selectExpr(
+        "'configs/' || e || '.yaml' AS config_file", f"{VARIANT_CONFIG_TEXT} AS text"
+    )
+    return models.unionByName(variants)
+
+
+def model_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five valid model configs (model-0 .. model-4) parsed by the loader."""
+    from evalgrid.sources.configs import load_configs
+
+    configs, _ = load_configs(config_texts(spark, sf_dir))
+    return configs.filter(F.col("config_file").startswith("configs/model-"))
+
+
+# Oracle form of the model configs' settings (what the YAML above encodes).
+MODEL_SETTINGS_SQL = (
+    "SELECT DISTINCT 'model-' || CAST(user_id % 5 AS VARCHAR) AS model_config_id, "
+    "CAST(4096 * (user_id % 5 + 1) AS INTEGER) AS context_size, CAST(user_id % 5 AS DOUBLE) / 10 AS temperature, "
+    "CAST(0.9 AS DOUBLE) AS top_p, CAST(256 * (user_id % 5 + 1) AS INTEGER) AS max_tokens, "
+    "'http://127.0.0.1:' || CAST(8080 + user_id % 5 AS VARCHAR) || '/v1/chat/completions' AS server_url FROM events"
+)
+
+
+# --- v_plan / v_completed: resume planning over the benchmark table --------------
+
+
+def bench_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item planned three times (repeat_index 0..2)."""
+    from evalgrid.operators.plan import expand_repeats
+
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("bench-"), F.col("item_id").cast("string")).alias("task_id"))
+    return expand_repeats(b, 3).drop("repeat_count")
+
+
+def bench_completed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bench_plan(spark, sf_dir).filter((F.col("item_id") * 3 + F.col("repeat_index")) % 4 != 0)
+
+
+BENCH_PLAN_SQL = (
+    "SELECT item_id, 'bench-' || CAST(item_id AS VARCHAR) AS task_id, CAST(unnest(range(0, 3)) AS INTEGER) AS repeat_index FROM benchmark"
+)
+BENCH_COMPLETED_SQL = f"SELECT * FROM ({BENCH_PLAN_SQL}) WHERE (item_id * 3 + repeat_index) % 4 <> 0"
