@@ -125,3 +125,21 @@ def markdown_text(board: DataFrame) -> str:
         return f"{TITLE}\n\n{EMPTY}\n"
     lines = [r.line for r in markdown_rows(board).orderBy("line_no").collect()]
     return "\n".join(lines + [""])
+
+
+def migrate_summary_frames(frames: list[DataFrame]) -> DataFrame:
+    """Summary rows of any header generation in the current column set.
+
+    Columns a generation lacks become NULL (blank), extra columns are
+    dropped; nothing is rewritten in place (the caller writes the result to
+    a new path if it wants to persist it).
+    """
+    from evalgrid.operators.summary import SUMMARY_COLUMNS
+
+    merged = frames[0]
+    for f in frames[1:]:
+        merged = merged.unionByName(f, allowMissingColumns=True)
+    for c in SUMMARY_COLUMNS:
+        if c not in merged.columns:
+            merged = merged.withColumn(c, F.lit(None).cast("string"))
+    return merged.select(*SUMMARY_COLUMNS)

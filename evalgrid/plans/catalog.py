@@ -468,3 +468,147 @@ def q_max_tasks(spark, sf_dir):
 )
 def q_resume_missing_attempts(spark, sf_dir):
     return pl.missing_attempts(fx.bench_plan(spark, sf_dir), fx.bench_completed(spark, sf_dir), ["task_id", "repeat_index"])
+
+
+# ---------------------------------------------------------------------------
+# Files written by Spark and read back: task files, summary CSVs
+# ---------------------------------------------------------------------------
+
+import hashlib  # noqa: E402
+
+from evalgrid.session import scratch_path  # noqa: E402
+from evalgrid.sinks import files as sinks  # noqa: E402
+
+
+def _scratch(spark, sf_dir: str, name: str) -> str:
+    return scratch_path(spark, "fixtures", hashlib.sha1(sf_dir.encode()).hexdigest()[:12], name)
+
+
+def write_task_files(spark, sf_dir: str) -> str:
+    """The fixture's task lines as JSONL files, one file per task file, lines in order."""
+    path = _scratch(spark, sf_dir, "task_files")
+    lines = fx.task_lines(spark, sf_dir)
+    (
+        lines.repartition("task_file").sortWithinPartitions("task_file", "line_no")
+        .select("task_file", "line").write.mode("overwrite").partitionBy("task_file").text(path)
+    )
+    return path
+
+
+@register("task_line_numbers", lambda: f"SELECT task_file, CAST(line_no AS BIGINT) AS line_no, line FROM ({fx.task_lines_sql()})")
+def q_task_line_numbers(spark, sf_dir):
+    return src_tasks.scan_lines(spark, write_task_files(spark, sf_dir), name_col="task_file")
+
+
+def write_summary_csv(spark, sf_dir: str, old_before: str | None = None) -> list[str]:
+    """The fixture's run summaries as CSV text files (the persisted form).
+
+    With ``old_before`` (a run_id), runs before it are written with the old
+    header (no total_attempts, repeats) into a second directory.
+    """
+    formatted = sm.format_summary(summary_of_fixture(spark, sf_dir))
+    if old_before is None:
+        p = _scratch(spark, sf_dir, "summary_csv")
+        formatted.write.mode("overwrite").option("header", True).csv(p)
+        return [p]
+    p_old = _scratch(spark, sf_dir, "summary_csv_old")
+    p_new = _scratch(spark, sf_dir, "summary_csv_new")
+    old = formatted.filter(F.col("run_id") < old_before).drop("total_attempts", "repeats")
+    old.write.mode("overwrite").option("header", True).csv(p_old)
+    formatted.filter(F.col("run_id") >= old_before).write.mode("overwrite").option("header", True).csv(p_new)
+    return [p_old, p_new]
+
+
+def _formatted_sql() -> str:
+    return f"""SELECT run_id, model_config_id, task_file, total_tasks, total_attempts, passed, failed,
+        printf('%.4f', pass_rate) AS pass_rate, printf('%.4f', average_score) AS average_score,
+        printf('%.3f', average_latency_sec) AS average_latency_sec, repeats FROM ({orc.run_summary_sql()})"""
+
+
+def _parsed_sql(old_before: str | None = None) -> str:
+    old = f"run_id < '{old_before}'" if old_before else "false"
+    return f"""SELECT run_id, model_config_id, task_file, total_tasks,
+        CASE WHEN {old} THEN total_tasks ELSE total_attempts END AS total_attempts, passed, failed,
+        CAST(pass_rate AS DOUBLE) AS pass_rate, CAST(average_score AS DOUBLE) AS average_score,
+        CAST(average_latency_sec AS DOUBLE) AS average_latency_sec,
+        CASE WHEN {old} THEN 1 ELSE repeats END AS repeats FROM ({_formatted_sql()})"""
+
+
+OLD_FORMAT_BEFORE = "2024-01-15_run"
+
+
+@register("summary_scan", _parsed_sql)
+def q_summary_scan(spark, sf_dir):
+    (p,) = write_summary_csv(spark, sf_dir)
+    return lb.parse_summary_text(sinks.read_summary_csv(spark, p))
+
+
+@register(
+    "summary_migration",
+    lambda: f"""SELECT run_id, model_config_id, task_file, CAST(total_tasks AS VARCHAR) AS total_tasks,
+        CASE WHEN run_id < '{OLD_FORMAT_BEFORE}' THEN NULL ELSE CAST(total_attempts AS VARCHAR) END AS total_attempts,
+        CAST(passed AS VARCHAR) AS passed, CAST(failed AS VARCHAR) AS failed, pass_rate, average_score, average_latency_sec,
+        CASE WHEN run_id < '{OLD_FORMAT_BEFORE}' THEN NULL ELSE CAST(repeats AS VARCHAR) END AS repeats FROM ({_formatted_sql()})""",
+)
+def q_summary_migration(spark, sf_dir):
+    paths = write_summary_csv(spark, sf_dir, OLD_FORMAT_BEFORE)
+    return lb.migrate_summary_frames([sinks.read_summary_csv(spark, p) for p in paths])
+
+
+@register("leaderboard_old_format", lambda: orc.latest_sql(_parsed_sql(OLD_FORMAT_BEFORE)))
+def q_leaderboard_old_format(spark, sf_dir):
+    paths = write_summary_csv(spark, sf_dir, OLD_FORMAT_BEFORE)
+    merged = lb.migrate_summary_frames([sinks.read_summary_csv(spark, p) for p in paths])
+    return lb.leaderboard(lb.parse_summary_text(merged))
+
+
+@register(
+    "run_summary_empty",
+    lambda: f"""SELECT * FROM ({orc.run_summary_sql()}) UNION ALL
+        SELECT DISTINCT run_id, model_config_id, 'tasks/empty.jsonl', CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT),
+               CAST(0 AS BIGINT), 0.0, 0.0, 0.0, 1 FROM ({fx.attempt_input_sql()})""",
+)
+def q_run_summary_empty(spark, sf_dir):
+    scored = scored_attempts(spark, sf_dir)
+    planned = scored.select("run_id", "model_config_id", "task_file").distinct().unionByName(
+        scored.select("run_id", "model_config_id", F.lit("tasks/empty.jsonl").alias("task_file")).distinct()
+    )
+    return sm.summary_for_planned_runs(scored, planned)
+
+
+# ---------------------------------------------------------------------------
+# Long texts: documents and conversations as responses
+# ---------------------------------------------------------------------------
+
+_DOC_KW = "['the', 'ment', 'data', lang, source]"
+
+
+@register(
+    "score_doc_keywords",
+    lambda: "SELECT doc_id, quality, toxic, " + ", ".join(
+        f"{e} AS {n}" for e, n in zip(orc.keyword_sql(f"({_DOC_KW.replace('[', 'list_value(').replace(']', ')')})"), ("score", "passed", "reason"))
+    ) + f" FROM ({fx.DOC_KEYWORDS_SQL})",
+)
+def q_score_doc_keywords(spark, sf_dir):
+    d = fx.doc_keywords(spark, sf_dir).withColumn(
+        "task", F.expr("parse_json(to_json(named_struct('expected_keywords', array('the', 'ment', 'data', lang, source))))")
+    )
+    out = sc.score_tasks(d, task="task", response="response", scorer="keyword_match", out="r")
+    return out.select("doc_id", "quality", "toxic", F.col("r.score").alias("score"), F.col("r.passed").alias("passed"),
+                      F.col("r.reason").alias("reason"))
+
+
+@register(
+    "score_chat_pairs",
+    lambda: "SELECT conv_id, turn, " + ", ".join(
+        f"{e} AS {n}" for e, n in zip(orc.keyword_sql("list_filter(string_split(prompt, ' '), lambda w: length(w) > 3)"),
+                                      ("score", "passed", "reason"))
+    ) + f" FROM ({fx.CHAT_PAIRS_SQL})",
+)
+def q_score_chat_pairs(spark, sf_dir):
+    p = fx.chat_pairs(spark, sf_dir).withColumn(
+        "task", F.expr("parse_json(to_json(named_struct('expected_keywords', filter(split(prompt, ' '), w -> length(w) > 3))))")
+    )
+    out = sc.score_tasks(p, task="task", response="response", scorer="keyword_match", out="r")
+    return out.select("conv_id", "turn", F.col("r.score").alias("score"), F.col("r.passed").alias("passed"),
+                      F.col("r.reason").alias("reason"))

@@ -35,11 +35,13 @@ def _stage(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
     return df.withColumns({k: F.expr(v) for k, v in exprs.items()})
 
 
-def scan_lines(spark: SparkSession, path: str) -> DataFrame:
+def scan_lines(spark: SparkSession, path: str, name_col: str | None = None) -> DataFrame:
     """(task_file, line_no, line) for every physical line of the files under ``path``.
 
     Blank lines are kept (they count for numbering). ``_metadata`` gives the
-    file and the split each line came from.
+    file and the split each line came from. ``task_file`` is the file path,
+    or the value of the partition column ``name_col`` for a partitioned
+    directory with one file per partition.
     """
     try:
         raw = spark.read.text(path)
@@ -49,7 +51,8 @@ def scan_lines(spark: SparkSession, path: str) -> DataFrame:
         raise
     base = raw.select(
         F.col("value").alias("line"),
-        F.col("_metadata.file_path").alias("task_file"),
+        F.col("_metadata.file_path").alias("__file"),
+        (F.col(name_col) if name_col else F.col("_metadata.file_path")).alias("task_file"),
         F.col("_metadata.file_block_start").alias("__split"),
         F.monotonically_increasing_id().alias("__pos"),
     )
@@ -62,12 +65,14 @@ def number_lines(base: DataFrame) -> DataFrame:
     Rows of one split are contiguous in one scan partition and ``__pos``
     increases along them, so position-in-split is ``__pos - min(__pos)``.
     """
-    splits = base.groupBy("task_file", "__split").agg(
+    if "__file" not in base.columns:
+        base = base.withColumn("__file", F.col("task_file"))
+    splits = base.groupBy("__file", "__split").agg(
         F.count(F.lit(1)).alias("__n"), F.min("__pos").alias("__first")
     )
-    w = Window.partitionBy("task_file").orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("__file").orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0)))
-    j = base.join(splits.select("task_file", "__split", "__before", "__first"), ["task_file", "__split"])
+    j = base.join(splits.select("__file", "__split", "__before", "__first"), ["__file", "__split"])
     return j.select(
         "task_file",
         (F.col("__before") + F.col("__pos") - F.col("__first") + F.lit(1)).alias("line_no"),
