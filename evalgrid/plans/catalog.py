@@ -612,3 +612,203 @@ def q_score_chat_pairs(spark, sf_dir):
     out = sc.score_tasks(p, task="task", response="response", scorer="keyword_match", out="r")
     return out.select("conv_id", "turn", F.col("r.score").alias("score"), F.col("r.passed").alias("passed"),
                       F.col("r.reason").alias("reason"))
+
+
+# ---------------------------------------------------------------------------
+# Suites, manifests, run reports (specified follow-on operators)
+# ---------------------------------------------------------------------------
+
+from evalgrid.operators import importers as imp  # noqa: E402
+from evalgrid.operators import runs as rn  # noqa: E402
+
+_RUN_KEYS = ["run_id", "model_config_id", "task_file"]
+
+
+@register(
+    "tasks_by_suite",
+    lambda: f"SELECT s.suite_id, t.task_file, t.line_no, t.id FROM ({orc.scan_tasks_sql()}) t JOIN ({fx.SUITES_SQL}) s USING (task_file)",
+)
+def q_tasks_by_suite(spark, sf_dir):
+    tasks, _ = parsed_fixture(spark, sf_dir)
+    return rn.tasks_by_suite(tasks, fx.suites(spark, sf_dir)).select("suite_id", "task_file", "line_no", "id")
+
+
+@register(
+    "suites_missing_tasks",
+    lambda: f"""SELECT suite_id, name, task_file FROM ({fx.SUITES_SQL}) s
+        WHERE NOT EXISTS (SELECT 1 FROM ({orc.scan_tasks_sql()}) t WHERE t.task_file = s.task_file)""",
+)
+def q_suites_missing_tasks(spark, sf_dir):
+    tasks, _ = parsed_fixture(spark, sf_dir)
+    return rn.suites_without_tasks(fx.suites(spark, sf_dir), tasks).select("suite_id", "name", "task_file")
+
+
+def _status_sql() -> str:
+    return f"""SELECT run_id, model_config_id, task_file, arg_max(status, (ts, event_id)) AS status,
+        min(ts) AS started_at, max(ts) AS finished_at FROM ({fx.status_events_sql()}) GROUP BY run_id, model_config_id, task_file"""
+
+
+def _status(spark, sf_dir):
+    return rn.latest_status(fx.status_events(spark, sf_dir), _RUN_KEYS, "ts", "event_id")
+
+
+@register("run_status_latest", _status_sql)
+def q_run_status_latest(spark, sf_dir):
+    return _status(spark, sf_dir)
+
+
+def _artifacts_sql() -> str:
+    return f"""SELECT run_id, model_config_id, task_file, event_id,
+        'artifacts/suite-' || regexp_extract(task_file, 'tasks/(.*)\\.jsonl', 1) || '/'
+        || regexp_replace(task_id || ':' || model_config_id || ' ' || run_id, '[^A-Za-z0-9._-]', '_', 'g') || '_response.md' AS artifact_path,
+        response FROM ({fx.attempt_input_sql()}) WHERE category IN ('code', 'coding')"""
+
+
+def _artifacts(spark, sf_dir):
+    a = fx.attempt_input(spark, sf_dir).withColumns({
+        "suite_id": F.concat(F.lit("suite-"), F.regexp_extract("task_file", r"tasks/(.*)\.jsonl", 1)),
+        "artifact_key": F.concat_ws(" ", F.concat_ws(":", "task_id", "model_config_id"), "run_id"),
+    })
+    return rn.artifact_rows(a, "suite_id", "artifact_key")
+
+
+@register("artifact_paths", _artifacts_sql)
+def q_artifact_paths(spark, sf_dir):
+    return _artifacts(spark, sf_dir).select("run_id", "model_config_id", "task_file", "event_id", "artifact_path", "response")
+
+
+def _full_sql() -> str:
+    return f"""SELECT s.*, coalesce(st.status, 'unknown') AS status, st.started_at, st.finished_at, su.suite_id,
+        CAST(coalesce(ac.n, 0) AS BIGINT) AS artifact_count
+        FROM ({orc.run_summary_sql()}) s
+        LEFT JOIN ({_status_sql()}) st USING (run_id, model_config_id, task_file)
+        LEFT JOIN ({fx.SUITES_SQL}) su USING (task_file)
+        LEFT JOIN (SELECT run_id, model_config_id, task_file, count(*) AS n FROM ({_artifacts_sql()}) GROUP BY ALL) ac
+          USING (run_id, model_config_id, task_file)"""
+
+
+@register("run_summary_full", _full_sql)
+def q_run_summary_full(spark, sf_dir):
+    full = rn.full_summary(summary_of_fixture(spark, sf_dir), _status(spark, sf_dir), fx.suites(spark, sf_dir), _artifacts(spark, sf_dir))
+    return full.drop("name") if "name" in full.columns else full
+
+
+@register(
+    "leaderboard_by_suite",
+    lambda: f"""SELECT *, rank() OVER (PARTITION BY suite_id ORDER BY average_score DESC, pass_rate DESC, average_latency_sec ASC,
+            model_config_id, task_file) AS rank
+        FROM (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY model_config_id, suite_id ORDER BY run_id DESC) AS rn
+              FROM (SELECT s.*, su.suite_id FROM ({orc.run_summary_sql()}) s JOIN ({fx.SUITES_SQL}) su USING (task_file))) WHERE rn = 1)""",
+)
+def q_leaderboard_by_suite(spark, sf_dir):
+    s = summary_of_fixture(spark, sf_dir).join(at.sized_broadcast(fx.suites(spark, sf_dir).select("suite_id", "task_file")), "task_file")
+    return rn.suite_leaderboard(s)
+
+
+@register(
+    "runs_overview",
+    lambda: f"""SELECT coalesce(s.run_id, st.run_id) AS run_id, coalesce(s.model_config_id, st.model_config_id) AS model_config_id,
+        coalesce(s.task_file, st.task_file) AS task_file, coalesce(st.status, 'unknown') AS status,
+        s.average_score, s.pass_rate, s.average_latency_sec, st.started_at
+        FROM (SELECT * FROM ({orc.run_summary_sql()}) WHERE average_latency_sec > 0.5) s
+        FULL OUTER JOIN (SELECT * FROM ({_status_sql()}) WHERE model_config_id <> 'model-4') st USING (run_id, model_config_id, task_file)""",
+)
+def q_runs_overview(spark, sf_dir):
+    s = summary_of_fixture(spark, sf_dir).filter(F.col("average_latency_sec") > 0.5)
+    st = _status(spark, sf_dir).filter(F.col("model_config_id") != "model-4")
+    o = rn.runs_overview(s, st, _RUN_KEYS)
+    return o.select(*_RUN_KEYS, "status", "average_score", "pass_rate", "average_latency_sec", "started_at")
+
+
+@register(
+    "response_consistency",
+    lambda: f"""SELECT run_id, model_config_id, task_file, task_id, CAST(count(*) AS BIGINT) AS attempts,
+        CAST(count(DISTINCT response) AS BIGINT) AS unique_responses FROM ({fx.attempt_input_sql()}) GROUP BY ALL""",
+)
+def q_response_consistency(spark, sf_dir):
+    return rn.response_consistency(fx.attempt_input(spark, sf_dir), _RUN_KEYS + ["task_id"])
+
+
+@register(
+    "partial_summary",
+    lambda: f"""SELECT s.*, p.planned_attempts, CAST(s.total_attempts AS DOUBLE) / p.planned_attempts AS completion_ratio
+        FROM ({orc.run_summary_sql(f"SELECT * FROM ({orc.scored_all()}) WHERE latency_sec <= 2.0")}) s
+        JOIN (SELECT run_id, model_config_id, task_file, CAST(count(*) AS BIGINT) AS planned_attempts
+              FROM ({fx.attempt_input_sql()}) GROUP BY ALL) p USING (run_id, model_config_id, task_file)""",
+)
+def q_partial_summary(spark, sf_dir):
+    scored = scored_attempts(spark, sf_dir)
+    done = sm.run_summary(scored.filter(F.col("latency_sec") <= 2.0))
+    planned = scored.groupBy(*_RUN_KEYS).agg(F.count(F.lit(1)).alias("planned_attempts"))
+    return done.join(planned, _RUN_KEYS).withColumn("completion_ratio", F.col("total_attempts") / F.col("planned_attempts"))
+
+
+def _raw_lines(spark, sf_dir):
+    a = scored_attempts(spark, sf_dir)
+    js = F.to_json(F.struct("run_id", "model_config_id", "task_id", "response", "score", "passed", "reason"))
+    cut = F.expr("substr(to_json(named_struct('run_id', run_id, 'model_config_id', model_config_id, 'task_id', task_id, "
+                 "'response', response, 'score', score, 'passed', passed, 'reason', reason)), 1, 40)")
+    return a.select("event_id", "model_config_id", F.when(F.col("latency_sec") > 4.5, cut).otherwise(js).alias("line"))
+
+
+@register(
+    "raw_corrupt_lines",
+    lambda: f"""SELECT model_config_id, CAST(count(*) AS BIGINT) AS lines,
+        CAST(count(*) FILTER (WHERE latency_sec > 4.5) AS BIGINT) AS corrupt_lines,
+        CAST(count(*) FILTER (WHERE latency_sec <= 4.5) AS BIGINT) AS completed_attempts
+        FROM ({fx.attempt_input_sql()}) GROUP BY model_config_id""",
+)
+def q_raw_corrupt_lines(spark, sf_dir):
+    from evalgrid.functions.jsonv import strict_json_sql
+
+    lines = _raw_lines(spark, sf_dir).withColumn("ok", F.expr(f"{strict_json_sql('line')} IS NOT NULL"))
+    return lines.groupBy("model_config_id").agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.count_if(~F.col("ok")).alias("corrupt_lines"),
+        F.count_if(F.col("ok")).alias("completed_attempts"),
+    )
+
+
+@register(
+    "prompt_size",
+    lambda: f"""SELECT doc_id, CAST(length(response) AS BIGINT) AS chars,
+        CAST(len(list_filter(regexp_split_to_array(response, '{orc._WS}+'), lambda w: w <> '')) AS INTEGER) AS words,
+        CAST(ceil(length(response) / 4.0) AS BIGINT) AS estimated_context_tokens FROM ({fx.DOC_KEYWORDS_SQL})""",
+)
+def q_prompt_size(spark, sf_dir):
+    from evalgrid.operators.quality import word_count
+
+    d = fx.doc_keywords(spark, sf_dir)
+    return d.select(
+        "doc_id", F.char_length("response").cast("bigint").alias("chars"), word_count("response").alias("words"),
+        F.ceil(F.char_length("response") / F.lit(4.0)).cast("bigint").alias("estimated_context_tokens"),
+    )
+
+
+def _imported(spark, sf_dir):
+    g = imp.import_gsm8k(fx.bench_source(spark, sf_dir, fx.GSM8K_SRC))
+    m = imp.import_multiple_choice(fx.bench_source(spark, sf_dir, fx.MC_SRC))
+    c = imp.import_code(fx.bench_source(spark, sf_dir, fx.CODE_SRC))
+    return g.unionByName(m).unionByName(c)
+
+
+@register(
+    "import_qa_tasks",
+    lambda: """SELECT 'gsm8k-' || CAST(item_id AS VARCHAR) AS id, text AS description, CAST(length(text) AS VARCHAR) AS expected_output,
+            'math' AS category, 'gsm8k' AS source, true AS valid FROM benchmark
+        UNION ALL
+        SELECT 'mmlu-' || CAST(item_id AS VARCHAR), 'Which clause comes first in item ' || CAST(item_id AS VARCHAR) || '?' || chr(10)
+            || array_to_string(list_transform(string_split(text, ', '), lambda c, i: chr(CAST(64 + i AS INTEGER)) || '. ' || c), chr(10)),
+            'A', 'text', 'mmlu', true FROM benchmark
+        UNION ALL
+        SELECT 'humaneval-' || CAST(item_id AS VARCHAR), 'def solve_' || CAST(item_id AS VARCHAR) || '():' || chr(10) || '    # ' || text,
+            'solve_' || CAST(item_id AS VARCHAR), 'code', 'humaneval', true FROM benchmark""",
+)
+def q_import_qa_tasks(spark, sf_dir):
+    tasks = _imported(spark, sf_dir)
+    lines = imp.as_task_lines(tasks).withColumn("task_file", F.concat(F.lit("imported/"), F.col("source"), F.lit(".jsonl")))
+    parsed, errors = src_tasks.parse_task_lines(lines.drop("source"))
+    valid = parsed.select(F.col("id").alias("__vid"), F.lit(True).alias("valid"))
+    return tasks.join(valid, tasks.id == valid.__vid, "left").select(
+        "id", "description", "expected_output", "category", "source", F.coalesce("valid", F.lit(False)).alias("valid")
+    )

@@ -293,3 +293,99 @@ BENCH_PLAN_SQL = (
     "SELECT item_id, 'bench-' || CAST(item_id AS VARCHAR) AS task_id, CAST(unnest(range(0, 3)) AS INTEGER) AS repeat_index FROM benchmark"
 )
 BENCH_COMPLETED_SQL = f"SELECT * FROM ({BENCH_PLAN_SQL}) WHERE (item_id * 3 + repeat_index) % 4 <> 0"
+
+
+# --- suites: one per event type, plus an archive suite whose file has no tasks ---
+
+SUITES_SQL = (
+    "SELECT DISTINCT 'suite-' || event_type AS suite_id, upper(event_type) || ' suite' AS name, "
+    "'tasks/' || event_type || '.jsonl' AS task_file FROM events "
+    "UNION ALL SELECT DISTINCT 'suite-' || event_type || '-archive', upper(event_type) || ' archive', "
+    "'tasks/' || event_type || '_archive.jsonl' FROM events"
+)
+
+
+def suites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events").select("event_type").distinct()
+    cur = ev.selectExpr("'suite-' || event_type AS suite_id", "upper(event_type) || ' suite' AS name",
+                        "'tasks/' || event_type || '.jsonl' AS task_file")
+    arc = ev.selectExpr("'suite-' || event_type || '-archive' AS suite_id", "upper(event_type) || ' archive' AS name",
+                        "'tasks/' || event_type || '_archive.jsonl' AS task_file")
+    return cur.unionByName(arc)
+
+
+# --- run status events: an append-only manifest log derived from the events ------
+
+STATUS_EVENTS = [
+    ("run_id", "CAST(CAST(ts AS DATE) AS STRING) || '_run'"),
+    ("model_config_id", "'model-' || CAST(user_id % 5 AS STRING)"),
+    ("task_file", "'tasks/' || event_type || '.jsonl'"),
+    ("status", "CASE WHEN value < 20 THEN 'running' WHEN value < 200 THEN 'completed' WHEN value < 400 THEN 'cancelled' ELSE 'failed' END"),
+    ("ts", "ts"),
+    ("event_id", "event_id"),
+]
+
+
+def status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").selectExpr(*[f"{e} AS {n}" for n, e in STATUS_EVENTS])
+
+
+def status_events_sql() -> str:
+    return select_sql(STATUS_EVENTS, "events")
+
+
+# --- importer sources derived from the benchmark table ---------------------------
+
+GSM8K_SRC = [
+    ("src_id", "item_id"),
+    ("question", "text"),
+    ("answer", "'Worked steps for item ' || CAST(item_id AS STRING) || ' #### ' || CAST(length(text) AS STRING)"),
+]
+MC_SRC = [
+    ("src_id", "item_id"),
+    ("question", "'Which clause comes first in item ' || CAST(item_id AS STRING) || '?'"),
+    ("choices", "split(text, ', ')"),
+    ("answer_index", "0"),
+]
+CODE_SRC = [
+    ("src_id", "item_id"),
+    ("prompt", "'def solve_' || CAST(item_id AS STRING) || '():' || chr(10) || '    # ' || text"),
+    ("entry_point", "'solve_' || CAST(item_id AS STRING)"),
+]
+
+
+def bench_source(spark: SparkSession, sf_dir: str, cols: list[tuple[str, str]]) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").selectExpr(*[f"{e} AS {n}" for n, e in cols])
+
+
+# --- work items, extended with type and hours for the documented rules ---------
+
+WORK_ITEMS_EXTRA = [
+    ("type", "CASE o_custkey % 9 WHEN 0 THEN 'code_review' WHEN 1 THEN 'bug_fix' WHEN 2 THEN 'feature' "
+             "WHEN 3 THEN 'documentation' WHEN 4 THEN 'refactoring' WHEN 5 THEN 'testing' WHEN 6 THEN 'research' "
+             "WHEN 7 THEN 'other' ELSE 'Other' END"),
+    ("estimated_hours", "o_totalprice / 1000"),
+    ("description", "'Order ' || CAST(o_orderkey AS STRING) || ' for customer ' || CAST(o_custkey AS STRING)"),
+    ("assignee", "'cust-' || CAST(o_custkey AS STRING)"),
+]
+
+
+def work_items_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.selectExpr(*[f"{e} AS {n}" for n, e in WORK_ITEMS + WORK_ITEMS_EXTRA])
+
+
+def work_items_full_sql() -> str:
+    return select_sql(WORK_ITEMS + WORK_ITEMS_EXTRA, "orders")
+
+
+# Legacy-format work items: some fields absent (NULL fields vanish in to_json).
+LEGACY_JSON_SQL = (
+    "to_json(named_struct('id', id, "
+    "'category', CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE type END, "
+    "'urgency', CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE priority END, "
+    "'state', CASE WHEN o_custkey % 6 = 0 THEN NULL ELSE status END, "
+    "'notes', description, "
+    "'owner', CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE assignee END, "
+    "'deadline', due_date))"
+)
