@@ -82,13 +82,13 @@ def invalid_transitions(events: DataFrame, entity: str, order: Sequence[str], st
     (entity, position + 1) over skew-safe row numbers, so no entity's
     history has to sit in one task. Unchanged statuses are not transitions.
     """
-    n = row_number_within(events.select(entity, *order, status, ident), [entity], list(order), out="__pos")
-    prev = n.select(F.col(entity), (F.col("__pos") + 1).alias("__pos"), F.col(status).alias("from_status"), F.col(ident).alias("from_id"))
-    cur = n.select(F.col(entity), "__pos", F.col(status).alias("to_status"), F.col(ident).alias("to_id"))
-    pairs = prev.join(cur, [entity, "__pos"]).filter(F.col("from_status") != F.col("to_status"))
+    n = row_number_within(events.select(entity, *order, status, ident), [entity], list(order), out="__seq")
+    prev = n.select(F.col(entity), (F.col("__seq") + 1).alias("__seq"), F.col(status).alias("from_status"), F.col(ident).alias("from_id"))
+    cur = n.select(F.col(entity), "__seq", F.col(status).alias("to_status"), F.col(ident).alias("to_id"))
+    pairs = prev.join(cur, [entity, "__seq"]).filter(F.col("from_status") != F.col("to_status"))
     allowed = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ALLOWED_TRANSITIONS])
     bad = ~F.array_contains(allowed, F.struct(F.col("from_status").alias("a"), F.col("to_status").alias("b")))
-    return pairs.filter(bad).drop("__pos")
+    return pairs.filter(bad).drop("__seq")
 
 
 def upsert(base: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:

@@ -812,3 +812,155 @@ def q_import_qa_tasks(spark, sf_dir):
     return tasks.join(valid, tasks.id == valid.__vid, "left").select(
         "id", "description", "expected_output", "category", "source", F.coalesce("valid", F.lit(False)).alias("valid")
     )
+
+
+# ---------------------------------------------------------------------------
+# Documented work-item rules (data-quality jobs)
+# ---------------------------------------------------------------------------
+
+from evalgrid.operators import quality as qa  # noqa: E402
+
+_TYPES_IN = "(" + ", ".join(f"'{t}'" for t in qa.TYPES) + ")"
+_STATUS_IN = "(" + ", ".join(f"'{t}'" for t in qa.STATUSES) + ")"
+
+
+def _violations_sql() -> str:
+    dt = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z$"
+    parts = [
+        ("id_format", "NOT regexp_full_match(id, '^[a-zA-Z0-9_-]+$') OR length(id) > 100", "'invalid id: ' || id"),
+        ("type_enum", f"type IS NULL OR type NOT IN {_TYPES_IN}", "'invalid type: ' || coalesce(type, 'null')"),
+        ("priority_range", "priority IS NULL OR priority < 1 OR priority > 5", "'priority out of range: ' || coalesce(CAST(priority AS VARCHAR), 'null')"),
+        ("status_enum", f"status IS NULL OR status NOT IN {_STATUS_IN}", "'invalid status: ' || coalesce(status, 'null')"),
+        ("due_date_format", f"NOT regexp_full_match(due_date, '{dt}') OR try_strptime(due_date, '%Y-%m-%dT%H:%M:%SZ') IS NULL",
+         "'invalid due_date: ' || due_date"),
+        ("hours_range", "estimated_hours IS NOT NULL AND (estimated_hours < 0.1 OR estimated_hours > 999.99)",
+         "'estimated_hours out of range: ' || CAST(estimated_hours AS VARCHAR)"),
+        ("hours_precision", "estimated_hours IS NOT NULL AND CAST(estimated_hours AS DECIMAL(20,2)) <> CAST(estimated_hours AS DECIMAL(24,10))",
+         "'estimated_hours has more than 2 decimals: ' || CAST(estimated_hours AS VARCHAR)"),
+    ]
+    return " UNION ALL ".join(
+        f"SELECT id, '{name}' AS rule, {msg} AS message FROM ({fx.work_items_full_sql()}) WHERE coalesce({pred}, true)"
+        for name, pred, msg in parts
+    )
+
+
+@register("rule_violations", _violations_sql)
+def q_rule_violations(spark, sf_dir):
+    return qa.rule_violations(fx.work_items_full(spark, sf_dir))
+
+
+@register(
+    "duplicate_ids",
+    lambda: f"""SELECT task_file, json_extract_string(j, '$.id') AS id, CAST(count(*) AS BIGINT) AS occurrences,
+        CAST(min(line_no) AS BIGINT) AS first_line FROM ({orc.checked_lines_sql()})
+        WHERE id_k IN ('str', 'int') GROUP BY task_file, json_extract_string(j, '$.id') HAVING count(*) > 1""",
+)
+def q_duplicate_ids(spark, sf_dir):
+    c = src_tasks._checked(fx.task_lines(spark, sf_dir)).filter(F.col("__id_k").isin("str", "int"))
+    return qa.duplicate_keys(c.select("task_file", F.col("__id_text").alias("id"), "line_no"), ["task_file", "id"])
+
+
+@register(
+    "dangling_dependencies",
+    lambda: f"""SELECT w.* FROM ({fx.work_items_full_sql()}) w
+        WHERE depends_on IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ({fx.work_items_full_sql()}) k WHERE k.id = w.depends_on)""",
+)
+def q_dangling_dependencies(spark, sf_dir):
+    return qa.dangling_references(fx.work_items_full(spark, sf_dir), "depends_on")
+
+
+@register(
+    "invalid_transitions",
+    lambda: f"""SELECT o_custkey, from_status, from_id, to_status, to_id FROM (
+        SELECT o_custkey, lag(status) OVER w AS from_status, lag(id) OVER w AS from_id, status AS to_status, id AS to_id
+        FROM ({fx.work_items_full_sql()}) WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
+        WHERE from_status IS NOT NULL AND from_status <> to_status
+          AND (from_status, to_status) NOT IN {tuple(qa.ALLOWED_TRANSITIONS)}""",
+)
+def q_invalid_transitions(spark, sf_dir):
+    return qa.invalid_transitions(fx.work_items_full(spark, sf_dir), "o_custkey", ["o_orderdate", "o_orderkey"]).select(
+        "o_custkey", "from_status", "from_id", "to_status", "to_id"
+    )
+
+
+@register(
+    "apply_defaults",
+    lambda: f"""SELECT task_file, line_no,
+        CAST(coalesce(TRY_CAST(json_extract(j, '$.priority') AS INTEGER), 3) AS INTEGER) AS priority,
+        coalesce(json_extract_string(j, '$.status'), 'pending') AS status,
+        CAST(coalesce(json_array_length(j, '$.dependencies'), 0) AS INTEGER) AS n_dependencies,
+        coalesce(CAST(json_extract(j, '$.metadata') AS VARCHAR), '{{}}') AS metadata
+        FROM ({orc.checked_lines_sql()}) WHERE json_type(j) = 'OBJECT'""",
+)
+def q_apply_defaults(spark, sf_dir):
+    c = src_tasks._checked(fx.task_lines(spark, sf_dir)).filter(F.col("__kind") == "dict")
+    return c.select(
+        "task_file", "line_no",
+        F.expr(f"coalesce(try_variant_get(raw, '$.priority', 'int'), {qa.DEFAULTS['priority']})").alias("priority"),
+        F.expr(f"coalesce(try_variant_get(raw, '$.status', 'string'), '{qa.DEFAULTS['status']}')").alias("status"),
+        F.expr("coalesce(size(try_variant_get(raw, '$.dependencies', 'array<variant>')), 0)").alias("n_dependencies"),
+        F.expr("coalesce(to_json(try_variant_get(raw, '$.metadata', 'variant')), '{}')").alias("metadata"),
+    )
+
+
+@register(
+    "enrich_tasks",
+    lambda: f"""SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(response, '{orc._WS}+'), lambda w: w <> '')) AS INTEGER) AS word_count,
+        false AS has_dependencies FROM ({fx.DOC_KEYWORDS_SQL})""",
+)
+def q_enrich_tasks(spark, sf_dir):
+    d = fx.doc_keywords(spark, sf_dir).withColumn("dependencies", F.array().cast("array<string>"))
+    return d.select("doc_id", qa.word_count("response").alias("word_count"), (F.size("dependencies") > 0).alias("has_dependencies"))
+
+
+@register(
+    "migrate_legacy",
+    lambda: f"""SELECT id, CASE WHEN o_custkey % 4 = 0 THEN 'other' ELSE type END AS type,
+        CASE WHEN o_custkey % 5 = 0 THEN 3 ELSE priority END AS priority,
+        CASE WHEN o_custkey % 6 = 0 THEN 'pending' ELSE status END AS status, description,
+        CASE WHEN o_custkey % 7 = 0 THEN '' ELSE assignee END AS assignee, due_date, 'old_format' AS legacy_source
+        FROM ({fx.work_items_full_sql()})""",
+)
+def q_migrate_legacy(spark, sf_dir):
+    legacy = fx.work_items_full(spark, sf_dir).select(F.parse_json(F.expr(fx.LEGACY_JSON_SQL)).alias("v"))
+    g = "try_variant_get(v, '$.{}', '{}')".format
+    return legacy.select(
+        F.expr(f"coalesce({g('id', 'string')}, '')").alias("id"),
+        F.expr(f"coalesce({g('category', 'string')}, 'other')").alias("type"),
+        F.expr(f"coalesce({g('urgency', 'int')}, 3)").alias("priority"),
+        F.expr(f"coalesce({g('state', 'string')}, 'pending')").alias("status"),
+        F.expr(f"coalesce({g('notes', 'string')}, '')").alias("description"),
+        F.expr(f"coalesce({g('owner', 'string')}, '')").alias("assignee"),
+        F.expr(f"coalesce({g('deadline', 'string')}, '')").alias("due_date"),
+        F.lit("old_format").alias("legacy_source"),
+    )
+
+
+@register(
+    "upsert_tasks",
+    lambda: f"""WITH b AS (SELECT id, status, description, 'base' AS origin FROM ({fx.work_items_full_sql()})),
+        n AS (SELECT id, 'completed' AS status, description || ' (closed)' AS description, 'update' AS origin
+              FROM ({fx.work_items_full_sql()}) WHERE o_totalprice > 200000)
+        SELECT * FROM b WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT * FROM n""",
+)
+def q_upsert_tasks(spark, sf_dir):
+    w = fx.work_items_full(spark, sf_dir)
+    base = w.select("id", "status", "description", F.lit("base").alias("origin"))
+    new = w.filter(F.col("o_totalprice") > 200000).select(
+        "id", F.lit("completed").alias("status"), F.concat("description", F.lit(" (closed)")).alias("description"),
+        F.lit("update").alias("origin"),
+    )
+    return qa.upsert(base, new)
+
+
+@register(
+    "load_metrics",
+    lambda: f"""SELECT task_file, CAST(count(*) FILTER (WHERE error_type IS NULL) AS BIGINT) AS loaded,
+        CAST(count(*) FILTER (WHERE error_type IS NOT NULL) AS BIGINT) AS errors,
+        count(*) FILTER (WHERE error_type IS NOT NULL) = 0 AS success FROM ({orc.checked_lines_sql()}) GROUP BY task_file""",
+)
+def q_load_metrics(spark, sf_dir):
+    c = src_tasks._checked(fx.task_lines(spark, sf_dir))
+    return c.groupBy("task_file").agg(
+        F.count_if(F.col("__err").isNull()).alias("loaded"), F.count_if(F.col("__err").isNotNull()).alias("errors")
+    ).withColumn("success", F.col("errors") == 0)
