@@ -964,3 +964,43 @@ def q_load_metrics(spark, sf_dir):
     return c.groupBy("task_file").agg(
         F.count_if(F.col("__err").isNull()).alias("loaded"), F.count_if(F.col("__err").isNotNull()).alias("errors")
     ).withColumn("success", F.col("errors") == 0)
+
+
+# ---------------------------------------------------------------------------
+# Streaming ingest and batch generation
+# ---------------------------------------------------------------------------
+
+import uuid  # noqa: E402
+
+from evalgrid.streaming import attempts as stream_attempts  # noqa: E402
+
+
+@register("stream_running_summary", orc.run_summary_sql)
+def q_stream_running_summary(spark, sf_dir):
+    """Scored attempts written as JSONL files per run, ingested by the stream
+    (availableNow), summarised from the stream's state updates."""
+    base = _scratch(spark, sf_dir, f"stream-{uuid.uuid4().hex[:8]}")
+    src, upd, ckpt = f"{base}/attempts", f"{base}/updates", f"{base}/checkpoint"
+    inp = fx.attempt_input_with_repeats(spark, sf_dir)
+    scored = sc.score_frame(sc.with_task_spec(inp, task="task"), response="response", spec="spec").select(
+        "event_id", "model_config_id", "task_file", "task_id", "repeat_index",
+        F.col("result.score").alias("score"), F.col("result.passed").alias("passed"), "latency_sec", "run_id",
+    )
+    scored.repartition("run_id").write.mode("overwrite").partitionBy("run_id").json(src)
+    q = stream_attempts.start_running_summary(spark, src, upd, ckpt, available_now=True)
+    q.awaitTermination()
+    return stream_attempts.current_summary(spark, upd)
+
+
+from evalgrid.operators import generate as gen  # noqa: E402
+
+
+@register(
+    "batch_generate",
+    lambda: f"""SELECT event_id, prompt, CASE WHEN contains(prompt, '7') THEN NULL ELSE 'ANSWER: ' || upper(prompt) END AS response,
+        CASE WHEN contains(prompt, '7') THEN 'generation failed for prompt of ' || CAST(length(prompt) AS VARCHAR) || ' chars' END AS error
+        FROM ({fx.attempt_input_sql()})""",
+)
+def q_batch_generate(spark, sf_dir):
+    plan = fx.attempt_input(spark, sf_dir).select("event_id", "prompt")
+    return gen.batch_generate(plan, gen.echo_generator, keep=["event_id"]).select("event_id", "prompt", "response", "error")
