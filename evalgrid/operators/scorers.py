@@ -116,7 +116,11 @@ def _stage(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
 
 
 def with_task_spec(df: DataFrame, task: str = "task", out: str = "spec", category_map: dict[str, str] | None = None) -> DataFrame:
-    """Add ``out``: the flat scoring spec read from the task VARIANT column ``task``."""
+    """Add the scoring spec read from the task VARIANT column ``task`` as flat
+    columns ``{out}_{field}`` (``spec_scorer``, ``spec_exp_text``, ...).
+
+    Flat columns, not one struct: a query that uses one scorer reads three
+    fields, and column pruning then skips computing the rest."""
     t = f"`{task}`"
     cmap = CATEGORY_SCORER_MAP if category_map is None else category_map
     df = _stage(
@@ -134,6 +138,7 @@ def with_task_spec(df: DataFrame, task: str = "task", out: str = "spec", categor
         },
     )
     names = ["exp", "tol", "kw", "thr", "tool", "req", "cat"]
+    df = _stage(df, {f"__{n}_t": f"schema_of_variant(__{n}_v)" for n in ("kw", "req")})
     df = _stage(df, {f"__{n}_k": json_kind_sql(f"__{n}_v") for n in names})
     cmap_sql = f"coalesce(element_at({category_map_sql(cmap)}, __category), {lit(FALLBACK_SCORER)})" if cmap else lit(FALLBACK_SCORER)
     df = _stage(
@@ -149,7 +154,8 @@ def with_task_spec(df: DataFrame, task: str = "task", out: str = "spec", categor
             "__tol_repr": f"CASE WHEN __tol_v IS NULL THEN 'None' ELSE {py_repr_sql('__tol_v', '__tol_k')} END",
             "__kw_error": f"CASE WHEN __kw_k IS NULL OR __kw_k = 'NoneType' THEN {lit(_MISSING_KEYWORDS)} "
             f"WHEN __kw_k <> 'list' THEN concat({lit(_KW_NOT_LIST)}, __kw_k) END",
-            "__kw": f"CASE WHEN __kw_k = 'list' THEN transform(try_variant_get(__kw_v, '$', 'array<variant>'), e -> {py_text_sql('e')}) END",
+            "__kw": f"CASE WHEN __kw_k <> 'list' THEN NULL WHEN __kw_t = 'ARRAY<STRING>' THEN try_variant_get(__kw_v, '$', 'array<string>') "
+            f"ELSE transform(try_variant_get(__kw_v, '$', 'array<variant>'), e -> {py_text_sql('e')}) END",
             "__thr_num": f"CASE WHEN __thr_v IS NULL THEN {DEFAULT_THRESHOLD} "
             f"WHEN __thr_k IN ('int', 'float', 'bool') THEN {py_float_of_sql('__thr_v', '__thr_k')} END",
             "__thr_text": f"CASE WHEN __thr_v IS NULL THEN {lit(repr(DEFAULT_THRESHOLD))} ELSE {py_text_sql('__thr_v', '__thr_k')} END",
@@ -161,9 +167,11 @@ def with_task_spec(df: DataFrame, task: str = "task", out: str = "spec", categor
             "__tool_num": f"CASE WHEN __tool_k IN ('int', 'float', 'bool') THEN {py_float_of_sql('__tool_v', '__tool_k')} END",
             "__req_applies": "coalesce(__req_k IS NOT NULL AND __req_k <> 'NoneType', false)",
             "__req_kind": "__req_k",
-            "__req_items": "transform(try_variant_get(__req_v, '$', 'array<variant>'), e -> named_struct("
+            "__req_items": "CASE WHEN __req_t = 'ARRAY<STRING>' THEN transform(try_variant_get(__req_v, '$', 'array<string>'), "
+            "x -> named_struct('is_str', true, 'key', x, 'text', x)) "
+            "ELSE transform(try_variant_get(__req_v, '$', 'array<variant>'), e -> named_struct("
             "'is_str', schema_of_variant(e) = 'STRING', 'key', try_variant_get(e, '$', 'string'), "
-            f"'text', {py_text_sql('e')}))",
+            f"'text', {py_text_sql('e')})) END",
         },
     )
     df = _stage(
@@ -175,9 +183,9 @@ def with_task_spec(df: DataFrame, task: str = "task", out: str = "spec", categor
             "__kw_low": "transform(__kw, x -> lower(x))",
         },
     )
-    spec = "named_struct(" + ", ".join(f"'{f}', __{f}" for f in SPEC_FIELDS) + ")"
-    tmp = [c for c in df.columns if c.startswith("__")]
-    return df.withColumn(out, F.expr(spec)).drop(*tmp)
+    df = df.withColumnsRenamed({f"__{f}": f"{out}_{f}" for f in SPEC_FIELDS})
+    tmp = [c for c in df.columns if c.startswith("__") and not c.startswith(f"{out}_")]
+    return df.drop(*tmp)
 
 
 # ---------------------------------------------------------------------------
@@ -203,44 +211,44 @@ def _fail(reason: str) -> str:
 
 
 def _exact(sp: str) -> str:
-    key, exp = X(f"{sp}.exp_key"), X(f"{sp}.exp_text")
+    key, exp = X(f"{sp}_exp_key"), X(f"{sp}_exp_text")
     return (
         f"CASE WHEN __r_text IS NULL THEN {_fail(lit(_NONE_RESPONSE))} "
         f"WHEN {key} IS NULL THEN {_fail(lit(_MISSING_EXPECTED))} "
-        f"WHEN {sp}.exp_null THEN {_fail(cat('Task ' + chr(39), key, chr(39) + ' value is None'))} "
+        f"WHEN {sp}_exp_null THEN {_fail(cat('Task ' + chr(39), key, chr(39) + ' value is None'))} "
         f"WHEN lower({exp}) = lower(__r_strip) THEN {_res('1.0', 'true', lit('Matched expected answer'))} "
         f"ELSE {_fail(cat('Expected ' + chr(39), exp, chr(39) + ' but got ' + chr(39), X('__r_strip'), chr(39)))} END"
     )
 
 
 def _numeric(sp: str) -> str:
-    key, e, tol = X(f"{sp}.exp_key"), f"{sp}.exp_num", f"{sp}.tol_num"
-    a, t, es = X("__r_num_repr"), X(f"{sp}.tol_num_repr"), X(f"{sp}.exp_num_repr")
+    key, e, tol = X(f"{sp}_exp_key"), f"{sp}_exp_num", f"{sp}_tol_num"
+    a, t, es = X("__r_num_repr"), X(f"{sp}_tol_num_repr"), X(f"{sp}_exp_num_repr")
     within = f"(abs(__r_num - {e}) <= {tol} AND NOT isnan({tol}))"
     return (
         f"CASE WHEN __r_text IS NULL THEN {_fail(lit(_NONE_RESPONSE))} "
         f"WHEN {key} IS NULL THEN {_fail(lit(_MISSING_EXPECTED))} "
-        f"WHEN {e} IS NULL THEN {_fail(cat('Task ' + chr(39), key, chr(39) + ' is not numeric: ', X(f'{sp}.exp_repr')))} "
+        f"WHEN {e} IS NULL THEN {_fail(cat('Task ' + chr(39), key, chr(39) + ' is not numeric: ', X(f'{sp}_exp_repr')))} "
         f"WHEN __r_num_text IS NULL THEN {_fail(cat('No number found in response: ' + chr(39), X('__r_strip'), chr(39)))} "
-        f"WHEN {tol} IS NULL THEN {_fail(cat('Task ' + chr(39) + 'tolerance' + chr(39) + ' is not numeric: ', X(f'{sp}.tol_repr')))} "
+        f"WHEN {tol} IS NULL THEN {_fail(cat('Task ' + chr(39) + 'tolerance' + chr(39) + ' is not numeric: ', X(f'{sp}_tol_repr')))} "
         f"WHEN {within} THEN {_res('1.0', 'true', cat('Value ', a, ' within tolerance ', t, ' of expected ', es))} "
         f"ELSE {_fail(cat('Expected ', es, ' (±', t, ') but got ', a))} END"
     )
 
 
 def _keyword(sp: str) -> str:
-    kws, low = f"{sp}.kw", f"{sp}.kw_low"
+    kws, low = f"{sp}_kw", f"{sp}_kw_low"
     n = f"size({kws})"
     m = f"size(filter({low}, k -> contains(__r_low, k)))"
     missing = f"filter({kws}, (k, i) -> NOT contains(__r_low, element_at({low}, i + 1)))"
     score = f"(CAST({m} AS DOUBLE) / CAST({n} AS DOUBLE))"
-    thr = f"{sp}.thr_num"
-    head = cat("Matched ", X(f"CAST({m} AS STRING)"), "/", X(f"CAST({n} AS STRING)"), " keywords (threshold=", X(f"{sp}.thr_text"), ")")
+    thr = f"{sp}_thr_num"
+    head = cat("Matched ", X(f"CAST({m} AS STRING)"), "/", X(f"CAST({n} AS STRING)"), " keywords (threshold=", X(f"{sp}_thr_text"), ")")
     return (
         f"CASE WHEN __r_text IS NULL THEN {_fail(lit(_NONE_RESPONSE))} "
-        f"WHEN {sp}.kw_error IS NOT NULL THEN {_fail(f'{sp}.kw_error')} "
+        f"WHEN {sp}_kw_error IS NOT NULL THEN {_fail(f'{sp}_kw_error')} "
         f"WHEN {n} = 0 THEN {_res('1.0', 'true', lit('No keywords required'))} "
-        f"WHEN {thr} IS NULL THEN {_fail(cat('Task ' + chr(39) + 'threshold' + chr(39) + ' is not numeric: ', X(f'{sp}.thr_repr')))} "
+        f"WHEN {thr} IS NULL THEN {_fail(cat('Task ' + chr(39) + 'threshold' + chr(39) + ' is not numeric: ', X(f'{sp}_thr_repr')))} "
         f"WHEN {score} >= {thr} THEN {_res(score, 'true', head)} "
         f"ELSE {_res(score, 'false', cat(X(head), '; missing: ', X(f'array_join({missing}, {lit(chr(44) + chr(32))})')))} END"
     )
@@ -248,28 +256,28 @@ def _keyword(sp: str) -> str:
 
 def _json(sp: str) -> str:
     q = chr(39)
-    ta, ra = f"{sp}.tool_applies", f"{sp}.req_applies"
+    ta, ra = f"{sp}_tool_applies", f"{sp}_req_applies"
     num = "('int', 'float', 'bool')"
     same = (
-        f"CASE WHEN __r_tool_kind IN {num} AND {sp}.tool_kind IN {num} THEN __r_tool_num = {sp}.tool_num "
-        f"ELSE __r_tool_kind = {sp}.tool_kind AND __r_tool_json = {sp}.tool_json END"
+        f"CASE WHEN __r_tool_kind IN {num} AND {sp}_tool_kind IN {num} THEN __r_tool_num = {sp}_tool_num "
+        f"ELSE __r_tool_kind = {sp}_tool_kind AND __r_tool_json = {sp}_tool_json END"
     )
     tool_ok = f"({ta} AND __r_tool IS NOT NULL AND coalesce({same}, false))"
-    et = X(f"{sp}.tool_text")
+    et = X(f"{sp}_tool_text")
     tool_reason = (
         f"CASE WHEN NOT {ta} THEN CAST(NULL AS STRING) "
         f"WHEN __r_tool IS NULL THEN {cat(f'Missing {q}tool{q} key (expected {q}', et, q + ')')} "
         f"WHEN NOT {tool_ok} THEN {cat(f'Tool mismatch: expected {q}', et, f'{q}, got {q}', X('__r_tool_text'), q)} "
         f"ELSE {cat(f'Tool matches: {q}', et, q)} END"
     )
-    items = f"{sp}.req_items"
+    items = f"{sp}_req_items"
     missing = f"transform(filter({items}, it -> NOT it.is_str OR NOT coalesce(array_contains(__r_arg_keys, it.key), false)), it -> it.text)"
     args_missing = "(__r_args_kind IS NULL OR __r_args_kind = 'NoneType')"
-    req_list = f"({sp}.req_kind = 'list')"
+    req_list = f"({sp}_req_kind = 'list')"
     req_ok = f"({ra} AND {req_list} AND NOT {args_missing} AND __r_args_kind = 'dict' AND size({missing}) = 0)"
     req_reason = (
         f"CASE WHEN NOT {ra} THEN CAST(NULL AS STRING) "
-        f"WHEN NOT {req_list} THEN {cat(f'{q}required_argument_keys{q} is not a list: ', X(f'{sp}.req_kind'))} "
+        f"WHEN NOT {req_list} THEN {cat(f'{q}required_argument_keys{q} is not a list: ', X(f'{sp}_req_kind'))} "
         f"WHEN {args_missing} THEN {lit(f'Missing {q}arguments{q} key in response')} "
         f"WHEN __r_args_kind <> 'dict' THEN {cat(f'{q}arguments{q} is not an object: ', X('__r_args_kind'))} "
         f"WHEN size({missing}) > 0 THEN concat('Missing argument keys: ', array_join({missing}, ', ')) "
@@ -344,17 +352,17 @@ def score_frame(
     """Score every row: adds ``out`` = STRUCT<score, passed, reason>.
 
     ``scorer`` is either one scorer name for every row, or None to use each
-    row's ``spec.scorer``. ``spec`` comes from ``with_task_spec``; ``task``
+    row's ``{spec}_scorer``. ``spec`` comes from ``with_task_spec``; ``task``
     (the raw VARIANT) is only needed by custom scorers.
     """
-    sp = f"`{spec}`"
+    sp = spec
     known = set(_REGISTRY) | set(_CUSTOM)
     if scorer is not None:
         names = [scorer] if scorer in known else []
         name_sql = lit(scorer)
     else:
         names = supported_scorers()
-        name_sql = f"{sp}.scorer"
+        name_sql = f"{sp}_scorer"
     needs: dict[str, set] = {}
     for n in names:
         for feat in _REGISTRY.get(n, (None, frozenset()))[1]:
@@ -426,5 +434,4 @@ def score_frame(
 
 def score_tasks(df: DataFrame, task: str = "task", response: str = "response", scorer: str | None = None, out: str = "result") -> DataFrame:
     """Convenience: spec + score in one call, for frames that carry the raw task."""
-    scored = score_frame(with_task_spec(df, task=task, out="__spec"), response=response, spec="__spec", scorer=scorer, out=out, task=task)
-    return scored.drop("__spec")
+    return score_frame(with_task_spec(df, task=task, out="__spec"), response=response, spec="__spec", scorer=scorer, out=out, task=task)

@@ -44,7 +44,7 @@ def scored_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = sc.score_frame(df, response="response", spec="spec")
     return df.select(
         "event_id", "run_id", "model_config_id", "task_file", "task_id", "category",
-        F.col("spec.scorer").alias("scorer"), "prompt", "expected_output", "response", "latency_sec",
+        F.col("spec_scorer").alias("scorer"), "prompt", "expected_output", "response", "latency_sec",
         F.col("result.score").alias("score"), F.col("result.passed").alias("passed"), F.col("result.reason").alias("reason"),
     )
 
@@ -73,7 +73,7 @@ def q_score_all(spark, sf_dir):
 @register("resolve_scorer", lambda: f"SELECT event_id, category, {orc.CATEGORY_CASE} AS scorer FROM ({fx.attempt_input_sql()})")
 def q_resolve_scorer(spark, sf_dir):
     df = sc.with_task_spec(fx.attempt_input(spark, sf_dir), task="task")
-    return df.select("event_id", F.col("spec.category").alias("category"), F.col("spec.scorer").alias("scorer"))
+    return df.select("event_id", F.col("spec_category").alias("category"), F.col("spec_scorer").alias("scorer"))
 
 
 # ---------------------------------------------------------------------------

@@ -27,7 +27,10 @@ TABLES = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; under-partitioned scans are spread over the cores (see ``session.spread``)."""
+    from evalgrid.session import spread
+
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 # --- v_attempt_input: tasks joined with responses, unscored ----------------

@@ -78,3 +78,16 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     if base.startswith("file:"):
         base = base[len("file:"):]
     return os.path.join(base, "evalgrid", *parts)
+
+
+def spread(df, min_partitions: int | None = None):
+    """Round-robin ``df`` over at least ``min_partitions`` tasks (default: the
+    cluster's default parallelism) when its scan yields fewer.
+
+    Small inputs (one small file = one split) would otherwise run CPU-heavy
+    scoring in a single task. An explicit ``repartition(n)`` is not coalesced
+    away by AQE. Inputs that already have enough splits, which is every input
+    at scale, are returned unchanged with no shuffle.
+    """
+    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

@@ -150,7 +150,7 @@ def parse_task_lines(lines: DataFrame, category_map: dict[str, str] | None = Non
         "raw",
     )
     tasks = with_task_spec(ok, task="raw", out="spec", category_map=category_map).withColumns(
-        {"category": F.col("spec.category"), "scorer": F.col("spec.scorer")}
+        {"category": F.col("spec_category"), "scorer": F.col("spec_scorer")}
     )
     return tasks, errors
 

@@ -130,7 +130,9 @@ def test_dispatch_by_category(spark):
         ],
         "i int, task string, response string",
     ).withColumn("task", F.parse_json("task"))
-    out = S.score_tasks(S.with_task_spec(df).withColumn("sc", F.col("spec.scorer")).drop("spec"), out="r").orderBy("i").collect()
+    tagged = S.with_task_spec(df).withColumn("sc", F.col("spec_scorer"))
+    tagged = tagged.drop(*[c for c in tagged.columns if c.startswith("spec_")])
+    out = S.score_tasks(tagged, out="r").orderBy("i").collect()
     assert [r.sc for r in out] == ["exact_match", "numeric_close", "json_valid", "keyword_match", "exact_match", "exact_match", "exact_match"]
     assert all(r.r.passed for r in out), [r.r for r in out]
 
