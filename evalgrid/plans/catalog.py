@@ -70,6 +70,26 @@ def q_score_all(spark, sf_dir):
     return scored_attempts(spark, sf_dir)
 
 
+# A category map that routes one category to a scorer nobody registered.
+_MAP_WITH_UNKNOWN = {**sc.CATEGORY_SCORER_MAP, "unmapped": "semantic_similarity"}
+
+
+def _unknown_scorer_sql() -> str:
+    unknown = "'Unknown scorer: ''semantic_similarity''. Supported: exact_match, json_valid, keyword_match, numeric_close'"
+    return f"""SELECT event_id, CASE WHEN category = 'unmapped' THEN 'semantic_similarity' ELSE scorer END AS scorer,
+        CASE WHEN category = 'unmapped' THEN 0.0 ELSE score END AS score,
+        CASE WHEN category = 'unmapped' THEN false ELSE passed END AS passed,
+        CASE WHEN category = 'unmapped' THEN {unknown} ELSE reason END AS reason FROM ({orc.scored_all()})"""
+
+
+@register("score_unknown_scorer", _unknown_scorer_sql)
+def q_score_unknown_scorer(spark, sf_dir):
+    df = sc.with_task_spec(fx.attempt_input(spark, sf_dir), task="task", category_map=_MAP_WITH_UNKNOWN)
+    df = sc.score_frame(df, response="response", spec="spec")
+    return df.select("event_id", F.col("spec_scorer").alias("scorer"), F.col("result.score").alias("score"),
+                     F.col("result.passed").alias("passed"), F.col("result.reason").alias("reason"))
+
+
 @register("resolve_scorer", lambda: f"SELECT event_id, category, {orc.CATEGORY_CASE} AS scorer FROM ({fx.attempt_input_sql()})")
 def q_resolve_scorer(spark, sf_dir):
     df = sc.with_task_spec(fx.attempt_input(spark, sf_dir), task="task")
@@ -177,27 +197,33 @@ def q_first_task_error(spark, sf_dir):
     return src_tasks.first_errors(errors)
 
 
-def _validation_subset(fields: tuple[str, ...] | None):
+def _validation_subset(fields: tuple[str, ...] | None, containing: str | None = None):
     def run(spark, sf_dir):
         _, errors = parsed_fixture(spark, sf_dir)
         e = errors.filter(F.col("error_type") == "validation")
         if fields is not None:
             e = e.filter(F.col("field").isin(*fields))
+        if containing is not None:
+            e = e.filter(F.col("message").contains(containing))
         return e.select("task_file", "line_no", "field", "message")
 
     return run
 
 
-def _validation_subset_sql(fields: tuple[str, ...] | None):
+def _validation_subset_sql(fields: tuple[str, ...] | None, containing: str | None = None):
     def make():
         cond = "" if fields is None else " AND field IN (" + ", ".join(f"'{f}'" for f in fields) + ")"
+        if containing is not None:
+            cond += f" AND contains(message, '{containing}')"
         return f"SELECT task_file, line_no, field, message FROM ({orc.task_errors_sql()}) WHERE error_type = 'validation'{cond}"
 
     return make
 
 
 register("validate_required", _validation_subset_sql(("required_fields",)))(_validation_subset(("required_fields",)))
-register("validate_types", _validation_subset_sql(None))(_validation_subset(None))
+register("validate_types", _validation_subset_sql(("id", "description", "expected_output"), "must be"))(
+    _validation_subset(("id", "description", "expected_output"), "must be")
+)
 register("validate_task", _validation_subset_sql(None))(_validation_subset(None))
 
 
@@ -591,7 +617,7 @@ _DOC_KW = "['the', 'ment', 'data', lang, source]"
 )
 def q_score_doc_keywords(spark, sf_dir):
     d = fx.doc_keywords(spark, sf_dir).withColumn(
-        "task", F.expr("parse_json(to_json(named_struct('expected_keywords', array('the', 'ment', 'data', lang, source))))")
+        "task", F.expr("to_variant_object(named_struct('expected_keywords', array('the', 'ment', 'data', lang, source)))")
     )
     out = sc.score_tasks(d, task="task", response="response", scorer="keyword_match", out="r")
     return out.select("doc_id", "quality", "toxic", F.col("r.score").alias("score"), F.col("r.passed").alias("passed"),
@@ -607,7 +633,7 @@ def q_score_doc_keywords(spark, sf_dir):
 )
 def q_score_chat_pairs(spark, sf_dir):
     p = fx.chat_pairs(spark, sf_dir).withColumn(
-        "task", F.expr("parse_json(to_json(named_struct('expected_keywords', filter(split(prompt, ' '), w -> length(w) > 3))))")
+        "task", F.expr("to_variant_object(named_struct('expected_keywords', filter(split(prompt, ' '), w -> length(w) > 3)))")
     )
     out = sc.score_tasks(p, task="task", response="response", scorer="keyword_match", out="r")
     return out.select("conv_id", "turn", F.col("r.score").alias("score"), F.col("r.passed").alias("passed"),

@@ -66,8 +66,8 @@ ATTEMPT_INPUT = [
 ]
 
 # The raw task object each attempt row stands for (what a JSONL task line holds).
-TASK_JSON_SQL = (
-    "to_json(named_struct('id', task_id, 'description', prompt, 'expected_output', expected_output, "
+TASK_VARIANT_SQL = (
+    "to_variant_object(named_struct('id', task_id, 'description', prompt, 'expected_output', expected_output, "
     "'tolerance', tolerance, 'expected_keywords', keywords, 'expected_tool', expected_tool, "
     "'required_argument_keys', array(required_key), 'metadata', named_struct('category', category)))"
 )
@@ -81,7 +81,7 @@ def attempt_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B1 rows plus ``task`` (VARIANT): the raw task object of each attempt."""
     ev = table(spark, sf_dir, "events")
     df = ev.selectExpr(*[f"{e} AS {n}" for n, e in ATTEMPT_INPUT])
-    return df.withColumn("task", F.parse_json(F.expr(TASK_JSON_SQL)))
+    return df.withColumn("task", F.expr(TASK_VARIANT_SQL))
 
 
 def attempt_input_sql() -> str:

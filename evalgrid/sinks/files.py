@@ -58,3 +58,39 @@ def write_markdown(lines: DataFrame, path: str) -> None:
     so a single output file is small by construction.
     """
     lines.orderBy("line_no").select("line").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_leaderboard(board: DataFrame, path: str) -> None:
+    """Write the Markdown leaderboard; an empty board gives the title and ``No data yet.``."""
+    import logging
+
+    from evalgrid.operators import leaderboard as lb
+
+    spark = board.sparkSession
+    if board.isEmpty():
+        logging.getLogger(__name__).warning("leaderboard input is empty; writing an empty report to %s", path)
+        lines = spark.createDataFrame([(1, lb.TITLE), (2, ""), (3, lb.EMPTY)], "line_no long, line string")
+    else:
+        lines = lb.markdown_rows(board)
+    write_markdown(lines, path)
+
+
+def persist_run(attempts: DataFrame, summary: DataFrame, board: DataFrame, root: str) -> dict[str, str]:
+    """Write raw attempts, the summary and the leaderboard under ``root``.
+
+    Every sink is attempted even if an earlier one fails; the result maps
+    each sink to ``"ok"`` or its error text.
+    """
+    steps = {
+        "raw": lambda: write_raw_attempts(attempts, f"{root}/raw"),
+        "summary": lambda: write_summary(summary, f"{root}/summary"),
+        "leaderboard": lambda: write_leaderboard(board, f"{root}/reports/leaderboard"),
+    }
+    status: dict[str, str] = {}
+    for name, step in steps.items():
+        try:
+            step()
+            status[name] = "ok"
+        except Exception as e:  # noqa: BLE001 - reported per sink
+            status[name] = f"error: {type(e).__name__}: {str(e).splitlines()[0][:200]}"
+    return status
