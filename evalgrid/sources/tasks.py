@@ -126,7 +126,20 @@ def _checked(lines: DataFrame) -> DataFrame:
         "END"
     )
     df = _stage(df, {"__err": err, "__id_text": py_text_sql("__id_v", "__id_k")})
-    return df
+    return parse_barrier(df, lines.columns)
+
+
+def parse_barrier(df: DataFrame, keep: list[str]) -> DataFrame:
+    """Emit the computed columns through ``inline(array(struct(...)))``.
+
+    Callers filter on parse results (``__err IS NOT NULL``, ``__kind =
+    'dict'``). Pushed below the projections, such a filter would inline the
+    whole parse into the predicate and parse each line again (Catalyst
+    substitutes aliases when it pushes predicates). A filter on generator
+    output stays above the generator, so every line is parsed exactly once.
+    """
+    computed = [c for c in df.columns if c not in keep]
+    return df.select(*keep, F.inline(F.array(F.struct(*[F.col(c) for c in computed]))))
 
 
 def parse_task_lines(lines: DataFrame, category_map: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
