@@ -1030,3 +1030,35 @@ from evalgrid.operators import generate as gen  # noqa: E402
 def q_batch_generate(spark, sf_dir):
     plan = fx.attempt_input(spark, sf_dir).select("event_id", "prompt")
     return gen.batch_generate(plan, gen.echo_generator, keep=["event_id"]).select("event_id", "prompt", "response", "error")
+
+
+# ---------------------------------------------------------------------------
+# Task files + logged calls, end to end: spec once per task, then join
+# ---------------------------------------------------------------------------
+
+from evalgrid.operators import evaluate as ev  # noqa: E402
+
+
+def _evaluate_sql() -> str:
+    resp = f"""SELECT d.event_id, 'tasks/' || e.event_type || '.jsonl' AS task_file, CAST(d.event_id AS VARCHAR) AS id,
+                 d.response, d.error FROM ({_decoded_sql()}) d JOIN events e USING (event_id)"""
+    return f"""SELECT r.event_id, r.task_file, r.id, t.scorer,
+        0.0 AS score, false AS passed,
+        CASE WHEN t.id IS NULL THEN 'Unknown task' WHEN r.error IS NOT NULL THEN r.error
+             WHEN r.response IS NULL THEN 'Response is None'
+             ELSE 'Task ''expected_output'' is not numeric: ''' || t.expected_output || '''' END AS reason
+        FROM ({resp}) r LEFT JOIN ({orc.scan_tasks_sql()}) t USING (task_file, id)"""
+
+
+@register("evaluate_task_files", _evaluate_sql)
+def q_evaluate_task_files(spark, sf_dir):
+    tasks, _ = parsed_fixture(spark, sf_dir)
+    calls = decoded_calls(spark, sf_dir).join(
+        fx.table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id"
+    )
+    responses = calls.select(
+        "event_id", F.concat(F.lit("tasks/"), F.col("event_type"), F.lit(".jsonl")).alias("task_file"),
+        F.col("event_id").cast("string").alias("id"), "response", "error",
+    )
+    out = ev.evaluate_responses(responses, tasks)
+    return out.select("event_id", "task_file", "id", "scorer", "score", "passed", "reason")
