@@ -138,3 +138,34 @@ def text_list(v: str) -> Column:
 
 def object_keys(v: str) -> Column:
     return F.expr(object_keys_sql(_e(v)))
+
+
+def _json_error_text(s):
+    """Per batch: Python's ``json.loads`` error text for each string (None if it parses)."""
+    import json
+
+    def one(x):
+        if x is None:
+            return None
+        try:
+            json.loads(x.strip())
+            return None
+        except json.JSONDecodeError as e:
+            return str(e)
+        except (RecursionError, ValueError) as e:
+            return str(e)
+
+    return s.map(one)
+
+
+_JSON_ERROR_UDF = None
+
+
+def python_json_error(col) -> Column:
+    """Arrow UDF: the exact ``json.JSONDecodeError`` text (``Expecting value: line
+    1 column 1 (char 0)``). Opt-in detail for rows the native strict check
+    rejected; pass only those rows (others as NULL) so little crosses to Python."""
+    global _JSON_ERROR_UDF
+    if _JSON_ERROR_UDF is None:
+        _JSON_ERROR_UDF = F.pandas_udf(_json_error_text, "string")
+    return _JSON_ERROR_UDF(col)

@@ -210,7 +210,7 @@ def _fail(reason: str) -> str:
     return _res("0.0", "false", reason)
 
 
-def _exact(sp: str) -> str:
+def _exact(sp: str, **_opts) -> str:
     key, exp = X(f"{sp}_exp_key"), X(f"{sp}_exp_text")
     return (
         f"CASE WHEN __r_text IS NULL THEN {_fail(lit(_NONE_RESPONSE))} "
@@ -221,7 +221,7 @@ def _exact(sp: str) -> str:
     )
 
 
-def _numeric(sp: str) -> str:
+def _numeric(sp: str, **_opts) -> str:
     key, e, tol = X(f"{sp}_exp_key"), f"{sp}_exp_num", f"{sp}_tol_num"
     a, t, es = X("__r_num_repr"), X(f"{sp}_tol_num_repr"), X(f"{sp}_exp_num_repr")
     within = f"(abs(__r_num - {e}) <= {tol} AND NOT isnan({tol}))"
@@ -236,7 +236,7 @@ def _numeric(sp: str) -> str:
     )
 
 
-def _keyword(sp: str) -> str:
+def _keyword(sp: str, **_opts) -> str:
     kws, low = f"{sp}_kw", f"{sp}_kw_low"
     n = f"size({kws})"
     m = f"size(filter({low}, k -> contains(__r_low, k)))"
@@ -254,7 +254,13 @@ def _keyword(sp: str) -> str:
     )
 
 
-def _json(sp: str) -> str:
+def _invalid_json_reason(detail: bool) -> str:
+    if detail:
+        return "CASE WHEN __r_json_err IS NULL THEN 'Invalid JSON' ELSE concat('Invalid JSON: ', __r_json_err) END"
+    return lit("Invalid JSON")
+
+
+def _json(sp: str, json_error_detail: bool = False) -> str:
     q = chr(39)
     ta, ra = f"{sp}_tool_applies", f"{sp}_req_applies"
     num = "('int', 'float', 'bool')"
@@ -289,7 +295,7 @@ def _json(sp: str) -> str:
     reason = f"concat_ws('; ', 'JSON parsed successfully', {tool_reason}, {req_reason})"
     return (
         f"CASE WHEN __r_text IS NULL THEN {_fail(lit(_NONE_RESPONSE))} "
-        f"WHEN __r_json IS NULL THEN {_fail(lit('Invalid JSON'))} "
+        f"WHEN __r_json IS NULL THEN {_fail(_invalid_json_reason(json_error_detail))} "
         f"WHEN __r_jkind <> 'dict' THEN {_fail(cat('JSON parsed but result is ', X('__r_jkind'), ', expected object'))} "
         f"ELSE {_res(score, f'{ok} = {total}', reason)} END"
     )
@@ -348,9 +354,13 @@ def score_frame(
     scorer: str | None = None,
     out: str = "result",
     task: str | None = None,
+    json_error_detail: bool = False,
 ) -> DataFrame:
     """Score every row: adds ``out`` = STRUCT<score, passed, reason>.
 
+    ``json_error_detail=True`` appends Python's parser message to ``Invalid
+    JSON`` reasons (an Arrow UDF over the rejected responses only).
+
     ``scorer`` is either one scorer name for every row, or None to use each
     row's ``{spec}_scorer``. ``spec`` comes from ``with_task_spec``; ``task``
     (the raw VARIANT) is only needed by custom scorers.
@@ -389,6 +399,10 @@ def score_frame(
     if "num" in needs:
         df = _stage(df, {"__r_num": "CAST(__r_num_text AS DOUBLE)"})
         df = _stage(df, {"__r_num_repr": float_repr_sql("__r_num")})
+    if "json" in needs and json_error_detail:
+        from evalgrid.functions.jsonv import python_json_error
+
+        df = df.withColumn("__r_json_err", python_json_error(F.expr("CASE WHEN __r_json IS NULL THEN __r_text END")))
     if "json" in needs:
         df = _stage(
             df,
@@ -417,7 +431,7 @@ def score_frame(
     fallback = _fail(unknown_scorer_sql("__name"))
     builtin = [n for n in names if n in _REGISTRY]
     expr_sql = (
-        "CASE " + " ".join(f"WHEN __name = {lit(n)} THEN {_REGISTRY[n][0](sp)}" for n in builtin) + f" ELSE {fallback} END"
+        "CASE " + " ".join(f"WHEN __name = {lit(n)} THEN {_REGISTRY[n][0](sp, json_error_detail=json_error_detail)}" for n in builtin) + f" ELSE {fallback} END"
         if builtin
         else fallback
     )

@@ -80,10 +80,20 @@ def number_lines(base: DataFrame) -> DataFrame:
     )
 
 
-def _checked(lines: DataFrame) -> DataFrame:
-    """Parse and classify every non-blank line (one projection chain, no shuffle)."""
+def _checked(lines: DataFrame, json_error_detail: bool = False) -> DataFrame:
+    """Parse and classify every non-blank line (one projection chain, no shuffle).
+
+    ``json_error_detail`` adds Python's parser message to parsing errors
+    (Arrow UDF over the rejected lines only)."""
     df = lines.filter(F.expr(f"{strip_sql('line')} <> ''"))
     df = _stage(df, {"raw": strict_json_sql("line")})
+    if json_error_detail:
+        from evalgrid.functions.jsonv import python_json_error
+
+        text = python_json_error(F.expr("CASE WHEN raw IS NULL THEN line END"))
+        df = df.withColumn("__json_msg", F.regexp_extract(text, r"^(.*): line \d+ column \d+ \(char \d+\)$", 1))
+    else:
+        df = df.withColumn("__json_msg", F.lit(""))
     df = _stage(df, {"__kind": json_kind_sql("raw")})
     df = _stage(
         df,
@@ -106,7 +116,8 @@ def _checked(lines: DataFrame) -> DataFrame:
     ln = "CAST(line_no AS STRING)"
     err = (
         "CASE "
-        f"WHEN raw IS NULL THEN named_struct('t', 'parsing', 'f', CAST(NULL AS STRING), 'm', concat('Invalid JSON on line ', {ln})) "
+        f"WHEN raw IS NULL THEN named_struct('t', 'parsing', 'f', CAST(NULL AS STRING), 'm', concat('Invalid JSON on line ', {ln}, "
+        "CASE WHEN coalesce(__json_msg, '') = '' THEN '' ELSE concat(': ', __json_msg) END)) "
         f"WHEN __kind <> 'dict' THEN named_struct('t', 'not_object', 'f', CAST(NULL AS STRING), "
         f"'m', concat('Line ', {ln}, ': Expected JSON object, got ', __kind)) "
         f"WHEN size(__missing) > 0 THEN named_struct('t', 'validation', 'f', 'required_fields', "
@@ -142,14 +153,15 @@ def parse_barrier(df: DataFrame, keep: list[str]) -> DataFrame:
     return df.select(*keep, F.inline(F.array(F.struct(*[F.col(c) for c in computed]))))
 
 
-def parse_task_lines(lines: DataFrame, category_map: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+def parse_task_lines(lines: DataFrame, category_map: dict[str, str] | None = None,
+                     json_error_detail: bool = False) -> tuple[DataFrame, DataFrame]:
     """(tasks, errors) from (task_file, line_no, line) rows.
 
     tasks: task_file, line_no, id (text), description, expected_output,
     category, scorer, raw (VARIANT) and the scoring ``spec``.
     errors: task_file, line_no, error_type, field, message, raw_line.
     """
-    df = _checked(lines)
+    df = _checked(lines, json_error_detail)
     errors = df.filter(F.col("__err").isNotNull()).select(
         "task_file", "line_no",
         F.col("__err.t").alias("error_type"), F.col("__err.f").alias("field"), F.col("__err.m").alias("message"),
@@ -179,7 +191,7 @@ def first_errors(errors: DataFrame) -> DataFrame:
     return best.select("task_file", *[F.col("e")[c].alias(c) for c in ERROR_COLUMNS if c != "task_file"])
 
 
-def load_tasks(lines_or_path, spark: SparkSession | None = None, mode: str = "quarantine"):
+def load_tasks(lines_or_path, spark: SparkSession | None = None, mode: str = "quarantine", json_error_detail: bool = False):
     """Load tasks from a path (JSONL files) or a lines DataFrame.
 
     ``quarantine`` returns ``(tasks, errors)``. ``failfast`` raises
@@ -193,7 +205,7 @@ def load_tasks(lines_or_path, spark: SparkSession | None = None, mode: str = "qu
         lines = scan_lines(spark, lines_or_path)
     else:
         lines = lines_or_path
-    tasks, errors = parse_task_lines(lines)
+    tasks, errors = parse_task_lines(lines, json_error_detail=json_error_detail)
     if mode == "failfast":
         first = first_errors(errors).orderBy("task_file", "line_no").limit(1).collect()
         if first:

@@ -147,3 +147,15 @@ def test_unknown_scorer_in_data(spark):
 def test_get_scorer_unknown_raises():
     with pytest.raises(ValueError, match="Unknown scorer: 'x'. Supported: exact_match, json_valid, keyword_match, numeric_close"):
         S.get_scorer("x")
+
+
+def test_json_error_detail(spark):
+    df = spark.createDataFrame([(0, "{}", "not json"), (1, "{}", '{"a": 1} x'), (2, "{}", '{"a": 1}')],
+                               "i int, task string, response string").withColumn("task", F.parse_json("task"))
+    spec = S.with_task_spec(df, out="spec")
+    out = S.score_frame(spec, scorer="json_valid", json_error_detail=True).orderBy("i").collect()
+    assert [r.result.reason for r in out] == [
+        "Invalid JSON: Expecting value: line 1 column 1 (char 0)",
+        "Invalid JSON: Extra data: line 1 column 10 (char 9)",
+        "JSON parsed successfully",
+    ]

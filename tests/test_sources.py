@@ -102,3 +102,20 @@ def test_yaml_configs(spark):
     assert [(r.id, r.settings.temperature, r.settings.max_tokens) for r in ok] == [("m1", 0.2, 64)]
     msgs = sorted(r.message for r in errors.collect())
     assert msgs == ["Config file must contain a YAML mapping (dict), got list", "Missing required key 'server_url' in 'runtime'"]
+
+
+def test_parse_error_detail(spark):
+    lines = spark.createDataFrame([("f", 1, "not json"), ("f", 2, '{"id": "x",}'), ("f", 3, '{"a": 1} x')],
+                                  "task_file string, line_no long, line string")
+    _, errors = T.parse_task_lines(lines, json_error_detail=True)
+    got = sorted((r.line_no, r.message) for r in errors.collect())
+
+    def msg(text):
+        try:
+            json.loads(text)
+        except json.JSONDecodeError as e:
+            return e.msg
+
+    assert got == [(1, f"Invalid JSON on line 1: {msg('not json')}"),
+                   (2, "Invalid JSON on line 2: " + msg('{"id": "x",}')),
+                   (3, "Invalid JSON on line 3: Extra data")]
