@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 # regex class (\s covers tab/LF/VT/FF/CR/space; \p{Z} the Unicode separators).
 PY_SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 STRIP_RE = rf"^{PY_SPACE}+|{PY_SPACE}+$"
+# float() strips the same set except the separators U+001C..U+001F.
+FLOAT_SPACE = r"[\s\x85\p{Z}]"
+FLOAT_STRIP_RE = rf"^{FLOAT_SPACE}+|{FLOAT_SPACE}+$"
 
 # Fixed value: the numeric_close pattern for "first number in the response"
 # (integers, decimals, optional leading minus; no exponent, no separators).
@@ -55,7 +58,7 @@ def py_float_sql(x: str) -> str:
     ``try_cast`` alone is too lenient (``1f``, ``0x10p0``, ``1.0d``) and too
     strict (``1_000``); the regex guard keeps Python's grammar.
     """
-    s = strip_sql(x)
+    s = f"regexp_replace({x}, {raw(FLOAT_STRIP_RE)}, '')"
     return (
         f"CASE WHEN NOT ({s} RLIKE {raw(PY_FLOAT_RE)}) THEN CAST(NULL AS DOUBLE) "
         f"WHEN lower({s}) RLIKE r'^[+-]?nan$' THEN CAST('NaN' AS DOUBLE) "
