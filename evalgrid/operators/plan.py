@@ -33,15 +33,19 @@ def plan_lines(tasks: DataFrame, runs: DataFrame, repeats: int) -> DataFrame:
     line per task ``  <id>: "<description>" -> <scorer>``.
 
     ``runs`` and ``tasks`` meet on ``task_file`` (an equi-join: each task
-    appears once per run that uses its file).
+    appears once per run that uses its file). The runs table (one row per
+    model and task file) is broadcast after a size check, so a task file
+    holding most tasks does not become one hot join partition.
     """
     counts = tasks.groupBy("task_file").agg(F.count(F.lit(1)).alias("tasks"))
     per_task = tasks.select(
         "task_file", "line_no",
         F.concat(F.lit("  "), F.col("id"), F.lit(': "'), F.col("description"), F.lit('" -> '), F.col("scorer")).alias("line"),
     ).join(counts, "task_file")
+    from evalgrid.operators.attempts import sized_broadcast
+
     return (
-        runs.select("model_config_id", "task_file")
+        sized_broadcast(runs.select("model_config_id", "task_file"))
         .join(per_task, "task_file")
         .withColumn("total_attempts", F.col("tasks") * F.lit(int(repeats)))
     )

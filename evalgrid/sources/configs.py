@@ -105,9 +105,11 @@ def load_configs(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def duplicate_ids(configs: DataFrame) -> DataFrame:
-    """Config ids defined more than once, with the files that define them."""
+    """Config ids defined more than once: how many files, first and last file by name.
+
+    Bounded aggregates only (no list of files is gathered per id)."""
     return (
         configs.groupBy("id")
-        .agg(F.count(F.lit(1)).alias("n_files"), F.array_sort(F.collect_set("config_file")).alias("config_files"))
+        .agg(F.count(F.lit(1)).alias("n_files"), F.min("config_file").alias("first_file"), F.max("config_file").alias("last_file"))
         .filter(F.col("n_files") > 1)
     )
