@@ -82,8 +82,11 @@ def leaderboard(summary: DataFrame, ingest_seq: str | None = None) -> DataFrame:
     """Latest run per (model, task file), sorted by score desc, pass rate desc, latency asc.
 
     ``model_config_id, task_file`` are explicit final tie-breakers (Spark's
-    sort is not stable, so input order is never relied on).
+    sort is not stable, so input order is never relied on). Rows with equal
+    run ids go to the lowest ``ingest_seq`` (``__seq`` when present).
     """
+    if ingest_seq is None and "__seq" in summary.columns:
+        ingest_seq = "__seq"
     cols = [c for c in summary.columns]
     latest = latest_per_group(summary.select(*cols), GROUP_KEYS, "run_id", ingest_seq)
     return latest.select(*LEADERBOARD_COLUMNS).orderBy(*sort_order())

@@ -566,7 +566,7 @@ OLD_FORMAT_BEFORE = "2024-01-15_run"
 @register("summary_scan", _parsed_sql)
 def q_summary_scan(spark, sf_dir):
     (p,) = write_summary_csv(spark, sf_dir)
-    return lb.parse_summary_text(sinks.read_summary_csv(spark, p))
+    return lb.parse_summary_text(sinks.read_summary_csv(spark, p)).select(*sm.SUMMARY_COLUMNS)
 
 
 @register(

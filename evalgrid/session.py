@@ -89,5 +89,9 @@ def spread(df, min_partitions: int | None = None):
     away by AQE. Inputs that already have enough splits, which is every input
     at scale, are returned unchanged with no shuffle.
     """
-    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    try:
+        n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. Spark Connect): leave the plan alone
+        return df
+    return df.repartition(n) if have < n else df

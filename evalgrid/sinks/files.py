@@ -47,8 +47,14 @@ def write_summary(summary: DataFrame, path: str, fmt: str = "csv", mode: str = "
 
 
 def read_summary_csv(spark, path: str) -> DataFrame:
-    """All-string summary rows (any header generation); blank cells are NULL."""
-    return spark.read.option("header", True).option("inferSchema", False).csv(path)
+    """All-string summary rows (any header generation); blank cells are NULL.
+
+    ``__seq`` is the row's position in scan order (file order within a file,
+    files in path order): the leaderboard keeps the first of two rows with
+    the same run id, as a reader walking the file would."""
+    return spark.read.option("header", True).option("inferSchema", False).csv(path).withColumn(
+        "__seq", F.monotonically_increasing_id()
+    )
 
 
 def write_markdown(lines: DataFrame, path: str) -> None:

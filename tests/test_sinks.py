@@ -43,3 +43,11 @@ def test_empty_report_and_failure_isolation(spark, tmp_path):
     s = sm.run_summary(a)
     status = sinks.persist_run(a, s, lb.leaderboard(s), str(root))
     assert status["raw"].startswith("error") and status["summary"] == "ok" and status["leaderboard"] == "ok"
+
+
+def test_same_run_id_keeps_first_row(spark, tmp_path):
+    p = tmp_path / "s.csv"
+    header = ",".join(sm.SUMMARY_COLUMNS)
+    p.write_text(header + "\n" + "r1,m,f,2,2,2,0,1.0000,1.0000,0.500,1\n" + "r1,m,f,2,2,0,2,0.0000,0.0000,0.500,1\n")
+    board = lb.leaderboard(lb.parse_summary_text(sinks.read_summary_csv(spark, str(p)))).collect()
+    assert [(r.pass_rate, r.average_score) for r in board] == [(1.0, 1.0)]
