@@ -36,6 +36,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "16g")
         .config("spark.sql.files.maxPartitionBytes", str(64 * 1024 * 1024))
+        # checkpoints of row numbering are removed once their RDD is garbage collected
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for k, v in LIBRARY_CONF.items():
         builder = builder.config(k, v)
