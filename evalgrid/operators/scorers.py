@@ -3,7 +3,7 @@
 Scoring is two narrow projections, no shuffle:
 
 1. ``with_task_spec`` reads everything a scorer needs from the task VARIANT
-   once, into a flat ``spec`` struct (run it on the tasks table, before the
+   once, into flat ``spec_*`` columns (run it on the tasks table, before the
    tasks are joined to their many attempts, and it runs once per task);
 2. ``score_frame`` derives response features only for the rows whose scorer
    needs them, then evaluates every scorer as one ``CASE`` over the registry.

@@ -1,6 +1,6 @@
 """JSONL task files: scan, line numbers, parse, validate.
 
-``scan_task_files`` reads any number of JSONL files (a glob or a directory)
+``scan_lines`` reads any number of JSONL files (a glob or a directory)
 with Spark's text source. Physical line numbers are exact even when a large
 file is split across many tasks: every split counts its own lines, a small
 per-split table (one row per input split) turns the counts into offsets, and
@@ -158,7 +158,7 @@ def parse_task_lines(lines: DataFrame, category_map: dict[str, str] | None = Non
     """(tasks, errors) from (task_file, line_no, line) rows.
 
     tasks: task_file, line_no, id (text), description, expected_output,
-    category, scorer, raw (VARIANT) and the scoring ``spec``.
+    category, scorer, raw (VARIANT) and the scoring spec as ``spec_*`` columns.
     errors: task_file, line_no, error_type, field, message, raw_line.
     """
     df = _checked(lines, json_error_detail)
