@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalgrid.functions.jsonv import strict_json_sql
+
 # Request timeout (seconds) quoted in timeout messages.
 REQUEST_TIMEOUT_SEC = 120
 
@@ -25,7 +27,7 @@ def decode_calls(log: DataFrame, server_url: str | None = None) -> DataFrame:
     ``server_url`` argument) for connection messages.
     """
     url = F.col("server_url") if "server_url" in log.columns else F.lit(server_url or "the model server")
-    df = log.withColumns({"__url": url, "__v": F.expr("try_parse_json(body)")})
+    df = log.withColumns({"__url": url, "__v": F.expr(strict_json_sql("body"))})
     df = df.withColumns(
         {
             "__content_v": F.expr("try_variant_get(__v, '$.choices[0].message.content', 'variant')"),

@@ -119,3 +119,22 @@ def test_parse_error_detail(spark):
     assert got == [(1, f"Invalid JSON on line 1: {msg('not json')}"),
                    (2, "Invalid JSON on line 2: " + msg('{"id": "x",}')),
                    (3, "Invalid JSON on line 3: Extra data")]
+
+
+def test_decode_calls_classification(spark):
+    from evalgrid.sources.responses import decode_calls
+
+    rows = [
+        (1, "connection", None, None),
+        (2, None, 503, "busy"),
+        (3, None, 200, '{"choices": [{"message": {"content": "hi"}}]} trailing'),
+        (4, None, 200, '{"choices": [], "id": "x"}'),
+        (5, None, 200, '{"choices": [{"message": {"content": "hi"}}], "usage": {"total_tokens": 7}}'),
+    ]
+    log = spark.createDataFrame(rows, "k int, transport_error string, status_code int, body string")
+    out = {r.k: r for r in decode_calls(log, server_url="http://h").collect()}
+    assert out[1].error == "Could not connect to llama-server at http://h: connection"
+    assert out[2].error == "llama-server returned HTTP 503: busy"
+    assert out[3].error_kind == "non_json" and out[3].response is None
+    assert out[4].error == "Response JSON missing expected field 'choices[0].message.content': available keys are ['choices', 'id']"
+    assert out[5].error is None and out[5].response == "hi" and out[5].usage == {"total_tokens": 7}
