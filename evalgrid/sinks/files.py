@@ -27,9 +27,14 @@ def raw_results_path(model: str, task_file: str, run_id: str) -> Column:
 
 
 def write_raw_attempts(attempts: DataFrame, path: str, mode: str = "append") -> None:
-    """Attempts as JSON lines under ``path/model_config_id=.../run_id=...``; nulls kept as null."""
+    """Attempts as JSON lines under ``path/model_config_id=.../run_id=...``; nulls kept as null.
+
+    ``rebalance`` (not ``repartition``) on the partition columns: AQE splits a
+    (model, run) pair that holds most of the rows over several writer tasks
+    and merges small ones, so a hot run neither lands in one task nor
+    produces thousands of tiny files."""
     (
-        attempts.repartition("model_config_id", "run_id")
+        attempts.hint("rebalance", "model_config_id", "run_id")
         .write.mode(mode)
         .option("ignoreNullFields", "false")
         .partitionBy("model_config_id", "run_id")
