@@ -1013,7 +1013,7 @@ def q_stream_running_summary(spark, sf_dir):
         "event_id", "model_config_id", "task_file", "task_id", "repeat_index",
         F.col("result.score").alias("score"), F.col("result.passed").alias("passed"), "latency_sec", "run_id",
     )
-    scored.repartition("run_id").write.mode("overwrite").partitionBy("run_id").json(src)
+    scored.hint("rebalance", "run_id").write.mode("overwrite").partitionBy("run_id").json(src)
     q = stream_attempts.start_running_summary(spark, src, upd, ckpt, available_now=True, max_files_per_trigger=16)
     q.awaitTermination()
     return stream_attempts.current_summary(spark, upd)
