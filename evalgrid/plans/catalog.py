@@ -1043,11 +1043,14 @@ from evalgrid.operators import evaluate as ev  # noqa: E402
 def _evaluate_sql() -> str:
     resp = f"""SELECT d.event_id, 'tasks/' || e.event_type || '.jsonl' AS task_file, CAST(d.event_id AS VARCHAR) AS id,
                  d.response, d.error FROM ({_decoded_sql()}) d JOIN events e USING (event_id)"""
+    e, r = orc.strip("t.expected_output"), orc.strip("r.response")
+    ok = f"(t.id IS NOT NULL AND r.error IS NULL AND r.response IS NOT NULL AND lower({e}) = lower({r}))"
     return f"""SELECT r.event_id, r.task_file, r.id, t.scorer,
-        0.0 AS score, false AS passed,
+        CASE WHEN {ok} THEN 1.0 ELSE 0.0 END AS score, {ok} AS passed,
         CASE WHEN t.id IS NULL THEN 'Unknown task' WHEN r.error IS NOT NULL THEN r.error
              WHEN r.response IS NULL THEN 'Response is None'
-             ELSE 'Task ''expected_output'' is not numeric: ''' || t.expected_output || '''' END AS reason
+             WHEN {ok} THEN 'Matched expected answer'
+             ELSE 'Expected ''' || {e} || ''' but got ''' || {r} || '''' END AS reason
         FROM ({resp}) r LEFT JOIN ({orc.scan_tasks_sql()}) t USING (task_file, id)"""
 
 

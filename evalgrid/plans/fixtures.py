@@ -116,8 +116,9 @@ TASK_LINES = [
              "WHEN 4 THEN '{\"id\": [1], \"description\": \"d\", \"expected_output\": \"x\"}' "
              "WHEN 5 THEN '{\"id\": 7, \"description\": 3, \"expected_output\": \"x\"}' "
              "WHEN 6 THEN '{\"id\": \"a\", \"description\": \"d\", \"expected_output\": \"\"}' "
-             "ELSE '{\"id\": ' || CAST(event_id AS STRING) || ', \"description\": \"d\", \"expected_output\": \"' "
-             "|| event_type || '\", \"metadata\": {\"category\": \"math\"}}' END"),
+             "ELSE '{\"id\": ' || CAST(event_id AS STRING) || ', \"description\": \"d\", \"expected_output\": \"ok ' "
+             "|| event_type || CASE WHEN user_id % 4 = 0 THEN 's' ELSE '' END "
+             "|| '\", \"metadata\": {\"category\": \"text\"}}' END"),
 ]
 
 
