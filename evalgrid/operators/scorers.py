@@ -17,6 +17,7 @@ The result column is ``STRUCT<score DOUBLE, passed BOOLEAN, reason STRING>``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -53,10 +54,52 @@ CATEGORY_SCORER_MAP = {
 }
 FALLBACK_SCORER = "exact_match"
 
-_NONE_RESPONSE = "Response is None"
-_MISSING_EXPECTED = "Task is missing 'expected' or 'expected_output' key"
-_MISSING_KEYWORDS = "Task is missing 'expected_keywords' or 'metadata.keywords' key"
-_KW_NOT_LIST = "Task keywords ('expected_keywords' or 'metadata.keywords') is not a list: "
+# The scorers' reason texts. ``{name}`` marks a value filled
+# in per row; everything else is literal text.
+REASONS = {
+    "none_response": "Response is None",
+    "missing_expected": "Task is missing 'expected' or 'expected_output' key",
+    "expected_none": "Task '{key}' value is None",
+    "matched": "Matched expected answer",
+    "mismatch": "Expected '{expected}' but got '{got}'",
+    "not_numeric": "Task '{key}' is not numeric: {value}",
+    "no_number": "No number found in response: '{got}'",
+    "tolerance_not_numeric": "Task 'tolerance' is not numeric: {value}",
+    "within": "Value {actual} within tolerance {tolerance} of expected {expected}",
+    "outside": "Expected {expected} (±{tolerance}) but got {actual}",
+    "missing_keywords": "Task is missing 'expected_keywords' or 'metadata.keywords' key",
+    "keywords_not_list": "Task keywords ('expected_keywords' or 'metadata.keywords') is not a list: {kind}",
+    "no_keywords": "No keywords required",
+    "threshold_not_numeric": "Task 'threshold' is not numeric: {value}",
+    "keywords_matched": "Matched {m}/{n} keywords (threshold={threshold})",
+    "keywords_missing": "Matched {m}/{n} keywords (threshold={threshold}); missing: {missing}",
+    "invalid_json": "Invalid JSON",
+    "invalid_json_detail": "Invalid JSON: {detail}",
+    "not_object": "JSON parsed but result is {kind}, expected object",
+    "parsed": "JSON parsed successfully",
+    "tool_missing": "Missing 'tool' key (expected '{expected}')",
+    "tool_mismatch": "Tool mismatch: expected '{expected}', got '{got}'",
+    "tool_matches": "Tool matches: '{expected}'",
+    "keys_not_list": "'required_argument_keys' is not a list: {kind}",
+    "arguments_missing": "Missing 'arguments' key in response",
+    "arguments_not_object": "'arguments' is not an object: {kind}",
+    "keys_missing": "Missing argument keys: {keys}",
+    "keys_present": "All required argument keys present: {keys}",
+    "check_separator": "; ",
+    "unknown_scorer": "Unknown scorer: {name}. Supported: {supported}",
+}
+
+
+def msg(reason: str, /, **parts: str) -> str:
+    """SQL for ``REASONS[reason]`` with each ``{placeholder}`` filled by SQL text."""
+    out = []
+    for i, piece in enumerate(re.split(r"\{(\w+)\}", REASONS[reason])):
+        if i % 2 == 0:
+            if piece:
+                out.append(lit(piece))
+        else:
+            out.append(parts[piece])
+    return out[0] if len(out) == 1 else "concat(" + ", ".join(out) + ")"
 
 
 def result(score, passed, reason) -> Column:
@@ -152,8 +195,8 @@ def with_task_spec(df: DataFrame, task: str = "task", out: str = "spec", categor
             "__exp_repr": py_repr_sql("__exp_v", "__exp_k"),
             "__tol_num": f"CASE WHEN __tol_v IS NULL THEN {DEFAULT_TOLERANCE} ELSE {py_float_of_sql('__tol_v', '__tol_k')} END",
             "__tol_repr": f"CASE WHEN __tol_v IS NULL THEN 'None' ELSE {py_repr_sql('__tol_v', '__tol_k')} END",
-            "__kw_error": f"CASE WHEN __kw_k IS NULL OR __kw_k = 'NoneType' THEN {lit(_MISSING_KEYWORDS)} "
-            f"WHEN __kw_k <> 'list' THEN concat({lit(_KW_NOT_LIST)}, __kw_k) END",
+            "__kw_error": f"CASE WHEN __kw_k IS NULL OR __kw_k = 'NoneType' THEN {msg('missing_keywords')} "
+            f"WHEN __kw_k <> 'list' THEN {msg('keywords_not_list', kind='__kw_k')} END",
             "__kw": f"CASE WHEN __kw_k <> 'list' THEN NULL WHEN __kw_t = 'ARRAY<STRING>' THEN try_variant_get(__kw_v, '$', 'array<string>') "
             f"ELSE transform(try_variant_get(__kw_v, '$', 'array<variant>'), e -> {py_text_sql('e')}) END",
             "__thr_num": f"CASE WHEN __thr_v IS NULL THEN {DEFAULT_THRESHOLD} "
@@ -193,15 +236,6 @@ def with_task_spec(df: DataFrame, task: str = "task", out: str = "spec", categor
 # ---------------------------------------------------------------------------
 
 
-class X(str):
-    """Marks SQL expression text among literal parts of ``cat``."""
-
-
-def cat(*parts) -> str:
-    """``concat`` of literal text parts and ``X`` SQL parts."""
-    return "concat(" + ", ".join(p if isinstance(p, X) else lit(p) for p in parts) + ")"
-
-
 def _res(score: str, passed: str, reason: str) -> str:
     return f"named_struct('score', CAST({score} AS DOUBLE), 'passed', CAST({passed} AS BOOLEAN), 'reason', CAST({reason} AS STRING))"
 
@@ -211,28 +245,28 @@ def _fail(reason: str) -> str:
 
 
 def _exact(sp: str, **_opts) -> str:
-    key, exp = X(f"{sp}_exp_key"), X(f"{sp}_exp_text")
+    key, exp = f"{sp}_exp_key", f"{sp}_exp_text"
     return (
-        f"CASE WHEN __r_text IS NULL THEN {_fail(lit(_NONE_RESPONSE))} "
-        f"WHEN {key} IS NULL THEN {_fail(lit(_MISSING_EXPECTED))} "
-        f"WHEN {sp}_exp_null THEN {_fail(cat('Task ' + chr(39), key, chr(39) + ' value is None'))} "
-        f"WHEN lower({exp}) = lower(__r_strip) THEN {_res('1.0', 'true', lit('Matched expected answer'))} "
-        f"ELSE {_fail(cat('Expected ' + chr(39), exp, chr(39) + ' but got ' + chr(39), X('__r_strip'), chr(39)))} END"
+        f"CASE WHEN __r_text IS NULL THEN {_fail(msg('none_response'))} "
+        f"WHEN {key} IS NULL THEN {_fail(msg('missing_expected'))} "
+        f"WHEN {sp}_exp_null THEN {_fail(msg('expected_none', key=key))} "
+        f"WHEN lower({exp}) = lower(__r_strip) THEN {_res('1.0', 'true', msg('matched'))} "
+        f"ELSE {_fail(msg('mismatch', expected=exp, got='__r_strip'))} END"
     )
 
 
 def _numeric(sp: str, **_opts) -> str:
-    key, e, tol = X(f"{sp}_exp_key"), f"{sp}_exp_num", f"{sp}_tol_num"
-    a, t, es = X("__r_num_repr"), X(f"{sp}_tol_num_repr"), X(f"{sp}_exp_num_repr")
+    key, e, tol = f"{sp}_exp_key", f"{sp}_exp_num", f"{sp}_tol_num"
+    nums = dict(actual="__r_num_repr", tolerance=f"{sp}_tol_num_repr", expected=f"{sp}_exp_num_repr")
     within = f"(abs(__r_num - {e}) <= {tol} AND NOT isnan({tol}))"
     return (
-        f"CASE WHEN __r_text IS NULL THEN {_fail(lit(_NONE_RESPONSE))} "
-        f"WHEN {key} IS NULL THEN {_fail(lit(_MISSING_EXPECTED))} "
-        f"WHEN {e} IS NULL THEN {_fail(cat('Task ' + chr(39), key, chr(39) + ' is not numeric: ', X(f'{sp}_exp_repr')))} "
-        f"WHEN __r_num_text IS NULL THEN {_fail(cat('No number found in response: ' + chr(39), X('__r_strip'), chr(39)))} "
-        f"WHEN {tol} IS NULL THEN {_fail(cat('Task ' + chr(39) + 'tolerance' + chr(39) + ' is not numeric: ', X(f'{sp}_tol_repr')))} "
-        f"WHEN {within} THEN {_res('1.0', 'true', cat('Value ', a, ' within tolerance ', t, ' of expected ', es))} "
-        f"ELSE {_fail(cat('Expected ', es, ' (±', t, ') but got ', a))} END"
+        f"CASE WHEN __r_text IS NULL THEN {_fail(msg('none_response'))} "
+        f"WHEN {key} IS NULL THEN {_fail(msg('missing_expected'))} "
+        f"WHEN {e} IS NULL THEN {_fail(msg('not_numeric', key=key, value=f'{sp}_exp_repr'))} "
+        f"WHEN __r_num_text IS NULL THEN {_fail(msg('no_number', got='__r_strip'))} "
+        f"WHEN {tol} IS NULL THEN {_fail(msg('tolerance_not_numeric', value=f'{sp}_tol_repr'))} "
+        f"WHEN {within} THEN {_res('1.0', 'true', msg('within', **nums))} "
+        f"ELSE {_fail(msg('outside', **nums))} END"
     )
 
 
@@ -243,25 +277,24 @@ def _keyword(sp: str, **_opts) -> str:
     missing = f"filter({kws}, (k, i) -> NOT contains(__r_low, element_at({low}, i + 1)))"
     score = f"(CAST({m} AS DOUBLE) / CAST({n} AS DOUBLE))"
     thr = f"{sp}_thr_num"
-    head = cat("Matched ", X(f"CAST({m} AS STRING)"), "/", X(f"CAST({n} AS STRING)"), " keywords (threshold=", X(f"{sp}_thr_text"), ")")
+    counts = dict(m=f"CAST({m} AS STRING)", n=f"CAST({n} AS STRING)", threshold=f"{sp}_thr_text")
     return (
-        f"CASE WHEN __r_text IS NULL THEN {_fail(lit(_NONE_RESPONSE))} "
+        f"CASE WHEN __r_text IS NULL THEN {_fail(msg('none_response'))} "
         f"WHEN {sp}_kw_error IS NOT NULL THEN {_fail(f'{sp}_kw_error')} "
-        f"WHEN {n} = 0 THEN {_res('1.0', 'true', lit('No keywords required'))} "
-        f"WHEN {thr} IS NULL THEN {_fail(cat('Task ' + chr(39) + 'threshold' + chr(39) + ' is not numeric: ', X(f'{sp}_thr_repr')))} "
-        f"WHEN {score} >= {thr} THEN {_res(score, 'true', head)} "
-        f"ELSE {_res(score, 'false', cat(X(head), '; missing: ', X(f'array_join({missing}, {lit(chr(44) + chr(32))})')))} END"
+        f"WHEN {n} = 0 THEN {_res('1.0', 'true', msg('no_keywords'))} "
+        f"WHEN {thr} IS NULL THEN {_fail(msg('threshold_not_numeric', value=f'{sp}_thr_repr'))} "
+        f"WHEN {score} >= {thr} THEN {_res(score, 'true', msg('keywords_matched', **counts))} "
+        f"ELSE {_res(score, 'false', msg('keywords_missing', missing=f'array_join({missing}, {lit(chr(44) + chr(32))})', **counts))} END"
     )
 
 
 def _invalid_json_reason(detail: bool) -> str:
     if detail:
-        return "CASE WHEN __r_json_err IS NULL THEN 'Invalid JSON' ELSE concat('Invalid JSON: ', __r_json_err) END"
-    return lit("Invalid JSON")
+        return f"CASE WHEN __r_json_err IS NULL THEN {msg('invalid_json')} ELSE {msg('invalid_json_detail', detail='__r_json_err')} END"
+    return msg("invalid_json")
 
 
 def _json(sp: str, json_error_detail: bool = False) -> str:
-    q = chr(39)
     ta, ra = f"{sp}_tool_applies", f"{sp}_req_applies"
     num = "('int', 'float', 'bool')"
     same = (
@@ -269,12 +302,12 @@ def _json(sp: str, json_error_detail: bool = False) -> str:
         f"ELSE __r_tool_kind = {sp}_tool_kind AND __r_tool_json = {sp}_tool_json END"
     )
     tool_ok = f"({ta} AND __r_tool IS NOT NULL AND coalesce({same}, false))"
-    et = X(f"{sp}_tool_text")
+    et = f"{sp}_tool_text"
     tool_reason = (
         f"CASE WHEN NOT {ta} THEN CAST(NULL AS STRING) "
-        f"WHEN __r_tool IS NULL THEN {cat(f'Missing {q}tool{q} key (expected {q}', et, q + ')')} "
-        f"WHEN NOT {tool_ok} THEN {cat(f'Tool mismatch: expected {q}', et, f'{q}, got {q}', X('__r_tool_text'), q)} "
-        f"ELSE {cat(f'Tool matches: {q}', et, q)} END"
+        f"WHEN __r_tool IS NULL THEN {msg('tool_missing', expected=et)} "
+        f"WHEN NOT {tool_ok} THEN {msg('tool_mismatch', expected=et, got='__r_tool_text')} "
+        f"ELSE {msg('tool_matches', expected=et)} END"
     )
     items = f"{sp}_req_items"
     missing = f"transform(filter({items}, it -> NOT it.is_str OR NOT coalesce(array_contains(__r_arg_keys, it.key), false)), it -> it.text)"
@@ -283,20 +316,20 @@ def _json(sp: str, json_error_detail: bool = False) -> str:
     req_ok = f"({ra} AND {req_list} AND NOT {args_missing} AND __r_args_kind = 'dict' AND size({missing}) = 0)"
     req_reason = (
         f"CASE WHEN NOT {ra} THEN CAST(NULL AS STRING) "
-        f"WHEN NOT {req_list} THEN {cat(f'{q}required_argument_keys{q} is not a list: ', X(f'{sp}_req_kind'))} "
-        f"WHEN {args_missing} THEN {lit(f'Missing {q}arguments{q} key in response')} "
-        f"WHEN __r_args_kind <> 'dict' THEN {cat(f'{q}arguments{q} is not an object: ', X('__r_args_kind'))} "
-        f"WHEN size({missing}) > 0 THEN concat('Missing argument keys: ', array_join({missing}, ', ')) "
-        f"ELSE concat('All required argument keys present: ', array_join(transform({items}, it -> it.text), ', ')) END"
+        f"WHEN NOT {req_list} THEN {msg('keys_not_list', kind=f'{sp}_req_kind')} "
+        f"WHEN {args_missing} THEN {msg('arguments_missing')} "
+        f"WHEN __r_args_kind <> 'dict' THEN {msg('arguments_not_object', kind='__r_args_kind')} "
+        f"WHEN size({missing}) > 0 THEN {msg('keys_missing', keys=f'array_join({missing}, {lit(chr(44) + chr(32))})')} "
+        f"ELSE {msg('keys_present', keys=f'array_join(transform({items}, it -> it.text), {lit(chr(44) + chr(32))})')} END"
     )
     total = f"(1 + CAST({ta} AS INT) + CAST({ra} AS INT))"
     ok = f"(1 + CAST({tool_ok} AS INT) + CAST({req_ok} AS INT))"
     score = f"round(CAST({ok} AS DOUBLE) / CAST({total} AS DOUBLE), 4)"
-    reason = f"concat_ws('; ', 'JSON parsed successfully', {tool_reason}, {req_reason})"
+    reason = f"concat_ws({msg('check_separator')}, {msg('parsed')}, {tool_reason}, {req_reason})"
     return (
-        f"CASE WHEN __r_text IS NULL THEN {_fail(lit(_NONE_RESPONSE))} "
+        f"CASE WHEN __r_text IS NULL THEN {_fail(msg('none_response'))} "
         f"WHEN __r_json IS NULL THEN {_fail(_invalid_json_reason(json_error_detail))} "
-        f"WHEN __r_jkind <> 'dict' THEN {_fail(cat('JSON parsed but result is ', X('__r_jkind'), ', expected object'))} "
+        f"WHEN __r_jkind <> 'dict' THEN {_fail(msg('not_object', kind='__r_jkind'))} "
         f"ELSE {_res(score, f'{ok} = {total}', reason)} END"
     )
 
@@ -338,13 +371,13 @@ def supported_scorers() -> list[str]:
 def get_scorer(name: str) -> str:
     """Validate a scorer name like the registry lookup: unknown names raise ``ValueError``."""
     if name not in _REGISTRY and name not in _CUSTOM:
-        raise ValueError(f"Unknown scorer: {name!r}. Supported: {', '.join(supported_scorers())}")
+        raise ValueError(REASONS["unknown_scorer"].format(name=repr(name), supported=", ".join(supported_scorers())))
     return name
 
 
 def unknown_scorer_sql(name_sql: str) -> str:
     """``Unknown scorer: 'x'. Supported: a, b`` for a name expression."""
-    return cat("Unknown scorer: ", X(py_repr_str_sql(name_sql)), ". Supported: " + ", ".join(supported_scorers()))
+    return msg("unknown_scorer", name=py_repr_str_sql(name_sql), supported=lit(", ".join(supported_scorers())))
 
 
 def score_frame(
