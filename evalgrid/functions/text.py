@@ -44,6 +44,20 @@ def lit(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def fill_sql(template: str, /, **parts: str) -> str:
+    """SQL ``concat`` of a text template whose ``{placeholder}`` slots are SQL expressions."""
+    import re
+
+    out = []
+    for i, piece in enumerate(re.split(r"\{(\w+)\}", template)):
+        if i % 2 == 0:
+            if piece:
+                out.append(lit(piece))
+        else:
+            out.append(parts[piece])
+    return out[0] if len(out) == 1 else "concat(" + ", ".join(out) + ")"
+
+
 def strip_sql(x: str) -> str:
     return f"regexp_replace({x}, {raw(STRIP_RE)}, '')"
 

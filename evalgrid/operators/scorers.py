@@ -17,7 +17,6 @@ The result column is ``STRUCT<score DOUBLE, passed BOOLEAN, reason STRING>``.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -33,7 +32,7 @@ from evalgrid.functions.jsonv import (
     strict_json_sql,
     vget_sql,
 )
-from evalgrid.functions.text import first_number_sql, float_repr_sql, lit, py_repr_str_sql, strip_sql
+from evalgrid.functions.text import fill_sql, first_number_sql, float_repr_sql, lit, py_repr_str_sql, strip_sql
 
 SCORE_TYPE = "struct<score:double,passed:boolean,reason:string>"
 
@@ -92,14 +91,7 @@ REASONS = {
 
 def msg(reason: str, /, **parts: str) -> str:
     """SQL for ``REASONS[reason]`` with each ``{placeholder}`` filled by SQL text."""
-    out = []
-    for i, piece in enumerate(re.split(r"\{(\w+)\}", REASONS[reason])):
-        if i % 2 == 0:
-            if piece:
-                out.append(lit(piece))
-        else:
-            out.append(parts[piece])
-    return out[0] if len(out) == 1 else "concat(" + ", ".join(out) + ")"
+    return fill_sql(REASONS[reason], **parts)
 
 
 def result(score, passed, reason) -> Column:

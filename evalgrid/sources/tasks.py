@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from evalgrid.functions.jsonv import json_kind_sql, object_keys_sql, py_text_sql, strict_json_sql, vget_sql
-from evalgrid.functions.text import lit, strip_sql
+from evalgrid.functions.text import fill_sql, lit, strip_sql
 from evalgrid.operators.scorers import with_task_spec
 
 # The required task fields (sorted, as listed in messages).
@@ -30,6 +30,24 @@ REQUIRED_FIELDS = ["description", "expected_output", "id"]
 
 ERROR_COLUMNS = ["task_file", "line_no", "error_type", "field", "message", "raw_line"]
 
+# Loader and validation messages. ``{line}`` is the physical
+# line number, other ``{slots}`` are filled per row.
+MESSAGES = {
+    "invalid_json": "Invalid JSON on line {line}{detail}",
+    "not_object": "Line {line}: Expected JSON object, got {kind}",
+    "missing_fields": "Line {line}: Missing required fields: {fields}",
+    "id_type": "Line {line}: 'id' must be a string or integer",
+    "description_type": "Line {line}: 'description' must be a string",
+    "expected_output_type": "Line {line}: 'expected_output' must be a string",
+    "id_empty": "Line {line}: 'id' cannot be empty",
+    "description_empty": "Line {line}: 'description' cannot be empty",
+    "expected_output_empty": "Line {line}: 'expected_output' cannot be empty",
+    "field_none": "Field '{name}' cannot be None",
+    "field_type": "Field '{name}' must be of type {type}",
+    "field_empty": "Field '{name}' cannot be empty",
+    "no_tasks": "No tasks found in task file.",
+}
+
 
 def _stage(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
     return df.withColumns({k: F.expr(v) for k, v in exprs.items()})
@@ -114,26 +132,27 @@ def _checked(lines: DataFrame, json_error_detail: bool = False) -> DataFrame:
         },
     )
     ln = "CAST(line_no AS STRING)"
+
+    def m(key: str, **parts: str) -> str:
+        return fill_sql(MESSAGES[key], line=ln, **parts)
+
+    def e(kind: str, field: str | None, message: str) -> str:
+        f = f"'{field}'" if field else "CAST(NULL AS STRING)"
+        return f"named_struct('t', '{kind}', 'f', {f}, 'm', {message})"
+
+    detail = "CASE WHEN coalesce(__json_msg, '') = '' THEN '' ELSE concat(': ', __json_msg) END"
+    missing_list = "array_join(__missing, ', ')"
     err = (
         "CASE "
-        f"WHEN raw IS NULL THEN named_struct('t', 'parsing', 'f', CAST(NULL AS STRING), 'm', concat('Invalid JSON on line ', {ln}, "
-        "CASE WHEN coalesce(__json_msg, '') = '' THEN '' ELSE concat(': ', __json_msg) END)) "
-        f"WHEN __kind <> 'dict' THEN named_struct('t', 'not_object', 'f', CAST(NULL AS STRING), "
-        f"'m', concat('Line ', {ln}, ': Expected JSON object, got ', __kind)) "
-        f"WHEN size(__missing) > 0 THEN named_struct('t', 'validation', 'f', 'required_fields', "
-        f"'m', concat('Line ', {ln}, ': Missing required fields: ', array_join(__missing, ', '))) "
-        f"WHEN __id_k NOT IN ('str', 'int', 'bool') THEN named_struct('t', 'validation', 'f', 'id', "
-        f"'m', concat('Line ', {ln}, ': ', {lit(chr(39) + 'id' + chr(39) + ' must be a string or integer')})) "
-        f"WHEN __desc_k <> 'str' THEN named_struct('t', 'validation', 'f', 'description', "
-        f"'m', concat('Line ', {ln}, ': ', {lit(chr(39) + 'description' + chr(39) + ' must be a string')})) "
-        f"WHEN __exp_k <> 'str' THEN named_struct('t', 'validation', 'f', 'expected_output', "
-        f"'m', concat('Line ', {ln}, ': ', {lit(chr(39) + 'expected_output' + chr(39) + ' must be a string')})) "
-        f"WHEN __id_k = 'str' AND try_variant_get(__id_v, '$', 'string') = '' THEN named_struct('t', 'validation', 'f', 'id', "
-        f"'m', concat('Line ', {ln}, ': ', {lit(chr(39) + 'id' + chr(39) + ' cannot be empty')})) "
-        f"WHEN try_variant_get(__desc_v, '$', 'string') = '' THEN named_struct('t', 'validation', 'f', 'description', "
-        f"'m', concat('Line ', {ln}, ': ', {lit(chr(39) + 'description' + chr(39) + ' cannot be empty')})) "
-        f"WHEN try_variant_get(__exp_v, '$', 'string') = '' THEN named_struct('t', 'validation', 'f', 'expected_output', "
-        f"'m', concat('Line ', {ln}, ': ', {lit(chr(39) + 'expected_output' + chr(39) + ' cannot be empty')})) "
+        f"WHEN raw IS NULL THEN {e('parsing', None, m('invalid_json', detail=detail))} "
+        f"WHEN __kind <> 'dict' THEN {e('not_object', None, m('not_object', kind='__kind'))} "
+        f"WHEN size(__missing) > 0 THEN {e('validation', 'required_fields', m('missing_fields', fields=missing_list))} "
+        f"WHEN __id_k NOT IN ('str', 'int', 'bool') THEN {e('validation', 'id', m('id_type'))} "
+        f"WHEN __desc_k <> 'str' THEN {e('validation', 'description', m('description_type'))} "
+        f"WHEN __exp_k <> 'str' THEN {e('validation', 'expected_output', m('expected_output_type'))} "
+        f"WHEN __id_k = 'str' AND try_variant_get(__id_v, '$', 'string') = '' THEN {e('validation', 'id', m('id_empty'))} "
+        f"WHEN try_variant_get(__desc_v, '$', 'string') = '' THEN {e('validation', 'description', m('description_empty'))} "
+        f"WHEN try_variant_get(__exp_v, '$', 'string') = '' THEN {e('validation', 'expected_output', m('expected_output_empty'))} "
         "END"
     )
     df = _stage(df, {"__err": err, "__id_text": py_text_sql("__id_v", "__id_k")})
@@ -218,7 +237,7 @@ def load_tasks(lines_or_path, spark: SparkSession | None = None, mode: str = "qu
 def require_tasks(tasks: DataFrame) -> DataFrame:
     """Raise ``ValueError('No tasks found in task file.')`` when there are no tasks."""
     if tasks.isEmpty():
-        raise ValueError("No tasks found in task file.")
+        raise ValueError(MESSAGES["no_tasks"])
     return tasks
 
 
@@ -231,15 +250,16 @@ def validate_field(value_variant: str, field_name: str, expected_kind: str | Non
     """
     k = f"({json_kind_sql(value_variant)})"
     q = chr(39)
-    checks = [f"WHEN {k} IS NULL OR {k} = 'NoneType' THEN named_struct('ok', false, 'message', {lit(f'Field {q}{field_name}{q} cannot be None')})"]
+    name = lit(field_name)
+    checks = [f"WHEN {k} IS NULL OR {k} = 'NoneType' THEN named_struct('ok', false, 'message', {fill_sql(MESSAGES['field_none'], name=name)})"]
     if expected_kind:
         kinds = {"int": "('int', 'bool')", "float": "('float')"}.get(expected_kind, f"('{expected_kind}')")
         checks.append(
             f"WHEN {k} NOT IN {kinds} THEN named_struct('ok', false, 'message', "
-            f"{lit(f'Field {q}{field_name}{q} must be of type {expected_kind}')})"
+            f"{fill_sql(MESSAGES['field_type'], name=name, type=lit(expected_kind))})"
         )
     checks.append(
         f"WHEN {k} = 'str' AND {strip_sql(f'try_variant_get({value_variant}, {q}${q}, {q}string{q})')} = '' "
-        f"THEN named_struct('ok', false, 'message', {lit(f'Field {q}{field_name}{q} cannot be empty')})"
+        f"THEN named_struct('ok', false, 'message', {fill_sql(MESSAGES['field_empty'], name=name)})"
     )
     return F.expr("CASE " + " ".join(checks) + " ELSE named_struct('ok', true, 'message', '') END")
