@@ -14,9 +14,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalgrid.functions.jsonv import strict_json_sql
+from evalgrid.functions.text import fill_sql, lit
 
-# Request timeout (seconds) quoted in timeout messages.
+# Request timeout (seconds) quoted in timeout messages, and the
+# failure texts of a chat-completions call.
 REQUEST_TIMEOUT_SEC = 120
+MESSAGES = {
+    "connection": "Could not connect to llama-server at {url}: {error}",
+    "timeout": "Request to llama-server timed out after {timeout}s: {error}",
+    "http_status": "llama-server returned HTTP {status}: {body}",
+    "non_json": "llama-server returned non-JSON response: {body}",
+    "missing_content": "Response JSON missing expected field 'choices[0].message.content': available keys are [{keys}]",
+}
 
 
 def decode_calls(log: DataFrame, server_url: str | None = None) -> DataFrame:
@@ -45,14 +54,17 @@ def decode_calls(log: DataFrame, server_url: str | None = None) -> DataFrame:
         "WHEN __v IS NULL THEN 'non_json' "
         "WHEN __content_v IS NULL THEN 'missing_content' END"
     )
+    quote = lit("'")
+    keys = f"array_join(transform(coalesce(__keys, array()), k -> concat({quote}, k, {quote})), ', ')"
+    body = "coalesce(body, '')"
     error = F.expr(
-        "CASE WHEN transport_error = 'connection' THEN concat('Could not connect to llama-server at ', __url, ': ', transport_error) "
-        f"WHEN transport_error = 'timeout' THEN concat('Request to llama-server timed out after {REQUEST_TIMEOUT_SEC}s: ', transport_error) "
+        f"CASE WHEN transport_error = 'connection' THEN {fill_sql(MESSAGES['connection'], url='__url', error='transport_error')} "
+        f"WHEN transport_error = 'timeout' THEN "
+        f"{fill_sql(MESSAGES['timeout'], timeout=lit(str(REQUEST_TIMEOUT_SEC)), error='transport_error')} "
         "WHEN transport_error IS NOT NULL THEN transport_error "
-        "WHEN status_code <> 200 THEN concat('llama-server returned HTTP ', CAST(status_code AS STRING), ': ', coalesce(body, '')) "
-        "WHEN __v IS NULL THEN concat('llama-server returned non-JSON response: ', substr(coalesce(body, ''), 1, 200)) "
-        "WHEN __content_v IS NULL THEN concat('Response JSON missing expected field ''choices[0].message.content'': available keys are [', "
-        "array_join(transform(coalesce(__keys, array()), k -> concat('''', k, '''')), ', '), ']') END"
+        f"WHEN status_code <> 200 THEN {fill_sql(MESSAGES['http_status'], status='CAST(status_code AS STRING)', body=body)} "
+        f"WHEN __v IS NULL THEN {fill_sql(MESSAGES['non_json'], body=f'substr({body}, 1, 200)')} "
+        f"WHEN __content_v IS NULL THEN {fill_sql(MESSAGES['missing_content'], keys=keys)} END"
     )
     out = df.withColumns(
         {
