@@ -19,10 +19,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalgrid.functions.jsonv import json_kind_sql, object_keys_sql
+from evalgrid.functions.text import fill_sql, lit
 
 # Required top-level keys and (section, key) pairs in check order.
 REQUIRED_TOP = ["id", "model_name", "runtime", "settings"]
 REQUIRED_NESTED = [("runtime", "server_url"), ("settings", "temperature"), ("settings", "top_p"), ("settings", "max_tokens")]
+# Config loader messages.
+MESSAGES = {
+    "not_mapping": "Config file must contain a YAML mapping (dict), got {kind}",
+    "missing_top": "Missing required top-level key(s): {keys}",
+    "missing_nested": "Missing required key '{key}' in '{section}'",
+}
 
 CONFIG_SCHEMA = (
     "config_file string, id string, model_name string, model_path string, "
@@ -77,14 +84,16 @@ def load_configs(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     parsed = parsed.withColumn("__keys", F.expr(f"CASE WHEN __kind = 'dict' THEN {object_keys_sql('raw')} END"))
     nested = " ".join(
         f"WHEN NOT coalesce(array_contains(map_keys(try_variant_get(raw, '$.{p}', 'map<string,variant>')), '{c}'), false) "
-        f"THEN 'Missing required key ''{c}'' in ''{p}''' "
+        f"THEN {fill_sql(MESSAGES['missing_nested'], key=lit(c), section=lit(p))} "
         for p, c in REQUIRED_NESTED
     )
+    top = "array_except(array(" + ", ".join(lit(k) for k in REQUIRED_TOP) + "), __keys)"
+    kind = "coalesce(__kind, 'NoneType')"
+    missing = f"array_join({top}, ', ')"
     err = (
         "CASE WHEN parse_error IS NOT NULL THEN parse_error "
-        "WHEN __kind IS NULL OR __kind <> 'dict' THEN concat('Config file must contain a YAML mapping (dict), got ', coalesce(__kind, 'NoneType')) "
-        f"WHEN size(array_except(array({', '.join(repr(k) for k in REQUIRED_TOP)}), __keys)) > 0 THEN "
-        f"concat('Missing required top-level key(s): ', array_join(array_except(array({', '.join(repr(k) for k in REQUIRED_TOP)}), __keys), ', ')) "
+        f"WHEN __kind IS NULL OR __kind <> 'dict' THEN {fill_sql(MESSAGES['not_mapping'], kind=kind)} "
+        f"WHEN size({top}) > 0 THEN {fill_sql(MESSAGES['missing_top'], keys=missing)} "
         f"{nested}END"
     )
     parsed = parsed.withColumn("__err", F.expr(err))
