@@ -236,33 +236,44 @@ def _fail(reason: str) -> str:
     return _res("0.0", "false", reason)
 
 
-def _exact(sp: str, **_opts) -> str:
+def _makers(opts: dict):
+    """(res, fail) builders; with ``with_reason=False`` every reason is NULL,
+    so Catalyst prunes the text inputs (reprs, joins) and no string is built."""
+    if opts.get("with_reason", True):
+        return _res, _fail
+    return (lambda score, passed, reason: _res(score, passed, "CAST(NULL AS STRING)")), (lambda reason: _fail("CAST(NULL AS STRING)"))
+
+
+def _exact(sp: str, **opts) -> str:
+    res, fail = _makers(opts)
     key, exp = f"{sp}_exp_key", f"{sp}_exp_text"
     return (
-        f"CASE WHEN __r_text IS NULL THEN {_fail(msg('none_response'))} "
-        f"WHEN {key} IS NULL THEN {_fail(msg('missing_expected'))} "
-        f"WHEN {sp}_exp_null THEN {_fail(msg('expected_none', key=key))} "
-        f"WHEN lower({exp}) = lower(__r_strip) THEN {_res('1.0', 'true', msg('matched'))} "
-        f"ELSE {_fail(msg('mismatch', expected=exp, got='__r_strip'))} END"
+        f"CASE WHEN __r_text IS NULL THEN {fail(msg('none_response'))} "
+        f"WHEN {key} IS NULL THEN {fail(msg('missing_expected'))} "
+        f"WHEN {sp}_exp_null THEN {fail(msg('expected_none', key=key))} "
+        f"WHEN lower({exp}) = lower(__r_strip) THEN {res('1.0', 'true', msg('matched'))} "
+        f"ELSE {fail(msg('mismatch', expected=exp, got='__r_strip'))} END"
     )
 
 
-def _numeric(sp: str, **_opts) -> str:
+def _numeric(sp: str, **opts) -> str:
+    res, fail = _makers(opts)
     key, e, tol = f"{sp}_exp_key", f"{sp}_exp_num", f"{sp}_tol_num"
     nums = dict(actual="__r_num_repr", tolerance=f"{sp}_tol_num_repr", expected=f"{sp}_exp_num_repr")
     within = f"(abs(__r_num - {e}) <= {tol} AND NOT isnan({tol}))"
     return (
-        f"CASE WHEN __r_text IS NULL THEN {_fail(msg('none_response'))} "
-        f"WHEN {key} IS NULL THEN {_fail(msg('missing_expected'))} "
-        f"WHEN {e} IS NULL THEN {_fail(msg('not_numeric', key=key, value=f'{sp}_exp_repr'))} "
-        f"WHEN __r_num_text IS NULL THEN {_fail(msg('no_number', got='__r_strip'))} "
-        f"WHEN {tol} IS NULL THEN {_fail(msg('tolerance_not_numeric', value=f'{sp}_tol_repr'))} "
-        f"WHEN {within} THEN {_res('1.0', 'true', msg('within', **nums))} "
-        f"ELSE {_fail(msg('outside', **nums))} END"
+        f"CASE WHEN __r_text IS NULL THEN {fail(msg('none_response'))} "
+        f"WHEN {key} IS NULL THEN {fail(msg('missing_expected'))} "
+        f"WHEN {e} IS NULL THEN {fail(msg('not_numeric', key=key, value=f'{sp}_exp_repr'))} "
+        f"WHEN __r_num_text IS NULL THEN {fail(msg('no_number', got='__r_strip'))} "
+        f"WHEN {tol} IS NULL THEN {fail(msg('tolerance_not_numeric', value=f'{sp}_tol_repr'))} "
+        f"WHEN {within} THEN {res('1.0', 'true', msg('within', **nums))} "
+        f"ELSE {fail(msg('outside', **nums))} END"
     )
 
 
-def _keyword(sp: str, **_opts) -> str:
+def _keyword(sp: str, **opts) -> str:
+    res, fail = _makers(opts)
     kws, low = f"{sp}_kw", f"{sp}_kw_low"
     n = f"size({kws})"
     m = f"size(filter({low}, k -> contains(__r_low, k)))"
@@ -271,12 +282,12 @@ def _keyword(sp: str, **_opts) -> str:
     thr = f"{sp}_thr_num"
     counts = dict(m=f"CAST({m} AS STRING)", n=f"CAST({n} AS STRING)", threshold=f"{sp}_thr_text")
     return (
-        f"CASE WHEN __r_text IS NULL THEN {_fail(msg('none_response'))} "
-        f"WHEN {sp}_kw_error IS NOT NULL THEN {_fail(f'{sp}_kw_error')} "
-        f"WHEN {n} = 0 THEN {_res('1.0', 'true', msg('no_keywords'))} "
-        f"WHEN {thr} IS NULL THEN {_fail(msg('threshold_not_numeric', value=f'{sp}_thr_repr'))} "
-        f"WHEN {score} >= {thr} THEN {_res(score, 'true', msg('keywords_matched', **counts))} "
-        f"ELSE {_res(score, 'false', msg('keywords_missing', missing=f'array_join({missing}, {lit(chr(44) + chr(32))})', **counts))} END"
+        f"CASE WHEN __r_text IS NULL THEN {fail(msg('none_response'))} "
+        f"WHEN {sp}_kw_error IS NOT NULL THEN {fail(f'{sp}_kw_error')} "
+        f"WHEN {n} = 0 THEN {res('1.0', 'true', msg('no_keywords'))} "
+        f"WHEN {thr} IS NULL THEN {fail(msg('threshold_not_numeric', value=f'{sp}_thr_repr'))} "
+        f"WHEN {score} >= {thr} THEN {res(score, 'true', msg('keywords_matched', **counts))} "
+        f"ELSE {res(score, 'false', msg('keywords_missing', missing=f'array_join({missing}, {lit(chr(44) + chr(32))})', **counts))} END"
     )
 
 
@@ -286,7 +297,8 @@ def _invalid_json_reason(detail: bool) -> str:
     return msg("invalid_json")
 
 
-def _json(sp: str, json_error_detail: bool = False) -> str:
+def _json(sp: str, json_error_detail: bool = False, **opts) -> str:
+    res, fail = _makers(opts)
     ta, ra = f"{sp}_tool_applies", f"{sp}_req_applies"
     num = "('int', 'float', 'bool')"
     same = (
@@ -319,10 +331,10 @@ def _json(sp: str, json_error_detail: bool = False) -> str:
     score = f"round(CAST({ok} AS DOUBLE) / CAST({total} AS DOUBLE), 4)"
     reason = f"concat_ws({msg('check_separator')}, {msg('parsed')}, {tool_reason}, {req_reason})"
     return (
-        f"CASE WHEN __r_text IS NULL THEN {_fail(msg('none_response'))} "
-        f"WHEN __r_json IS NULL THEN {_fail(_invalid_json_reason(json_error_detail))} "
-        f"WHEN __r_jkind <> 'dict' THEN {_fail(msg('not_object', kind='__r_jkind'))} "
-        f"ELSE {_res(score, f'{ok} = {total}', reason)} END"
+        f"CASE WHEN __r_text IS NULL THEN {fail(msg('none_response'))} "
+        f"WHEN __r_json IS NULL THEN {fail(_invalid_json_reason(json_error_detail))} "
+        f"WHEN __r_jkind <> 'dict' THEN {fail(msg('not_object', kind='__r_jkind'))} "
+        f"ELSE {res(score, f'{ok} = {total}', reason)} END"
     )
 
 
@@ -380,11 +392,14 @@ def score_frame(
     out: str = "result",
     task: str | None = None,
     json_error_detail: bool = False,
+    with_reason: bool = True,
 ) -> DataFrame:
     """Score every row: adds ``out`` = STRUCT<score, passed, reason>.
 
     ``json_error_detail=True`` appends Python's parser message to ``Invalid
     JSON`` reasons (an Arrow UDF over the rejected responses only).
+    ``with_reason=False`` leaves ``reason`` NULL: a summary that reads only
+    score and passed then builds no reason text at all.
 
     ``scorer`` is either one scorer name for every row, or None to use each
     row's ``{spec}_scorer``. ``spec`` comes from ``with_task_spec``; ``task``
@@ -424,7 +439,7 @@ def score_frame(
     if "num" in needs:
         df = _stage(df, {"__r_num": "CAST(__r_num_text AS DOUBLE)"})
         df = _stage(df, {"__r_num_repr": float_repr_sql("__r_num")})
-    if "json" in needs and json_error_detail:
+    if "json" in needs and json_error_detail and with_reason:
         from evalgrid.functions.jsonv import python_json_error
 
         df = df.withColumn("__r_json_err", python_json_error(F.expr("CASE WHEN __r_json IS NULL THEN __r_text END")))
@@ -453,10 +468,10 @@ def score_frame(
                 "__r_tool_num": f"CASE WHEN __r_tool_kind IN ('int', 'float', 'bool') THEN {py_float_of_sql('__r_tool', '__r_tool_kind')} END",
             },
         )
-    fallback = _fail(unknown_scorer_sql("__name"))
+    fallback = _fail(unknown_scorer_sql("__name") if with_reason else "CAST(NULL AS STRING)")
     builtin = [n for n in names if n in _REGISTRY]
     expr_sql = (
-        "CASE " + " ".join(f"WHEN __name = {lit(n)} THEN {_REGISTRY[n][0](sp, json_error_detail=json_error_detail)}" for n in builtin) + f" ELSE {fallback} END"
+        "CASE " + " ".join(f"WHEN __name = {lit(n)} THEN {_REGISTRY[n][0](sp, json_error_detail=json_error_detail, with_reason=with_reason)}" for n in builtin) + f" ELSE {fallback} END"
         if builtin
         else fallback
     )

@@ -38,10 +38,10 @@ def register(name: str, oracle: Callable[[], str] | None = None):
 # ---------------------------------------------------------------------------
 
 
-def scored_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored_attempts(spark: SparkSession, sf_dir: str, with_reason: bool = True) -> DataFrame:
     """Every attempt of the fixture scored by its category's scorer."""
     df = sc.with_task_spec(fx.attempt_input(spark, sf_dir), task="task")
-    df = sc.score_frame(df, response="response", spec="spec")
+    df = sc.score_frame(df, response="response", spec="spec", with_reason=with_reason)
     return df.select(
         "event_id", "run_id", "model_config_id", "task_file", "task_id", "category",
         F.col("spec_scorer").alias("scorer"), "prompt", "expected_output", "response", "latency_sec",
@@ -102,7 +102,8 @@ def q_resolve_scorer(spark, sf_dir):
 
 
 def summary_of_fixture(spark, sf_dir):
-    return sm.run_summary(scored_attempts(spark, sf_dir))
+    # summaries read score and passed only: no reason text is built
+    return sm.run_summary(scored_attempts(spark, sf_dir, with_reason=False))
 
 
 @register("run_summary", orc.run_summary_sql)

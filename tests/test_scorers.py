@@ -159,3 +159,13 @@ def test_json_error_detail(spark):
         "Invalid JSON: Extra data: line 1 column 10 (char 9)",
         "JSON parsed successfully",
     ]
+
+
+def test_without_reason_same_scores(spark):
+    rows = [(i, c[0], c[1]) for i, c in enumerate(NUMERIC + KEYWORD + JSON)]
+    df = spark.createDataFrame(rows, "i int, task string, response string").withColumn("task", F.parse_json("task"))
+    spec = S.with_task_spec(df, out="spec")
+    full = {r.i: r.result for r in S.score_frame(spec).collect()}
+    bare = {r.i: r.result for r in S.score_frame(spec, with_reason=False).collect()}
+    assert all(bare[i].reason is None for i in bare)
+    assert {i: (r.score, r.passed) for i, r in full.items()} == {i: (r.score, r.passed) for i, r in bare.items()}
