@@ -345,11 +345,12 @@ def _decoded_sql() -> str:
 
 
 def decoded_calls(spark, sf_dir):
+    """The call log decoded; each call's server URL is its model's (same rule as the config fixture)."""
     log = fx.call_log(spark, sf_dir)
-    ev = fx.table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("model-"), (F.col("user_id") % 5).cast("string")).alias("model_config_id"))
-    urls = fx.model_configs(spark, sf_dir).select(F.col("id").alias("model_config_id"), F.col("runtime.server_url").alias("server_url"))
-    log = log.join(ev, "event_id").join(at.sized_broadcast(urls), "model_config_id", "left")
-    return rsp.decode_calls(log)
+    ev = fx.table(spark, sf_dir, "events").selectExpr(
+        "event_id", "'http://127.0.0.1:' || CAST(8080 + user_id % 5 AS STRING) || '/v1/chat/completions' AS server_url"
+    )
+    return rsp.decode_calls(log.join(ev, "event_id"))
 
 
 @register("decode_responses", lambda: f"SELECT event_id, response, total_tokens, latency_sec FROM ({_decoded_sql()})")
