@@ -30,8 +30,9 @@ def evaluate_responses(
     """Responses (plus optional ``error``) scored with their task's spec.
 
     Adds ``scorer``, ``score``, ``passed``, ``reason``. Rows with an
-    ``error`` (failed call) or without a matching task get score 0.0, not
-    passed, and the error text as reason. Task ids that repeat within a
+    ``error`` (failed call) or without a matching task are error attempts:
+    score 0.0, not passed, the error text as reason, empty response and
+    latency 0.0 (so failed calls count as zero latency in averages). Task ids that repeat within a
     file should be keyed with ``line_no`` instead of ``id``.
     """
     spec_cols = [c for c in tasks.columns if c.startswith("spec_")]
@@ -40,8 +41,16 @@ def evaluate_responses(
     scored = score_frame(j, response=response, spec="spec")
     err = F.col("error") if "error" in responses.columns else F.lit(None).cast("string")
     failure = F.when(F.col("task_matched_").isNull(), F.lit(UNKNOWN_TASK)).otherwise(err)
+    passthrough = []
+    for c in responses.columns:
+        if c == "latency_sec":
+            passthrough.append(F.when(failure.isNotNull(), F.lit(0.0)).otherwise(F.col(c)).alias(c))
+        elif c == response:
+            passthrough.append(F.when(failure.isNotNull(), F.lit("")).otherwise(F.col(c)).alias(c))
+        else:
+            passthrough.append(F.col(c))
     out = scored.select(
-        *responses.columns,
+        *passthrough,
         F.col("spec_scorer").alias("scorer"),
         F.when(failure.isNotNull(), F.lit(0.0)).otherwise(F.col("result.score")).alias("score"),
         F.when(failure.isNotNull(), F.lit(False)).otherwise(F.col("result.passed")).alias("passed"),

@@ -53,3 +53,16 @@ def test_crlf_lines_and_first_n(spark):
     assert got == [(1, "t0"), (2, "t1"), (3, "t2"), (5, "t3"), (6, "t4"), (7, "t5")]
     first = sorted(r.id for r in pl.first_n_tasks(tasks.select("task_file", "line_no", "id"), 4).collect())
     assert first == ["t0", "t1", "t2", "t3"]
+
+
+def test_evaluate_responses_error_rows(spark):
+    from evalgrid.operators.evaluate import evaluate_responses
+
+    lines = spark.createDataFrame([("f", 1, '{"id": "a", "description": "d", "expected_output": "x"}')],
+                                  "task_file string, line_no long, line string")
+    tasks, _ = T.parse_task_lines(lines)
+    resp = spark.createDataFrame([("f", "a", "X", 0.5, None), ("f", "a", None, 120.0, "timeout"), ("f", "zz", "x", 0.3, None)],
+                                 "task_file string, id string, response string, latency_sec double, error string")
+    out = sorted((r.id, r.response, r.latency_sec, r.passed, r.reason) for r in evaluate_responses(resp, tasks).collect())
+    assert out == [("a", "", 0.0, False, "timeout"), ("a", "X", 0.5, True, "Matched expected answer"),
+                   ("zz", "", 0.0, False, "Unknown task")]
