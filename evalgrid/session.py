@@ -44,6 +44,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -97,3 +98,29 @@ def spread(df, min_partitions: int | None = None):
     except Exception:  # no RDD view (e.g. Spark Connect): leave the plan alone
         return df
     return df.repartition(n) if have < n else df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``evalgrid`` importable in executor Python workers (``mapInPandas``,
+    pandas UDFs): zip the package once per session into the shared scratch
+    folder and ``addPyFile`` it, as ``--py-files`` would."""
+    import uuid
+    import zipfile
+
+    import evalgrid
+
+    sc = spark.sparkContext
+    if getattr(sc, "_evalgrid_pyfile", None):
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(evalgrid.__file__))
+    root = os.path.dirname(pkg_dir)
+    target = scratch_path(spark, "pyfiles", f"evalgrid-{uuid.uuid4().hex[:8]}.zip")
+    os.makedirs(os.path.dirname(target), exist_ok=True)
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as zf:
+        for dirpath, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    zf.write(full, os.path.relpath(full, root))
+    sc.addPyFile(target)
+    sc._evalgrid_pyfile = target
