@@ -7,8 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrid.llm import sharding
-from evalgrid.llm.common import prepare, table
+from evalgrid.llm import packing, sharding, token_files
+from evalgrid.llm.common import prepare, shared_folder, table
+from evalgrid.llm.tokens import default_tokenizer
+
+
+def op4_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 256 to 2048 tokens without padding."""
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), default_tokenizer(), end_id=1)
+    return pieces.drop("ids")
 
 
 def op5_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +33,17 @@ def op5_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as token files in order of doc_id, and read back."""
+    path = shared_folder(spark, "token-files")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path, default_tokenizer(), end_id=0)
+    return token_files.read_token_files(spark, path)
+
+
 _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
+    op4_hierarchical_packing,
     op5_feistel_sharding,
+    op10_token_files,
 ]
 
 
