@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrid.llm import packing, sharding, token_files
+from evalgrid.llm import packing, quality, sharding, token_files
 from evalgrid.llm.common import prepare, shared_folder, table
 from evalgrid.llm.tokens import default_tokenizer
 
 
+def op2_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and the isolation forest's verdict on all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.apply_rules(docs, quality.fit_rules(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 256 to 2048 tokens without padding."""
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), default_tokenizer(), end_id=1)
@@ -33,6 +39,22 @@ def op5_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of all documents; labels of held-out rows are not learnt."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit_classifier(docs, labels.where(~quality.held_out()))
+    return _verdicts(quality.score_documents(docs, model), 0.3)
+
+
+def _verdicts(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.select(
+        "doc_id",
+        F.coalesce(quality.held_out(), F.lit(True)).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as token files in order of doc_id, and read back."""
     path = shared_folder(spark, "token-files")
@@ -41,8 +63,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
+    op2_isolation_rules,
     op4_hierarchical_packing,
     op5_feistel_sharding,
+    op8_boosted_quality,
     op10_token_files,
 ]
 
