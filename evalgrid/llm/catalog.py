@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrid.llm import packing, quality, sharding, token_files
+from evalgrid.llm import packing, quality, sharding, token_files, toxicity
 from evalgrid.llm.common import prepare, shared_folder, table
 from evalgrid.llm.tokens import default_tokenizer
 
@@ -46,6 +46,13 @@ def op8_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verdicts(quality.score_documents(docs, model), 0.3)
 
 
+def op9_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of all documents; labels of held-out rows are not learnt."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    detector = toxicity.fit_detector(docs, labels.where(~quality.held_out()))
+    return _verdicts(toxicity.score_documents(docs, detector), 0.5)
+
+
 def _verdicts(scored: DataFrame, threshold: float) -> DataFrame:
     return scored.select(
         "doc_id",
@@ -67,6 +74,7 @@ _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op4_hierarchical_packing,
     op5_feistel_sharding,
     op8_boosted_quality,
+    op9_lexicon_toxicity,
     op10_token_files,
 ]
 
