@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrid.llm import packing, quality, sharding, token_files, toxicity
+from evalgrid.llm import line_dedup, packing, quality, sharding, token_files, toxicity
 from evalgrid.llm.common import prepare, shared_folder, table
 from evalgrid.llm.tokens import default_tokenizer
 
@@ -18,6 +18,33 @@ def op2_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_rules(docs, quality.fit_rules(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_bloom_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without lines that three or more documents share; the largest doc_id keeps them."""
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), least_chars=20, min_docs=3)
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def _op3_sql() -> str:
+    strip = r"'^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'"
+    lower = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    return f"""
+WITH lines AS (
+  SELECT doc_id, generate_subscripts(x, 1) AS pos, unnest(x) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)
+), keyed AS (
+  SELECT doc_id, pos, line, translate(regexp_replace(line, {strip}), {lower}) AS k FROM lines
+), repeated AS (
+  SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20
+  GROUP BY k HAVING count(DISTINCT doc_id) >= 3
+), marked AS (
+  SELECT doc_id, pos, line, keeper IS NOT NULL AND keeper <> doc_id AS gone FROM keyed LEFT JOIN repeated USING (k)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
 def op4_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 256 to 2048 tokens without padding."""
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), default_tokenizer(), end_id=1)
@@ -71,6 +98,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op2_isolation_rules,
+    op3_bloom_line_dedup,
     op4_hierarchical_packing,
     op5_feistel_sharding,
     op8_boosted_quality,
@@ -88,4 +116,4 @@ def _prepared(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _prepared(f) for f in _QUERIES}
-ORACLES: dict[str, Callable[[], str]] = {}
+ORACLES: dict[str, Callable[[], str]] = {"op3_bloom_line_dedup": _op3_sql}
