@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrid.llm import line_dedup, packing, quality, sharding, token_files, toxicity
+from evalgrid.llm import line_dedup, packing, quality, sharding, simhash, token_files, toxicity
 from evalgrid.llm.common import prepare, shared_folder, table
 from evalgrid.llm.tokens import default_tokenizer
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents over 3-word shingles, linked at 2 or fewer differing bits."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_distance=2)
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
 def op2_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and the isolation forest's verdict on all documents."""
     docs = table(spark, sf_dir, "documents")
@@ -97,6 +103,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
+    op1_simhash_near_dedup,
     op2_isolation_rules,
     op3_bloom_line_dedup,
     op4_hierarchical_packing,
