@@ -119,11 +119,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2, ke
     printed = checkpointed(fingerprints(rows, shingle, "doc", "text"))
     distinct = printed.groupBy("fp").agg(F.min("doc").alias("least"))
     grouped = checkpointed(connected_components(links(distinct.select("fp"), max_distance)))
-    named = distinct.join(grouped.withColumnRenamed("node", "fp"), "fp", "left")
-    smallest = (
-        named.where("component is not null").groupBy("component").agg(F.min("least").alias("smallest"))
-    )
-    names = named.join(smallest, "component", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"))
+    # rows of a group of copies meet on their fingerprint or component: both sides of each join
+    # come straight from a shuffle, so that adaptive execution can split a large group
+    linked = checkpointed(distinct.join(grouped.withColumnRenamed("node", "fp"), "fp"))
+    smallest = checkpointed(linked.groupBy("component").agg(F.min("least").alias("smallest")))
+    joined = linked.select("fp", "component").join(smallest, "component").select("fp", "smallest")
+    names = checkpointed(distinct.join(joined, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id")))
     return printed.join(names, "fp").select(
         F.col("doc").alias(key), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
