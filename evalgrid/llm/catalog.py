@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrid.llm import digests, line_dedup, packing, quality, sharding, simhash, token_files, toxicity
+from evalgrid.llm import digests, line_dedup, packing, quality, sampling, sharding, simhash, token_files, toxicity
 from evalgrid.llm.common import prepare, shared_folder, table
 from evalgrid.llm.tokens import default_tokenizer
 
@@ -72,6 +72,12 @@ def op5_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of every whole document, without replacement, decoded again."""
+    drawn = sampling.sample_segmentations(table(spark, sf_dir, "documents"), sampling.default_model(), k=2)
+    return drawn.drop("ids")
+
+
 def op7_improbable_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all documents and of their edited texts, compared."""
     out = digests.compare_neighbours(table(spark, sf_dir, "documents"))
@@ -114,6 +120,7 @@ _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op3_bloom_line_dedup,
     op4_hierarchical_packing,
     op5_feistel_sharding,
+    op6_gumbel_segmentations,
     op7_improbable_digest,
     op8_boosted_quality,
     op9_lexicon_toxicity,
