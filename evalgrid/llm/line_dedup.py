@@ -137,23 +137,26 @@ def _suspects(texts: list[str | None], least: int, filters: list[Bloom | None])
 
 
 def dedup_lines(
-    docs: DataFrame, least_chars: int = 20, min_docs: int = 3, most_bytes: int = MOST_BYTES, key: str = "doc_id", text: str = "text"
-) -> DataFrame:
+    docs: DataFrame, least_chars: int = 20, min_docs: int = 3, most_bytes: int = MOST_BYTES, key: str = "doc_id", text: str = "text",
+    carry: tuple[str, ...] = (),
+) -> DataFrame:
     """Documents without the lines that other documents repeat.
 
     A key (``line_key``) found in at least ``min_docs`` documents (2 or more)
     loses its lines in all of them but the one with the largest ``key``, which
     keeps all of its own. Returns key, ``text`` (what stays, joined by line
-    ends), ``n_lines`` (before) and ``n_dropped``.
+    ends), ``n_lines`` (before), ``n_dropped`` and, as one struct ``carried``, the ``carry`` columns.
 
     A null or empty text is one empty line. Rows without a key are left as
     they are and do not count as documents; rows that repeat a key are one
-    document. Without ``key`` and ``text``, columns are not read.
+    document. Other columns are not read.
     """
     if min_docs < 2:
         raise ValueError("min_docs is 2 or more")
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
+    carried = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.lit(None).cast("struct<nothing:int>")
+    rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"), carried.alias("carried"))
+    kind = f"carried {rows.schema['carried'].dataType.simpleString()}"
     known = rows.where("doc is not null")
     bits = spark.sparkContext.broadcast(twice_seen(known, least_chars, most_bytes))
 
@@ -185,12 +188,12 @@ def dedup_lines(
         fs = filters()
         for batch in batches:
             marks = [bool(s) and d is not None for d, s in zip(batch.column(0).to_pylist(), _suspects(batch.column(1).to_pylist(), least_chars, fs))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.bool_())], names=["doc", "text", "suspect"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.bool_())], names=["doc", "text", "carried", "suspect"])
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {"doc": [], "text": [], "n_lines": [], "n_dropped": []}
-            for d, t, gone in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for d, t, gone in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3))):
                 lines = (t or "").split("\n")
                 stay = lines
                 if gone:
@@ -199,13 +202,13 @@ def dedup_lines(
                 for name, value in zip(out, (d, "\n".join(stay), len(lines), len(lines) - len(stay))):
                     out[name].append(value)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out["doc"], pa.int64()), pa.array(out["text"], pa.string()), pa.array(out["n_lines"], pa.int64()), pa.array(out["n_dropped"], pa.int64())],
-                names=["doc", "text", "n_lines", "n_dropped"],
+                [pa.array(out["doc"], pa.int64()), pa.array(out["text"], pa.string()), pa.array(out["n_lines"], pa.int64()), pa.array(out["n_dropped"], pa.int64()), batch.column(2)],
+                names=["doc", "text", "n_lines", "n_dropped", "carried"],
             )
 
-    marked = rows.mapInArrow(split, "doc long, text string, suspect boolean")
-    untouched = marked.where(~F.col("suspect")).select("doc", "text", F.lit(None).cast("array<binary>").alias("lost"))
-    shared = marked.where("suspect").join(lost, F.col("doc") == F.col("lost_by"), "left").select("doc", "text", "lost")
-    schema = "doc long, text string, n_lines long, n_dropped long"
+    marked = rows.mapInArrow(split, f"doc long, text string, {kind}, suspect boolean")
+    untouched = marked.where(~F.col("suspect")).select("doc", "text", "carried", F.lit(None).cast("array<binary>").alias("lost"))
+    shared = marked.where("suspect").join(lost, F.col("doc") == F.col("lost_by"), "left").select("doc", "text", "carried", "lost")
+    schema = f"doc long, text string, n_lines long, n_dropped long, {kind}"
     done = untouched.mapInArrow(rewrite, schema).unionByName(shared.mapInArrow(rewrite, schema))
-    return done.select(F.col("doc").alias(key), F.col("text").alias(text), "n_lines", "n_dropped")
+    return done.select(F.col("doc").alias(key), F.col("text").alias(text), "n_lines", "n_dropped", *(["carried"] if carry else []))
