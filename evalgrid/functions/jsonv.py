@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from evalgrid.functions.text import _e, float_repr_sql, py_float_sql, py_repr_str_sql, strip_sql
+from evalgrid.functions.text import _e, float_repr_sql, py_float_sql, py_repr_str_sql, raw, strip_sql
 
 
 def _typed(v: str, t: str) -> str:
@@ -72,6 +72,25 @@ def py_text_sql(v: str, k: str | None = None) -> str:
     )
 
 
+# One token of JSON text: a string, a number, a word, or a mark.
+_TOKEN_RE = r'"(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|true|false|null|[\[\]{}:,]'
+
+
+def py_nested_sql(text: str) -> str:
+    """Python ``str`` of a list or object given as compact JSON text, whatever its depth.
+
+    Each token is rewritten on its own, so no recursion is needed. Objects
+    print their keys in the text's order.
+    """
+    string = py_repr_str_sql("try_variant_get(try_parse_json(t), '$', 'string')")
+    number = f"CASE WHEN t RLIKE r'[.eE]' THEN {float_repr_sql('t')} ELSE t END"
+    one = (
+        "CASE t WHEN ':' THEN ': ' WHEN ',' THEN ', ' WHEN 'true' THEN 'True' WHEN 'false' THEN 'False' WHEN 'null' THEN 'None' "
+        f"ELSE CASE WHEN startswith(t, '\"') THEN {string} WHEN t RLIKE r'^-?[0-9]' THEN {number} ELSE t END END"
+    )
+    return f"array_join(transform(regexp_extract_all({text}, {raw(_TOKEN_RE)}, 0), t -> {one}), '')"
+
+
 def py_repr_sql(v: str, k: str | None = None) -> str:
     """Python ``repr(x)`` of a VARIANT (strings quoted)."""
     k = k or f"({json_kind_sql(v)})"

@@ -6,9 +6,9 @@ Joins here are the only shuffles between scoring and summary:
   task file, task, repeat): both sides hash-partitioned on it; a key matches
   at most one response, so no key can be hot on both sides, and AQE's
   skew-join split covers a skewed side;
-* attempts x configs: configs are one row per model. They are broadcast
-  only after counting them against ``max_broadcast_rows``; beyond that
-  bound the join stays a shuffle join.
+* attempts x configs: configs are one row per model. The join carries no
+  hint: Spark broadcasts them while their bytes are under its threshold,
+  and adaptive execution splits a skewed side beyond it.
 """
 
 from __future__ import annotations
@@ -20,19 +20,6 @@ from pyspark.sql import functions as F
 
 ATTEMPT_KEYS = ("run_id", "model_config_id", "task_file", "task_id", "repeat_index")
 SETTINGS_FIELDS = ("context_size", "temperature", "top_p", "max_tokens")
-MAX_BROADCAST_ROWS = 100_000
-
-
-def sized_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df`` unchanged.
-
-    The count is an action on the small side only; a dimension that grows
-    past the bound silently falls back to a shuffle join instead of
-    flooding executors.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
 
 def settings_of(configs: DataFrame) -> DataFrame:
     """(model_config_id, settings STRUCT<context_size, temperature, top_p, max_tokens>)."""
@@ -42,20 +29,21 @@ def settings_of(configs: DataFrame) -> DataFrame:
     )
 
 
-def with_settings(attempts: DataFrame, configs: DataFrame, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def with_settings(attempts: DataFrame, configs: DataFrame) -> DataFrame:
     """Attach each attempt's model settings (left join; unknown models get NULL settings)."""
-    return attempts.join(sized_broadcast(settings_of(configs), max_broadcast_rows), "model_config_id", "left")
+    return attempts.join(settings_of(configs), "model_config_id", "left")
 
 
 def request_payload(prompt: str = "prompt", settings: str = "settings") -> F.Column:
-    """The chat-completions request body for one attempt, as JSON text."""
+    """The chat-completions request body for one attempt, as JSON text (a setting that is null is sent as null)."""
     return F.to_json(
         F.struct(
             F.array(F.struct(F.lit("user").alias("role"), F.col(prompt).alias("content"))).alias("messages"),
             F.col(f"{settings}.temperature").alias("temperature"),
             F.col(f"{settings}.top_p").alias("top_p"),
             F.col(f"{settings}.max_tokens").alias("max_tokens"),
-        )
+        ),
+        {"ignoreNullFields": "false"},
     )
 
 

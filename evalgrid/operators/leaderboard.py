@@ -41,10 +41,10 @@ def latest_per_group(
     when given; otherwise to the greatest remaining row (deterministic).
     """
     cols = df.columns
-    rank_key = [F.col(order)]
-    if ingest_seq:
-        rank_key.append(-F.col(ingest_seq))
-    rank_key += [F.col(c) for c in cols if c not in keys and c != order and c != ingest_seq]
+    if ingest_seq:  # of rows with equal keys and order the first, then the greatest order: two partial aggregations
+        first = df.groupBy(*keys, order).agg(F.min_by(F.struct(*[F.col(c) for c in cols]), F.col(ingest_seq)).alias("__first"))
+        df = first.select(*[F.col("__first")[c].alias(c) for c in cols])
+    rank_key = [F.col(order), *(F.col(c) for c in cols if c not in keys and c != order and c != ingest_seq)]
     best = df.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in cols]), F.struct(*rank_key)).alias("__best"))
     return best.select(*[F.col("__best")[c].alias(c) for c in cols])
 
@@ -102,8 +102,9 @@ def sort_order():
 def markdown_rows(board: DataFrame) -> DataFrame:
     """The rendered table: (line_no, line), title and header included.
 
-    Body rows are numbered by the distributed row-number helper in rank
-    order; the header lines are a constant four-row frame unioned on top.
+    Body rows (one per model and task file, after the aggregation) are
+    numbered in rank order by a window; the header lines are a constant
+    four-row frame unioned on top.
     """
     ranked = row_number_within(board, [], sort_order(), out="__rank")
     body = ranked.select(
@@ -135,14 +136,18 @@ def migrate_summary_frames(frames: list[DataFrame]) -> DataFrame:
 
     Columns a generation lacks become NULL (blank), extra columns are
     dropped; nothing is rewritten in place (the caller writes the result to
-    a new path if it wants to persist it).
+    a new path if it wants to persist it). If all frames carry ``__seq`` it is
+    kept, behind the frame's place in the list.
     """
     from evalgrid.operators.summary import SUMMARY_COLUMNS
 
+    placed = all("__seq" in f.columns for f in frames)
+    if placed:
+        frames = [f.withColumn("__seq", F.struct(F.lit(i).alias("frame"), F.col("__seq").alias("seq"))) for i, f in enumerate(frames)]
     merged = frames[0]
     for f in frames[1:]:
         merged = merged.unionByName(f, allowMissingColumns=True)
     for c in SUMMARY_COLUMNS:
         if c not in merged.columns:
             merged = merged.withColumn(c, F.lit(None).cast("string"))
-    return merged.select(*SUMMARY_COLUMNS)
+    return merged.select(*SUMMARY_COLUMNS, *(["__seq"] if placed else []))

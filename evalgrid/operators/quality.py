@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalgrid.operators.sequence import row_number_within
+from evalgrid.operators.sequence import previous_within
 
 # Allowed enums, id pattern, limits and status transitions.
 TYPES = ("code_review", "bug_fix", "feature", "documentation", "refactoring", "testing", "research", "other")
@@ -75,20 +75,23 @@ def dangling_references(items: DataFrame, ref_col: str, key: str = "id") -> Data
     return items.filter(F.col(ref_col).isNotNull()).join(keys, ref_col, "left_anti")
 
 
-def invalid_transitions(events: DataFrame, entity: str, order: Sequence[str], status: str = "status", ident: str = "id") -> DataFrame:
+def invalid_transitions(
+    events: DataFrame, entity: str, order: Sequence[str], status: str = "status", ident: str = "id", bucket: Column | None = None
+) -> DataFrame:
     """Consecutive status changes per entity that are not allowed.
 
-    Consecutive rows are paired by an equi-join on (entity, position) =
-    (entity, position + 1) over skew-safe row numbers, so no entity's
-    history has to sit in one task. Unchanged statuses are not transitions.
+    Each row meets the one before it by a window over the entity (a NULL
+    entity has a history like any other); ``bucket`` as in
+    ``row_number_within``, for histories too long for one task. Unchanged
+    statuses are not transitions.
     """
-    n = row_number_within(events.select(entity, *order, status, ident), [entity], list(order), out="__seq")
-    prev = n.select(F.col(entity), (F.col("__seq") + 1).alias("__seq"), F.col(status).alias("from_status"), F.col(ident).alias("from_id"))
-    cur = n.select(F.col(entity), "__seq", F.col(status).alias("to_status"), F.col(ident).alias("to_id"))
-    pairs = prev.join(cur, [entity, "__seq"]).filter(F.col("from_status") != F.col("to_status"))
+    rows = events.select(entity, *dict.fromkeys([*order, status, ident]))
+    pairs = previous_within(rows, [entity], list(order), {status: "from_status", ident: "from_id"}, bucket)
+    pairs = pairs.select(entity, "from_status", "from_id", F.col(status).alias("to_status"), F.col(ident).alias("to_id"))
+    pairs = pairs.filter(F.col("from_status") != F.col("to_status"))
     allowed = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ALLOWED_TRANSITIONS])
     bad = ~F.array_contains(allowed, F.struct(F.col("from_status").alias("a"), F.col("to_status").alias("b")))
-    return pairs.filter(bad).drop("__seq")
+    return pairs.filter(bad)
 
 
 def upsert(base: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalgrid.operators.leaderboard import latest_per_group, sort_order
-from evalgrid.operators.attempts import sized_broadcast
 
 RUN_STATUSES = ("running", "completed", "cancelled", "failed")
 # Categories whose responses are saved as artifacts, default extension.
@@ -23,7 +22,7 @@ ARTIFACT_EXT = ".md"
 
 def tasks_by_suite(tasks: DataFrame, suites: DataFrame) -> DataFrame:
     """Tasks resolved through the suite that names their task file."""
-    return tasks.join(sized_broadcast(suites.select("suite_id", "task_file")), "task_file")
+    return tasks.join(suites.select("suite_id", "task_file"), "task_file")
 
 
 def suites_without_tasks(suites: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -60,7 +59,7 @@ def full_summary(summary: DataFrame, status: DataFrame, suites: DataFrame, artif
     counts = artifacts.groupBy(*run_keys).agg(F.count(F.lit(1)).alias("artifact_count"))
     j = (
         summary.join(status, list(run_keys), "left")
-        .join(sized_broadcast(suites.select("suite_id", "task_file")), "task_file", "left")
+        .join(suites.select("suite_id", "task_file"), "task_file", "left")
         .join(counts, list(run_keys), "left")
     )
     return j.withColumn("artifact_count", F.coalesce("artifact_count", F.lit(0)).cast("bigint")).withColumn(

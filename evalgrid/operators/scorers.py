@@ -27,6 +27,7 @@ from evalgrid.functions.jsonv import (
     json_kind_sql,
     object_keys_sql,
     py_float_of_sql,
+    py_nested_sql,
     py_repr_sql,
     py_text_sql,
     strict_json_sql,
@@ -182,14 +183,18 @@ def with_task_spec(df: DataFrame, task: str = "task", out: str = "spec", categor
             "__category": f"CASE WHEN __cat_k IS NULL THEN '' WHEN __cat_k = 'NoneType' THEN CAST(NULL AS STRING) "
             f"ELSE {py_text_sql('__cat_v', '__cat_k')} END",
             "__exp_null": is_json_null_sql("__exp_v"),
-            "__exp_text": strip_sql(py_text_sql("__exp_v", "__exp_k")),
+            "__exp_text": strip_sql(
+                f"CASE WHEN __exp_k IN ('list', 'dict') THEN {py_nested_sql('to_json(__exp_v)')} "
+                f"ELSE {py_text_sql('__exp_v', '__exp_k')} END"
+            ),
             "__exp_num": py_float_of_sql("__exp_v", "__exp_k"),
             "__exp_repr": py_repr_sql("__exp_v", "__exp_k"),
             "__tol_num": f"CASE WHEN __tol_v IS NULL THEN {DEFAULT_TOLERANCE} ELSE {py_float_of_sql('__tol_v', '__tol_k')} END",
             "__tol_repr": f"CASE WHEN __tol_v IS NULL THEN 'None' ELSE {py_repr_sql('__tol_v', '__tol_k')} END",
             "__kw_error": f"CASE WHEN __kw_k IS NULL OR __kw_k = 'NoneType' THEN {msg('missing_keywords')} "
             f"WHEN __kw_k <> 'list' THEN {msg('keywords_not_list', kind='__kw_k')} END",
-            "__kw": f"CASE WHEN __kw_k <> 'list' THEN NULL WHEN __kw_t = 'ARRAY<STRING>' THEN try_variant_get(__kw_v, '$', 'array<string>') "
+            "__kw": f"CASE WHEN __kw_k <> 'list' THEN NULL WHEN __kw_t = 'ARRAY<STRING>' AND NOT exists(try_variant_get(__kw_v, '$', 'array<string>'), x -> x IS NULL) "
+            f"THEN try_variant_get(__kw_v, '$', 'array<string>') "
             f"ELSE transform(try_variant_get(__kw_v, '$', 'array<variant>'), e -> {py_text_sql('e')}) END",
             "__thr_num": f"CASE WHEN __thr_v IS NULL THEN {DEFAULT_THRESHOLD} "
             f"WHEN __thr_k IN ('int', 'float', 'bool') THEN {py_float_of_sql('__thr_v', '__thr_k')} END",
@@ -202,7 +207,8 @@ def with_task_spec(df: DataFrame, task: str = "task", out: str = "spec", categor
             "__tool_num": f"CASE WHEN __tool_k IN ('int', 'float', 'bool') THEN {py_float_of_sql('__tool_v', '__tool_k')} END",
             "__req_applies": "coalesce(__req_k IS NOT NULL AND __req_k <> 'NoneType', false)",
             "__req_kind": "__req_k",
-            "__req_items": "CASE WHEN __req_t = 'ARRAY<STRING>' THEN transform(try_variant_get(__req_v, '$', 'array<string>'), "
+            "__req_items": "CASE WHEN __req_t = 'ARRAY<STRING>' AND NOT exists(try_variant_get(__req_v, '$', 'array<string>'), x -> x IS NULL) "
+            "THEN transform(try_variant_get(__req_v, '$', 'array<string>'), "
             "x -> named_struct('is_str', true, 'key', x, 'text', x)) "
             "ELSE transform(try_variant_get(__req_v, '$', 'array<variant>'), e -> named_struct("
             "'is_str', schema_of_variant(e) = 'STRING', 'key', try_variant_get(e, '$', 'string'), "
@@ -302,7 +308,8 @@ def _json(sp: str, json_error_detail: bool = False, **opts) -> str:
     ta, ra = f"{sp}_tool_applies", f"{sp}_req_applies"
     num = "('int', 'float', 'bool')"
     same = (
-        f"CASE WHEN __r_tool_kind IN {num} AND {sp}_tool_kind IN {num} THEN __r_tool_num = {sp}_tool_num "
+        f"CASE WHEN __r_tool_kind = 'int' AND {sp}_tool_kind = 'int' THEN __r_tool_json = {sp}_tool_json "
+        f"WHEN __r_tool_kind IN {num} AND {sp}_tool_kind IN {num} THEN __r_tool_num = {sp}_tool_num "
         f"ELSE __r_tool_kind = {sp}_tool_kind AND __r_tool_json = {sp}_tool_json END"
     )
     tool_ok = f"({ta} AND __r_tool IS NOT NULL AND coalesce({same}, false))"

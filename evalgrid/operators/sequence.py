@@ -1,59 +1,64 @@
-"""Exact row numbers without funnelling a hot group through one task.
-
-``row_number() OVER (PARTITION BY k ORDER BY o)`` hash-partitions on ``k``:
-a key holding a third of all rows becomes one task that sorts and buffers
-that third. Here the rows are range-partitioned on ``(k, o)`` instead, so a
-hot key spans many tasks; each task numbers its slice locally, and a small
-table of per-slice counts (one row per (range partition, key), at most
-#partitions rows per key) supplies the offset of every slice.
-
-The result equals the window function when ``(k, o)`` is unique. Callers add
-a unique tie-breaker column; without it the numbering of ties would depend on
-shuffle arrival order.
-
-The sliced rows are used twice (for the counts and for the final join), and
-range bounds, AQE partition coalescing and shuffle order may differ between
-two evaluations. So the slices are written once with a reliable
-``checkpoint()`` to the shared ``spark.checkpoint.dir``: both uses read the
-same rows, positions and partition ids, also after an executor is lost.
+"""Row numbers and neighbours within groups.
+
+Both are window functions: lazy, and rows whose group key is NULL form a group
+of their own. A group that may hold a large share of all rows needs more than
+one task; for it the caller names a ``bucket``, a column that rises with the
+first order column (a block of ids, an hour of a timestamp). The window then
+runs within (group, bucket), and a table with one row per (group, bucket)
+supplies what comes before each bucket. Nothing runs until the result is used.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalgrid.session import ensure_checkpoint_dir
+
+def _by_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys``, NULL matching NULL, keeping the left keys."""
+    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
+    return left.join(renamed, on, how).drop(*(f"__r_{k}" for k in keys))
 
 
 def row_number_within(
-    df: DataFrame,
-    partition_cols: Sequence[str],
-    order_cols: Sequence,
-    out: str = "rn",
-    num_partitions: int | None = None,
+    df: DataFrame, partition_cols: Sequence[str], order_cols: Sequence, out: str = "rn", bucket: Column | None = None
 ) -> DataFrame:
-    """Add ``out`` = 1-based position of each row in ``order_cols`` order within ``partition_cols``.
+    """Add ``out``: the 1-based position of each row in ``order_cols`` order within ``partition_cols``.
 
-    ``order_cols`` may hold column names or sort Columns (``F.col(x).desc()``).
+    ``order_cols`` may hold names or sort Columns; callers make the order
+    unique, else the numbers of equal rows may swap. ``bucket`` never falls
+    while the order rises.
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pcols = [F.col(c) for c in partition_cols]
-    ocols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    keys = pcols + ocols
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    tagged = ranged.withColumn("__pid", F.spark_partition_id()).withColumn("__pos", F.monotonically_increasing_id())
-    ensure_checkpoint_dir(spark)
-    tagged = tagged.checkpoint(eager=True)
-    stats = tagged.groupBy("__pid", *partition_cols).agg(
-        F.count(F.lit(1)).alias("__cnt"), F.min("__pos").alias("__first")
-    )
-    w = Window.partitionBy(*partition_cols).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    stats = stats.withColumn("__before", F.coalesce(F.sum("__cnt").over(w), F.lit(0)))
-    joined = tagged.join(stats.select("__pid", *partition_cols, "__before", "__first"), ["__pid", *partition_cols])
-    return joined.withColumn(out, F.col("__before") + F.col("__pos") - F.col("__first") + F.lit(1)).drop(
-        "__pid", "__pos", "__before", "__first"
-    )
+    order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    if bucket is None:
+        window = Window.partitionBy(*partition_cols).orderBy(*order)
+        return df.withColumn(out, F.row_number().over(window).cast("long"))
+    keys = [*partition_cols, "__bucket"]
+    marked = df.withColumn("__bucket", bucket)
+    before = Window.partitionBy(*partition_cols).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    offsets = offsets.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    numbered = marked.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    joined = _by_keys(numbered, offsets, keys)
+    return joined.withColumn(out, F.col("__before") + F.col("__rn")).drop("__bucket", "__rn", "__before")
+
+
+def previous_within(
+    df: DataFrame, partition_cols: Sequence[str], order_cols: Sequence[str], columns: dict[str, str], bucket: Column | None = None
+) -> DataFrame:
+    """Add for each (source, name) of ``columns`` the value of the row before, NULL in a group's first row."""
+    taken = F.struct(*(F.col(c).alias(n) for c, n in columns.items()))
+    keys = [*partition_cols, "__bucket"]
+    marked = df.withColumn("__bucket", bucket if bucket is not None else F.lit(0))
+    out = marked.withColumn("__prev", F.lag(taken).over(Window.partitionBy(*keys).orderBy(*order_cols)))
+    if bucket is not None:
+        last = marked.groupBy(*keys).agg(F.max_by(taken, F.struct(*order_cols)).alias("__last"))
+        earlier = F.lag("__last").over(Window.partitionBy(*partition_cols).orderBy("__bucket"))
+        out = _by_keys(out, last.select(*keys, earlier.alias("__earlier")), keys)
+        out = out.withColumn("__prev", F.coalesce("__prev", "__earlier")).drop("__earlier")
+    return out.select(*df.columns, *(F.col("__prev")[n].alias(n) for n in columns.values()))

@@ -5,17 +5,19 @@ task (attempt count, passes, exact sums), then per run. A hot run or task
 is collapsed to one partial row per map task before any shuffle, so skew
 never reaches a single reducer with raw rows.
 
-Averages are exact: scores and latencies are summed as DECIMAL(38,10) and
-divided once, so the result does not depend on partitioning or summation
-order (a float sum does), and recomputation after executor loss gives the
-same bits.
+Scores and latencies are doubles and are summed without losing digits: each
+is split into a multiple of 2**-20, summed as an exact decimal, and the rest,
+which is below 2**-21 and summed as a double. So the order of summation shows
+only far below a double's last digit. NaN, infinities and magnitudes from
+2**42 on are summed as doubles and stay visible in the average. NULL counts
+as 0.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalgrid.functions.text import fixed
@@ -28,8 +30,30 @@ SUMMARY_COLUMNS = [
 ]
 
 
-def _exact(c: str):
-    return F.col(c).cast("decimal(38,10)")
+_STEP, _LARGE = float(2**20), float(2**42)
+
+
+def sum_parts(c: str, name: str) -> list[Column]:
+    """Aggregates whose ``total`` is the sum of the doubles in ``c``."""
+    x = F.col(c).cast("double")
+    usual = F.abs(x) < _LARGE  # not so for NaN, which sorts above all
+    steps = F.rint(x * _STEP).cast("long")
+    return [
+        F.sum(F.when(usual, steps).cast("decimal(20,0)")).alias(f"{name}_steps"),
+        F.sum(F.when(usual, x - steps / _STEP)).alias(f"{name}_rest"),
+        F.sum(F.when(~usual, x)).alias(f"{name}_large"),
+    ]
+
+
+def sum_again(name: str, source: str | None = None) -> list[Column]:
+    """Aggregates that add up what ``sum_parts`` made."""
+    src = source or name
+    return [F.sum(f"{src}_{p}").alias(f"{name}_{p}") for p in ("steps", "rest", "large")]
+
+
+def total(name: str) -> Column:
+    steps = F.coalesce(F.col(f"{name}_steps").cast("double"), F.lit(0.0)) / _STEP
+    return F.coalesce(F.col(f"{name}_large"), F.lit(0.0)) + (steps + F.coalesce(F.col(f"{name}_rest"), F.lit(0.0)))
 
 
 def run_summary(
@@ -48,22 +72,22 @@ def run_summary(
     per_task = attempts.groupBy(*keys, task_key).agg(
         F.count(F.lit(1)).alias("__n"),
         F.count_if(F.col(passed)).alias("__p"),
-        F.sum(_exact(score)).alias("__s"),
-        F.sum(_exact(latency)).alias("__l"),
+        *sum_parts(score, "__s"),
+        *sum_parts(latency, "__l"),
     )
     per_run = per_task.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_tasks"),
         F.sum("__n").alias("total_attempts"),
         F.sum("__p").alias("passed"),
-        F.sum("__s").alias("__s"),
-        F.sum("__l").alias("__l"),
+        *sum_again("__s"),
+        *sum_again("__l"),
         F.max("__n").cast("int").alias("repeats"),
     )
     return finish_summary(per_run, keys)
 
 
 def finish_summary(per_run: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
-    """Rates and averages from (total_tasks, total_attempts, passed, __s, __l, repeats)."""
+    """Rates and averages from (total_tasks, total_attempts, passed, sums __s and __l, repeats)."""
     n = F.col("total_attempts")
     nz = n > 0
     return per_run.select(
@@ -73,8 +97,8 @@ def finish_summary(per_run: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFr
         F.col("passed").cast("bigint").alias("passed"),
         (n - F.col("passed")).cast("bigint").alias("failed"),
         F.when(nz, F.col("passed") / n).otherwise(F.lit(0.0)).alias("pass_rate"),
-        F.when(nz, F.col("__s").cast("double") / n).otherwise(F.lit(0.0)).alias("average_score"),
-        F.when(nz, F.col("__l").cast("double") / n).otherwise(F.lit(0.0)).alias("average_latency_sec"),
+        F.when(nz, total("__s") / n).otherwise(F.lit(0.0)).alias("average_score"),
+        F.when(nz, total("__l") / n).otherwise(F.lit(0.0)).alias("average_latency_sec"),
         F.col("repeats").cast("int").alias("repeats"),
     )
 

@@ -338,7 +338,7 @@ def _decoded_sql() -> str:
                 || array_to_string(list_transform({keys}, lambda k: '''' || k || ''''), ', ') || ']' END AS error,
       CASE WHEN transport_error IS NULL AND status_code = 200 THEN {content} END AS response,
       CAST(json_extract({body_v}, '$.usage.total_tokens') AS BIGINT) AS total_tokens,
-      latency_sec
+      CAST(printf('%.3f', latency_sec) AS DOUBLE) AS latency_sec
     FROM (SELECT c.*, s.server_url FROM ({fx.call_log_sql()}) c
           JOIN (SELECT event_id, 'model-' || CAST(user_id % 5 AS VARCHAR) AS model_config_id FROM events) u USING (event_id)
           JOIN ({fx.MODEL_SETTINGS_SQL}) s USING (model_config_id))"""
@@ -356,7 +356,7 @@ def decoded_calls(spark, sf_dir):
 @register("decode_responses", lambda: f"SELECT event_id, response, total_tokens, latency_sec FROM ({_decoded_sql()})")
 def q_decode_responses(spark, sf_dir):
     d = decoded_calls(spark, sf_dir)
-    return d.select("event_id", "response", F.col("usage")["total_tokens"].alias("total_tokens"), "latency_sec")
+    return d.select("event_id", "response", F.col("usage")["total_tokens"].cast("bigint").alias("total_tokens"), "latency_sec")
 
 
 @register("classify_failures", lambda: f"SELECT event_id, error_kind, error FROM ({_decoded_sql()})")
@@ -462,7 +462,7 @@ def q_attempts(spark, sf_dir):
 )
 def q_attempt_ordinal(spark, sf_dir):
     a = fx.attempt_input_with_repeats(spark, sf_dir).select("event_id", "run_id", "model_config_id", "task_file", "task_id", "repeat_index")
-    o = pl.attempt_ordinals(a, ["run_id", "model_config_id", "task_file"], ["task_id", "repeat_index"])
+    o = pl.attempt_ordinals(a, ["run_id", "model_config_id", "task_file"], ["task_id", "repeat_index"], bucket=F.col("task_id"))
     return o.select("event_id", "ordinal", "total")
 
 
@@ -580,7 +580,7 @@ def q_summary_scan(spark, sf_dir):
 )
 def q_summary_migration(spark, sf_dir):
     paths = write_summary_csv(spark, sf_dir, OLD_FORMAT_BEFORE)
-    return lb.migrate_summary_frames([sinks.read_summary_csv(spark, p) for p in paths])
+    return lb.migrate_summary_frames([sinks.read_summary_csv(spark, p) for p in paths]).drop("__seq")
 
 
 @register("leaderboard_old_format", lambda: orc.latest_sql(_parsed_sql(OLD_FORMAT_BEFORE)))
@@ -729,7 +729,7 @@ def q_run_summary_full(spark, sf_dir):
               FROM (SELECT s.*, su.suite_id FROM ({orc.run_summary_sql()}) s JOIN ({fx.SUITES_SQL}) su USING (task_file))) WHERE rn = 1)""",
 )
 def q_leaderboard_by_suite(spark, sf_dir):
-    s = summary_of_fixture(spark, sf_dir).join(at.sized_broadcast(fx.suites(spark, sf_dir).select("suite_id", "task_file")), "task_file")
+    s = summary_of_fixture(spark, sf_dir).join(fx.suites(spark, sf_dir).select("suite_id", "task_file"), "task_file")
     return rn.suite_leaderboard(s)
 
 

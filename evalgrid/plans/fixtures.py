@@ -90,7 +90,7 @@ def attempt_input_sql() -> str:
 
 def attempt_input_with_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B1 with ``repeat_index``: 0-based order of ``event_id`` within
-    (run, model, task file, task). Uses the skew-safe row numbering."""
+    (run, model, task file, task). """
     df = attempt_input(spark, sf_dir)
     keys = ["run_id", "model_config_id", "task_file", "task_id"]
     return row_number_within(df, keys, ["event_id"], out="__rn").withColumn(
@@ -126,7 +126,9 @@ def task_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B2 rows with ``line_no``: 1-based position of the event within its task file."""
     ev = table(spark, sf_dir, "events")
     df = ev.selectExpr(*[f"{e} AS {n}" for n, e in TASK_LINES])
-    return row_number_within(df, ["task_file"], ["event_id"], out="line_no").select("task_file", "line_no", "line")
+    # few files hold all lines: numbered block by block of event ids
+    numbered = row_number_within(df, ["task_file"], ["event_id"], out="line_no", bucket=F.expr("event_id div 10000"))
+    return numbered.select("task_file", "line_no", "line")
 
 
 def task_lines_sql() -> str:

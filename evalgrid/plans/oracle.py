@@ -151,24 +151,31 @@ def scored_all(extra: str = "") -> str:
     )
 
 
+def exact_sum(x: str) -> str:
+    """Sum of finite doubles without loss: multiples of 2**-20 as integers, and what is left, below 2**-21, apart."""
+    steps = f"round(CAST({x} AS DOUBLE) * 1048576)"
+    return f"(CAST(sum(CAST({steps} AS HUGEINT)) AS DOUBLE) / 1048576 + sum(CAST({x} AS DOUBLE) - {steps} / 1048576))"
+
+
 def run_summary_sql(attempts_sql: str | None = None) -> str:
     a = attempts_sql or scored_all()
     return f"""
 WITH a AS ({a}),
 t AS (SELECT run_id, model_config_id, task_file, task_id, count(*) AS n,
-             count(*) FILTER (WHERE passed) AS p,
-             sum(CAST(score AS DECIMAL(38,10))) AS s, sum(CAST(latency_sec AS DECIMAL(38,10))) AS l
-      FROM a GROUP BY run_id, model_config_id, task_file, task_id)
+             count(*) FILTER (WHERE passed) AS p
+      FROM a GROUP BY run_id, model_config_id, task_file, task_id),
+m AS (SELECT run_id, model_config_id, task_file, {exact_sum('score')} AS s, {exact_sum('latency_sec')} AS l FROM a
+      GROUP BY run_id, model_config_id, task_file)
 SELECT run_id, model_config_id, task_file,
        CAST(count(*) AS BIGINT) AS total_tasks,
        CAST(sum(n) AS BIGINT) AS total_attempts,
        CAST(sum(p) AS BIGINT) AS passed,
        CAST(sum(n) - sum(p) AS BIGINT) AS failed,
        CASE WHEN sum(n) > 0 THEN CAST(sum(p) AS DOUBLE) / CAST(sum(n) AS DOUBLE) ELSE 0.0 END AS pass_rate,
-       CASE WHEN sum(n) > 0 THEN CAST(sum(s) AS DOUBLE) / CAST(sum(n) AS DOUBLE) ELSE 0.0 END AS average_score,
-       CASE WHEN sum(n) > 0 THEN CAST(sum(l) AS DOUBLE) / CAST(sum(n) AS DOUBLE) ELSE 0.0 END AS average_latency_sec,
+       CASE WHEN sum(n) > 0 THEN max(s) / CAST(sum(n) AS DOUBLE) ELSE 0.0 END AS average_score,
+       CASE WHEN sum(n) > 0 THEN max(l) / CAST(sum(n) AS DOUBLE) ELSE 0.0 END AS average_latency_sec,
        CAST(max(n) AS INTEGER) AS repeats
-FROM t GROUP BY run_id, model_config_id, task_file"""
+FROM t JOIN m USING (run_id, model_config_id, task_file) GROUP BY run_id, model_config_id, task_file"""
 
 
 def latest_sql(summary_sql: str) -> str:

@@ -61,14 +61,17 @@ def apply_library_conf(spark: SparkSession) -> SparkSession:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster that setting names shared storage and is respected as is.
-    Only when it is unset (local tests, the bench) a scratch folder is made.
+    On a cluster that setting names shared storage and is respected as is; a
+    cluster session without it is refused, as executors could not read the
+    driver's folders. In local mode an unset one gets a scratch folder.
     """
     current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if current:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(current)
         return spark.sparkContext.getCheckpointDir() or current
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="evalgrid-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
@@ -77,10 +80,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder for tables a job writes and re-reads."""
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, "evalgrid", *parts)
+    return "/".join([ensure_checkpoint_dir(spark).rstrip("/"), "evalgrid", *parts])
 
 
 def spread(df, min_partitions: int | None = None):
@@ -102,9 +102,9 @@ def spread(df, min_partitions: int | None = None):
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``evalgrid`` importable in executor Python workers (``mapInPandas``,
-    pandas UDFs): zip the package once per session into the shared scratch
-    folder and ``addPyFile`` it, as ``--py-files`` would."""
-    import uuid
+    pandas UDFs): zip the package once per session on the driver and
+    ``addPyFile`` it, as ``--py-files`` would. Spark sends the file to the
+    executors itself, so no storage is involved."""
     import zipfile
 
     import evalgrid
@@ -114,8 +114,7 @@ def ship_package(spark: SparkSession) -> None:
         return
     pkg_dir = os.path.dirname(os.path.abspath(evalgrid.__file__))
     root = os.path.dirname(pkg_dir)
-    target = scratch_path(spark, "pyfiles", f"evalgrid-{uuid.uuid4().hex[:8]}.zip")
-    os.makedirs(os.path.dirname(target), exist_ok=True)
+    target = os.path.join(tempfile.mkdtemp(prefix="evalgrid-py-"), "evalgrid.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as zf:
         for dirpath, _, files in os.walk(pkg_dir):
             for f in files:

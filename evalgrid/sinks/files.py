@@ -8,11 +8,15 @@ summary with a changed schema is migrated into a new path.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalgrid.operators.summary import SUMMARY_COLUMNS
 
+_LOG = logging.getLogger(__name__)
+
 # Fixed value: file stem of a task path (last component without its extension).
 STEM_RE = r"([^/\\]+?)(\.[^./\\]*)?$"
 
@@ -54,12 +58,25 @@ def write_summary(summary: DataFrame, path: str, fmt: str = "csv", mode: str = "
 def read_summary_csv(spark, path: str) -> DataFrame:
     """All-string summary rows (any header generation); blank cells are NULL.
 
-    ``__seq`` is the row's position in scan order (file order within a file,
-    files in path order): the leaderboard keeps the first of two rows with
-    the same run id, as a reader walking the file would."""
-    return spark.read.option("header", True).option("inferSchema", False).csv(path).withColumn(
-        "__seq", F.monotonically_increasing_id()
+    ``__seq`` is the row's place: file, block of the file, position in it. The
+    leaderboard keeps the first of two rows with the same run id, as a reader
+    walking the files by name would. A missing path is an empty summary."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        rows = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        _LOG.warning("no summary at %s", path)
+        rows = spark.createDataFrame([], ", ".join(f"{c} string" for c in SUMMARY_COLUMNS))
+        return rows.withColumn("__seq", F.lit(None).cast("struct<file:string,block:bigint,row:bigint>"))
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
     )
+    return rows.select("*", place.alias("__seq"))
 
 
 def write_markdown(lines: DataFrame, path: str) -> None:
@@ -73,13 +90,11 @@ def write_markdown(lines: DataFrame, path: str) -> None:
 
 def write_leaderboard(board: DataFrame, path: str) -> None:
     """Write the Markdown leaderboard; an empty board gives the title and ``No data yet.``."""
-    import logging
-
     from evalgrid.operators import leaderboard as lb
 
     spark = board.sparkSession
     if board.isEmpty():
-        logging.getLogger(__name__).warning("leaderboard input is empty; writing an empty report to %s", path)
+        _LOG.warning("leaderboard input is empty; writing an empty report to %s", path)
         lines = spark.createDataFrame([(1, lb.TITLE), (2, ""), (3, lb.EMPTY)], "line_no long, line string")
     else:
         lines = lb.markdown_rows(board)
@@ -103,5 +118,5 @@ def persist_run(attempts: DataFrame, summary: DataFrame, board: DataFrame, root:
             step()
             status[name] = "ok"
         except Exception as e:  # noqa: BLE001 - reported per sink
-            status[name] = f"error: {type(e).__name__}: {str(e).splitlines()[0][:200]}"
+            status[name] = f"error: {type(e).__name__}: {e}"
     return status

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalgrid.functions.jsonv import strict_json_sql
-from evalgrid.functions.text import fill_sql, lit
+from evalgrid.functions.text import fill_sql, fixed, lit
 
 # Request timeout (seconds) quoted in timeout messages, and the
 # failure texts of a chat-completions call.
@@ -29,11 +29,12 @@ MESSAGES = {
 
 
 def decode_calls(log: DataFrame, server_url: str | None = None) -> DataFrame:
-    """Add ``response``, ``usage``, ``error_kind``, ``error`` to a call log.
+    """Add ``response``, ``usage``, ``usage_json``, ``error_kind``, ``error`` to a call log.
 
     Input columns: ``transport_error`` (connection/timeout/NULL),
     ``status_code``, ``body``; optional ``server_url`` column (else the
-    ``server_url`` argument) for connection messages.
+    ``server_url`` argument) for connection messages. ``usage`` maps each
+    field to its number, ``usage_json`` holds it whole; a ``latency_sec`` column is rounded to 3 decimals.
     """
     url = F.col("server_url") if "server_url" in log.columns else F.lit(server_url or "the model server")
     df = log.withColumns({"__url": url, "__v": F.expr(strict_json_sql("body"))})
@@ -42,7 +43,7 @@ def decode_calls(log: DataFrame, server_url: str | None = None) -> DataFrame:
             "__content_v": F.expr("try_variant_get(__v, '$.choices[0].message.content', 'variant')"),
             "__keys": F.expr(
                 "CASE WHEN startswith(schema_of_variant(__v), 'OBJECT') THEN "
-                "map_keys(try_variant_get(__v, '$', 'map<string,variant>')) END"
+                "array_distinct(json_object_keys(body)) END"  # in the order of the body
             ),
         }
     )
@@ -71,8 +72,13 @@ def decode_calls(log: DataFrame, server_url: str | None = None) -> DataFrame:
             "error_kind": kind,
             "error": error,
             "response": F.expr("CASE WHEN transport_error IS NULL AND status_code = 200 THEN try_variant_get(__content_v, '$', 'string') END"),
-            "usage": F.expr("coalesce(try_variant_get(__v, '$.usage', 'map<string,bigint>'), map())"),
+            "usage": F.expr(
+                "coalesce(try_variant_get(__v, '$.usage', 'map<string,decimal(38,10)>'), CAST(map() AS MAP<STRING, DECIMAL(38,10)>))"
+            ),
+            "usage_json": F.expr("to_json(try_variant_get(__v, '$.usage', 'variant'))"),  # nested counts too
         }
     )
+    if "latency_sec" in log.columns:
+        out = out.withColumn("latency_sec", fixed("latency_sec", 3).cast("double"))
     out = out.withColumn("response", F.when(F.col("error").isNull(), F.col("response")))
     return out.drop("__url", "__v", "__content_v", "__keys")

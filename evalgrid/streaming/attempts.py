@@ -8,7 +8,7 @@ attempts finish). The stream:
    attempt key; the watermark is on ingest time, so dedupe state is bounded
    by ``dedupe_delay`` (a retry that arrives later than that is counted again);
 3. keeps per-task partial aggregates in streaming state (count, passes,
-   exact decimal sums), emitted in ``update`` mode;
+   exact sums), emitted in ``update`` mode;
 4. ``foreachBatch`` appends each micro-batch's updated partials to a parquet
    table partitioned by ``batch_id`` (overwriting only that partition, so a
    replayed batch after a failure is idempotent).
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrid.operators.summary import RUN_KEYS, finish_summary
+from evalgrid.operators.summary import RUN_KEYS, finish_summary, sum_again, sum_parts
 
 ATTEMPT_STREAM_SCHEMA = (
     "event_id bigint, model_config_id string, task_file string, task_id string, repeat_index int, "
@@ -52,8 +52,8 @@ def task_partials(stream: DataFrame, dedupe_delay: str = "10 minutes") -> DataFr
     return dedup.groupBy(*TASK_KEYS).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("passed")).alias("p"),
-        F.sum(F.col("score").cast("decimal(38,10)")).alias("s"),
-        F.sum(F.col("latency_sec").cast("decimal(38,10)")).alias("l"),
+        *sum_parts("score", "s"),
+        *sum_parts("latency_sec", "l"),
     )
 
 
@@ -79,13 +79,14 @@ def start_running_summary(spark: SparkSession, source_dir: str, updates_dir: str
 def current_summary(spark: SparkSession, updates_dir: str) -> DataFrame:
     """The running summary as of the last committed micro-batch."""
     upd = spark.read.parquet(updates_dir)
-    latest = upd.groupBy(*TASK_KEYS).agg(F.max_by(F.struct("n", "p", "s", "l"), F.col("batch_id")).alias("t"))
+    partial = [c for c in upd.columns if c not in (*TASK_KEYS, "batch_id")]
+    latest = upd.groupBy(*TASK_KEYS).agg(F.max_by(F.struct(*partial), F.col("batch_id")).alias("t"))
     per_run = latest.groupBy(*RUN_KEYS).agg(
         F.count(F.lit(1)).alias("total_tasks"),
         F.sum("t.n").alias("total_attempts"),
         F.sum("t.p").alias("passed"),
-        F.sum("t.s").alias("__s"),
-        F.sum("t.l").alias("__l"),
+        *sum_again("__s", "t.s"),
+        *sum_again("__l", "t.l"),
         F.max("t.n").alias("repeats"),
     )
     return finish_summary(per_run)

@@ -64,3 +64,32 @@ def test_float_repr_and_fixed(spark, values):
     for r in out:
         assert r.r == repr(r.x), r.x
         assert r.f2 == f"{r.x:.2f}" and r.f4 == f"{r.x:.4f}", r.x
+
+
+def test_fixed_rounds_like_python(spark):
+    from evalgrid.functions.text import fixed
+
+    values = [0.0005, 0.5005, 0.0015, 2.675, 0.00049999, -0.0004, -0.0006, 0.0, 1e-9, 0.5, 0.05, 0.005, 1.005, 0.125, 0.00025, 0.05000001]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for n in (0, 1, 2, 3, 4):
+        got = [r[0] for r in df.select(fixed("x", n)).collect()]
+        assert got == [f"{v:.{n}f}" for v in values]
+
+
+def test_strip_is_linear_and_nested_text_is_pythons(spark):
+    import json
+    import time
+
+    from pyspark.sql import functions as F
+
+    from evalgrid.functions.jsonv import py_nested_sql
+    from evalgrid.functions.text import py_strip
+
+    long = "x" + " " * 1_000_000 + "y"
+    df = spark.createDataFrame([(f" {long}\x1f",)], "s string")
+    df.select(py_strip("s")).collect()
+    start = time.time()
+    assert df.select(py_strip("s")).first()[0] == long and time.time() - start < 5
+    nested = [[1, 2], {"a": [1.5, None, True, "it's"], "b": {"c": "q\"x\\y"}}, [], [[1e20, 1e-7, "[,]"]]]
+    texts = spark.createDataFrame([(json.dumps(v, separators=(",", ":")),) for v in nested], "t string")
+    assert [r[0] for r in texts.select(F.expr(py_nested_sql("t"))).collect()] == [str(v) for v in nested]

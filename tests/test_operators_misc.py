@@ -20,19 +20,6 @@ def _plan(df) -> str:
     return buf.getvalue()
 
 
-def test_sized_broadcast_falls_back_above_bound(spark):
-    big = spark.range(1000).withColumnRenamed("id", "k")
-    small = spark.range(10).withColumnRenamed("id", "k")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
-    try:
-        assert "BroadcastHashJoin" in _plan(big.join(at.sized_broadcast(small, max_rows=100), "k"))
-        assert "BroadcastHashJoin" not in _plan(big.join(at.sized_broadcast(big, max_rows=100), "k"))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
-
-
 def test_attempt_ordinals_match_window(spark):
     rows = [("r" if i % 3 else "hot", f"t{i % 7}", i % 4, i) for i in range(400)]
     df = spark.createDataFrame(rows, "run_id string, task_id string, repeat_index int, uid int")

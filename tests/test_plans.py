@@ -30,7 +30,7 @@ def test_summary_is_partial_then_final_aggregation(spark):
     assert "Window" not in plan
 
 
-def test_task_side_is_broadcast_after_size_check(spark):
+def test_small_task_side_is_broadcast_by_spark(spark):
     plan = _plan(entry.queries()["evaluate_task_files"](spark, SF))
     assert "BroadcastHashJoin" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
