@@ -104,3 +104,59 @@ def word_count(col: str) -> F.Column:
     from evalgrid.functions.text import PY_SPACE
 
     return F.size(F.filter(F.split(F.col(col), PY_SPACE + "+"), lambda w: w != ""))
+
+
+def prompt_size(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
+    """``chars``, ``words`` and ``estimated_context_tokens`` (a token per four characters, rounded up) of a text."""
+    chars = F.char_length(text)
+    return df.select(
+        *keep,
+        chars.cast("bigint").alias("chars"),
+        word_count(text).alias("words"),
+        F.ceil(chars / F.lit(4.0)).cast("bigint").alias("estimated_context_tokens"),
+    )
+
+
+def apply_defaults(tasks: DataFrame, task: str = "raw", keep: Sequence[str] = ()) -> DataFrame:
+    """Priority, status, number of dependencies and metadata of task VARIANTs, defaults where absent or null."""
+    return tasks.select(
+        *keep,
+        F.expr(f"coalesce(try_variant_get({task}, '$.priority', 'int'), {DEFAULTS['priority']})").alias("priority"),
+        F.expr(f"coalesce(try_variant_get({task}, '$.status', 'string'), '{DEFAULTS['status']}')").alias("status"),
+        F.expr(f"coalesce(size(try_variant_get({task}, '$.dependencies', 'array<variant>')), 0)").alias("n_dependencies"),
+        F.expr(f"coalesce(to_json(try_variant_get({task}, '$.metadata', 'variant')), '{{}}')").alias("metadata"),
+    )
+
+
+def enrich(items: DataFrame, text: str, dependencies: str, keep: Sequence[str]) -> DataFrame:
+    """``word_count`` of a text and ``has_dependencies`` (a non-empty array)."""
+    depends = F.coalesce(F.size(dependencies) > 0, F.lit(False))
+    return items.select(*keep, word_count(text).alias("word_count"), depends.alias("has_dependencies"))
+
+
+#: Legacy field, its type, the current field, the default: fixed values of the migration.
+LEGACY_FIELDS = (
+    ("id", "string", "id", "''"),
+    ("category", "string", "type", "'other'"),
+    ("urgency", "int", "priority", "3"),
+    ("state", "string", "status", "'pending'"),
+    ("notes", "string", "description", "''"),
+    ("owner", "string", "assignee", "''"),
+    ("deadline", "string", "due_date", "''"),
+)
+
+
+def migrate_legacy(legacy: DataFrame, task: str = "v", source: str = "old_format") -> DataFrame:
+    """Current fields of legacy task VARIANTs; ``metadata`` names the source and keeps the legacy fields not mapped.
+
+    ``metadata`` is a map of JSON texts.
+    """
+    known = ", ".join(f"'{old}'" for old, *_ in LEGACY_FIELDS)
+    rest = (
+        f"transform_values(map_filter(try_variant_get({task}, '$', 'map<string,variant>'), (k, v) -> k NOT IN ({known})), (k, v) -> to_json(v))"
+    )
+    return legacy.select(
+        *(F.expr(f"coalesce(try_variant_get({task}, '$.{old}', '{t}'), {default})").alias(new) for old, t, new, default in LEGACY_FIELDS),
+        F.lit(source).alias("legacy_source"),
+        F.expr(f"map_concat(map('legacy_source', '\"{source}\"'), coalesce({rest}, map()))").alias("metadata"),
+    )

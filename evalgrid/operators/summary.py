@@ -129,6 +129,16 @@ def summary_for_planned_runs(attempts: DataFrame, planned_runs: DataFrame, keys:
     )
 
 
+def partial_summary(
+    completed: DataFrame, planned: DataFrame, keys: Sequence[str] = RUN_KEYS, **kw
+) -> DataFrame:
+    """Summaries of unfinished runs: over ``completed`` attempts, with ``planned_attempts``
+    (rows of ``planned`` per run) and ``completion_ratio``."""
+    counts = planned.groupBy(*keys).agg(F.count(F.lit(1)).alias("planned_attempts"))
+    done = run_summary(completed, keys, **kw).join(counts, list(keys))
+    return done.withColumn("completion_ratio", F.col("total_attempts") / F.col("planned_attempts"))
+
+
 def total_tasks_compat(summary: DataFrame) -> DataFrame:
     """``total_tasks`` the way a runner without a task count derives it:
     ``total_attempts // repeats`` (``repeats == 0`` keeps the attempt count)."""

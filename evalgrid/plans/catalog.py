@@ -733,19 +733,28 @@ def q_leaderboard_by_suite(spark, sf_dir):
     return rn.suite_leaderboard(s)
 
 
+# Manifests as a run folder has them: one model's were saved under an older run id, so its summaries have
+# none and its manifests no summary.
+_MOVED = "CASE WHEN model_config_id = 'model-4' THEN 'old-' || run_id ELSE run_id END"
+
+
+def _manifest_sql() -> str:
+    return f"SELECT * REPLACE ({_MOVED} AS run_id) FROM ({_status_sql()})"
+
+
+def _manifests(spark, sf_dir):
+    return _status(spark, sf_dir).withColumn("run_id", F.expr(_MOVED))
+
+
 @register(
     "runs_overview",
     lambda: f"""SELECT coalesce(s.run_id, st.run_id) AS run_id, coalesce(s.model_config_id, st.model_config_id) AS model_config_id,
         coalesce(s.task_file, st.task_file) AS task_file, coalesce(st.status, 'unknown') AS status,
         s.average_score, s.pass_rate, s.average_latency_sec, st.started_at
-        FROM (SELECT * FROM ({orc.run_summary_sql()}) WHERE average_latency_sec > 0.5) s
-        FULL OUTER JOIN (SELECT * FROM ({_status_sql()}) WHERE status <> 'running') st USING (run_id, model_config_id, task_file)""",
+        FROM ({orc.run_summary_sql()}) s FULL OUTER JOIN ({_manifest_sql()}) st USING (run_id, model_config_id, task_file)""",
 )
 def q_runs_overview(spark, sf_dir):
-    s = summary_of_fixture(spark, sf_dir).filter(F.col("average_latency_sec") > 0.5)
-    # manifests are final once a run left 'running'; summaries exist for runs above 0.5 s latency
-    st = _status(spark, sf_dir).filter(F.col("status") != "running")
-    o = rn.runs_overview(s, st, _RUN_KEYS)
+    o = rn.runs_overview(summary_of_fixture(spark, sf_dir), _manifests(spark, sf_dir), _RUN_KEYS)
     return o.select(*_RUN_KEYS, "status", "average_score", "pass_rate", "average_latency_sec", "started_at")
 
 
@@ -767,9 +776,7 @@ def q_response_consistency(spark, sf_dir):
 )
 def q_partial_summary(spark, sf_dir):
     scored = scored_attempts(spark, sf_dir)
-    done = sm.run_summary(scored.filter(F.col("latency_sec") <= 2.0))
-    planned = scored.groupBy(*_RUN_KEYS).agg(F.count(F.lit(1)).alias("planned_attempts"))
-    return done.join(planned, _RUN_KEYS).withColumn("completion_ratio", F.col("total_attempts") / F.col("planned_attempts"))
+    return sm.partial_summary(scored.filter(F.col("latency_sec") <= 2.0), scored)
 
 
 def _raw_lines(spark, sf_dir):
@@ -788,14 +795,7 @@ def _raw_lines(spark, sf_dir):
         FROM ({fx.attempt_input_sql()}) GROUP BY model_config_id""",
 )
 def q_raw_corrupt_lines(spark, sf_dir):
-    from evalgrid.functions.jsonv import strict_json_sql
-
-    lines = _raw_lines(spark, sf_dir).withColumn("ok", F.expr(f"{strict_json_sql('line')} IS NOT NULL"))
-    return lines.groupBy("model_config_id").agg(
-        F.count(F.lit(1)).alias("lines"),
-        F.count_if(~F.col("ok")).alias("corrupt_lines"),
-        F.count_if(F.col("ok")).alias("completed_attempts"),
-    )
+    return rn.raw_line_report(_raw_lines(spark, sf_dir), ["model_config_id"])
 
 
 @register(
@@ -805,13 +805,9 @@ def q_raw_corrupt_lines(spark, sf_dir):
         CAST(ceil(length(response) / 4.0) AS BIGINT) AS estimated_context_tokens FROM ({fx.DOC_KEYWORDS_SQL})""",
 )
 def q_prompt_size(spark, sf_dir):
-    from evalgrid.operators.quality import word_count
+    from evalgrid.operators.quality import prompt_size
 
-    d = fx.doc_keywords(spark, sf_dir)
-    return d.select(
-        "doc_id", F.char_length("response").cast("bigint").alias("chars"), word_count("response").alias("words"),
-        F.ceil(F.char_length("response") / F.lit(4.0)).cast("bigint").alias("estimated_context_tokens"),
-    )
+    return prompt_size(fx.doc_keywords(spark, sf_dir), "response", ["doc_id"])
 
 
 def _imported(spark, sf_dir):
@@ -923,23 +919,18 @@ def q_invalid_transitions(spark, sf_dir):
 )
 def q_apply_defaults(spark, sf_dir):
     c = src_tasks._checked(fx.task_lines(spark, sf_dir)).filter(F.col("__kind") == "dict")
-    return c.select(
-        "task_file", "line_no",
-        F.expr(f"coalesce(try_variant_get(raw, '$.priority', 'int'), {qa.DEFAULTS['priority']})").alias("priority"),
-        F.expr(f"coalesce(try_variant_get(raw, '$.status', 'string'), '{qa.DEFAULTS['status']}')").alias("status"),
-        F.expr("coalesce(size(try_variant_get(raw, '$.dependencies', 'array<variant>')), 0)").alias("n_dependencies"),
-        F.expr("coalesce(to_json(try_variant_get(raw, '$.metadata', 'variant')), '{}')").alias("metadata"),
-    )
+    return qa.apply_defaults(c, "raw", ["task_file", "line_no"])
 
 
 @register(
     "enrich_tasks",
     lambda: f"""SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(response, '{orc._WS}+'), lambda w: w <> '')) AS INTEGER) AS word_count,
-        false AS has_dependencies FROM ({fx.DOC_KEYWORDS_SQL})""",
+        d.source = 'src0' AS has_dependencies FROM ({fx.DOC_KEYWORDS_SQL}) JOIN documents d USING (doc_id)""",
 )
 def q_enrich_tasks(spark, sf_dir):
-    d = fx.doc_keywords(spark, sf_dir).withColumn("dependencies", F.array().cast("array<string>"))
-    return d.select("doc_id", qa.word_count("response").alias("word_count"), (F.size("dependencies") > 0).alias("has_dependencies"))
+    # documents of one source build on that source, the others on nothing
+    sources = fx.table(spark, sf_dir, "documents").select("doc_id", F.filter(F.array("source"), lambda s: s == "src0").alias("dependencies"))
+    return qa.enrich(fx.doc_keywords(spark, sf_dir).join(sources, "doc_id"), "response", "dependencies", ["doc_id"])
 
 
 @register(
@@ -952,17 +943,7 @@ def q_enrich_tasks(spark, sf_dir):
 )
 def q_migrate_legacy(spark, sf_dir):
     legacy = fx.work_items_full(spark, sf_dir).select(F.parse_json(F.expr(fx.LEGACY_JSON_SQL)).alias("v"))
-    g = "try_variant_get(v, '$.{}', '{}')".format
-    return legacy.select(
-        F.expr(f"coalesce({g('id', 'string')}, '')").alias("id"),
-        F.expr(f"coalesce({g('category', 'string')}, 'other')").alias("type"),
-        F.expr(f"coalesce({g('urgency', 'int')}, 3)").alias("priority"),
-        F.expr(f"coalesce({g('state', 'string')}, 'pending')").alias("status"),
-        F.expr(f"coalesce({g('notes', 'string')}, '')").alias("description"),
-        F.expr(f"coalesce({g('owner', 'string')}, '')").alias("assignee"),
-        F.expr(f"coalesce({g('deadline', 'string')}, '')").alias("due_date"),
-        F.lit("old_format").alias("legacy_source"),
-    )
+    return qa.migrate_legacy(legacy, "v").drop("metadata")
 
 
 @register(
@@ -989,10 +970,7 @@ def q_upsert_tasks(spark, sf_dir):
         count(*) FILTER (WHERE error_type IS NOT NULL) = 0 AS success FROM ({orc.checked_lines_sql()}) GROUP BY task_file""",
 )
 def q_load_metrics(spark, sf_dir):
-    c = src_tasks._checked(fx.task_lines(spark, sf_dir))
-    return c.groupBy("task_file").agg(
-        F.count_if(F.col("__err").isNull()).alias("loaded"), F.count_if(F.col("__err").isNotNull()).alias("errors")
-    ).withColumn("success", F.col("errors") == 0)
+    return src_tasks.load_metrics(fx.task_lines(spark, sf_dir))
 
 
 # ---------------------------------------------------------------------------
@@ -1008,17 +986,34 @@ from evalgrid.streaming import attempts as stream_attempts  # noqa: E402
 def q_stream_running_summary(spark, sf_dir):
     """Scored attempts written as JSONL files per run, ingested by the stream
     (availableNow), summarised from the stream's state updates."""
+    return stream_attempts.current_summary(spark, _streamed(spark, sf_dir))
+
+
+def _streamed(spark, sf_dir) -> str:
+    """The folder into which the scored attempts have been streamed."""
     base = _scratch(spark, sf_dir, f"stream-{uuid.uuid4().hex[:8]}")
     src, upd, ckpt = f"{base}/attempts", f"{base}/updates", f"{base}/checkpoint"
     inp = fx.attempt_input_with_repeats(spark, sf_dir)
     scored = sc.score_frame(sc.with_task_spec(inp, task="task"), response="response", spec="spec").select(
         "event_id", "model_config_id", "task_file", "task_id", "repeat_index",
         F.col("result.score").alias("score"), F.col("result.passed").alias("passed"), "latency_sec", "run_id",
+        "category", "prompt", "response", F.col("result.reason").alias("reason"),
     )
     scored.hint("rebalance", "run_id").write.mode("overwrite").partitionBy("run_id").json(src)
     q = stream_attempts.start_running_summary(spark, src, upd, ckpt, available_now=True, max_files_per_trigger=16)
     q.awaitTermination()
-    return stream_attempts.current_summary(spark, upd)
+    return upd
+
+
+@register(
+    "stream_attempts",
+    lambda: f"""SELECT event_id, run_id, model_config_id, task_file, task_id, response, score, passed, reason, latency_sec
+        FROM ({orc.scored_all()})""",
+)
+def q_stream_attempts(spark, sf_dir):
+    """The attempts that the stream has stored, whole."""
+    rows = stream_attempts.stored_attempts(spark, _streamed(spark, sf_dir))
+    return rows.select("event_id", "run_id", "model_config_id", "task_file", "task_id", "response", "score", "passed", "reason", "latency_sec")
 
 
 from evalgrid.operators import generate as gen  # noqa: E402

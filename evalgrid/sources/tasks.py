@@ -234,6 +234,14 @@ def load_tasks(lines_or_path, spark: SparkSession | None = None, mode: str = "qu
     return tasks, errors
 
 
+def load_metrics(lines: DataFrame) -> DataFrame:
+    """Per task file the lines that load, the lines in error, and whether all load."""
+    counts = _checked(lines).groupBy("task_file").agg(
+        F.count_if(F.col("__err").isNull()).alias("loaded"), F.count_if(F.col("__err").isNotNull()).alias("errors")
+    )
+    return counts.withColumn("success", F.col("errors") == 0)
+
+
 def require_tasks(tasks: DataFrame) -> DataFrame:
     """Raise ``ValueError('No tasks found in task file.')`` when there are no tasks."""
     if tasks.isEmpty():
