@@ -173,7 +173,7 @@ def dedup_lines(
             )
 
     pairs = checkpointed(known.mapInArrow(suspects, "doc long, digest binary"))
-    repeated = (
+    repeated = checkpointed(  # so that both sides of the join below are plain shuffles, which can be split
         pairs.groupBy("digest").agg(F.count_distinct("doc").alias("n"), F.max("doc").alias("keeper")).where(F.col("n") >= min_docs)
     )
     lost = (
