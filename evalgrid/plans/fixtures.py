@@ -27,7 +27,7 @@ TABLES = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; under-partitioned scans are spread over the cores (see ``session.spread``)."""
+    """A given table; in local mode spread over the cores (see ``session.spread``)."""
     from evalgrid.session import spread
 
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))

@@ -83,21 +83,16 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([ensure_checkpoint_dir(spark).rstrip("/"), "evalgrid", *parts])
 
 
-def spread(df, min_partitions: int | None = None):
-    """Round-robin ``df`` over at least ``min_partitions`` tasks (default: the
-    cluster's default parallelism) when its scan yields fewer.
-
-    Small inputs (one small file = one split) would otherwise run CPU-heavy
-    scoring in a single task. An explicit ``repartition(n)`` is not coalesced
-    away by AQE. Inputs that already have enough splits, which is every input
-    at scale, are returned unchanged with no shuffle.
+def spread(df):
+    """In local mode, deal ``df`` to all cores; on a cluster ``df`` as it is.
+
+    The given tables are single files with one row group each, which a local
+    session would read, and score, in one task. On a cluster inputs have the
+    splits they need, so no shuffle is added there.
     """
-    try:
-        n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view (e.g. Spark Connect): leave the plan alone
-        return df
-    return df.repartition(n) if have < n else df
+    sc = df.sparkSession.sparkContext
+    local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+    return df.repartition(sc.defaultParallelism) if local else df
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -17,6 +17,8 @@ tables ("quarantine").
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -53,14 +55,27 @@ def _stage(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
     return df.withColumns({k: F.expr(v) for k, v in exprs.items()})
 
 
-def scan_lines(spark: SparkSession, path: str, name_col: str | None = None) -> DataFrame:
+def scan_lines(spark: SparkSession, path: str, name_col: str | None = None, naming: str = "uri") -> DataFrame:
     """(task_file, line_no, line) for every physical line of the files under ``path``.
 
     Blank lines are kept (they count for numbering). ``_metadata`` gives the
-    file and the split each line came from. ``task_file`` is the file path,
-    or the value of the partition column ``name_col`` for a partitioned
-    directory with one file per partition.
+    file and the split each line came from. ``task_file`` is the file's URI;
+    with ``naming="as_given"`` the part of it from ``path`` (up to its first
+    wildcard) on, which is what a call log that names ``data/tasks/x.jsonl``
+    holds; with ``naming="stem"`` the file name without its extension; or the
+    value of the partition column ``name_col`` for a partitioned directory
+    with one file per partition.
     """
+    uri = F.col("_metadata.file_path")
+    if naming == "as_given":
+        base = re.split(r"[*?\[{]", path)[0]
+        name = F.substr(uri, F.greatest(F.locate(base, uri), F.lit(1)))
+    elif naming == "stem":
+        name = F.regexp_extract(uri, r"([^/]+?)(\.[^./]*)?$", 1)
+    elif naming == "uri":
+        name = uri
+    else:
+        raise ValueError(f"unknown naming {naming!r}")
     try:
         raw = spark.read.text(path)
     except AnalysisException as e:
@@ -70,7 +85,7 @@ def scan_lines(spark: SparkSession, path: str, name_col: str | None = None) -> D
     base = raw.select(
         F.col("value").alias("line"),
         F.col("_metadata.file_path").alias("__file"),
-        (F.col(name_col) if name_col else F.col("_metadata.file_path")).alias("task_file"),
+        (F.col(name_col) if name_col else name).alias("task_file"),
         F.col("_metadata.file_block_start").alias("__split"),
         F.monotonically_increasing_id().alias("__pos"),
     )
@@ -81,7 +96,9 @@ def number_lines(base: DataFrame) -> DataFrame:
     """Line numbers from (task_file, __split, __pos, line) rows of a file scan.
 
     Rows of one split are contiguous in one scan partition and ``__pos``
-    increases along them, so position-in-split is ``__pos - min(__pos)``.
+    increases along them, so position-in-split is ``__pos - min(__pos)``. The
+    lines stay where they are: the table of offsets, one row for each split of
+    the input, is broadcast.
     """
     if "__file" not in base.columns:
         base = base.withColumn("__file", F.col("task_file"))
@@ -90,7 +107,7 @@ def number_lines(base: DataFrame) -> DataFrame:
     )
     w = Window.partitionBy("__file").orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0)))
-    j = base.join(splits.select("__file", "__split", "__before", "__first"), ["__file", "__split"])
+    j = base.join(F.broadcast(splits.select("__file", "__split", "__before", "__first")), ["__file", "__split"])
     return j.select(
         "task_file",
         (F.col("__before") + F.col("__pos") - F.col("__first") + F.lit(1)).alias("line_no"),
@@ -173,7 +190,7 @@ def parse_barrier(df: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def parse_task_lines(lines: DataFrame, category_map: dict[str, str] | None = None,
-                     json_error_detail: bool = False) -> tuple[DataFrame, DataFrame]:
+                     json_error_detail: bool = False, validate: bool = True) -> tuple[DataFrame, DataFrame]:
     """(tasks, errors) from (task_file, line_no, line) rows.
 
     tasks: task_file, line_no, id (text), description, expected_output,
@@ -181,12 +198,15 @@ def parse_task_lines(lines: DataFrame, category_map: dict[str, str] | None = Non
     errors: task_file, line_no, error_type, field, message, raw_line.
     """
     df = _checked(lines, json_error_detail)
-    errors = df.filter(F.col("__err").isNotNull()).select(
+    bad = F.col("__err").isNotNull()
+    if not validate:  # objects that lack fields are tasks too
+        bad = bad & (F.col("__err.t") != "validation")
+    errors = df.filter(bad).select(
         "task_file", "line_no",
         F.col("__err.t").alias("error_type"), F.col("__err.f").alias("field"), F.col("__err.m").alias("message"),
         F.col("line").alias("raw_line"),
     )
-    ok = df.filter(F.col("__err").isNull()).select(
+    ok = df.filter(~bad).select(
         "task_file", "line_no",
         F.col("__id_text").alias("id"),
         F.expr("try_variant_get(__desc_v, '$', 'string')").alias("description"),
@@ -210,9 +230,13 @@ def first_errors(errors: DataFrame) -> DataFrame:
     return best.select("task_file", *[F.col("e")[c].alias(c) for c in ERROR_COLUMNS if c != "task_file"])
 
 
-def load_tasks(lines_or_path, spark: SparkSession | None = None, mode: str = "quarantine", json_error_detail: bool = False):
+def load_tasks(lines_or_path, spark: SparkSession | None = None, mode: str = "quarantine", json_error_detail: bool = False,
+               validate: bool = True, max_lines: int | None = None, naming: str = "uri"):
     """Load tasks from a path (JSONL files) or a lines DataFrame.
 
+    ``validate=False`` checks only that a line is a JSON object; ``max_lines``
+    reads the first lines of each file; ``naming`` as in ``scan_lines``.
+
     ``quarantine`` returns ``(tasks, errors)``. ``failfast`` raises
     ``ValueError`` with the first error's message (lowest line of the first
     file in path order) and, like the single-file loader, ``ValueError("No
@@ -221,10 +245,12 @@ def load_tasks(lines_or_path, spark: SparkSession | None = None, mode: str = "qu
     if isinstance(lines_or_path, str):
         if spark is None:
             raise ValueError("spark session required to read a path")
-        lines = scan_lines(spark, lines_or_path)
+        lines = scan_lines(spark, lines_or_path, naming=naming)
     else:
         lines = lines_or_path
-    tasks, errors = parse_task_lines(lines, json_error_detail=json_error_detail)
+    if max_lines is not None:
+        lines = lines.filter(F.col("line_no") <= max_lines)
+    tasks, errors = parse_task_lines(lines, json_error_detail=json_error_detail, validate=validate)
     if mode == "failfast":
         first = first_errors(errors).orderBy("task_file", "line_no").limit(1).collect()
         if first:

@@ -121,3 +121,19 @@ def test_cluster_sessions_need_a_shared_folder(monkeypatch):
         session.ensure_checkpoint_dir(spark)
     spark.sparkContext.getCheckpointDir = lambda: "s3a://bucket/ckpt/"
     assert session.scratch_path(spark, "a") == "s3a://bucket/ckpt/evalgrid/a"
+
+
+def test_names_modes_and_limits_of_task_files(spark, tmp_path, monkeypatch):
+    from evalgrid.sources.tasks import load_tasks, scan_lines
+
+    (tmp_path / "data" / "tasks").mkdir(parents=True)
+    (tmp_path / "data" / "tasks" / "x.jsonl").write_text('{"id": "a", "description": "d", "expected_output": "e"}\n{"id": "b"}\nnot json\n')
+    path = f"{tmp_path}/data/tasks/*.jsonl"
+    assert {r.task_file for r in scan_lines(spark, path, naming="as_given").collect()} == {f"{tmp_path}/data/tasks/x.jsonl"}
+    assert {r.task_file for r in scan_lines(spark, path, naming="stem").collect()} == {"x"}
+    tasks, errors = load_tasks(path, spark)
+    assert (tasks.count(), [r.line_no for r in errors.orderBy("line_no").collect()]) == (1, [2, 3])
+    tasks, errors = load_tasks(path, spark, validate=False)
+    assert (tasks.count(), [r.line_no for r in errors.collect()]) == (2, [3])
+    tasks, errors = load_tasks(path, spark, max_lines=1)
+    assert (tasks.count(), errors.count()) == (1, 0)
