@@ -97,7 +97,10 @@ def links(fps: DataFrame, max_distance: int) -> DataFrame:
         masks = sorted({m for s in segments for m in _flips(s, 1)})
     else:
         masks = _flips(segments[0] + segments[1], 2)
-    table = _table(fps, masks)
+    # the table has dozens of rows a fingerprint: as many tasks make it as read it, and it is dealt out
+    # by key before any grouping, as keys hardly repeat within a task
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = _table(fps.repartition(parts, "fp"), masks).repartition(parts, "key")
     from_key = F.bit_count(F.col("key").bitwiseXOR(F.col("fp")))
     centre = F.min(F.when(from_key <= near, F.col("fp"))).alias("centre")
     met = table.groupBy("key").agg(F.collect_list("fp").alias("fps"), centre).where((F.size("fps") > 1) & F.col("centre").isNotNull())
