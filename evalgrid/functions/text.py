@@ -10,6 +10,8 @@ per row.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from decimal import Decimal
 
 from pyspark.sql import Column
@@ -72,8 +74,17 @@ def strip_sql(x: str) -> str:
     return trim_sql(x, STRIPPED)
 
 
+# Decimal digits of all scripts, which Python's \\d and float() take, and their values.
+_DIGITS = {chr(c): str(unicodedata.digit(chr(c))) for c in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"}
+
+
+def ascii_digits_sql(x: str) -> str:
+    """``x`` with every decimal digit in its ASCII form."""
+    return f"CASE WHEN {x} RLIKE r'[^\\x00-\\x7F]' THEN translate({x}, '{''.join(_DIGITS)}', '{''.join(_DIGITS.values())}') ELSE {x} END"
+
+
 def first_number_sql(x: str) -> str:
-    return f"regexp_substr({x}, {raw(FIRST_NUMBER_RE)})"
+    return f"regexp_substr({ascii_digits_sql(x)}, {raw(FIRST_NUMBER_RE)})"
 
 
 def py_float_sql(x: str) -> str:
@@ -82,7 +93,7 @@ def py_float_sql(x: str) -> str:
     ``try_cast`` alone is too lenient (``1f``, ``0x10p0``, ``1.0d``) and too
     strict (``1_000``); the regex guard keeps Python's grammar.
     """
-    s = trim_sql(x, FLOAT_STRIPPED)
+    s = f"({ascii_digits_sql(trim_sql(x, FLOAT_STRIPPED))})"
     return (
         f"CASE WHEN NOT ({s} RLIKE {raw(PY_FLOAT_RE)}) THEN CAST(NULL AS DOUBLE) "
         f"WHEN lower({s}) RLIKE r'^[+-]?nan$' THEN CAST('NaN' AS DOUBLE) "

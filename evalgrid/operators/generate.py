@@ -11,6 +11,7 @@ here: the function is whatever client the caller plugs in.
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Sequence
 
@@ -20,25 +21,38 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 GenerateFn = Callable[[Sequence[str], dict], Sequence[str]]
 
 
-def batch_generate(plan: DataFrame, generate_fn: GenerateFn, prompt: str = "prompt", settings: dict | None = None,
+def batch_generate(plan: DataFrame, generate_fn: GenerateFn, prompt: str = "prompt", settings: dict | str | None = None,
                    batch_size: int = 32, keep: Sequence[str] = ()) -> DataFrame:
-    """Plan rows -> (keep..., prompt, response, latency_sec, error)."""
+    """Plan rows -> (keep..., prompt, response, latency_sec, error).
+
+    ``settings`` is one dict for all rows, or the name of a struct column with
+    each row's own (as ``attempts.with_settings`` adds); a chunk then holds
+    rows with equal settings.
+    """
     keep = list(keep)
     fields = [f for f in plan.schema.fields if f.name in keep]
     out_schema = StructType(
         fields + [StructField(prompt, StringType()), StructField("response", StringType()),
                   StructField("latency_sec", DoubleType()), StructField("error", StringType())]
     )
-    cfg = dict(settings or {})
+    by_row = settings if isinstance(settings, str) else None
+    shared = {} if by_row else dict(settings or {})
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
             responses, latencies, errors = [], [], []
+            own = [json.dumps(dict(s or {}), sort_keys=True, default=str) for s in pdf[by_row]] if by_row else [""] * len(pdf)
+            order = sorted(range(len(pdf)), key=own.__getitem__)
+            pdf = pdf.iloc[order]
             prompts = pdf[prompt].tolist()
-            for i in range(0, len(prompts), batch_size):
-                chunk = prompts[i:i + batch_size]
+            configs = [dict(s or {}) for s in pdf[by_row]] if by_row else [shared] * len(pdf)
+            own.sort()
+            starts = [i for i in range(len(own)) if i == 0 or own[i] != own[i - 1]]
+            cuts = [i for a, b in zip(starts, [*starts[1:], len(own)]) for i in range(a, b, batch_size)]
+            for i, end in zip(cuts, [*cuts[1:], len(own)]):
+                chunk, cfg = prompts[i:end], configs[i]
                 t0 = time.perf_counter()
                 try:
                     out = list(generate_fn(chunk, cfg))
@@ -66,7 +80,7 @@ def batch_generate(plan: DataFrame, generate_fn: GenerateFn, prompt: str = "prom
             out_pdf["error"] = errors
             yield out_pdf
 
-    cols = list(dict.fromkeys(keep + [prompt]))
+    cols = list(dict.fromkeys([*keep, prompt, *([by_row] if by_row else [])]))
     return plan.select(*cols).mapInPandas(run, out_schema)
 
 

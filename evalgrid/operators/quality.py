@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from evalgrid.operators.sequence import previous_within
 
@@ -70,9 +71,15 @@ def duplicate_keys(rows: DataFrame, keys: Sequence[str], line: str = "line_no")
 
 
 def dangling_references(items: DataFrame, ref_col: str, key: str = "id") -> DataFrame:
-    """Rows whose reference names no existing key (left anti join)."""
+    """Rows whose reference names no existing key (left anti join).
+
+    ``ref_col`` may be an array (a task's ``dependencies``): then one row for
+    each element that names none, with the element in its place.
+    """
     keys = items.select(F.col(key).alias(ref_col)).distinct()
-    return items.filter(F.col(ref_col).isNotNull()).join(keys, ref_col, "left_anti")
+    if isinstance(items.schema[ref_col].dataType, ArrayType):
+        items = items.withColumn(ref_col, F.explode(ref_col))
+    return items.filter(F.col(ref_col).isNotNull()).join(keys, ref_col, "left_anti").select(*items.columns)
 
 
 def invalid_transitions(

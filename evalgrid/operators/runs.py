@@ -26,6 +26,15 @@ def tasks_by_suite(tasks: DataFrame, suites: DataFrame) -> DataFrame:
     return tasks.join(suites.select("suite_id", "task_file"), "task_file")
 
 
+def require_suites(suite_ids: Sequence[str], suites: DataFrame) -> DataFrame:
+    """The named suites; ``ValueError`` if one is not registered (a lookup of the few names asked for)."""
+    chosen = suites.filter(F.col("suite_id").isin(list(suite_ids)))
+    unknown = sorted(set(suite_ids) - {r.suite_id for r in chosen.select("suite_id").distinct().collect()})
+    if unknown:
+        raise ValueError(f"Unknown suite id: {', '.join(unknown)}")
+    return chosen
+
+
 def suites_without_tasks(suites: DataFrame, tasks: DataFrame) -> DataFrame:
     """Suites whose task file has no (valid) tasks, or does not exist."""
     return suites.join(tasks.select("task_file").distinct(), "task_file", "left_anti")
@@ -33,27 +42,42 @@ def suites_without_tasks(suites: DataFrame, tasks: DataFrame) -> DataFrame:
 
 def latest_status(events: DataFrame, keys: Sequence[str], ts: str = "ts", tiebreak: str | None = None) -> DataFrame:
     """Current status per run from append-only status events: the status of the
-    latest event (``max_by`` on (ts, tiebreak)), plus first/last event time."""
+    latest event (``max_by`` on (ts, tiebreak)), plus the first event's time and,
+    once the run has left ``running``, the last one's."""
     order = F.struct(F.col(ts), F.col(tiebreak)) if tiebreak else F.col(ts)
-    return events.groupBy(*keys).agg(
+    latest = events.groupBy(*keys).agg(
         F.max_by("status", order).alias("status"),
         F.min(ts).alias("started_at"),
         F.max(ts).alias("finished_at"),
     )
+    return latest.withColumn("finished_at", F.when(F.col("status") != "running", F.col("finished_at")))
 
 
 def artifact_rows(attempts: DataFrame, suite_col: str, id_col: str, ext: str = ARTIFACT_EXT,
                   categories: Sequence[str] = ARTIFACT_CATEGORIES) -> DataFrame:
     """Artifact path per coding attempt: ``artifacts/<suite>/<sanitized id>_response<ext>``.
 
-    The response text stays in the table (the attempt keeps it too)."""
+    A column ``artifact_extension`` (a task's metadata) overrides ``ext``, with
+    or without its dot. The response text stays in the table (the attempt keeps
+    it too); ``write_artifacts`` saves it."""
+    suffix = F.lit(ext)
+    if "artifact_extension" in attempts.columns:
+        own = F.col("artifact_extension")
+        suffix = F.coalesce(F.when(own.startswith("."), own), F.concat(F.lit("."), own), suffix)
     coding = attempts.filter(F.col("category").isin(*categories))
     safe = F.regexp_replace(F.col(id_col), r"[^A-Za-z0-9._-]", "_")
     return coding.withColumn(
-        "artifact_path", F.concat(F.lit("artifacts/"), F.col(suite_col), F.lit("/"), safe, F.lit("_response" + ext))
+        "artifact_path", F.concat(F.lit("artifacts/"), F.col(suite_col), F.lit("/"), safe, F.lit("_response"), suffix)
     )
 
 
+def write_artifacts(artifacts: DataFrame, path: str, response: str = "response") -> None:
+    """Artifact texts as a table under ``path``, one row per artifact path (the attempts of a run by its keys)."""
+    artifacts.select("run_id", "model_config_id", "artifact_path", F.col(response).alias("text")).write.mode("append").partitionBy(
+        "run_id"
+    ).parquet(path)
+
+
 def full_summary(summary: DataFrame, status: DataFrame, suites: DataFrame, artifacts: DataFrame,
                  run_keys: Sequence[str] = ("run_id", "model_config_id", "task_file")) -> DataFrame:
     """Run summary + manifest status/timestamps + suite + artifact count (0 when none)."""

@@ -673,7 +673,7 @@ def q_suites_missing_tasks(spark, sf_dir):
 
 def _status_sql() -> str:
     return f"""SELECT run_id, model_config_id, task_file, arg_max(status, (ts, event_id)) AS status,
-        min(ts) AS started_at, max(ts) AS finished_at FROM ({fx.status_events_sql()}) GROUP BY run_id, model_config_id, task_file"""
+        min(ts) AS started_at, CASE WHEN arg_max(status, (ts, event_id)) <> 'running' THEN max(ts) END AS finished_at FROM ({fx.status_events_sql()}) GROUP BY run_id, model_config_id, task_file"""
 
 
 def _status(spark, sf_dir):

@@ -137,3 +137,44 @@ def test_names_modes_and_limits_of_task_files(spark, tmp_path, monkeypatch):
     assert (tasks.count(), [r.line_no for r in errors.collect()]) == (2, [3])
     tasks, errors = load_tasks(path, spark, max_lines=1)
     assert (tasks.count(), errors.count()) == (1, 0)
+
+
+def test_digits_of_other_scripts(spark):
+    from evalgrid.functions.text import first_number, py_float
+
+    texts = ["٣٫٥ or ٣.٥", "१२", "x7", "𝟗", "１_0"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(first_number("t")).collect()] == ["3", "12", "7", "9", "1"]
+    assert [r[0] for r in df.select(py_float("t")).collect()] == [None, 12.0, None, 9.0, 10.0]
+
+
+def test_settings_by_row_in_generation(spark):
+    from evalgrid.operators.generate import batch_generate
+
+    df = spark.range(10).selectExpr("id", "concat('p', id) AS prompt", "named_struct('temperature', id % 2) AS settings").coalesce(1)
+    out = batch_generate(df, lambda prompts, s: [f"{p}@{s['temperature']}x{len(prompts)}" for p in prompts], settings="settings", batch_size=3, keep=["id"])
+    got = {r.id: r.response for r in out.collect()}
+    assert {i: v.split("x")[0] for i, v in got.items()} == {i: f"p{i}@{i % 2}" for i in range(10)}
+    assert all(int(v.split("x")[1]) <= 3 for v in got.values())
+
+
+def test_runs_suites_artifacts_and_references(spark):
+    from evalgrid.operators import quality as qa
+    from evalgrid.operators import runs as rn
+
+    events = spark.createDataFrame([("a", "running", 1), ("a", "completed", 2), ("b", "running", 3)], "run_id string, status string, ts int")
+    assert {r.run_id: r.finished_at for r in rn.latest_status(events, ["run_id"]).collect()} == {"a": 2, "b": None}
+    summary = spark.createDataFrame([("a",), ("c",)], "run_id string")
+    assert {r.run_id: r.status for r in rn.runs_overview(summary, rn.latest_status(events, ["run_id"]), ["run_id"]).collect()} == {
+        "a": "completed", "b": "running", "c": "unknown"}
+    suites = spark.createDataFrame([("s", "f")], "suite_id string, task_file string")
+    assert rn.require_suites(["s"], suites).count() == 1
+    with pytest.raises(ValueError, match="Unknown suite id: t"):
+        rn.require_suites(["s", "t"], suites)
+    attempts = spark.createDataFrame([("code", "s", "x y", None), ("code", "s", "z", "py"), ("code", "s", "w", ".rs"), ("math", "s", "q", None)],
+                                     "category string, suite string, id string, artifact_extension string")
+    assert sorted(r.artifact_path for r in rn.artifact_rows(attempts, "suite", "id").collect()) == [
+        "artifacts/s/w_response.rs", "artifacts/s/x_y_response.md", "artifacts/s/z_response.py"]
+    items = spark.createDataFrame([("1", ["2", "9"], None), ("2", [], "8"), ("3", None, "1")], "id string, dependencies array<string>, parent_id string")
+    assert [(r.id, r.dependencies) for r in qa.dangling_references(items, "dependencies").collect()] == [("1", "9")]
+    assert [r.id for r in qa.dangling_references(items, "parent_id").collect()] == ["2"]
