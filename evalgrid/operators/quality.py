@@ -52,9 +52,67 @@ def default_rules() -> list[tuple[str, str, str]]:
     ]
 
 
+# Most characters of text fields, most items of arrays, most keys of metadata.
+MAX_CHARS = {"description": 10_000, "assignee": 100, "title": 200, "source": 100, "external_id": 100}
+MAX_ITEMS = {"tags": 20, "dependencies": 50}
+MAX_TAG_CHARS, MAX_METADATA_KEYS, MAX_METADATA_CHARS = 50, 50, 10_000
+
+
+def _hours_rules(field: str) -> list[tuple[str, str, str]]:
+    odd = f"isnan({field}) OR abs({field}) = double('inf')"
+    text = f"CAST({field} AS STRING)"
+    return [
+        (f"{field}_finite", f"{field} IS NOT NULL AND ({odd})", f"concat('{field} is not a finite number: ', {text})"),
+        (f"{field}_range", f"{field} IS NOT NULL AND NOT ({odd}) AND ({field} < 0.1 OR {field} > 999.99)",
+         f"concat('{field} out of range: ', {text})"),
+        (f"{field}_precision", f"{field} IS NOT NULL AND NOT ({odd}) AND CAST({field} AS DECIMAL(20,2)) <> CAST({field} AS DECIMAL(24,10))",
+         f"concat('{field} has more than 2 decimals: ', {text})"),
+    ]
+
+
+def further_rules(columns: Sequence[str]) -> list[tuple[str, str, str]]:
+    """Rules for the optional work-item fields among ``columns`` (a NULL optional field violates none).
+
+    ``tags`` and ``dependencies`` are arrays of strings, ``metadata`` a map of
+    strings, hours doubles.
+    """
+    rules = [
+        (f"{f}_length", f"coalesce(length({f}) > {n}, false)", f"concat('{f} longer than {n} characters: ', CAST(length({f}) AS STRING))")
+        for f, n in MAX_CHARS.items()
+        if f in columns
+    ]
+    if "description" in columns:
+        rules.append(("description_newline", "coalesce(contains(description, '\\n'), false)", "'description contains a newline'"))
+    rules += [
+        (f"{f}_count", f"coalesce(size({f}) > {n}, false)", f"concat('{f} has more than {n} items: ', CAST(size({f}) AS STRING))")
+        for f, n in MAX_ITEMS.items()
+        if f in columns
+    ]
+    if "tags" in columns:
+        bad = f"filter(tags, t -> t IS NULL OR NOT (t RLIKE r'{ID_RE}') OR length(t) > {MAX_TAG_CHARS})"
+        rules.append(("tags_format", f"coalesce(size({bad}) > 0, false)", f"concat('invalid tags: ', array_join({bad}, ', ', 'null'))"))
+    if "metadata" in columns:
+        long = f"map_keys(map_filter(metadata, (k, v) -> length(v) > {MAX_METADATA_CHARS}))"
+        rules += [
+            ("metadata_count", f"coalesce(size(metadata) > {MAX_METADATA_KEYS}, false)",
+             f"concat('metadata has more than {MAX_METADATA_KEYS} keys: ', CAST(size(metadata) AS STRING))"),
+            ("metadata_length", f"coalesce(size({long}) > 0, false)", f"concat('metadata values too long: ', array_join({long}, ', '))"),
+        ]
+    if "actual_hours" in columns:
+        rules += _hours_rules("actual_hours")
+    for f in ("created_at", "updated_at"):
+        if f in columns:
+            ok = f"{f} RLIKE r'{DATETIME_RE}' AND try_to_timestamp({f}, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") IS NOT NULL"
+            rules.append((f"{f}_format", f"{f} IS NOT NULL AND NOT coalesce({ok}, false)", f"concat('invalid {f}: ', {f})"))
+    return rules
+
+
 def rule_violations(items: DataFrame, key: str = "id", rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
-    """One row per (item, violated rule): key, rule, message."""
-    rules = rules or default_rules()
+    """One row per (item, violated rule): key, rule, message.
+
+    Without ``rules``: ``default_rules`` and ``further_rules`` of the fields there are.
+    """
+    rules = rules or default_rules() + further_rules(items.columns)
     arr = "filter(array(" + ", ".join(
         f"CASE WHEN coalesce({pred}, true) THEN named_struct('rule', '{name}', 'message', {msg}) END" for name, pred, msg in rules
     ) + "), v -> v IS NOT NULL)"

@@ -862,9 +862,14 @@ def _violations_sql() -> str:
          "'estimated_hours out of range: ' || CAST(estimated_hours AS VARCHAR)"),
         ("hours_precision", "estimated_hours IS NOT NULL AND CAST(estimated_hours AS DECIMAL(20,2)) <> CAST(estimated_hours AS DECIMAL(24,10))",
          "'estimated_hours has more than 2 decimals: ' || CAST(estimated_hours AS VARCHAR)"),
+        ("description_length", "length(description) > 10000 AND description IS NOT NULL",
+         "'description longer than 10000 characters: ' || CAST(length(description) AS VARCHAR)"),
+        ("description_newline", "description IS NOT NULL AND contains(description, chr(10))", "'description contains a newline'"),
+        ("assignee_length", "length(assignee) > 100 AND assignee IS NOT NULL",
+         "'assignee longer than 100 characters: ' || CAST(length(assignee) AS VARCHAR)"),
     ]
     return " UNION ALL ".join(
-        f"SELECT id, '{name}' AS rule, {msg} AS message FROM ({fx.work_items_full_sql()}) WHERE coalesce({pred}, true)"
+        f"SELECT id, '{name}' AS rule, {msg} AS message FROM ({fx.work_items_full_sql()}) WHERE coalesce({pred}, {'false' if name.endswith(('_length', '_newline')) else 'true'})"
         for name, pred, msg in parts
     )
 

@@ -178,3 +178,22 @@ def test_runs_suites_artifacts_and_references(spark):
     items = spark.createDataFrame([("1", ["2", "9"], None), ("2", [], "8"), ("3", None, "1")], "id string, dependencies array<string>, parent_id string")
     assert [(r.id, r.dependencies) for r in qa.dangling_references(items, "dependencies").collect()] == [("1", "9")]
     assert [r.id for r in qa.dangling_references(items, "parent_id").collect()] == ["2"]
+
+
+def test_rules_of_optional_fields(spark):
+    from evalgrid.operators.quality import further_rules, rule_violations
+
+    good = ("a", "d", None, None, ["x-1"], [], {"k": "v"}, 1.25, "2024-02-29T00:00:00Z")
+    bad = ("b", "d\n" + "x" * 10_000, "t" * 201, "s" * 101, ["x y", None] + ["t"] * 19, ["d"] * 51,
+           {str(i): "" for i in range(50)} | {"long": "v" * 10_001}, math.inf, "2023-02-30T00:00:00Z")
+    worse = ("c", None, None, None, None, None, None, 0.125, "2024-01-01")
+    df = spark.createDataFrame([good, bad, worse], "id string, description string, title string, source string, tags array<string>, "
+                               "dependencies array<string>, metadata map<string,string>, actual_hours double, created_at string")
+    got = {}
+    for r in rule_violations(df, rules=further_rules(df.columns)).collect():
+        got.setdefault(r.id, set()).add(r.rule)
+    assert got == {
+        "b": {"description_length", "description_newline", "title_length", "source_length", "tags_count", "tags_format",
+              "dependencies_count", "metadata_count", "metadata_length", "actual_hours_finite", "created_at_format"},
+        "c": {"actual_hours_precision", "created_at_format"},
+    }
