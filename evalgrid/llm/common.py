@@ -2,20 +2,50 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 from evalgrid.session import ensure_checkpoint_dir, ship_package
 
 
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 2000
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Make checkpoints and the package's Python code available to the executors."""
+    """Make checkpoints and the package's Python code available to the executors.
+
+    Texts go to Python in batches of ``BATCH_ROWS``, so that a task holds few
+    of them at once.
+    """
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark
 
 
+_KEPT: dict[Any, Any] = {}
+
+
+def kept_in_worker(key: Any, make: Callable[[], Any]) -> Any:
+    """The object that this Python worker keeps between tasks under ``key``.
+
+    One at a time: workers are reused by other operators, whose tasks should
+    not find the memory taken by tables that they have no use for.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, read by Spark (any store it can reach)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

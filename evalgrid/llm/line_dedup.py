@@ -33,7 +33,7 @@ PARTS = 64
 #: Bits of a filter for each hash, and bits that a hash sets.
 BITS_A_HASH, PROBES = 12, 4
 #: Bound of the twice-seen filter that is broadcast.
-MOST_BYTES = 256 << 20
+MOST_BYTES = 64 << 20
 
 
 def line_key(line: str, least: int) -> bytes | None:
@@ -207,8 +207,11 @@ def dedup_lines(
             )
 
     marked = rows.mapInArrow(split, f"doc long, text string, {kind}, suspect boolean")
-    untouched = marked.where(~F.col("suspect")).select("doc", "text", "carried", F.lit(None).cast("array<binary>").alias("lost"))
+    body = F.coalesce("text", F.lit(""))
+    untouched = marked.where(~F.col("suspect")).select(
+        "doc", body.alias("text"), (F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), "carried"
+    )
     shared = marked.where("suspect").join(lost, F.col("doc") == F.col("lost_by"), "left").select("doc", "text", "carried", "lost")
     schema = f"doc long, text string, n_lines long, n_dropped long, {kind}"
-    done = untouched.mapInArrow(rewrite, schema).unionByName(shared.mapInArrow(rewrite, schema))
+    done = untouched.unionByName(shared.mapInArrow(rewrite, schema))
     return done.select(F.col("doc").alias(key), F.col("text").alias(text), "n_lines", "n_dropped", *(["carried"] if carry else []))

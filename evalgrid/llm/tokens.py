@@ -17,6 +17,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from evalgrid.llm.common import kept_in_worker
+
 #: White space (of any kind that Python knows) before a space: rare, needs the exact cut.
 _SPACE_RUN = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -130,12 +132,6 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """This Python worker's encoder for a vocabulary file (kept between tasks)."""
-    if path not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return kept_in_worker(("encoder", path), lambda: Encoder(path))
