@@ -12,7 +12,7 @@ node of the search tree carries the largest such sum below it, so best-first
 down: the step taken keeps the bound, all steps not taken share one bound,
 drawn as a Gumbel below the first and split only when the search reaches it.
 
-Texts are cut where no piece crosses (before spaces, at line ends), equal cuts
+Texts are cut where no piece crosses (before spaces, around words), equal cuts
 share their part of the lattice, and numpy works on all texts of a batch. The
 noise depends on the row's key, the place and the draw, not on the batch.
 """
@@ -28,10 +28,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from evalgrid.llm.common import kept_in_worker
+
 SPACE = "▁"
 #: Characters of texts that are worked on at once (a longer text is a batch of its own).
-_CHARS = 800_000
+_CHARS = 1_600_000
+_LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 _CUT = re.compile(f"\\n|{SPACE}*[^{SPACE}\\n]+|{SPACE}+")
+#: Where no piece holds both Latin letters and other characters, texts are also cut between them.
+_FINE_CUT = re.compile(f"\\n|{SPACE}*[{_LETTER}]+|{SPACE}*[^{_LETTER}{SPACE}\\n]+|{SPACE}+")
+_MIXED = re.compile(f"[{_LETTER}][^{_LETTER}]|[^{_LETTER}{SPACE}][{_LETTER}]")
 
 
 def default_model() -> str:
@@ -48,13 +54,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def uniforms(key: np.ndarray, place: np.ndarray, stream: int) -> np.ndarray:
-    """Numbers in (0, 1) that depend on row key, place in the text and stream."""
+def seeds(keys: list[int]) -> np.ndarray:
+    """A seed for each row key."""
+    with np.errstate(over="ignore"):
+        return _mix(_mix(np.array(keys, np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
+
+
+def uniforms(seed: np.ndarray, place: np.ndarray, stream: int) -> np.ndarray:
+    """Numbers in (0, 1) that depend on a row's seed, the place in its text and the stream."""
     with np.errstate(over="ignore"):
-        x = _mix(np.asarray(key).astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-        x = _mix(x + np.asarray(place).astype(np.int64).view(np.uint64) * np.uint64(0xD1B54A32D192ED03))
-        x = _mix(x + np.uint64(stream) * np.uint64(0x8CB92BA72F3D8DD7))
-    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+        x = place.view(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+        x = _mix(x + (seed + np.uint64(stream) * np.uint64(0x8CB92BA72F3D8DD7 | 1)))
+    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
 class Vocabulary:
@@ -69,6 +80,7 @@ class Vocabulary:
         usable = [i for i in range(self.size) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         if any("\n" in pieces[i] or SPACE in pieces[i].lstrip(SPACE) for i in usable):
             raise ValueError("no piece may hold a line end, or a space after other characters")
+        self.cut = _CUT if any(_MIXED.search(pieces[i]) for i in usable) else _FINE_CUT
         self.byte_ids = np.zeros(256, "<u4")
         for i in range(self.size):
             if sp.is_byte(i):
@@ -134,7 +146,7 @@ class Vocabulary:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text that ids were made of (without the space put before it)."""
-        return b"".join([self.bytes[i] for i in ids.tolist()]).decode("utf-8", "replace")[1:]
+        return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
 
 
 class Lattice:
@@ -154,6 +166,7 @@ class Lattice:
         inside[self.end] = False
         at = np.flatnonzero(inside)
         node, found = np.zeros(len(at), np.int32), []
+        self.last = np.zeros(n, np.int64)
         for k in range(v.longest):
             if k:
                 ok = inside[np.minimum(at + k, n - 1)] & (at + k < n)
@@ -166,6 +179,7 @@ class Lattice:
             ids = np.full(n, -1, np.int32)
             ids[at] = v.end[node]
             found.append(ids)
+            self.last[at[ids[at] >= 0]] = k
         while len(found) > 1 and found[-1].max() < 0:
             found.pop()
         self.code = np.column_stack(found) if found else np.full((n, 1), -1, np.int32)
@@ -185,12 +199,13 @@ class Lattice:
             value = raw[here, :k] + total[here[:, None] + ahead[:k]]
             top = value.max(axis=1)
             total[here] = top + np.log(np.exp(value - top[:, None]).sum(axis=1))
-        raw += np.lib.stride_tricks.sliding_window_view(total[1:], width)[:n]
-        raw -= total[:n, None]
-        self.logp = raw.astype(np.float32)
-        self.sum = np.cumsum(np.exp(self.logp), axis=1)
-        last = width - 1 - np.argmax(self.code[:, ::-1] >= 0, axis=1)
-        self.sum[np.arange(width) >= last[:, None]] = 1.0  # rounding cannot choose a missing edge
+        self.logp = np.empty((n, width), np.float32)
+        self.sum = np.empty((n, width), np.float32)
+        so_far = np.zeros(n, np.float32)
+        for k in range(width):
+            self.logp[:, k] = raw[:, k] + (total[k + 1 : n + k + 1] - total[:n])
+            so_far += np.exp(self.logp[:, k])
+            self.sum[:, k] = so_far
 
 
 def _byte_length(points: np.ndarray) -> np.ndarray:
@@ -213,18 +228,42 @@ class _Path:
         self.value, self.first, self.excluded = value, first, excluded  # steps before ``first`` are another path's
 
 
-def _open(lattice: Lattice, path: _Path, number: int, key: int, draw: int, queue: list, k: int) -> None:
-    """Put the k best bounds of steps that the path has not taken into the queue."""
+#: Steps that are looked at first, and what no noise exceeds.
+_AHEAD, _MOST_NOISE = 64, 37.5
+
+
+def _untaken(lattice: Lattice, path: _Path, stop: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the steps from ``path.first`` to ``stop`` had alternatives, and the probability of those."""
     f = path.first
-    others = np.exp(lattice.logp[path.node[f:]])
-    others[np.arange(len(others)), path.step[f:]] = 0
-    if path.excluded:
+    rest = -np.expm1(path.logp[f:stop])
+    small = rest < 0.01  # here a difference from 1 would lose digits
+    if path.excluded and len(small):
+        small[0] = True
+    small = np.flatnonzero(small)
+    others = np.exp(lattice.logp[path.node[f + small]])
+    others[np.arange(len(small)), path.step[f + small]] = 0
+    if path.excluded and len(small):
         others[0, list(path.excluded)] = 0
-    rest = others.sum(axis=1, dtype=np.float64)
+    rest[small] = others.sum(axis=1, dtype=np.float64)
     left = np.flatnonzero(rest)
-    before = (np.cumsum(path.logp) - path.logp)[f + left]
-    u = uniforms(np.full(len(left), key), path.place[f + left], 2 * draw + 1)
-    bound = _below(before + np.log(rest[left]), path.value, u)
+    return left, rest[left]
+
+
+def _open(lattice: Lattice, path: _Path, number: int, seed: np.uint64, draw: int, queue: list, k: int) -> None:
+    """Put the k best bounds of steps that the path has not taken into the queue."""
+    f = path.first
+    before = np.cumsum(path.logp) - path.logp  # falls from step to step
+    upto, bound = len(before), np.zeros(0)
+    for first in (_AHEAD, len(before)):
+        # noise from 53-bit numbers is below MOST_NOISE, so steps that lie as far below the k-th bound cannot matter
+        if len(bound) >= k:
+            upto = int(np.searchsorted(-before, _MOST_NOISE - np.partition(bound, -k)[-k]))
+        stop = min(f + first, max(upto, f))
+        left, rest = _untaken(lattice, path, stop)
+        u = uniforms(seed, path.place[f + left], 2 * draw + 1)
+        bound = _below(before[f + left] + np.log(rest), path.value, u)
+        if stop == len(before):
+            break
     best = np.argpartition(-bound, k - 1)[:k] if len(bound) > k else np.arange(len(bound))
     for b in best.tolist():
         i = int(left[b])
@@ -233,25 +272,25 @@ def _open(lattice: Lattice, path: _Path, number: int, key: int, draw: int, queue
 
 
 def sample(vocabulary: Vocabulary, texts: list[str], keys: list[int], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
-    """Of each text up to k segmentations: (ids, log-probability, perturbed value, inclusion score), best value first.
+    """Of each text up to k segmentations: (ids, log-probability, perturbed value, log inclusion score), best value first.
 
     The inclusion score is the probability that the segmentation exceeds the
-    (k + 1)th value: 1 if there are no more than k.
+    (k + 1)th value: 1 if there are no more than k. Long texts need its log.
     """
-    number: dict[str, int] = {}
     cuts, owner = [], []
-    for d, t in enumerate(texts):
-        own = [number.setdefault(s, len(number)) for s in _CUT.findall(SPACE + t.replace(" ", SPACE))] if t else []
+    for t in texts:
+        own = vocabulary.cut.findall(SPACE + t.replace(" ", SPACE)) if t else []
         cuts += own
         owner.append(len(own))
+    number = {s: i for i, s in enumerate(dict.fromkeys(cuts))}
     lattice = Lattice(vocabulary, list(number) or ["x"])
-    cut, many = np.array(cuts, np.int64), np.array(owner, np.int64)
+    cut, many = np.fromiter(map(number.__getitem__, cuts), np.int64, len(cuts)), np.array(owner, np.int64)
     doc = np.repeat(np.arange(len(texts)), many)
     lens = lattice.end[cut] - lattice.start[cut]
     first_cut = np.cumsum(many) - many
     place = np.cumsum(lens) - lens
     place -= np.repeat(place[np.minimum(first_cut, max(len(place) - 1, 0))], many) if len(place) else 0
-    key = np.array(keys, np.int64)
+    seed = seeds(keys)
 
     def walks(jobs: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], draw: int) -> list[tuple[np.ndarray, ...]]:
         """Steps of (text, nodes, stops, places) for each job, all walked at once."""
@@ -263,34 +302,35 @@ def sample(vocabulary: Vocabulary, texts: list[str], keys: list[int], k: int) ->
         shift = np.cumsum([int(j[3][-1] + j[2][-1] - j[1][-1]) + 1 if len(j[3]) else 1 for j in jobs])
         shift = np.concatenate([[0], shift[:-1]])
         # places are made distinct between jobs for the order, the noise uses those in the text
-        got = lattice_walk(nodes, stops, places, key[[j[0] for j in jobs]][which], shift[which], draw)
+        got = lattice_walk(nodes, stops, places, seed[[j[0] for j in jobs]][which], shift[which], draw)
         at = np.searchsorted(got[0], np.append(shift, np.iinfo(np.int64).max))
         return [(got[0][a:b] - s, got[1][a:b], got[2][a:b]) for a, b, s in zip(at, at[1:], shift)]
 
-    def lattice_walk(node, stop, at, row_key, shift, draw):
+    def lattice_walk(node, stop, at, row_seed, shift, draw):
         out = []
         while True:
             on = node < stop
-            node, stop, at, row_key, shift = node[on], stop[on], at[on], row_key[on], shift[on]
+            node, stop, at, row_seed, shift = node[on], stop[on], at[on], row_seed[on], shift[on]
             if not len(node):
                 break
-            step = (uniforms(row_key, at, 2 * draw)[:, None] >= lattice.sum[node]).sum(axis=1)
+            u = uniforms(row_seed, at, 2 * draw).astype(np.float32)
+            step = np.minimum((u[:, None] >= lattice.sum[node]).sum(axis=1), lattice.last[node])
             out.append((at + shift, node, step))
             node, at = node + step + 1, at + step + 1
-        places, nodes, steps = (np.concatenate([o[i] for o in out]) for i in range(3))
+        places, nodes, steps = (np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(3))
         order = np.argsort(places, kind="stable")
         return places[order], nodes[order], steps[order]
 
     spans = [slice(a, a + n) for a, n in zip(first_cut, many)]
     starts, stops = lattice.start[cut], lattice.end[cut]
-    root = -np.log(-np.log(uniforms(key, np.full(len(key), -1), 0)))
+    root = -np.log(-np.log(uniforms(seed, np.full(len(seed), -1), 0)))
     paths: list[list[_Path]] = []
     queues: list[list] = []
     for d, (at, node, step) in enumerate(walks([(d, starts[s], stops[s], place[s]) for d, s in enumerate(spans)], 0)):
         path = _Path(at, node, step, lattice.logp[node, step].astype(np.float64), float(root[d]))
         paths.append([path])
         queues.append([])
-        _open(lattice, path, 0, keys[d], 0, queues[d], k)
+        _open(lattice, path, 0, seed[d], 0, queues[d], k)
     for draw in range(1, k):
         jobs, made = [], []
         for d in range(len(texts)):
@@ -302,7 +342,7 @@ def sample(vocabulary: Vocabulary, texts: list[str], keys: list[int], k: int) ->
             p = np.exp(lattice.logp[node], dtype=np.float64)
             p[list(excluded)] = 0
             c = np.cumsum(p)
-            u = float(uniforms(np.array([keys[d]]), np.array([at]), 2 * k + draw)[0])
+            u = float(uniforms(seed[d : d + 1], np.array([at]), 2 * k + draw)[0])
             step = int(min(np.searchsorted(c, u * c[-1], side="right"), np.flatnonzero(p)[-1]))
             nxt, s = at + step + 1, spans[d]
             here = s.start + int(np.searchsorted(place[s], at, side="right")) - 1
@@ -318,21 +358,29 @@ def sample(vocabulary: Vocabulary, texts: list[str], keys: list[int], k: int) ->
             nodes, steps = np.concatenate([parent.node[:i], [node], n2]), np.concatenate([parent.step[:i], [step], s2])
             path = _Path(places, nodes, steps, lattice.logp[nodes, steps].astype(np.float64), value, i, excluded)
             paths[d].append(path)
-            _open(lattice, path, len(paths[d]) - 1, keys[d], draw, queues[d], k)
+            _open(lattice, path, len(paths[d]) - 1, seed[d], draw, queues[d], k - draw)
     out = []
     for d in range(len(texts)):
         limit = -queues[d][0][0] if queues[d] and len(paths[d]) == k else -np.inf
         rows = []
         for path in paths[d]:
             phi = float(path.logp.sum())
-            inclusion = 1.0 if np.isneginf(limit) else float(-np.expm1(-np.exp(min(phi - limit, 700.0))))
-            rows.append((_ids(vocabulary, lattice.code[path.node, path.step]), phi, path.value, inclusion))
+            rows.append((_ids(vocabulary, lattice.code[path.node, path.step]), phi, path.value, _log_inclusion(phi - limit)))
         out.append(rows)
     return out
 
 
+def _log_inclusion(above: float) -> float:
+    """Log of the probability that Gumbel noise reaches a value that is ``-above`` away."""
+    if above < -30:  # 1 - exp(-exp(x)) is exp(x)
+        return above
+    return float(np.log(-np.expm1(-np.exp(min(above, 700.0)))))
+
+
 def _ids(v: Vocabulary, codes: np.ndarray) -> np.ndarray:
     """Ids of edge codes: characters without a piece are spelt in bytes."""
+    ascii_ = (codes >= v.size) & (codes < v.size + 128)
+    codes = np.where(ascii_, v.byte_ids[np.where(ascii_, codes - v.size, 0)], codes)
     spelt = np.flatnonzero(codes >= v.size)
     if not len(spelt):
         return codes.astype("<u4")
@@ -343,19 +391,13 @@ def _ids(v: Vocabulary, codes: np.ndarray) -> np.ndarray:
     return np.concatenate([*parts, codes[last:]]).astype("<u4")
 
 
-_VOCABULARIES: dict[tuple[str, float], Vocabulary] = {}
-
-
 def vocabulary(path: str, alpha: float = 1.0) -> Vocabulary:
     """This Python worker's vocabulary (kept between tasks)."""
-    if (path, alpha) not in _VOCABULARIES:
-        _VOCABULARIES.clear()
-        _VOCABULARIES[path, alpha] = Vocabulary(path, alpha)
-    return _VOCABULARIES[path, alpha]
+    return kept_in_worker(("vocabulary", path, alpha), lambda: Vocabulary(path, alpha))
 
 
 SCHEMA = (
-    "doc_id long, sample int, n_tokens long, ids_crc32 long, log_prob double, perturbed double, inclusion double, "
+    "doc_id long, sample int, n_tokens long, ids_crc32 long, log_prob double, perturbed double, inclusion double, log_inclusion double, "
     "round_trip boolean, ids binary"
 )
 
@@ -389,7 +431,7 @@ def sample_segmentations(
 
 _ARROW = pa.schema(
     [("doc_id", pa.int64()), ("sample", pa.int32()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("log_prob", pa.float64()),
-     ("perturbed", pa.float64()), ("inclusion", pa.float64()), ("round_trip", pa.bool_()), ("ids", pa.binary())]
+     ("perturbed", pa.float64()), ("inclusion", pa.float64()), ("log_inclusion", pa.float64()), ("round_trip", pa.bool_()), ("ids", pa.binary())]
 )
 
 
@@ -397,8 +439,8 @@ def _sampled(v: Vocabulary, rows: list[tuple[int | None, str]], k: int, with_ids
     out: list[tuple] = []
     texts = [t for _, t in rows]
     for (d, t), drawn in zip(rows, sample(v, texts, [d or 0 for d, _ in rows], k)):
-        for i, (ids, phi, value, inclusion) in enumerate(drawn):
+        for i, (ids, phi, value, log_q) in enumerate(drawn):
             raw = ids.tobytes()
             same = v.decode(ids) == t.replace(SPACE, " ")
-            out.append((d, i, len(ids), zlib.crc32(raw), phi, value, inclusion, same, raw if with_ids else None))
+            out.append((d, i, len(ids), zlib.crc32(raw), phi, value, float(np.exp(log_q)), log_q, same, raw if with_ids else None))
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ARROW)], schema=_ARROW)

@@ -50,8 +50,8 @@ def test_probabilities_match_brute_force(vocabulary, library, text):
     assert len(drawn) == min(k, len(want)) and len({tuple(ids.tolist()) for ids, *_ in drawn}) == len(drawn)
     values = [value for _, _, value, _ in drawn]
     assert values == sorted(values, reverse=True)
-    for ids, phi, _, inclusion in drawn:
-        assert phi == pytest.approx(log(want[tuple(ids.tolist())]), abs=1e-4) and 0 < inclusion <= 1
+    for ids, phi, _, log_q in drawn:
+        assert phi == pytest.approx(log(want[tuple(ids.tolist())]), abs=1e-4) and log_q <= 0
 
 
 def test_draws_are_without_replacement_in_proportion(vocabulary, library):
@@ -68,15 +68,17 @@ def test_draws_are_without_replacement_in_proportion(vocabulary, library):
         if ids != top:
             assert second[ids] / first[top] == pytest.approx(p / (1 - want[top]), abs=0.04)
     # the mean of 1 / inclusion over the draws estimates the number of segmentations
-    total = np.mean([sum(exp(phi) / q for _, phi, _, q in d) for d in drawn])
+    total = np.mean([sum(exp(phi - log_q) for _, phi, _, log_q in d) for d in drawn])
     assert total == pytest.approx(1, abs=0.05)
 
 
 def test_inclusion_uses_the_next_value(vocabulary):
     a, b = sample(vocabulary, ["hello world"], [3], 2)[0], sample(vocabulary, ["hello world"], [3], 3)[0]
     assert [x[0].tolist() for x in a] == [x[0].tolist() for x in b[:2]]
-    for _, phi, _, q in a:
-        assert q == pytest.approx(-expm1(-exp(phi - b[2][2])), abs=1e-6)
+    for _, phi, _, log_q in a:
+        assert exp(log_q) == pytest.approx(-expm1(-exp(phi - b[2][2])), abs=1e-6)
+    long = sample(vocabulary, ["the end. " * 3000], [3], 2)[0]
+    assert all(log_q == pytest.approx(min(0, log_q)) and log_q < -745 for *_, log_q in long)
 
 
 def test_decoding_matches_the_library(vocabulary, library):
