@@ -34,9 +34,9 @@ SPACE = "▁"
 #: Characters of texts that are worked on at once (a longer text is a batch of its own).
 _CHARS = 1_600_000
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
-_CUT = re.compile(f"\\n|{SPACE}*[^{SPACE}\\n]+|{SPACE}+")
+_CUT = re.compile(f"\\n|[ {SPACE}]*[^ {SPACE}\\n]+|[ {SPACE}]+")
 #: Where no piece holds both Latin letters and other characters, texts are also cut between them.
-_FINE_CUT = re.compile(f"\\n|{SPACE}*[{_LETTER}]+|{SPACE}*[^{_LETTER}{SPACE}\\n]+|{SPACE}+")
+_FINE_CUT = re.compile(f"\\n|[ {SPACE}]*[{_LETTER}]+|[ {SPACE}]*[^{_LETTER} {SPACE}\\n]+|[ {SPACE}]+")
 _MIXED = re.compile(f"[{_LETTER}][^{_LETTER}]|[^{_LETTER}{SPACE}][{_LETTER}]")
 
 
@@ -162,6 +162,7 @@ class Lattice:
         self.start = np.cumsum(lens + 1) - lens - 1
         self.end = self.start + lens
         chars = np.frombuffer("\x00".join([*strings, ""]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        chars[chars == 32] = ord(SPACE)
         n, inside = len(chars), np.ones(len(chars), bool)
         inside[self.end] = False
         at = np.flatnonzero(inside)
@@ -229,7 +230,7 @@ class _Path:
 
 
 #: Steps that are looked at first, and what no noise exceeds.
-_AHEAD, _MOST_NOISE = 64, 37.5
+_AHEAD, _MOST_NOISE = 96, 37.5
 
 
 def _untaken(lattice: Lattice, path: _Path, stop: int) -> tuple[np.ndarray, np.ndarray]:
@@ -258,6 +259,8 @@ def _open(lattice: Lattice, path: _Path, number: int, seed: np.uint64, draw: int
         # noise from 53-bit numbers is below MOST_NOISE, so steps that lie as far below the k-th bound cannot matter
         if len(bound) >= k:
             upto = int(np.searchsorted(-before, _MOST_NOISE - np.partition(bound, -k)[-k]))
+            if upto <= f + _AHEAD:
+                break
         stop = min(f + first, max(upto, f))
         left, rest = _untaken(lattice, path, stop)
         u = uniforms(seed, path.place[f + left], 2 * draw + 1)
@@ -279,7 +282,7 @@ def sample(vocabulary: Vocabulary, texts: list[str], keys: list[int], k: int) ->
     """
     cuts, owner = [], []
     for t in texts:
-        own = vocabulary.cut.findall(SPACE + t.replace(" ", SPACE)) if t else []
+        own = vocabulary.cut.findall(" " + t) if t else []
         cuts += own
         owner.append(len(own))
     number = {s: i for i, s in enumerate(dict.fromkeys(cuts))}
@@ -379,11 +382,13 @@ def _log_inclusion(above: float) -> float:
 
 def _ids(v: Vocabulary, codes: np.ndarray) -> np.ndarray:
     """Ids of edge codes: characters without a piece are spelt in bytes."""
-    ascii_ = (codes >= v.size) & (codes < v.size + 128)
-    codes = np.where(ascii_, v.byte_ids[np.where(ascii_, codes - v.size, 0)], codes)
     spelt = np.flatnonzero(codes >= v.size)
-    if not len(spelt):
+    single = spelt[codes[spelt] < v.size + 128]
+    codes = codes.astype(np.int64)
+    codes[single] = v.byte_ids[codes[single] - v.size]
+    if len(single) == len(spelt):
         return codes.astype("<u4")
+    spelt = np.flatnonzero(codes >= v.size)
     parts, last = [], 0
     for i in spelt.tolist():
         parts += [codes[last:i], v.byte_ids[list(chr(codes[i] - v.size).encode("utf-8", "surrogatepass"))]]
