@@ -88,16 +88,15 @@ def keep_good(docs: DataFrame, model: forests.Boosted, threshold: float = 0.3, t
 
 # -- rules -------------------------------------------------------------------
 
-#: Rates that the rules watch, and what each may reach before it counts.
-RULES = {"symbols": 0.1, "pipes": 0.1, "bangs": 0.2, "upper": 0.25, "repeats": 0.3, "neighbours": 0.2, "dup_lines": 0.5}
+#: Rates that the isolation forest sees, as they are.
+RULES = ("symbols", "pipes", "bangs", "upper", "repeats", "neighbours", "dup_lines", "word_length", "longest", "digits", "distinct")
 #: Base rules: fewer words, or more per cent of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 20, 30
 
 
-def rule_excess(stats: np.ndarray) -> np.ndarray:
-    """How far each watched rate goes beyond its rule: the isolation forest's features."""
-    x = features(stats)
-    return np.column_stack([np.maximum(0, x[:, FEATURES.index(r)] - most) for r, most in RULES.items()])
+def rule_rates(stats: np.ndarray) -> np.ndarray:
+    """The watched rates of rows of ``NAMES``: the isolation forest's features."""
+    return features(stats)[:, [FEATURES.index(r) for r in RULES]]
 
 
 def base_failed(stats: np.ndarray) -> np.ndarray:
@@ -112,7 +111,7 @@ class Rules:
     threshold: float
 
     def anomaly(self, stats: np.ndarray) -> np.ndarray:
-        return self.forest.score(rule_excess(stats))
+        return self.forest.score(rule_rates(stats))
 
 
 def calibrate(scores: np.ndarray, labels: np.ndarray, weight: float = 3.0) -> float:
@@ -139,9 +138,9 @@ def fit_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", key: s
     on the rows that pass the base rules.
     """
     x, y = sample_statistics(docs, labelled_sample(labels, label, key, rows), key, text)
-    forest = forests.fit_isolation(rule_excess(x))
+    forest = forests.fit_isolation(rule_rates(x))
     rest = ~base_failed(x)
-    return Rules(forest, calibrate(forest.score(rule_excess(x[rest])), y[rest]))
+    return Rules(forest, calibrate(forest.score(rule_rates(x[rest])), y[rest]))
 
 
 RULE_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

@@ -98,6 +98,18 @@ def test_rules_match_brute_counts_and_labels(spark, docs):
     assert np.mean(good) > 0.97 and np.mean(bad) < 0.05
 
 
+def test_forest_sees_rates_below_any_cut():
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefgh"), n)) for n in rng.integers(3, 9, 300)]
+    good = [" ".join(rng.choice(words, 120)) for _ in range(300)]
+    shouting = " ".join(w.upper() if i % 5 == 0 else w + "!" if i % 6 == 0 else w + "#" if i % 12 == 1 else w for i, w in enumerate(good[0].split()))
+    long_words, short_words = " ".join("abcdefgh" * 6 + str(i) for i in range(60)), " ".join("abcdefgh"[i % 8] for i in range(60))
+    x = np.array([stats.text_statistics(t) for t in [*good, shouting, long_words, short_words]])
+    assert not quality.base_failed(x[[0, 300, 301]]).any()
+    score = quality.Rules(forests.fit_isolation(quality.rule_rates(x)), 0.5).anomaly(x)
+    assert len(np.unique(score[:300])) > 100 and (score[300:] > score[:300].max()).all()
+
+
 def test_odd_rows(spark, docs):
     df, labels = docs
     odd = spark.createDataFrame([(None, None, "s", None, None), (1, "", None, "k", "n"), (1, "", None, "k", "n"), (2, "word " * 50000, "", "", "")], SCHEMA)
