@@ -49,7 +49,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in training sequences."""
     prepare(spark)
-    return packing.pack_documents(docs, default_tokenizer(), end_id=1).drop("ids")
+    return packing.pack_documents(docs, default_tokenizer(), end_id=1, added=True).drop("ids")
 
 
 STAGES = [

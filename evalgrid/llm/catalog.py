@@ -53,7 +53,7 @@ FROM marked GROUP BY doc_id
 
 def op4_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 256 to 2048 tokens without padding."""
-    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), default_tokenizer(), end_id=1)
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), default_tokenizer(), end_id=1, added=True)
     return pieces.drop("ids")
 
 
@@ -110,7 +110,7 @@ def _verdicts(scored: DataFrame, threshold: float) -> DataFrame:
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as token files in order of doc_id, and read back."""
     path = shared_folder(spark, "token-files")
-    token_files.write_token_files(table(spark, sf_dir, "documents"), path, default_tokenizer(), end_id=0)
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path, default_tokenizer(), end_id=0, added=True)
     return token_files.read_token_files(spark, path)
 
 

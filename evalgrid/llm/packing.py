@@ -171,6 +171,7 @@ def pack_documents(
     with_ids: bool = False,
     key: str = "doc_id",
     text: str = "text",
+    added: bool = False,
 ) -> DataFrame:
     """Pieces of documents in sequences; one row per piece (``SCHEMA``).
 
@@ -187,7 +188,7 @@ def pack_documents(
         from pyspark import TaskContext
 
         work = _Task(TaskContext.get().partitionId() << 40, tiers, step_tokens, with_ids)
-        enc, end = encoder(tokenizer), np.array([end_id], "<u4")
+        enc, end = encoder(tokenizer, added), np.array([end_id], "<u4")
         for batch in batches:
             for doc_id, t in zip(batch.column(0), batch.column(1)):
                 work.add(doc_id.as_py(), np.concatenate([*enc.encode([t.as_py()]), end]))

@@ -104,7 +104,8 @@ _DOC_ARROW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("doc_id",
 
 
 def write_token_files(
-    docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, block_ids: int = 2_000_000, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, block_ids: int = 2_000_000, key: str = "doc_id", text: str = "text",
+    added: bool = False,
 ) -> None:
     """Encode ``docs`` in ascending key order into token files under ``path``.
 
@@ -117,7 +118,7 @@ def write_token_files(
         from pyspark import TaskContext
 
         part, block = TaskContext.get().partitionId(), 0
-        enc, end = encoder(tokenizer), np.array([end_id], "<u4")
+        enc, end = encoder(tokenizer, added), np.array([end_id], "<u4")
         keys, ids, held = [], [], 0
 
         def row() -> pa.RecordBatch:

@@ -55,10 +55,11 @@ def default_tokenizer() -> str:
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids; keeps at most ``keep`` words' ids.
 
-    Special tokens' strings inside a text are ordinary text.
+    With ``added``, the file's added tokens inside a text become their ids, as
+    the library does by default; else their strings are ordinary text.
     """
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 600_000, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -68,6 +69,12 @@ class Encoder:
         split = kind["pre_tokenizer"] or {}
         if kind["normalizer"] or kind["model"]["type"] != "BPE" or split.get("type") != "ByteLevel" or split["add_prefix_space"] or not split["use_regex"]:
             raise ValueError("a byte-level BPE without normalizer and prefix space is needed")
+        tokens = kind["added_tokens"] if added else []
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):
+            raise ValueError("added tokens that depend on their neighbours are not supported")
+        self._added = {t["content"]: int(t["id"]).to_bytes(4, "little") for t in tokens}
+        # at one place the longest wins
+        self._find_added = re.compile("|".join(map(re.escape, sorted(self._added, key=len, reverse=True)))) if tokens else None
         self._model, self._split = self._tok.model, self._tok.pre_tokenizer
         self._keep = keep
         self._model._resize_cache(0)  # words are kept here
@@ -122,16 +129,27 @@ class Encoder:
 
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """Ids of each text (null: none), as ``<u4`` arrays."""
-        out = []
-        for text in texts:
-            first, *rest = self._pieces(text) if text else [""]
-            found = list(map(self._new.get, rest))
-            if None in found:
-                found = [self._learn(w) if b is None else b for w, b in zip(rest, found)]
-            out.append(np.frombuffer((self._ids(first) if first else b"") + b"".join(found), "<u4"))
-        return out
-
-
-def encoder(path: str) -> Encoder:
+        return [np.frombuffer(self._text(text), "<u4") if text else np.zeros(0, "<u4") for text in texts]
+
+    def _text(self, text: str) -> bytes:
+        """Ids of a text: those of its added tokens, and of the parts between them."""
+        if not self._find_added or not self._find_added.search(text):
+            return self._part(text)
+        out, at = [], 0
+        for m in self._find_added.finditer(text):
+            out += [self._part(text[at : m.start()]), self._added[m.group()]]
+            at = m.end()
+        return b"".join([*out, self._part(text[at:])])
+
+    def _part(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
+        first, *rest = self._pieces(text)
+        found = list(map(self._new.get, rest))
+        if None in found:
+            found = [self._learn(w) if b is None else b for w, b in zip(rest, found)]
+        return (self._ids(first) if first else b"") + b"".join(found)
+
+
+def encoder(path: str, added: bool = False) -> Encoder:
     """This Python worker's encoder for a vocabulary file (kept between tasks)."""
-    return kept_in_worker(("encoder", path), lambda: Encoder(path))
+    return kept_in_worker(("encoder", path, added), lambda: Encoder(path, added=added))

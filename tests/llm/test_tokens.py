@@ -33,6 +33,14 @@ def test_encoder_matches_the_library(plain):
             assert [x.tolist() for x in enc.encode(TEXTS)] == [plain(t) for t in TEXTS]
 
 
+def test_added_tokens_match_the_library_by_default():
+    library, enc = Tokenizer.from_file(default_tokenizer()), Encoder(default_tokenizer(), added=True)
+    end = "<|endoftext|>"
+    more = [end, end * 3, f" {end} ", f"a {end}b  {end}\n c", f"it{end}'s  <|endoftext |> <|{end}", f"x{end[:-1]}", f"\n\n{end}\n\nword"]
+    assert [x.tolist() for x in enc.encode(TEXTS + more)] == [library.encode(t or "", add_special_tokens=False).ids for t in TEXTS + more]
+    assert enc.encode([f"a{end}"])[0].tolist()[-1] == 50256
+
+
 def test_values_round_trip():
     rng = np.random.default_rng(5)
     for n in (0, 1, 3, 4, 1001):
