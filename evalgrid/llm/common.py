@@ -8,7 +8,8 @@ import uuid
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from evalgrid.session import ensure_checkpoint_dir, ship_package
 
@@ -60,3 +61,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder under ``spark.checkpoint.dir`` for a table that a job writes and reads again."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/evalgrid-llm/{name}-{uuid.uuid4().hex}"
+
+
+def ranked(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``rows`` with their number (from 1) in ``order`` as column ``name``.
+
+    Sorted in ranges of about equal size; one count a range gives the offsets
+    (as many rows as there are ranges). ``order`` should tell any two rows
+    apart, so that no range holds a group that cannot be cut.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.monotonically_increasing_id()  # the range's number, and the row's within it
+    placed = checkpointed(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", at))
+    placed = placed.withColumn("__range", F.shiftright("__at", 33))
+    counts, before, offsets = placed.groupBy("__range").count().orderBy("__range").collect(), 0, []
+    for r in counts:
+        offsets.append((r["__range"], before - (r["__range"] << 33) + 1))
+        before += r["count"]
+    if not offsets:
+        return placed.withColumn(name, F.lit(0).cast("long")).drop("__at", "__range")
+    first = F.broadcast(rows.sparkSession.createDataFrame(offsets, "__range long, __add long"))
+    return placed.join(first, "__range").withColumn(name, F.col("__at") + F.col("__add")).drop("__at", "__range", "__add")
