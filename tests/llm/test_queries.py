@@ -4,7 +4,9 @@ import hashlib
 import zlib
 
 import pytest
+from test_prefix_trie import brute as brute_trie
 from test_quality import brute_counts
+from test_resampling import brute as brute_draws
 from test_simhash import brute_components, brute_fingerprint
 from tokenizers import Tokenizer
 
@@ -27,6 +29,10 @@ CONTRACTS = {
     "op8": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
     "op9": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
     "op10": {"doc_id": "bigint", "start": "bigint", "n_tokens": "bigint", "ids_crc32": "bigint"},
+    "op11": {"doc_id": "bigint", "n_features": "bigint", "weight": "bigint", "score": "bigint", "rank": "bigint"},
+    "op12": {"conv_id": "bigint", "depth": "bigint", "parent_conv_id": "bigint", "n_convs": "bigint", "n_children": "bigint",
+             "n_leaves": "bigint", "saved_tokens": "bigint", "ends_sha256": "string"},
+    "op13": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
 }
 
 
@@ -48,6 +54,8 @@ def test_one_query_an_operator_with_its_columns(results, texts):
     assert results.keys() == CONTRACTS.keys()
     for name, (types, rows) in results.items():
         assert CONTRACTS[name].items() <= types.items(), name
+        if name == "op12":
+            continue
         assert {r.doc_id for r in rows} == texts.keys()
         if name not in ("op4", "op6"):
             assert len(rows) == len(texts)
@@ -127,3 +135,20 @@ def test_op8_and_op9(results):
         for r in results[name][1]:
             assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
             assert 0 <= r.score <= 1 and r.predicted == (r.score >= threshold)
+
+
+def test_op11(results, texts, spark):
+    target = [r.text for r in spark.read.parquet(f"{BASE}/benchmark.parquet").collect()]
+    got = [(r.doc_id, r.n_features, r.weight, r.score, r["rank"]) for r in results["op11"][1]]
+    assert sorted(got, key=repr) == sorted(brute_draws(list(texts.items()), target), key=repr)
+
+
+def test_op12(results, spark):
+    turns = spark.read.parquet(f"{BASE}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()
+    assert sorted((tuple(r) for r in results["op12"][1]), key=repr) == brute_trie([tuple(r) for r in turns])
+
+
+def test_op13(results, texts):
+    for r in results["op13"][1]:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1
+        assert (r.lang_pred == "und") == (not any(c.isalpha() for c in texts[r.doc_id] or ""))
