@@ -10,29 +10,40 @@ Like ``text.py`` every helper has a ``*_sql`` text form and a Column form.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalgrid.functions.text import _e, float_repr_sql, py_float_sql, py_repr_str_sql, raw, strip_sql
+from evalgrid.functions.jsontext import json_error_text_sql, let, marked_sql, tokens_sql
+from evalgrid.functions.text import _e, float_repr_sql, py_float_sql, py_repr_str_sql, strip_sql
 
 
 def _typed(v: str, t: str) -> str:
     return f"try_variant_get({v}, '$', '{t}')"
 
 
-def strict_json_sql(x: str) -> str:
-    """Parse like ``json.loads(s.strip())``: VARIANT, or NULL if invalid.
+#: JSON texts that stand in a VARIANT for Python's NaN (the negative double nearest to zero) and Infinity (out of range).
+NAN_TEXT, INFINITY_TEXT = "-4.9E-324", "1e999"
 
-    ``try_parse_json`` ignores trailing content after the first value;
-    wrapping the text in ``[...]`` and in ``{"v": ...}`` turns any trailing
-    content into a syntax error in at least one of the two, so all three
-    parses must succeed.
+
+def with_strict_json(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds ``out``: the SQL text ``text`` parsed like ``json.loads(s.strip())``; VARIANT, or NULL if invalid.
+
+    ``try_parse_json`` ignores what follows the first value. So the text is
+    parsed once, as the first of two items of a list; the second is the
+    text's own hash: only if the list has these two and ends there is the
+    first a whole value. The words NaN and Infinity, which Python takes, are
+    numbers that no other text gives (``NAN_TEXT``, ``INFINITY_TEXT``).
     """
-    s = strip_sql(x)
-    return (
-        f"CASE WHEN try_parse_json(concat('[', {s}, ']')) IS NOT NULL "
-        f"AND try_parse_json(concat('{{\"v\":', {s}, '}}')) IS NOT NULL THEN try_parse_json({s}) END"
-    )
+    df = df.withColumn("__js", F.expr(strip_sql(text)))
+    listed = f"try_parse_json(concat('[', {marked_sql('__js', NAN_TEXT, INFINITY_TEXT)}, ',', CAST(xxhash64(__js) AS STRING), ']'))"
+    df = df.withColumn("__jp", F.expr(listed))
+    whole = "try_variant_get(__jp, '$[1]', 'bigint') = xxhash64(__js) AND try_variant_get(__jp, '$[2]', 'variant') IS NULL"
+    return df.withColumn(out, F.expr(f"CASE WHEN {whole} THEN try_variant_get(__jp, '$[0]', 'variant') END")).drop("__js", "__jp")
+
+
+def double_sql(v: str) -> str:
+    """A VARIANT number as a double, NaN where ``NAN_TEXT`` stands for it."""
+    return f"CASE WHEN {_typed(v, 'double')} = DOUBLE('{NAN_TEXT}') THEN DOUBLE('NaN') ELSE {_typed(v, 'double')} END"
 
 
 def vget_sql(v: str, path: str) -> str:
@@ -66,29 +77,26 @@ def py_text_sql(v: str, k: str | None = None) -> str:
     k = k or f"({json_kind_sql(v)})"
     return (
         f"CASE WHEN {k} IN ('str', 'int') THEN {_typed(v, 'string')} "
-        f"WHEN {k} = 'float' THEN {float_repr_sql(_typed(v, 'double'))} "
+        f"WHEN {k} = 'float' THEN {let(double_sql(v), 'd', float_repr_sql('d'))} "
         f"WHEN {k} = 'bool' THEN CASE WHEN {_typed(v, 'boolean')} THEN 'True' ELSE 'False' END "
         f"WHEN {k} = 'NoneType' THEN 'None' ELSE to_json({v}) END"
     )
 
 
-# One token of JSON text: a string, a number, a word, or a mark.
-_TOKEN_RE = r'"(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|true|false|null|[\[\]{}:,]'
-
-
 def py_nested_sql(text: str) -> str:
-    """Python ``str`` of a list or object given as compact JSON text, whatever its depth.
+    """Python ``str`` of a list or object given as JSON text without white space, whatever its depth.
 
     Each token is rewritten on its own, so no recursion is needed. Objects
-    print their keys in the text's order.
+    print their names in the text's order, each as often as it is there.
     """
     string = py_repr_str_sql("try_variant_get(try_parse_json(t), '$', 'string')")
-    number = f"CASE WHEN t RLIKE r'[.eE]' THEN {float_repr_sql('t')} ELSE t END"
+    number = f"CASE WHEN t RLIKE r'[.eE]' THEN {float_repr_sql('t')} WHEN t = '-0' THEN '0' ELSE t END"
     one = (
         "CASE t WHEN ':' THEN ': ' WHEN ',' THEN ', ' WHEN 'true' THEN 'True' WHEN 'false' THEN 'False' WHEN 'null' THEN 'None' "
+        f"WHEN 'NaN' THEN 'nan' WHEN '{NAN_TEXT}' THEN 'nan' WHEN 'Infinity' THEN 'inf' WHEN '-Infinity' THEN '-inf' "
         f"ELSE CASE WHEN startswith(t, '\"') THEN {string} WHEN t RLIKE r'^-?[0-9]' THEN {number} ELSE t END END"
     )
-    return f"array_join(transform(regexp_extract_all({text}, {raw(_TOKEN_RE)}, 0), t -> {one}), '')"
+    return f"array_join(transform({tokens_sql(text)}, t -> {one}), '')"
 
 
 def py_repr_sql(v: str, k: str | None = None) -> str:
@@ -101,7 +109,7 @@ def py_float_of_sql(v: str, k: str | None = None) -> str:
     """Python ``float(x)`` of a VARIANT: numbers, bools, numeric strings; NULL otherwise."""
     k = k or f"({json_kind_sql(v)})"
     return (
-        f"CASE WHEN {k} IN ('int', 'float') THEN {_typed(v, 'double')} "
+        f"CASE WHEN {k} IN ('int', 'float') THEN {double_sql(v)} "
         f"WHEN {k} = 'bool' THEN CAST({_typed(v, 'boolean')} AS DOUBLE) "
         f"WHEN {k} = 'str' THEN {py_float_sql(_typed(v, 'string'))} END"
     )
@@ -116,11 +124,19 @@ def object_keys_sql(v: str) -> str:
     return f"map_keys({_typed(v, 'map<string,variant>')})"
 
 
-# Column forms -------------------------------------------------------------
+def with_json_verdict(df: DataFrame, text: str, kind: str = "kind", error: str = "error") -> DataFrame:
+    """Adds the Python type name of the JSON in column ``text`` and, where it is none, the decoder's message.
+
+    A null text has neither. The type of an empty text is null, its message ``Expecting value``.
+    """
+    parsed = with_strict_json(df, f"`{text}`", "__json")
+    # a generator that filters on the verdict cannot cross, so that a text is parsed once
+    why = f"CASE WHEN __json IS NULL THEN {json_error_text_sql(strip_sql(f'`{text}`'))} END"
+    found = F.inline(F.array(F.struct(F.expr(json_kind_sql("__json")).alias(kind), F.expr(why).alias(error))))
+    return parsed.select(*df.columns, found)
 
 
-def strict_json(x: str) -> Column:
-    return F.expr(strict_json_sql(_e(x)))
+# Column forms -------------------------------------------------------------
 
 
 def vget(v: str, path: str) -> Column:
@@ -157,34 +173,3 @@ def text_list(v: str) -> Column:
 
 def object_keys(v: str) -> Column:
     return F.expr(object_keys_sql(_e(v)))
-
-
-def _json_error_text(s):
-    """Per batch: Python's ``json.loads`` error text for each string (None if it parses)."""
-    import json
-
-    def one(x):
-        if x is None:
-            return None
-        try:
-            json.loads(x.strip())
-            return None
-        except json.JSONDecodeError as e:
-            return str(e)
-        except (RecursionError, ValueError) as e:
-            return str(e)
-
-    return s.map(one)
-
-
-_JSON_ERROR_UDF = None
-
-
-def python_json_error(col) -> Column:
-    """Arrow UDF: the exact ``json.JSONDecodeError`` text (``Expecting value: line
-    1 column 1 (char 0)``). Opt-in detail for rows the native strict check
-    rejected; pass only those rows (others as NULL) so little crosses to Python."""
-    global _JSON_ERROR_UDF
-    if _JSON_ERROR_UDF is None:
-        _JSON_ERROR_UDF = F.pandas_udf(_json_error_text, "string")
-    return _JSON_ERROR_UDF(col)

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalgrid.functions.jsonv import strict_json_sql
+from evalgrid.functions.jsonv import with_strict_json
 from evalgrid.operators.leaderboard import latest_per_group, sort_order
 
 RUN_STATUSES = ("running", "completed", "cancelled", "failed")
@@ -116,7 +116,7 @@ def response_consistency(attempts: DataFrame, keys: Sequence[str], response: str
 
 def raw_line_report(lines: DataFrame, keys: Sequence[str], line: str = "line") -> DataFrame:
     """Lines, corrupt lines (no strict JSON) and completed attempts of raw result files, per ``keys``."""
-    checked = lines.withColumn("__ok", F.expr(f"{strict_json_sql(line)} IS NOT NULL"))
+    checked = with_strict_json(lines, f"`{line}`", "__json").withColumn("__ok", F.col("__json").isNotNull()).drop("__json")
     return checked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("lines"),
         F.count_if(~F.col("__ok")).alias("corrupt_lines"),

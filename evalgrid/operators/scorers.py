@@ -22,6 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalgrid.functions.jsontext import json_error_text_sql, member_text_sql
 from evalgrid.functions.jsonv import (
     is_json_null_sql,
     json_kind_sql,
@@ -30,8 +31,8 @@ from evalgrid.functions.jsonv import (
     py_nested_sql,
     py_repr_sql,
     py_text_sql,
-    strict_json_sql,
     vget_sql,
+    with_strict_json,
 )
 from evalgrid.functions.text import fill_sql, first_number_sql, float_repr_sql, lit, py_repr_str_sql, strip_sql
 
@@ -151,13 +152,30 @@ def _stage(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
     return df.withColumns({k: F.expr(v) for k, v in exprs.items()})
 
 
-def with_task_spec(df: DataFrame, task: str = "task", out: str = "spec", category_map: dict[str, str] | None = None) -> DataFrame:
+def _nested_text(kind: str, source: str) -> str:
+    """Python's text of a list or object from its JSON text ``source``; NULL for other kinds."""
+    return f"CASE WHEN {kind} IN ('list', 'dict') THEN {py_nested_sql(source)} END"
+
+
+def with_task_spec(
+    df: DataFrame, task: str = "task", out: str = "spec", category_map: dict[str, str] | None = None, text: str | None = None
+) -> DataFrame:
     """Add the scoring spec read from the task VARIANT column ``task`` as flat
     columns ``{out}_{field}`` (``spec_scorer``, ``spec_exp_text``, ...).
 
     Flat columns, not one struct: a query that uses one scorer reads three
-    fields, and column pruning then skips computing the rest."""
+    fields, and column pruning then skips computing the rest.
+
+    ``text`` is the column of the JSON text that ``task`` was parsed from:
+    with it expected lists and objects print their names in the text's order,
+    without it sorted, as VARIANT keeps them."""
     t = f"`{task}`"
+    if text is not None:
+        exp_source = member_text_sql(f"`{text}`", "__exp_key")
+        holder = f"CASE WHEN {vget_sql(t, '$.expected_tool')} IS NOT NULL THEN `{text}` ELSE {member_text_sql(f'`{text}`', lit('metadata'))} END"
+        tool_source = member_text_sql(holder, "'expected_tool'")
+    else:
+        exp_source, tool_source = "to_json(__exp_v)", "to_json(__tool_v)"
     cmap = CATEGORY_SCORER_MAP if category_map is None else category_map
     df = _stage(
         df,
@@ -176,6 +194,7 @@ def with_task_spec(df: DataFrame, task: str = "task", out: str = "spec", categor
     names = ["exp", "tol", "kw", "thr", "tool", "req", "cat"]
     df = _stage(df, {f"__{n}_t": f"schema_of_variant(__{n}_v)" for n in ("kw", "req")})
     df = _stage(df, {f"__{n}_k": json_kind_sql(f"__{n}_v") for n in names})
+    df = _stage(df, {"__exp_nested": _nested_text("__exp_k", exp_source), "__tool_nested": _nested_text("__tool_k", tool_source)})
     cmap_sql = f"coalesce(element_at({category_map_sql(cmap)}, __category), {lit(FALLBACK_SCORER)})" if cmap else lit(FALLBACK_SCORER)
     df = _stage(
         df,
@@ -183,12 +202,9 @@ def with_task_spec(df: DataFrame, task: str = "task", out: str = "spec", categor
             "__category": f"CASE WHEN __cat_k IS NULL THEN '' WHEN __cat_k = 'NoneType' THEN CAST(NULL AS STRING) "
             f"ELSE {py_text_sql('__cat_v', '__cat_k')} END",
             "__exp_null": is_json_null_sql("__exp_v"),
-            "__exp_text": strip_sql(
-                f"CASE WHEN __exp_k IN ('list', 'dict') THEN {py_nested_sql('to_json(__exp_v)')} "
-                f"ELSE {py_text_sql('__exp_v', '__exp_k')} END"
-            ),
+            "__exp_text": strip_sql(f"coalesce(__exp_nested, {py_text_sql('__exp_v', '__exp_k')})"),
             "__exp_num": py_float_of_sql("__exp_v", "__exp_k"),
-            "__exp_repr": py_repr_sql("__exp_v", "__exp_k"),
+            "__exp_repr": f"coalesce(__exp_nested, {py_repr_sql('__exp_v', '__exp_k')})",
             "__tol_num": f"CASE WHEN __tol_v IS NULL THEN {DEFAULT_TOLERANCE} ELSE {py_float_of_sql('__tol_v', '__tol_k')} END",
             "__tol_repr": f"CASE WHEN __tol_v IS NULL THEN 'None' ELSE {py_repr_sql('__tol_v', '__tol_k')} END",
             "__kw_error": f"CASE WHEN __kw_k IS NULL OR __kw_k = 'NoneType' THEN {msg('missing_keywords')} "
@@ -202,7 +218,7 @@ def with_task_spec(df: DataFrame, task: str = "task", out: str = "spec", categor
             "__thr_repr": py_repr_sql("__thr_v", "__thr_k"),
             "__tool_applies": "coalesce(__tool_k IS NOT NULL AND __tool_k <> 'NoneType', false)",
             "__tool_kind": "__tool_k",
-            "__tool_text": py_text_sql("__tool_v", "__tool_k"),
+            "__tool_text": f"coalesce(__tool_nested, {py_text_sql('__tool_v', '__tool_k')})",
             "__tool_json": "to_json(__tool_v)",
             "__tool_num": f"CASE WHEN __tool_k IN ('int', 'float', 'bool') THEN {py_float_of_sql('__tool_v', '__tool_k')} END",
             "__req_applies": "coalesce(__req_k IS NOT NULL AND __req_k <> 'NoneType', false)",
@@ -297,13 +313,7 @@ def _keyword(sp: str, **opts) -> str:
     )
 
 
-def _invalid_json_reason(detail: bool) -> str:
-    if detail:
-        return f"CASE WHEN __r_json_err IS NULL THEN {msg('invalid_json')} ELSE {msg('invalid_json_detail', detail='__r_json_err')} END"
-    return msg("invalid_json")
-
-
-def _json(sp: str, json_error_detail: bool = False, **opts) -> str:
+def _json(sp: str, **opts) -> str:
     res, fail = _makers(opts)
     ta, ra = f"{sp}_tool_applies", f"{sp}_req_applies"
     num = "('int', 'float', 'bool')"
@@ -337,9 +347,10 @@ def _json(sp: str, json_error_detail: bool = False, **opts) -> str:
     ok = f"(1 + CAST({tool_ok} AS INT) + CAST({req_ok} AS INT))"
     score = f"round(CAST({ok} AS DOUBLE) / CAST({total} AS DOUBLE), 4)"
     reason = f"concat_ws({msg('check_separator')}, {msg('parsed')}, {tool_reason}, {req_reason})"
+    invalid = f"coalesce({msg('invalid_json_detail', detail='__r_json_err')}, {msg('invalid_json')})"
     return (
         f"CASE WHEN __r_text IS NULL THEN {fail(msg('none_response'))} "
-        f"WHEN __r_json IS NULL THEN {fail(_invalid_json_reason(json_error_detail))} "
+        f"WHEN __r_json IS NULL THEN {fail(invalid)} "
         f"WHEN __r_jkind <> 'dict' THEN {fail(msg('not_object', kind='__r_jkind'))} "
         f"ELSE {res(score, f'{ok} = {total}', reason)} END"
     )
@@ -398,14 +409,12 @@ def score_frame(
     scorer: str | None = None,
     out: str = "result",
     task: str | None = None,
-    json_error_detail: bool = False,
     with_reason: bool = True,
 ) -> DataFrame:
     """Score every row: adds ``out`` = STRUCT<score, passed, reason>.
 
-    ``json_error_detail=True`` appends Python's parser message to ``Invalid
-    JSON`` reasons (an Arrow UDF over the rejected responses only).
-    ``with_reason=False`` leaves ``reason`` NULL: a summary that reads only
+    A response that is no JSON is read once more, token by token, for the
+    message of Python's decoder. ``with_reason=False`` leaves ``reason`` NULL: a summary that reads only
     score and passed then builds no reason text at all.
 
     ``scorer`` is either one scorer name for every row, or None to use each
@@ -440,17 +449,16 @@ def score_frame(
             "__r_strip": gate("strip", strip_sql("__r_text"), "STRING"),
             "__r_low": gate("low", "lower(__r_text)", "STRING"),
             "__r_num_text": gate("num", first_number_sql("__r_text"), "STRING"),
-            "__r_json": gate("json", strict_json_sql("__r_text"), "VARIANT"),
+            "__r_json_text": gate("json", "__r_text", "STRING"),
         },
     )
     if "num" in needs:
         df = _stage(df, {"__r_num": "CAST(__r_num_text AS DOUBLE)"})
         df = _stage(df, {"__r_num_repr": float_repr_sql("__r_num")})
-    if "json" in needs and json_error_detail and with_reason:
-        from evalgrid.functions.jsonv import python_json_error
-
-        df = df.withColumn("__r_json_err", python_json_error(F.expr("CASE WHEN __r_json IS NULL THEN __r_text END")))
     if "json" in needs:
+        df = with_strict_json(df, "__r_json_text", "__r_json")
+        rejected = f"CASE WHEN __r_json IS NULL AND __r_json_text IS NOT NULL THEN {json_error_text_sql(strip_sql('__r_text'))} END"
+        df = _stage(df, {"__r_json_err": rejected if with_reason else "CAST(NULL AS STRING)"})
         df = _stage(
             df,
             {
@@ -470,7 +478,7 @@ def score_frame(
         df = _stage(
             df,
             {
-                "__r_tool_text": py_text_sql("__r_tool", "__r_tool_kind"),
+                "__r_tool_text": f"coalesce({_nested_text('__r_tool_kind', member_text_sql('__r_text', lit('tool')))}, {py_text_sql('__r_tool', '__r_tool_kind')})",
                 "__r_tool_json": "to_json(__r_tool)",
                 "__r_tool_num": f"CASE WHEN __r_tool_kind IN ('int', 'float', 'bool') THEN {py_float_of_sql('__r_tool', '__r_tool_kind')} END",
             },
@@ -478,7 +486,7 @@ def score_frame(
     fallback = _fail(unknown_scorer_sql("__name") if with_reason else "CAST(NULL AS STRING)")
     builtin = [n for n in names if n in _REGISTRY]
     expr_sql = (
-        "CASE " + " ".join(f"WHEN __name = {lit(n)} THEN {_REGISTRY[n][0](sp, json_error_detail=json_error_detail, with_reason=with_reason)}" for n in builtin) + f" ELSE {fallback} END"
+        "CASE " + " ".join(f"WHEN __name = {lit(n)} THEN {_REGISTRY[n][0](sp, with_reason=with_reason)}" for n in builtin) + f" ELSE {fallback} END"
         if builtin
         else fallback
     )

@@ -70,6 +70,38 @@ def q_score_all(spark, sf_dir):
     return scored_attempts(spark, sf_dir)
 
 
+def _json_errors_sql() -> str:
+    x = orc.strip("text")
+    kind = (
+        "CASE WHEN starts_with(x, '{') THEN 'dict' WHEN starts_with(x, '[') THEN 'list' WHEN starts_with(x, '\"') THEN 'str' ELSE 'float' END"
+    )
+    return f"""SELECT event_id, CASE WHEN error IS NULL THEN {kind} END AS kind, error
+        FROM (SELECT event_id, {x} AS x, {orc.json_error_text(x)} AS error FROM ({fx.select_sql(fx.JSON_TEXTS, "events")}))"""
+
+
+@register("json_errors", _json_errors_sql)
+def q_json_errors(spark, sf_dir):
+    from evalgrid.functions.jsonv import with_json_verdict
+
+    return with_json_verdict(fx.json_texts(spark, sf_dir), "text").select("event_id", "kind", "error")
+
+
+@register(
+    "score_expected_values",
+    lambda: f"""SELECT event_id, CASE half WHEN 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score, half = 0 AS passed,
+        CASE half WHEN 0 THEN 'Matched expected answer' ELSE 'Expected ' || chr(39) || said || chr(39) || ' but got ' || chr(39) || 'other' || chr(39) END AS reason
+        FROM ({fx.select_sql(fx.VALUED_TASKS, "events")})""",
+)
+def q_score_expected_values(spark, sf_dir):
+    from evalgrid.sources.tasks import parse_task_lines
+
+    rows = fx.valued_tasks(spark, sf_dir)
+    tasks, _ = parse_task_lines(rows.select("task_file", "line_no", "line"))
+    scored = sc.score_frame(tasks.join(rows.select("line_no", "response"), "line_no"))
+    return scored.select(F.col("line_no").alias("event_id"), F.col("result.score").alias("score"),
+                         F.col("result.passed").alias("passed"), F.col("result.reason").alias("reason"))
+
+
 # A category map that routes one category to a scorer nobody registered.
 _MAP_WITH_UNKNOWN = {**sc.CATEGORY_SCORER_MAP, "unmapped": "semantic_similarity"}
 

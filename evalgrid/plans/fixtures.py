@@ -136,6 +136,71 @@ def task_lines_sql() -> str:
     return f"SELECT task_file, row_number() OVER (PARTITION BY task_file ORDER BY event_id) AS line_no, line FROM ({inner})"
 
 
+# --- v_json_texts: tool calls, whole and broken in many ways -------------------
+
+_CALL = (
+    "('{\"tool\": \"' || event_type || '\", \"arguments\": ' || props || ',' || chr(10) || ' \"n\": [1, 2.5e3, -7, true, null], \"s\": \"é' "
+    "|| CAST(user_id AS STRING) || '\"}')"
+)
+JSON_TEXTS = [
+    ("event_id", "event_id"),
+    ("text", "CASE event_id % 17 "
+             f"WHEN 0 THEN substr({_CALL}, 1, CAST(event_id % 89 AS INTEGER)) "
+             f"WHEN 1 THEN {_CALL} || ' trailing' "
+             f"WHEN 2 THEN replace({_CALL}, ', ', ',, ') "
+             f"WHEN 3 THEN replace({_CALL}, '\"tool\"', 'tool') "
+             f"WHEN 4 THEN replace({_CALL}, ']', ' , ]') "
+             f"WHEN 5 THEN replace({_CALL}, '}}', ',}}') "
+             f"WHEN 6 THEN replace({_CALL}, ': ', ' ') "
+             f"WHEN 7 THEN replace({_CALL}, 'true', 'True') "
+             f"WHEN 8 THEN replace({_CALL}, 'null', 'NaN, -Infinity') "
+             f"WHEN 9 THEN replace({_CALL}, '2.5e3', '2.') "
+             f"WHEN 10 THEN substr({_CALL}, 2) "
+             f"WHEN 11 THEN replace({_CALL}, 'é', chr(92) || 'x') "
+             f"WHEN 12 THEN replace({_CALL}, 'é', chr(92) || 'u12g4') "
+             f"WHEN 13 THEN replace({_CALL}, 'é', chr(9)) "
+             "WHEN 14 THEN CASE event_id % 6 WHEN 0 THEN 'NaN' WHEN 1 THEN ' -Infinity ' WHEN 2 THEN '\"NaN\"' WHEN 3 THEN 'nan' "
+             "WHEN 4 THEN '' ELSE '[1, 2] [3]' END "
+             f"ELSE '  ' || {_CALL} || chr(10) END"),
+]
+
+
+def json_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").selectExpr(*[f"{e} AS {n}" for n, e in JSON_TEXTS])
+
+
+# --- v_valued_tasks: task lines whose expected values are objects, lists, NaN and Infinity ---
+# ``said`` is how Python prints the expected value, as the texts below spell it.
+
+VALUED_TASKS = [
+    ("event_id", "event_id"),
+    ("expected_json", "CASE event_id % 5 "
+                      "WHEN 0 THEN '{\"zeta\": 1, \"alpha\": [1.50, {\"k\": \"it' || chr(39) || 's\"}, 1e2], \"kind\": \"' || event_type || '\"}' "
+                      "WHEN 1 THEN '[true, null,' || chr(9) || CAST(user_id AS STRING) || ', {\"b\": -0, \"a\": {}}]' "
+                      "WHEN 2 THEN 'NaN' WHEN 3 THEN '[-Infinity, {\"y\": NaN, \"x\": \"NaN\"}]' "
+                      "ELSE '{\"' || event_type || '\": [], \"a b\": \"tab' || chr(92) || 't\"}' END"),
+    ("said", "CASE event_id % 5 "
+             "WHEN 0 THEN '{' || chr(39) || 'zeta' || chr(39) || ': 1, ' || chr(39) || 'alpha' || chr(39) || ': [1.5, {' || chr(39) || 'k' || chr(39) "
+             "|| ': \"it' || chr(39) || 's\"}, 100.0], ' || chr(39) || 'kind' || chr(39) || ': ' || chr(39) || event_type || chr(39) || '}' "
+             "WHEN 1 THEN '[True, None, ' || CAST(user_id AS STRING) || ', {' || chr(39) || 'b' || chr(39) || ': 0, ' || chr(39) || 'a' || chr(39) || ': {}}]' "
+             "WHEN 2 THEN 'nan' WHEN 3 THEN '[-inf, {' || chr(39) || 'y' || chr(39) || ': nan, ' || chr(39) || 'x' || chr(39) || ': ' || chr(39) || 'NaN' || chr(39) || '}]' "
+             "ELSE '{' || chr(39) || event_type || chr(39) || ': [], ' || chr(39) || 'a b' || chr(39) || ': ' || chr(39) || 'tab' || chr(92) || 't' || chr(39) || '}' END"),
+    ("half", "event_id % 2"),
+]
+# the task line: metadata before the expected value, a nested member of the same name that does not count
+VALUED_LINE = (
+    "'{\"metadata\": {\"category\": \"text\", \"expected\": 3}, \"id\": ' || CAST(event_id AS STRING) || ', \"description\": \"d\", '"
+    " || '\"expected\": ' || expected_json || ', \"expected_output\": \"unused\"}'"
+)
+VALUED_RESPONSE = "CASE half WHEN 0 THEN ' ' || upper(said) || chr(10) ELSE 'other' END"
+
+
+def valued_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Task lines (task_file, line_no = event_id, line) and a response to each."""
+    ev = table(spark, sf_dir, "events").selectExpr(*[f"{e} AS {n}" for n, e in VALUED_TASKS])
+    return ev.selectExpr("'valued.jsonl' AS task_file", "event_id AS line_no", f"{VALUED_LINE} AS line", f"{VALUED_RESPONSE} AS response")
+
+
 # --- v_call_log: logged model calls ------------------------------------------
 
 CALL_LOG = [

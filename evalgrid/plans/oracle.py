@@ -26,6 +26,82 @@ def strict_valid(x: str) -> str:
     return f"(coalesce(json_valid({x}), false) AND NOT regexp_matches({x}, ',\\s*[}}\\]]'))"
 
 
+_JSON_INSIDE = r'(?:[^"\\\x00-\x1f]|\\["\\/bfnrt]|\\u[0-9a-fA-F]{4})*'
+_JSON_TOKEN = (
+    rf'[ \t\n\r]+|"{_JSON_INSIDE}"|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null|NaN|-?Infinity|[\[\]{{}}:,]|"|(?s:.+)'
+)
+
+
+def json_error(x: str) -> str:
+    """STRUCT(msg, pos): what Python's JSON decoder finds wrong with ``x``; NULL fields for a valid text.
+
+    A walk over tokens of the classes v (scalar), s (whole string), q (broken
+    string), x (anything else) and the marks themselves. ``want`` says what
+    may follow, ``open`` the brackets that are.
+    """
+    kind = (
+        "CASE WHEN regexp_matches(t, '^[ \\t\\n\\r]') THEN 'w' WHEN t = '\"' THEN 'q' WHEN t[1] = '\"' THEN 's' "
+        "WHEN t IN ('{', '}', '[', ']', ':', ',') THEN t "
+        "WHEN t IN ('true', 'false', 'null', 'NaN', 'Infinity', '-Infinity') OR regexp_matches(t, '^-?[0-9]') THEN 'v' ELSE 'x' END"
+    )
+    classes = f"list_transform(regexp_extract_all(j, {q(_JSON_TOKEN)}), lambda t: {{'k': {kind}, 'n': length(t)}})"
+
+    def go(want: str, opened: str = "a.open", comma: str = "a.comma") -> str:
+        return f"{{'want': {want}, 'open': {opened}, 'pos': a.pos + t.n, 'comma': {comma}, 'msg': NULL::VARCHAR, 'n': t.n, 'k': t.k}}"
+
+    def halt(msg: str, pos: str = "a.pos") -> str:
+        return f"{{'want': a.want, 'open': a.open, 'pos': {pos}, 'comma': a.comma, 'msg': {q(msg)}, 'n': t.n, 'k': t.k}}"
+
+    shut = "a.open[:-2]"
+    begin = (
+        f"WHEN t.k IN ('v', 's') THEN {go(q('next'))} WHEN t.k = '{{' THEN {go(q('name or end'), 'a.open || t.k')} "
+        f"WHEN t.k = '[' THEN {go(q('item or end'), 'a.open || t.k')} WHEN t.k = 'q' THEN {halt('q')} ELSE {halt('Expecting value')} END"
+    )
+    named = f"WHEN t.k = 's' THEN {go(q(':'))} WHEN t.k = 'q' THEN {halt('q')} ELSE {halt('Expecting property name enclosed in double quotes')} END"
+    step = (
+        f"CASE WHEN a.msg IS NOT NULL THEN a WHEN t.k = 'w' THEN {go('a.want')} "
+        f"WHEN a.want = 'next' AND a.open = '' THEN {halt('Extra data')} "
+        f"WHEN a.want = 'next' AND a.open[-1] || t.k IN ('{{}}', '[]') THEN {go(q('next'), shut)} "
+        f"WHEN a.want = 'next' AND t.k = ',' THEN {go('CASE a.open[-1] WHEN ' + q('{') + ' THEN ' + q('name') + ' ELSE ' + q('item') + ' END', comma='a.pos')} "
+        f"WHEN a.want = 'next' THEN {halt(f"Expecting ',' delimiter")} "
+        f"WHEN a.want = ':' AND t.k = ':' THEN {go(q('value'))} WHEN a.want = ':' THEN {halt(f"Expecting ':' delimiter")} "
+        f"WHEN a.want = 'name or end' AND t.k = '}}' OR a.want = 'item or end' AND t.k = ']' THEN {go(q('next'), shut)} "
+        f"WHEN a.want = 'name' AND t.k = '}}' THEN {halt('Illegal trailing comma before end of object', 'a.comma')} "
+        f"WHEN a.want = 'item' AND t.k = ']' THEN {halt('Illegal trailing comma before end of array', 'a.comma')} "
+        f"WHEN a.want IN ('name', 'name or end') THEN CASE {named} ELSE CASE {begin} END"
+    )
+    start = "{'want': 'value', 'open': '', 'pos': 0::BIGINT, 'comma': 0::BIGINT, 'msg': NULL::VARCHAR, 'n': 0::BIGINT, 'k': ''}"
+    at_end = (
+        "CASE WHEN a.want IN ('name', 'name or end') THEN 'Expecting property name enclosed in double quotes' WHEN a.want = ':' THEN 'Expecting '':'' delimiter' "
+        "WHEN a.want <> 'next' THEN 'Expecting value' WHEN a.open <> '' THEN 'Expecting '','' delimiter' END"
+    )
+    begun = f"regexp_extract(substr(j, a.pos + 1), {q('^' + chr(34) + _JSON_INSIDE)})"
+    text = (
+        "CASE WHEN rest = '' AND regexp_matches(regexp_replace(b, '\\\\[\"\\\\/bfnrt]', '-', 'g'), '\\\\u[0-9a-fA-F]{4}$') "
+        "THEN {'msg': 'Invalid \\uXXXX escape', 'pos': a.pos + length(b) - 5} "
+        "WHEN rest IN ('', chr(92)) THEN {'msg': 'Unterminated string starting at', 'pos': a.pos} "
+        "WHEN rest[:2] = chr(92) || 'u' THEN {'msg': 'Invalid \\uXXXX escape', 'pos': a.pos + length(b) + 1} "
+        "WHEN rest[1] = chr(92) THEN {'msg': 'Invalid \\escape', 'pos': a.pos + length(b)} "
+        "ELSE {'msg': 'Invalid control character at', 'pos': a.pos + length(b)} END"
+    )
+    broken = f"list_transform([{begun}], lambda b: list_transform([substr(j, a.pos + length(b) + 1)], lambda rest: {text})[1])[1]"
+    walked = f"list_reduce(list_prepend({start}, list_transform({classes}, lambda c: {{'want': '', 'open': '', 'pos': 0::BIGINT, 'comma': 0::BIGINT, 'msg': NULL::VARCHAR, 'n': c.n, 'k': c.k}})), lambda a, t: {step})"
+    return (
+        f"list_transform([{x}], lambda j: list_transform([{walked}], lambda a: CASE WHEN a.msg = 'q' THEN {broken} "
+        f"ELSE {{'msg': coalesce(a.msg, {at_end}), 'pos': a.pos}} END)[1])[1]"
+    )
+
+
+def json_error_text(x: str) -> str:
+    """The decoder's message with its place, as ``str(exc)`` gives it."""
+    head = "j[1:e.pos]"
+    return (
+        f"list_transform([{x}], lambda j: list_transform([{json_error('j')}], lambda e: e.msg || ': line ' "
+        f"|| (length({head}) - length(replace({head}, chr(10), '')) + 1) || ' column ' "
+        f"|| (length(string_split({head}, chr(10))[-1]) + 1) || ' (char ' || e.pos || ')')[1])[1]"
+    )
+
+
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -108,7 +184,7 @@ def json_sql() -> tuple[str, str, str]:
     score = f"CASE WHEN {dict_ok} THEN round({ok_n} / 3.0, 4) ELSE 0.0 END"
     passed = f"({dict_ok} AND {ok_n} = 3)"
     reason = (
-        f"CASE WHEN NOT {valid} THEN 'Invalid JSON' "
+        f"CASE WHEN NOT {valid} THEN 'Invalid JSON: ' || {json_error_text(raw)} "
         f"WHEN {kind} <> 'OBJECT' THEN 'JSON parsed but result is ' || {_kind(kind)} || ', expected object' "
         f"ELSE 'JSON parsed successfully; ' || {tool_reason} || '; ' || {req_reason} END"
     )
@@ -237,7 +313,7 @@ SELECT task_file, line_no, line, j, id_k,
        WHEN id_k = 'str' AND json_extract_string(j, '$.id') = '' THEN 'id'
        WHEN json_extract_string(j, '$.description') = '' THEN 'description'
        WHEN json_extract_string(j, '$.expected_output') = '' THEN 'expected_output' END AS field,
-  CASE WHEN j IS NULL THEN 'Invalid JSON on line ' || CAST(line_no AS VARCHAR)
+  CASE WHEN j IS NULL THEN 'Invalid JSON on line ' || CAST(line_no AS VARCHAR) || ': ' || ({json_error(s)}).msg
        WHEN kind <> 'dict' THEN 'Line ' || CAST(line_no AS VARCHAR) || ': Expected JSON object, got ' || kind
        WHEN len(missing) > 0 THEN 'Line ' || CAST(line_no AS VARCHAR) || ': Missing required fields: ' || array_to_string(missing, ', ')
        WHEN id_k NOT IN ('str', 'int', 'bool') THEN 'Line ' || CAST(line_no AS VARCHAR) || ': ''id'' must be a string or integer'

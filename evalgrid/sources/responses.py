@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalgrid.functions.jsonv import strict_json_sql
+from evalgrid.functions.jsonv import with_strict_json
 from evalgrid.functions.text import fill_sql, fixed, lit
 
 # Request timeout (seconds) quoted in timeout messages, and the
@@ -37,7 +37,7 @@ def decode_calls(log: DataFrame, server_url: str | None = None) -> DataFrame:
     field to its number, ``usage_json`` holds it whole; a ``latency_sec`` column is rounded to 3 decimals.
     """
     url = F.col("server_url") if "server_url" in log.columns else F.lit(server_url or "the model server")
-    df = log.withColumns({"__url": url, "__v": F.expr(strict_json_sql("body"))})
+    df = with_strict_json(log.withColumns({"__url": url}), "body", "__v")
     df = df.withColumns(
         {
             "__content_v": F.expr("try_variant_get(__v, '$.choices[0].message.content', 'variant')"),

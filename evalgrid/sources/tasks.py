@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from evalgrid.functions.jsonv import json_kind_sql, object_keys_sql, py_text_sql, strict_json_sql, vget_sql
+from evalgrid.functions.jsontext import json_error_sql
+from evalgrid.functions.jsonv import json_kind_sql, object_keys_sql, py_text_sql, vget_sql, with_strict_json
 from evalgrid.functions.text import fill_sql, lit, strip_sql
 from evalgrid.operators.scorers import with_task_spec
 
@@ -97,8 +98,8 @@ def number_lines(base: DataFrame) -> DataFrame:
 
     Rows of one split are contiguous in one scan partition and ``__pos``
     increases along them, so position-in-split is ``__pos - min(__pos)``. The
-    lines stay where they are: the table of offsets, one row for each split of
-    the input, is broadcast.
+    table of offsets has one row for each split of the input; under Spark's
+    byte threshold it is broadcast and the lines stay where they are.
     """
     if "__file" not in base.columns:
         base = base.withColumn("__file", F.col("task_file"))
@@ -107,7 +108,7 @@ def number_lines(base: DataFrame) -> DataFrame:
     )
     w = Window.partitionBy("__file").orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0)))
-    j = base.join(F.broadcast(splits.select("__file", "__split", "__before", "__first")), ["__file", "__split"])
+    j = base.join(splits.select("__file", "__split", "__before", "__first"), ["__file", "__split"])
     return j.select(
         "task_file",
         (F.col("__before") + F.col("__pos") - F.col("__first") + F.lit(1)).alias("line_no"),
@@ -115,20 +116,14 @@ def number_lines(base: DataFrame) -> DataFrame:
     )
 
 
-def _checked(lines: DataFrame, json_error_detail: bool = False) -> DataFrame:
+def _checked(lines: DataFrame) -> DataFrame:
     """Parse and classify every non-blank line (one projection chain, no shuffle).
 
-    ``json_error_detail`` adds Python's parser message to parsing errors
-    (Arrow UDF over the rejected lines only)."""
+    A line that is no JSON is read once more, token by token, for the message
+    of Python's decoder."""
     df = lines.filter(F.expr(f"{strip_sql('line')} <> ''"))
-    df = _stage(df, {"raw": strict_json_sql("line")})
-    if json_error_detail:
-        from evalgrid.functions.jsonv import python_json_error
-
-        text = python_json_error(F.expr("CASE WHEN raw IS NULL THEN line END"))
-        df = df.withColumn("__json_msg", F.regexp_extract(text, r"^(.*): line \d+ column \d+ \(char \d+\)$", 1))
-    else:
-        df = df.withColumn("__json_msg", F.lit(""))
+    df = with_strict_json(df, "line", "raw")
+    df = _stage(df, {"__json_msg": f"CASE WHEN raw IS NULL THEN {json_error_sql(strip_sql('line'))}.message END"})
     df = _stage(df, {"__kind": json_kind_sql("raw")})
     df = _stage(
         df,
@@ -190,14 +185,14 @@ def parse_barrier(df: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def parse_task_lines(lines: DataFrame, category_map: dict[str, str] | None = None,
-                     json_error_detail: bool = False, validate: bool = True) -> tuple[DataFrame, DataFrame]:
+                     validate: bool = True) -> tuple[DataFrame, DataFrame]:
     """(tasks, errors) from (task_file, line_no, line) rows.
 
     tasks: task_file, line_no, id (text), description, expected_output,
     category, scorer, raw (VARIANT) and the scoring spec as ``spec_*`` columns.
     errors: task_file, line_no, error_type, field, message, raw_line.
     """
-    df = _checked(lines, json_error_detail)
+    df = _checked(lines)
     bad = F.col("__err").isNotNull()
     if not validate:  # objects that lack fields are tasks too
         bad = bad & (F.col("__err.t") != "validation")
@@ -211,9 +206,9 @@ def parse_task_lines(lines: DataFrame, category_map: dict[str, str] | None = Non
         F.col("__id_text").alias("id"),
         F.expr("try_variant_get(__desc_v, '$', 'string')").alias("description"),
         F.expr("try_variant_get(__exp_v, '$', 'string')").alias("expected_output"),
-        "raw",
+        "raw", "line",
     )
-    tasks = with_task_spec(ok, task="raw", out="spec", category_map=category_map).withColumns(
+    tasks = with_task_spec(ok, task="raw", out="spec", category_map=category_map, text="line").drop("line").withColumns(
         {"category": F.col("spec_category"), "scorer": F.col("spec_scorer")}
     )
     return tasks, errors
@@ -230,7 +225,7 @@ def first_errors(errors: DataFrame) -> DataFrame:
     return best.select("task_file", *[F.col("e")[c].alias(c) for c in ERROR_COLUMNS if c != "task_file"])
 
 
-def load_tasks(lines_or_path, spark: SparkSession | None = None, mode: str = "quarantine", json_error_detail: bool = False,
+def load_tasks(lines_or_path, spark: SparkSession | None = None, mode: str = "quarantine",
                validate: bool = True, max_lines: int | None = None, naming: str = "uri"):
     """Load tasks from a path (JSONL files) or a lines DataFrame.
 
@@ -250,7 +245,7 @@ def load_tasks(lines_or_path, spark: SparkSession | None = None, mode: str = "qu
         lines = lines_or_path
     if max_lines is not None:
         lines = lines.filter(F.col("line_no") <= max_lines)
-    tasks, errors = parse_task_lines(lines, json_error_detail=json_error_detail, validate=validate)
+    tasks, errors = parse_task_lines(lines, validate=validate)
     if mode == "failfast":
         first = first_errors(errors).orderBy("task_file", "line_no").limit(1).collect()
         if first:

@@ -69,8 +69,8 @@ KEYWORD = [
 JSON = [
     ('{}', '{"a": 1}', 1.0, True, "JSON parsed successfully"),
     ('{}', '  {"a": 1}  ', 1.0, True, "JSON parsed successfully"),
-    ('{}', '{"a": 1} trailing', 0.0, False, "Invalid JSON"),
-    ('{}', 'not json', 0.0, False, "Invalid JSON"),
+    ('{}', '{"a": 1} trailing', 0.0, False, "Invalid JSON: Extra data: line 1 column 10 (char 9)"),
+    ('{}', 'not json', 0.0, False, "Invalid JSON: Expecting value: line 1 column 1 (char 0)"),
     ('{}', '[1, 2]', 0.0, False, "JSON parsed but result is list, expected object"),
     ('{}', '"s"', 0.0, False, "JSON parsed but result is str, expected object"),
     ('{}', '3.5', 0.0, False, "JSON parsed but result is float, expected object"),
@@ -153,7 +153,7 @@ def test_json_error_detail(spark):
     df = spark.createDataFrame([(0, "{}", "not json"), (1, "{}", '{"a": 1} x'), (2, "{}", '{"a": 1}')],
                                "i int, task string, response string").withColumn("task", F.parse_json("task"))
     spec = S.with_task_spec(df, out="spec")
-    out = S.score_frame(spec, scorer="json_valid", json_error_detail=True).orderBy("i").collect()
+    out = S.score_frame(spec, scorer="json_valid").orderBy("i").collect()
     assert [r.result.reason for r in out] == [
         "Invalid JSON: Expecting value: line 1 column 1 (char 0)",
         "Invalid JSON: Extra data: line 1 column 10 (char 9)",

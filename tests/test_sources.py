@@ -35,15 +35,15 @@ LINES = [
 ]
 
 EXPECTED_ERRORS = {
-    5: "Invalid JSON on line 5",
-    6: "Invalid JSON on line 6",
+    5: "Invalid JSON on line 5: Expecting value",
+    6: "Invalid JSON on line 6: Illegal trailing comma before end of object",
     7: "Line 7: Expected JSON object, got list",
     8: "Line 8: Missing required fields: description, expected_output",
     9: "Line 9: 'id' must be a string or integer",
     10: "Line 10: 'description' must be a string",
     11: "Line 11: 'id' cannot be empty",
     13: "Line 13: 'expected_output' cannot be empty",
-    15: "Invalid JSON on line 15",
+    15: "Invalid JSON on line 15: Extra data",
 }
 
 
@@ -107,7 +107,7 @@ def test_yaml_configs(spark):
 def test_parse_error_detail(spark):
     lines = spark.createDataFrame([("f", 1, "not json"), ("f", 2, '{"id": "x",}'), ("f", 3, '{"a": 1} x')],
                                   "task_file string, line_no long, line string")
-    _, errors = T.parse_task_lines(lines, json_error_detail=True)
+    _, errors = T.parse_task_lines(lines)
     got = sorted((r.line_no, r.message) for r in errors.collect())
 
     def msg(text):
