@@ -171,9 +171,15 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
                 )
 
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
-    # one row per block: blocks are large, so this table stays small beside the ids
-    order = Window.orderBy("part", "block").rowsBetween(Window.unboundedPreceding, 0)
-    starts = blocks.select("part", "block", (F.sum("n_ids").over(order) - F.col("n_ids")).alias("first"))
+    # the ids before a block: those of the parts before (a row for each part, in order on the driver), and of its own part
+    parts, before = [], 0
+    for r in blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():
+        parts.append((r.part, before))
+        before += r.n
+    upto = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    within = blocks.select("part", "block", (F.sum("n_ids").over(upto) - F.col("n_ids")).alias("within"))
+    starts = within.join(spark.createDataFrame(parts, "part int, before long"), "part")
+    starts = starts.select("part", "block", (F.col("before") + F.col("within")).alias("first"))
     docs = blocks.select("part", "block", "payload").mapInArrow(task, DOC_SCHEMA)
     out = docs.join(starts, ["part", "block"])
     columns = ["doc_id", (F.col("first") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32"]

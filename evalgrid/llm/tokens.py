@@ -24,6 +24,10 @@ _SPACE_RUN = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
 #: Pieces longer than this are encoded but not kept.
 _LONGEST_KEPT = 64
+#: Memory of a kept word beside its characters and ids: two objects and its place in the table.
+_WORD_COST = 190
+#: Memory that a worker's kept words take at most: about 1.5 million words.
+KEPT_BYTES = 320 << 20
 #: Characters whose class is beyond doubt: Latin letters, ASCII digits, signs and line ends.
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PLAIN = re.compile(rf"[{_LETTER}\n!-~]+")
@@ -53,13 +57,13 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids; keeps at most ``keep`` words' ids.
+    """Encodes texts to little-endian unsigned 32-bit ids; keeps the ids of words in at most ``keep`` bytes.
 
     With ``added``, the file's added tokens inside a text become their ids, as
     the library does by default; else their strings are ordinary text.
     """
 
-    def __init__(self, path: str, keep: int = 600_000, added: bool = False):
+    def __init__(self, path: str, keep: int = KEPT_BYTES, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -82,6 +86,7 @@ class Encoder:
         self._parts: dict[str, bytes] = {}
         self._new: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
+        self._held = 0  # bytes of the newer words
 
     @staticmethod
     def _pieces(text: str) -> list[str]:
@@ -113,7 +118,7 @@ class Encoder:
             ids = self._parts.get(t)
             if ids is None:
                 ids = self._merge("".join([_BYTE_CHARS[b] for b in t.encode()]))
-                if len(t) <= 4 and len(self._parts) < self._keep // 10:
+                if len(t) <= 4 and len(self._parts) < 60_000:
                     self._parts[t] = ids
             out.append(ids)
         return b"".join(out)
@@ -122,9 +127,10 @@ class Encoder:
         """Ids of a word that is not among the newer ones; two generations bound what is kept."""
         ids = self._old.get(word) or self._word(word)
         if len(word) <= _LONGEST_KEPT:
-            if len(self._new) >= self._keep // 2:
-                self._old, self._new = self._new, {}
+            if self._held >= self._keep // 2:
+                self._old, self._new, self._held = self._new, {}, 0
             self._new[word] = ids
+            self._held += _WORD_COST + len(word) + len(ids)
         return ids
 
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:

@@ -68,6 +68,21 @@ def test_token_files_round_trip(spark, tmp_path, plain, block_ids):
     assert not any(want.values())
 
 
+def test_words_are_encoded_once_within_the_bound(monkeypatch):
+    texts = [" ".join(f"w{i * 31 % 997}q{i % 7}" for i in range(n, n + 400)) for n in range(0, 4000, 400)]
+    enc, seen = Encoder(default_tokenizer()), []
+    word = enc._word
+    monkeypatch.setattr(enc, "_word", lambda w: seen.append(w) or word(w))
+    first = enc.encode(texts)
+    assert len(seen) == len(set(seen)) > 500
+    before = len(seen)
+    assert all((x == y).all() for x, y in zip(first, enc.encode(texts))) and len(seen) == before
+    # a bound that holds a few words: the same ids
+    tight = Encoder(default_tokenizer(), keep=20_000)
+    assert all((x == y).all() for x, y in zip(first, tight.encode(texts)))
+    assert len(tight._new) + len(tight._old) < 120
+
+
 def test_token_files_of_an_empty_table(spark, tmp_path):
     path = str(tmp_path / "files")
     token_files.write_token_files(spark.createDataFrame([], SCHEMA), path, default_tokenizer())
