@@ -9,6 +9,11 @@ Selected features are hashed, in their order, into Bloom filters of 2048 bits,
 160 features each; a full filter begins the next. Two digests are compared
 filter by filter: the bits in common beyond those expected by chance, over the
 most that there could be.
+
+A text too short, or too poor in rare windows, for a selection that survives
+an edit also has filters of all its windows of 8 bytes (a very short one also
+of 3). The two ranges overlap: texts that are near each other have at least
+one kind of filter in common, and are compared by the better one of those.
 """
 
 from __future__ import annotations
@@ -22,9 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, RUN, POPULAR = 64, 64, 16
-FEWEST, SHORT = 4, 16
+#: Selected features from which a text has filters of them, and up to which it also has short windows' filters,
+FEWEST, ENOUGH = 1, 8
+#: as have texts up to so many bytes, and those with fewer selected features than one in so many bytes.
+SHORT_TEXT, SPARSE = 768, 100
+#: Bytes of a short window; of the other one in texts up to so many bytes.
+SHORT, SHORTEST, SHORTEST_TEXT = 8, 3, 24
 CLASSES = 1024
 FILTER_BITS, PER_FILTER, PROBES = 2048, 160, 5
+_FILTER_BYTES = FILTER_BITS // 8
 #: Bytes of a text whose features are worked out at once (a stretch needs its neighbours' overlap).
 _STRETCH = 1 << 20
 
@@ -102,24 +113,51 @@ def select(data: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return np.concatenate(found)
 
 
-def _bloom(raw: bytes, places: np.ndarray) -> bytes:
-    """Chained Bloom filters of the features at ``places``.
+def _filters(places: np.ndarray) -> bytes:
+    """Chained Bloom filters of features, given as rows of their ``PROBES`` bit places."""
+    out = np.zeros((-(-len(places) // PER_FILTER), FILTER_BITS), np.uint8)
+    out[np.arange(len(places))[:, None] // PER_FILTER, places % FILTER_BITS] = 1
+    return np.packbits(out, axis=1, bitorder="little").tobytes()
+
 
-    A text with fewer than ``FEWEST`` of them (mostly shorter than a few
-    windows) has all its windows of ``SHORT`` bytes as features, or its whole.
-    """
+def _windows(raw: bytes, size: int) -> np.ndarray:
+    """The different windows of ``size`` (at most 8) bytes, as numbers, in the order of their first place."""
+    n = len(raw) - size + 1
+    values = np.ndarray((max(n, 0),), "<u8", raw + bytes(8), strides=(1,)) & np.uint64((1 << 8 * size) - 1)
+    values, first = np.unique(values, return_index=True)
+    return values[np.argsort(first)]
+
+
+def _short_places(raw: bytes) -> np.ndarray:
+    """Bit places of a text's short windows; a text shorter than one is one."""
+    if len(raw) < SHORTEST:
+        features = _windows(raw, len(raw)) + np.uint64(len(raw) << 56)
+    else:
+        features = _windows(raw, SHORT)
+        if len(raw) <= SHORTEST_TEXT:
+            features = np.concatenate([features, _windows(raw, SHORTEST) + np.uint64(SHORTEST << 56)])
+    # splitmix64, 11 bits a probe
+    x = features + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return np.stack([(x >> np.uint64(11 * i)).astype(np.int64) & 2047 for i in range(PROBES)], axis=1)
+
+
+def _digest(raw: bytes, places: np.ndarray) -> bytes:
+    """How many filters of selected features there are (4 bytes), these, and those of short windows."""
+    rare = few = b""
     if len(places) >= FEWEST:
         features = list(dict.fromkeys(raw[at : at + WINDOW] for at in places.tolist()))
-    else:
-        features = list(dict.fromkeys(raw[at : at + SHORT] for at in range(max(1, len(raw) - SHORT + 1))))
-    out = np.zeros((-(-len(features) // PER_FILTER), FILTER_BITS), np.uint8)
-    hashed = np.frombuffer(b"".join([hashlib.sha1(f).digest()[: 2 * PROBES] for f in features]), ">u2").reshape(-1, PROBES)
-    out[np.arange(len(features))[:, None] // PER_FILTER, hashed % FILTER_BITS] = 1
-    return np.packbits(out, axis=1, bitorder="little").tobytes()
+        hashed = b"".join([hashlib.sha1(f).digest()[: 2 * PROBES] for f in features])
+        rare = _filters(np.frombuffer(hashed, ">u2").reshape(-1, PROBES))
+    if len(raw) <= SHORT_TEXT or len(places) < max(ENOUGH, len(raw) // SPARSE):
+        few = _filters(_short_places(raw))
+    return (len(rare) // _FILTER_BYTES).to_bytes(4, "big") + rare + few
 
 
 def digests(texts: list[str], rank: np.ndarray) -> list[bytes]:
-    """Chained Bloom filters of each text, 256 bytes each; an empty text has none.
+    """Digest of each text: chained Bloom filters of one kind or both; an empty text has none.
 
     Short texts are joined, so that entropies are worked out for many at once.
     """
@@ -133,19 +171,19 @@ def digests(texts: list[str], rank: np.ndarray) -> list[bytes]:
             upto += 1
         group = raws[at:upto]
         if len(group) == 1 and size > _STRETCH:
-            out.append(_bloom(group[0], select(np.frombuffer(group[0], np.uint8), rank)))
+            out.append(_digest(group[0], select(np.frombuffer(group[0], np.uint8), rank)))
         else:
             ranked, start = rank[entropy_classes(np.frombuffer(b"".join(group), np.uint8))], 0
             for raw in group:
                 own = ranked[start : start + max(0, len(raw) - WINDOW + 1)]
-                out.append(_bloom(raw, _selected(own) if len(own) else own) if raw else b"")
+                out.append(_digest(raw, _selected(own) if len(own) else own) if raw else b"")
                 start += len(raw)
         at = upto
     return out
 
 
 def likeness(a: bytes, b: bytes) -> float:
-    """0 to 1. Each filter of the digest with fewer (of equal ones: the other way too) meets its best match.
+    """0 to 1, by the better of the kinds of filters that both digests have (0 if there is none).
 
     Two empty digests are alike (1.0), an empty one and another are not (0.0).
     """
@@ -153,7 +191,17 @@ def likeness(a: bytes, b: bytes) -> float:
         return 1.0
     if not a or not b:
         return 0.0
-    x, y = (np.unpackbits(np.frombuffer(d, np.uint8).reshape(-1, FILTER_BITS // 8), axis=1).astype(np.float32) for d in (a, b))
+    return max(_alike(x, y) if x and y else 0.0 for x, y in zip(_kinds(a), _kinds(b)))
+
+
+def _kinds(digest: bytes) -> tuple[bytes, bytes]:
+    end = 4 + int.from_bytes(digest[:4], "big") * _FILTER_BYTES
+    return digest[4:end], digest[end:]
+
+
+def _alike(a: bytes, b: bytes) -> float:
+    """Each filter of the digest with fewer (of equal ones: the other way too) meets its best match."""
+    x, y = (np.unpackbits(np.frombuffer(d, np.uint8).reshape(-1, _FILTER_BYTES), axis=1).astype(np.float32) for d in (a, b))
     if len(x) > len(y):
         x, y = y, x
     nx, ny = x.sum(axis=1)[:, None], y.sum(axis=1)[None, :]

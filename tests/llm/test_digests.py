@@ -63,6 +63,31 @@ def test_likeness():
     assert like(short, digests.edited(short, other)) > 0.3 > like(short, other)
 
 
+def test_edited_short_texts_stay_near_on_both_sides_of_every_bound():
+    rng = random.Random(8)
+    texts = [prose(rng, 1400)[: rng.choice([16, 20, 30, 60, 90, 200, 400, 760, 780, 1100, 1300])] for _ in range(1500)]
+    # texts whose first two thirds are poor in rare windows
+    texts += ["ab " * rng.randint(100, 400) + prose(rng, 300)[: rng.randint(0, 900)] for _ in range(200)]
+    joined = "".join(texts).encode()
+    rank = digests.ranks(np.bincount(digests.entropy_classes(np.frombuffer(joined, np.uint8)), minlength=CLASSES))
+    changed = [digests.edited(a, b) for a, b in zip(texts, texts[1:] + texts[:1])]
+    own, other = digests.digests(texts, rank), digests.digests(changed, rank)
+    near = [digests.likeness(a, b) for a, b in zip(own, other)]
+    far = [digests.likeness(a, b) for a, b in zip(own[:1499], own[1:1500])]
+    assert min(near[:1500]) >= 0.3 and np.median(near) > 0.5 > 0.2 > np.median(far)
+    held = [[bool(k) for k in digests._kinds(d)] for d in own + other]
+    assert [True, False] in held and [False, True] in held and [True, True] in held
+    assert all(a and b or c and d for (a, c), (b, d) in zip(held[: len(own)], held[len(own) :]))
+
+
+def test_short_windows_in_order():
+    raw = b"abcabcabcd"
+    for size in (3, 8):
+        want = list(dict.fromkeys(raw[i : i + size] for i in range(len(raw) - size + 1)))
+        assert digests._windows(raw, size).tolist() == [int.from_bytes(w, "little") for w in want]
+    assert len(digests._windows(b"ab", 3)) == 0
+
+
 @pytest.mark.parametrize("parts", [1, 4, 50])
 def test_every_row_meets_the_next(spark, parts):
     rng = random.Random(7)
