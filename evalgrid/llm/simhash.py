@@ -118,27 +118,52 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2, ke
     (null if no row of it has a key). Rows that repeat a key are rows of their
     own. An empty table gives no rows; other columns are not read.
     """
-    rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    printed = checkpointed(fingerprints(rows, shingle, "doc", "text"))
+    printed, names = _grouped(docs, shingle, max_distance, key, text)
+    return printed.join(names, "fp").select(
+        F.col("doc").alias(key), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def _grouped(docs: DataFrame, shingle: int, max_distance: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Of every row doc, h (the text's hash) and fp; of every fingerprint its component and the smallest key there."""
+    rows = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], names=["doc", "h", "fp"])
+
+    printed = checkpointed(rows.mapInArrow(task, "doc long, h long, fp long"))
     distinct = printed.groupBy("fp").agg(F.min("doc").alias("least"))
     grouped = checkpointed(connected_components(links(distinct.select("fp"), max_distance)))
     # rows of a group of copies meet on their fingerprint or component: both sides of each join
     # come straight from a shuffle, so that adaptive execution can split a large group
     linked = checkpointed(distinct.join(grouped.withColumnRenamed("node", "fp"), "fp"))
     smallest = checkpointed(linked.groupBy("component").agg(F.min("least").alias("smallest")))
-    joined = linked.select("fp", "component").join(smallest, "component").select("fp", "smallest")
-    names = checkpointed(distinct.join(joined, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id")))
-    return printed.join(names, "fp").select(
-        F.col("doc").alias(key), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    joined = linked.select("fp", "component").join(smallest, "component")
+    named = distinct.join(joined, "fp", "left")
+    return printed, checkpointed(named.select("fp", F.coalesce("component", "fp").alias("component"), F.coalesce("smallest", "least").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, max_distance: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the smallest key of their group, with all their columns.
+    """One row of each group of ``docs``, with all its columns.
 
-    Rows without a key, and rows that repeat a key, are kept or dropped by
-    their key: the former stay.
+    The row with the smallest key stays (a row without one only if no other
+    has one), of several the one with the least hash of its text, of rows
+    equal in both any one.
     """
-    judged = near_duplicates(docs, shingle, max_distance, key, text)
-    dropped = judged.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__dropped"))
-    return docs.join(dropped, docs[key] == F.col("__dropped"), "left_anti")
+    printed, names = _grouped(docs, shingle, max_distance, key, text)
+    # what tells rows apart: key and text hash; how many rows share them
+    found = printed.groupBy("doc", "h", "fp").agg(F.count(F.lit(1)).alias("n"))
+    found = checkpointed(found.join(names.select("fp", "component"), "fp"))
+    order = F.struct(F.col("doc").isNull().alias("no_key"), "doc", "h")
+    best = checkpointed(found.groupBy("component").agg(F.min(order).alias("best")))
+    stays = F.col("doc").eqNullSafe(F.col("best.doc")) & (F.col("h") == F.col("best.h"))
+    judged = found.join(best, "component").select(F.col("doc").alias("__doc"), F.col("h").alias("__h"), "n", stays.alias("stays"))
+    marked = checkpointed(judged.where(~F.col("stays") | (F.col("n") > 1)))
+    same = docs[key].cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(docs[text]) == F.col("__h"))
+    kept = docs.join(marked.select("__doc", "__h"), same, "left_anti")
+    repeated = marked.where("stays").select("__doc", "__h")
+    if repeated.isEmpty():
+        return kept
+    return kept.unionByName(docs.join(repeated, same).dropDuplicates(["__doc", "__h"]).select(*(docs[c] for c in docs.columns)))

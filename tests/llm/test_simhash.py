@@ -91,7 +91,17 @@ def test_documents(spark):
     order = lambda r: tuple((x is not None, x or 0) if not isinstance(x, str) else (True, x) for x in r)
     assert sorted(((r.doc_id, r.fingerprint, r.component_id) for r in got), key=order) == sorted(want, key=order)
     kept = simhash.keep_one(df).collect()
-    assert {r.doc_id for r in kept} == {None} | set(least.values()) and kept[0].asDict().keys() == set(df.columns)
+    # of each group one row: the smallest key's, or one without a key
+    assert len(kept) == len(set(roots)) and kept[0].asDict().keys() == set(df.columns)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == sorted((least.get(c) is None, least.get(c, 0)) for c in set(roots))
+
+
+def test_keep_one_loses_no_group(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(300)) for x in "ab")
+    rows = [(5, a), (5, b), (3, b), (8, a), (9, a), (None, "no key one"), (None, "no key one"), (None, None), (None, ""), (4, "c d e"), (4, "c d e")]
+    df = spark.createDataFrame([(k, t, f"x{i}", None) for i, (k, t) in enumerate(rows)], SCHEMA).repartition(3)
+    kept = sorted(((r.doc_id, r.text or "") for r in simhash.keep_one(df).collect()), key=repr)
+    assert kept == sorted([(5, a), (3, b), (None, "no key one"), (None, ""), (4, "c d e")], key=repr)
 
 
 def test_empty_table(spark):
