@@ -19,7 +19,7 @@ def test_stages_match_brute_force(spark):
     rows = {r.doc_id: r for r in docs.collect()}
     model = quality.fit_classifier(docs, labels)
     kept = {d: r.text for d, r in rows.items() if model.predict(stats.features([stats.text_statistics(r.text)]))[0] >= 0.3}
-    detector = toxicity.fit_detector(docs.where(docs.doc_id.isin(list(kept))), labels)
+    detector = toxicity.fit_detector(docs, labels)
     kept = {d: t for d, t in kept.items() if toxicity.toxicity(detector, [t])[0] < 0.5}
     kept = {d: t for d, t, *_ in brute_lines(sorted(kept.items()), 20, 3)}
     ids = sorted(kept)
