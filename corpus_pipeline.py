@@ -26,9 +26,14 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the lexicon's model scores below 0.5."""
+    """Documents that the lexicon's model scores below 0.5.
+
+    The model is fitted on the whole table, not on what is left of it: which
+    words are ordinary ones shows best where all documents are.
+    """
     prepare(spark)
-    return toxicity.keep_clean(docs, toxicity.fit_detector(docs, _learnable(spark, sf_dir)), 0.5)
+    detector = toxicity.fit_detector(table(spark, sf_dir, "documents"), _learnable(spark, sf_dir))
+    return toxicity.keep_clean(docs, detector, 0.5)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +46,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies."""
+    """One document of each group of near copies: that with the smallest doc_id."""
     prepare(spark)
     return simhash.keep_one(docs, shingle=3, max_distance=2)
 
