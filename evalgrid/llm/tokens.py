@@ -26,11 +26,14 @@ _CUT = re.compile(r"(?<=\S)(?= )")
 _LONGEST_KEPT = 64
 #: Memory of a kept word beside its characters and ids: two objects and its place in the table.
 _WORD_COST = 190
-#: Memory that a worker's kept words take at most: about 1.5 million words.
-KEPT_BYTES = 320 << 20
+#: Memory that a worker's kept words take at most: about a million words.
+KEPT_BYTES = 208 << 20
 #: Characters whose class is beyond doubt: Latin letters, ASCII digits, signs and line ends.
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PLAIN = re.compile(rf"[{_LETTER}\n!-~]+")
+_LETTERS = re.compile(rf"[{_LETTER}]+")
+#: Marks that end many words: pre-tokens of their own after letters.
+_MARKS = frozenset(".,!?;:")
 #: The splitting pattern of byte-level BPE over these characters.
 _PRE_TOKEN = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+"
@@ -46,6 +49,7 @@ def _byte_chars() -> list[str]:
 
 
 _BYTE_CHARS = _byte_chars()
+_SHOWN = dict(enumerate(_BYTE_CHARS))
 _SPACE = _BYTE_CHARS[32]
 
 
@@ -108,6 +112,14 @@ class Encoder:
         """Ids of a space and ``word``. In plain words the pre-tokens are found here, in others by the library."""
         if word.isascii() and word.isalpha():
             return self._merge(_SPACE + word)
+        core, mark = (word[:-1], word[-1]) if word[-1:] in _MARKS else (word, "")
+        if core.isalpha() and _LETTERS.fullmatch(core):
+            if not mark:
+                return self._merge(_SPACE + word.encode().decode("latin-1").translate(_SHOWN))
+            end = self._parts.get(mark)
+            if end is None:
+                end = self._parts[mark] = self._merge(mark)
+            return (self._new.get(core) or self._learn(core)) + end
         if not _PLAIN.fullmatch(word):
             return self._ids(" " + word)
         out = []
