@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from evalgrid.operators.sequence import previous_within
+from evalgrid.operators.sequence import previous_within, with_quantile_bucket
 
 # Allowed enums, id pattern, limits and status transitions.
 TYPES = ("code_review", "bug_fix", "feature", "documentation", "refactoring", "testing", "research", "other")
@@ -141,22 +141,29 @@ def dangling_references(items: DataFrame, ref_col: str, key: str = "id") -> Data
 
 
 def invalid_transitions(
-    events: DataFrame, entity: str, order: Sequence[str], status: str = "status", ident: str = "id", bucket: Column | None = None
+    events: DataFrame, entity: str | Sequence[str], order: Sequence[str], status: str = "status", ident: str = "id",
+    bucket: Column | None = None, allowed: Sequence[tuple[str, str]] = ALLOWED_TRANSITIONS, long_history: int | None = 200_000,
 ) -> DataFrame:
-    """Consecutive status changes per entity that are not allowed.
+    """Consecutive status changes per entity (one key or several) that are not ``allowed``.
 
     Each row meets the one before it by a window over the entity (a NULL
-    entity has a history like any other); ``bucket`` as in
-    ``row_number_within``, for histories too long for one task. Unchanged
-    statuses are not transitions.
+    entity has a history like any other). Unchanged statuses are not
+    transitions. A history of more than ``long_history`` rows is cut into
+    stretches by quantiles of the first ``order`` column, a number, date or
+    timestamp, so that many tasks share it; of each stretch its last row is
+    handed to the next. A ``bucket`` (as in ``row_number_within``) replaces
+    the quantiles; ``long_history=None`` leaves every history whole.
     """
-    rows = events.select(entity, *dict.fromkeys([*order, status, ident]))
-    pairs = previous_within(rows, [entity], list(order), {status: "from_status", ident: "from_id"}, bucket)
-    pairs = pairs.select(entity, "from_status", "from_id", F.col(status).alias("to_status"), F.col(ident).alias("to_id"))
+    keys = [entity] if isinstance(entity, str) else list(entity)
+    rows = events.select(*keys, *dict.fromkeys([*order, status, ident]))
+    if bucket is None and long_history is not None:
+        rows = with_quantile_bucket(rows, keys, order[0], "__stretch", long_history)
+        bucket = F.col("__stretch")
+    pairs = previous_within(rows, keys, list(order), {status: "from_status", ident: "from_id"}, bucket)
+    pairs = pairs.select(*keys, "from_status", "from_id", F.col(status).alias("to_status"), F.col(ident).alias("to_id"))
     pairs = pairs.filter(F.col("from_status") != F.col("to_status"))
-    allowed = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ALLOWED_TRANSITIONS])
-    bad = ~F.array_contains(allowed, F.struct(F.col("from_status").alias("a"), F.col("to_status").alias("b")))
-    return pairs.filter(bad)
+    pairs_allowed = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in allowed])
+    return pairs.filter(~F.array_contains(pairs_allowed, F.struct(F.col("from_status").alias("a"), F.col("to_status").alias("b"))))
 
 
 def upsert(base: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:

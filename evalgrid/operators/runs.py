@@ -40,6 +40,30 @@ def suites_without_tasks(suites: DataFrame, tasks: DataFrame) -> DataFrame:
     return suites.join(tasks.select("task_file").distinct(), "task_file", "left_anti")
 
 
+def with_suite_scorers(
+    df: DataFrame, suites: DataFrame, rules: DataFrame, category: str = "spec_category", scorer: str = "spec_scorer"
+) -> DataFrame:
+    """Scorers chosen by the suite that names a row's ``task_file``: adds ``suite_id``, replaces ``scorer``.
+
+    ``suites`` (suite_id, task_file, scoring); ``rules`` (scoring, category,
+    scorer), where a NULL category stands for all that the scoring does not
+    name. What no rule covers, rows of a task file without a suite too, keeps
+    its scorer. A task file of several suites is scored once for each. Of two
+    rules for the same category the smaller scorer name counts. Rules are
+    folded to one row per scoring and suites to one per task file and suite
+    before they meet ``df``, in one join without a hint.
+    """
+    single = rules.groupBy("scoring", "category").agg(F.min("scorer").alias("scorer"))
+    named = F.collect_list(F.when(F.col("category").isNotNull(), F.struct("category", "scorer")))
+    folded = single.groupBy("scoring").agg(
+        F.map_from_entries(named).alias("__by_category"),
+        F.max(F.when(F.col("category").isNull(), F.col("scorer"))).alias("__any_other"),
+    )
+    chosen = suites.select("suite_id", "task_file", "scoring").distinct().join(folded, "scoring", "left").drop("scoring")
+    own = F.coalesce(F.expr(f"__by_category[{category}]"), F.col("__any_other"), F.col(scorer))
+    return df.join(chosen, "task_file", "left").withColumn(scorer, own).drop("__by_category", "__any_other")
+
+
 def latest_status(events: DataFrame, keys: Sequence[str], ts: str = "ts", tiebreak: str | None = None) -> DataFrame:
     """Current status per run from append-only status events: the status of the
     latest event (``max_by`` on (ts, tiebreak)), plus the first event's time and,

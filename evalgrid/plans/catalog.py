@@ -6,6 +6,8 @@ runs the library operators over all of their rows.
 
 from __future__ import annotations
 
+import datetime
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -679,6 +681,7 @@ def q_score_chat_pairs(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 from evalgrid.operators import importers as imp  # noqa: E402
+from evalgrid.operators import manifests as mf  # noqa: E402
 from evalgrid.operators import runs as rn  # noqa: E402
 
 _RUN_KEYS = ["run_id", "model_config_id", "task_file"]
@@ -790,6 +793,116 @@ def q_runs_overview(spark, sf_dir):
     return o.select(*_RUN_KEYS, "status", "average_score", "pass_rate", "average_latency_sec", "started_at")
 
 
+# Runs by what their manifests say, whole or damaged.
+
+
+def _run_manifests_sql() -> str:
+    last = ", ".join(f"arg_max({f}, (ts, event_id)) FILTER (WHERE {f} IS NOT NULL) AS {f}" for f in mf.MANIFEST_FIELDS)
+    said = "FILTER (WHERE status IN ('running', 'completed', 'cancelled', 'failed'))"
+    return f"""SELECT * REPLACE (coalesce(status, 'unknown') AS status),
+          CASE WHEN status <> 'running' THEN status_ts END AS completed_at,
+          coalesce(status = 'running' AND last_event_at < TIMESTAMP '2024-01-29 18:00:00', false) AS silent
+        FROM (SELECT run_id, model_config_id, task_file, {last}, arg_max(status, (ts, event_id)) {said} AS status,
+                arg_max(ts, (ts, event_id)) {said} AS status_ts, min(ts) AS started_at, max(ts) AS last_event_at
+              FROM ({fx.select_sql(fx.MANIFEST_EVENTS, "events")}) GROUP BY run_id, model_config_id, task_file)"""
+
+
+def _run_manifests(spark, sf_dir):
+    as_of = datetime.datetime(2024, 1, 30)
+    return mf.run_manifests(fx.manifest_events(spark, sf_dir), _RUN_KEYS, "ts", "event_id", as_of, datetime.timedelta(hours=6))
+
+
+@register("run_manifests", lambda: f"SELECT * EXCLUDE (status_ts) FROM ({_run_manifests_sql()})")
+def q_run_manifests(spark, sf_dir):
+    return _run_manifests(spark, sf_dir)
+
+
+_COUNTED_SQL = f"SELECT run_id, model_config_id, task_file, CAST(count(*) AS BIGINT) AS n FROM ({_artifacts_sql()}) GROUP BY ALL"
+
+
+@register(
+    "run_report",
+    lambda: f"""SELECT s.run_id, s.model_config_id, m.model_name, m.suite_id, m.suite_name, s.task_file,
+        'results/runs/' || s.model_config_id || '/' || s.run_id AS run_folder, coalesce(m.status, 'unknown') AS status,
+        s.total_tasks, s.total_attempts, s.passed, s.failed, s.pass_rate, s.average_score, s.average_latency_sec, s.repeats,
+        coalesce(c.n, 0) AS artifact_count, m.started_at, m.completed_at
+        FROM ({orc.run_summary_sql()}) s LEFT JOIN ({_run_manifests_sql()}) m USING (run_id, model_config_id, task_file)
+        LEFT JOIN ({_COUNTED_SQL}) c USING (run_id, model_config_id, task_file)""",
+)
+def q_run_report(spark, sf_dir):
+    return mf.run_report(summary_of_fixture(spark, sf_dir), _run_manifests(spark, sf_dir), _artifacts(spark, sf_dir))
+
+
+@register(
+    "runs_listing",
+    lambda: f"""SELECT model_config_id, run_id, task_file, m.suite_id, coalesce(m.status, 'unknown') AS status,
+        s.average_score, s.pass_rate, s.average_latency_sec, coalesce(c.n, 0) AS artifact_count
+        FROM ({orc.run_summary_sql()}) s
+        FULL OUTER JOIN (SELECT * REPLACE ({_MOVED} AS run_id) FROM ({_run_manifests_sql()})) m USING (run_id, model_config_id, task_file)
+        LEFT JOIN ({_COUNTED_SQL}) c USING (run_id, model_config_id, task_file)""",
+)
+def q_runs_listing(spark, sf_dir):
+    saved = _run_manifests(spark, sf_dir).withColumn("run_id", F.expr(_MOVED))
+    return mf.runs_listing(summary_of_fixture(spark, sf_dir), saved, _artifacts(spark, sf_dir))
+
+
+@register(
+    "manifest_documents",
+    lambda: f"""SELECT path, CAST(event_id AS VARCHAR) || '_run' AS run_id, 'model-' || CAST(user_id % 5 AS VARCHAR) AS model_config_id,
+        bad AS corrupt, CASE WHEN NOT bad THEN 'tasks/' || event_type || '.jsonl' END AS task_file,
+        CASE WHEN NOT bad AND event_id % 3 = 0 THEN '{{"top_p":1}}' END AS settings,
+        CASE WHEN NOT bad AND event_id % 4 <> 0 THEN CAST(user_id AS BIGINT) END AS repeats,
+        CASE WHEN bad OR event_id % 5 = 0 THEN 'unknown' WHEN event_id % 5 = 1 THEN 'failed' ELSE 'completed' END AS status
+        FROM (SELECT *, event_id % 11 < 4 AS bad FROM ({fx.select_sql(fx.MANIFEST_DOCUMENTS, "events")}))""",
+)
+def q_manifest_documents(spark, sf_dir):
+    return mf.read_manifests(fx.manifest_documents(spark, sf_dir)).select(
+        "path", "run_id", "model_config_id", "corrupt", "task_file", "settings", "repeats", "status"
+    )
+
+
+@register(
+    "run_status_changes",
+    lambda: f"""SELECT run_id, model_config_id, task_file, from_status, from_id, to_status, to_id FROM (
+        SELECT run_id, model_config_id, task_file, lag(status) OVER w AS from_status, lag(event_id) OVER w AS from_id,
+               status AS to_status, event_id AS to_id
+        FROM ({fx.status_events_sql()}) WINDOW w AS (PARTITION BY run_id, model_config_id, task_file ORDER BY ts, event_id))
+        WHERE from_status IS NOT NULL AND from_status <> to_status AND (from_status, to_status) NOT IN {tuple(mf.STATUS_CHANGES)}""",
+)
+def q_run_status_changes(spark, sf_dir):
+    return qa.invalid_transitions(
+        fx.status_events(spark, sf_dir), _RUN_KEYS, ["ts", "event_id"], ident="event_id", allowed=mf.STATUS_CHANGES
+    )
+
+
+@register("score_by_suite", orc.scored_by_suite)
+def q_score_by_suite(spark, sf_dir):
+    tasks = sc.with_task_spec(fx.attempt_input(spark, sf_dir), task="task")
+    chosen = rn.with_suite_scorers(tasks, fx.scored_suites(spark, sf_dir), fx.scoring_rules(spark))
+    return sc.score_frame(chosen).select(
+        "suite_id", "event_id", F.col("spec_scorer").alias("scorer"), "result.score", "result.passed", "result.reason"
+    )
+
+
+@register(
+    "raw_result_files",
+    lambda: f"""SELECT model_config_id || '/' || regexp_extract(task_file, 'tasks/(.*)\\.jsonl', 1) || '_' || run_id || '.jsonl' AS file,
+        CAST(count(*) AS BIGINT) AS lines, CAST(count(*) FILTER (WHERE NOT whole) AS BIGINT) AS corrupt_lines,
+        CAST(count(*) FILTER (WHERE whole) AS BIGINT) AS completed_attempts, CAST(max(upto) AS BIGINT) AS size_bytes,
+        CAST(coalesce(max(upto) FILTER (WHERE whole), 0) AS BIGINT) AS good_bytes,
+        coalesce(max(upto) FILTER (WHERE whole), 0) < max(upto) AS torn
+        FROM (SELECT *, sum(strlen(line) + 1) OVER (PARTITION BY run_id, model_config_id, task_file ORDER BY event_id) AS upto
+              FROM ({fx.select_sql(fx.RAW_LINES, "events")})) GROUP BY run_id, model_config_id, task_file""",
+)
+def q_raw_result_files(spark, sf_dir):
+    from evalgrid.session import scratch_path
+    from evalgrid.sinks import rawfiles
+
+    root = scratch_path(spark, f"raw-{uuid.uuid4().hex}", "results", "raw")
+    rawfiles.write_raw_files(fx.raw_lines(spark, sf_dir), root, order=["event_id"], line="line")
+    return rawfiles.raw_file_report(rawfiles.raw_line_index(spark, root))
+
+
 @register(
     "response_consistency",
     lambda: f"""SELECT run_id, model_config_id, task_file, task_id, CAST(count(*) AS BIGINT) AS attempts,

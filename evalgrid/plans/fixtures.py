@@ -410,6 +410,83 @@ def status_events_sql() -> str:
     return select_sql(STATUS_EVENTS, "events")
 
 
+# The same log as whole manifests have it: fields come and go, some events carry none, some no status or one that is not allowed.
+MANIFEST_EVENTS = [
+    *[(n, e) for n, e in STATUS_EVENTS if n != "status"],
+    ("status", "CASE WHEN event_id % 6 = 1 THEN CAST(NULL AS STRING) WHEN event_id % 10 = 2 THEN 'paused' "
+               "WHEN value < 20 THEN 'running' WHEN value < 200 THEN 'completed' WHEN value < 400 THEN 'cancelled' ELSE 'failed' END"),
+    ("model_name", "CASE WHEN event_id % 4 = 0 THEN 'Model ' || CAST(user_id % 5 AS STRING) END"),
+    ("suite_id", "CASE WHEN event_id % 5 < 2 THEN 'suite-' || event_type END"),
+    ("suite_name", "CASE WHEN event_id % 5 = 1 THEN upper(event_type) || ' suite' END"),
+    ("server_url", "CASE WHEN event_id % 3 = 0 THEN 'http://127.0.0.1:' || CAST(8000 + user_id AS STRING) END"),
+    ("settings", "CASE WHEN event_id % 7 = 3 THEN '{\"max_tokens\": ' || CAST(user_id AS STRING) || '}' END"),
+    ("repeats", "CASE WHEN event_id % 8 = 0 THEN CAST(1 + user_id % 3 AS BIGINT) END"),
+    ("total_tasks", "CASE WHEN event_id % 9 = 4 THEN CAST(event_id AS BIGINT) END"),
+    ("total_attempts", "CASE WHEN event_id % 9 = 5 THEN CAST(2 * event_id AS BIGINT) END"),
+]
+
+
+def manifest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").selectExpr(*[f"{e} AS {n}" for n, e in MANIFEST_EVENTS])
+
+
+# Saved manifests, one run an event, many of them damaged: torn, empty, no object, fields of a wrong type.
+_MANIFEST = (
+    "'{\"run_id\": \"x\", \"task_file\": \"tasks/' || event_type || '.jsonl\", \"settings\": ' "
+    "|| CASE event_id % 3 WHEN 0 THEN '{\"top_p\":1}' WHEN 1 THEN 'null' ELSE '[]' END || ', \"repeats\": ' "
+    "|| CASE event_id % 4 WHEN 0 THEN '\"2\"' ELSE CAST(user_id AS STRING) END || ', \"status\": \"' "
+    "|| CASE event_id % 5 WHEN 0 THEN 'stopped' WHEN 1 THEN 'failed' ELSE 'completed' END || '\"}'"
+)
+MANIFEST_DOCUMENTS = [
+    ("event_id", "event_id"),
+    ("path", "'results/runs/model-' || CAST(user_id % 5 AS STRING) || '/' || CAST(event_id AS STRING) || '_run/manifest.json'"),
+    ("text", f"CASE event_id % 11 WHEN 0 THEN substr({_MANIFEST}, 1, 30) WHEN 1 THEN '' WHEN 2 THEN '[' || {_MANIFEST} || ']' "
+             f"WHEN 3 THEN CAST(NULL AS STRING) ELSE {_MANIFEST} END"),
+    ("user_id", "user_id"),
+    ("event_type", "event_type"),
+]
+
+
+def manifest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "events").selectExpr(*[f"{e} AS {n}" for n, e in MANIFEST_DOCUMENTS])
+    return docs.select("path", "text")
+
+
+# --- suites with a scoring of their own, and the rules of each scoring --------------
+
+SCORED_SUITES_SQL = (
+    "SELECT DISTINCT 'suite-' || event_type AS suite_id, 'tasks/' || event_type || '.jsonl' AS task_file, "
+    "CASE WHEN event_type = 'click' THEN 'deterministic' WHEN event_type = 'view' THEN 'strict' WHEN event_type = 'purchase' THEN 'lenient' END AS scoring "
+    "FROM events WHERE event_type <> 'error' UNION ALL SELECT DISTINCT 'suite-click-strict', 'tasks/click.jsonl', 'strict' FROM events WHERE event_type = 'click'"
+)
+SCORING_RULES_SQL = (
+    "SELECT * FROM (VALUES ('strict', 'math', 'exact_match'), ('strict', 'keyword', 'exact_match'), ('strict', 'json', 'exact_match'), "
+    "('lenient', 'code', 'json_valid'), ('lenient', NULL, 'keyword_match')) AS t(scoring, category, scorer)"
+)
+
+
+def scored_suites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events").select("event_type").distinct()
+    return spark.sql(SCORED_SUITES_SQL.replace("FROM events", "FROM {ev}"), ev=ev)
+
+
+def scoring_rules(spark: SparkSession) -> DataFrame:
+    return spark.sql(SCORING_RULES_SQL)
+
+
+# Lines of result files, some of them cut off in the middle.
+RAW_LINES = [
+    *[(n, e) for n, e in STATUS_EVENTS if n in ("run_id", "model_config_id", "task_file", "event_id")],
+    ("line", "substr('{\"task_id\": \"t' || CAST(event_id AS STRING) || '\", \"response\": \"é ' || event_type || '\"}', 1, "
+             "CASE WHEN event_id % 7 < 2 THEN 20 ELSE 1000 END)"),
+    ("whole", "event_id % 7 >= 2"),
+]
+
+
+def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").selectExpr(*[f"{e} AS {n}" for n, e in RAW_LINES])
+
+
 # --- importer sources derived from the benchmark table ---------------------------
 
 GSM8K_SRC = [

@@ -227,6 +227,23 @@ def scored_all(extra: str = "") -> str:
     )
 
 
+def scored_by_suite() -> str:
+    """Every attempt scored once for each suite of its task file, by the suite's own rules where it has one."""
+    parts = {n: f() for n, f in SCORERS.items()}
+
+    def pick(i: int) -> str:
+        return "CASE scorer " + " ".join(f"WHEN '{n}' THEN {p[i]}" for n, p in parts.items()) + " END"
+
+    rules = f"({fx.SCORING_RULES_SQL})"
+    return (
+        f"SELECT suite_id, event_id, scorer, CAST({pick(0)} AS DOUBLE) AS score, CAST({pick(1)} AS BOOLEAN) AS passed, {pick(2)} AS reason FROM ("
+        f"SELECT a.*, s.suite_id, coalesce(named.scorer, other.scorer, {CATEGORY_CASE.replace('category', 'a.category')}) AS scorer "
+        f"FROM ({fx.attempt_input_sql()}) a LEFT JOIN ({fx.SCORED_SUITES_SQL}) s ON s.task_file = a.task_file "
+        f"LEFT JOIN {rules} named ON named.scoring = s.scoring AND named.category = a.category "
+        f"LEFT JOIN {rules} other ON other.scoring = s.scoring AND other.category IS NULL)"
+    )
+
+
 def exact_sum(x: str) -> str:
     """Sum of finite doubles without loss: multiples of 2**-20 as integers, and what is left, below 2**-21, apart."""
     steps = f"round(CAST({x} AS DOUBLE) * 1048576)"
