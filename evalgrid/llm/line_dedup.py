@@ -1,17 +1,21 @@
 """Line deduplication with two Bloom filters.
 
-1. Hashes of long lines go, in compact lists, to the part of the filters that
-   their leading bits name. There a hash that the once-seen filter holds
-   already enters the twice-seen filter.
-2. The twice-seen filter, of a bounded size, is broadcast. A line that it does
+1. Hashes of long lines go, in compact lists, to the part of the once-seen
+   filter that their leading bits name; the parts are as many as the hashes
+   ask for, so a task's filter does not grow with the input. A hash that the
+   filter holds already was seen twice. A list names a hash twice at most, so
+   a line of very many documents weighs little.
+2. The hashes seen twice make the twice-seen filter, whose size follows their
+   number alone up to a bound, and which is broadcast. A line that it does
    not hold occurs in one document, so it stays where it is. Suspects alone
    are shuffled, as digest and document, for exact counts and the choice of
    the document that keeps the line.
 3. Documents without a suspect are finished inside the scan; the others meet
    the digests that they lose.
 
-False positives of the filters cost shuffled digests, not results; a filter
-that is too small for the input makes every line a suspect.
+False positives of the filters cost shuffled digests, not results. More
+repeated lines than the bound has bits for (some 45 million different ones at
+64 MB) let more and more single lines through as suspects.
 """
 
 from __future__ import annotations
@@ -28,8 +32,12 @@ from pyspark.sql import functions as F
 from evalgrid.llm.common import checkpointed
 
 SPACE = " \t\n\x0b\x0c\r"
-#: The filters' parts, each built by one task.
+#: Coarse parts of the hashes, and of the broadcast filter; a power of two.
 PARTS = 64
+#: Hashes, as lists name them, for each finer part of the once-seen filter (6 MB of bits).
+HASHES_A_PART = 4 << 20
+#: Hashes seen twice in one row of their table.
+HASHES_A_ROW = 1 << 18
 #: Bits of a filter for each hash, and bits that a hash sets.
 BITS_A_HASH, PROBES = 12, 4
 #: Bound of the twice-seen filter that is broadcast.
@@ -72,7 +80,7 @@ def _part(hashes: np.ndarray) -> np.ndarray:
 
 
 def _hash_lists(docs: DataFrame, least: int) -> DataFrame:
-    """(part, hashes): the hashes of each batch's lines, a list a part; a document gives a key once."""
+    """(part, hashes): the hashes of each batch's lines, a list a part; of a key in more than two of its documents two."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,37 +89,85 @@ def _hash_lists(docs: DataFrame, least: int) -> DataFrame:
                 keys = {line_key(x, least) for x in (t.as_py() or "").split("\n")}
                 keys.discard(None)
                 found += keys
-            h = _hashes(found)
-            part = _part(h)
-            lists = [h[part == p].tobytes() for p in range(PARTS)]
+            h = np.sort(_hashes(found))
+            third = np.zeros(len(h), bool)
+            third[2:] = h[2:] == h[:-2]
+            h = h[~third]
+            ends = np.searchsorted(_part(h), np.arange(PARTS + 1))  # sorted hashes have sorted parts
+            lists = [h[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:])]
             yield pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "hashes": lists})
 
     return docs.select("text").mapInArrow(task, "part int, hashes binary")
 
 
-def twice_seen(docs: DataFrame, least: int, most_bytes: int = MOST_BYTES) -> list[bytes]:
-    """The twice-seen filter in ``PARTS`` parts: ``BITS_A_HASH`` bits a hash, ``most_bytes`` in all at most."""
-    lists = checkpointed(_hash_lists(docs, least))
-    n = lists.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0
-    part_bytes = max(64, min(most_bytes // PARTS, n // 8 * BITS_A_HASH // 8 // PARTS))
+def _finer(lists: DataFrame, bits: int) -> DataFrame:
+    """The lists, each cut by ``bits`` further leading bits of its hashes."""
+    if not bits:
+        return lists
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters: dict[int, tuple[Bloom, Bloom]] = {}
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, hashes in zip(batch.column(0).to_pylist(), batch.column(1)):
-                once, twice = filters.setdefault(part, (Bloom(part_bytes), Bloom(part_bytes)))
+            for hashes in batch.column(1):
+                h = np.sort(np.frombuffer(hashes.as_py(), np.uint64))
+                part, at = np.unique((h >> np.uint64(58 - bits)).astype(np.int32), return_index=True)
+                cut = [x.tobytes() for x in np.split(h, at[1:])] if len(h) else []
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(cut, pa.binary())], names=["part", "hashes"])
+
+    return lists.mapInArrow(task, "part int, hashes binary")
+
+
+def _repeats(lists: DataFrame, hashes_a_part: int) -> DataFrame:
+    """(part, hashes): each hash that the once-seen filter held already when it came, once, by coarse part."""
+    n = (lists.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0) // 8
+    bits = min(20, max(0, -(-n // (PARTS * hashes_a_part)) - 1).bit_length())
+    parts = PARTS << bits
+    part_bytes = max(64, n * BITS_A_HASH // 8 // parts)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, once, again, held = None, Bloom(part_bytes), np.zeros(0, np.uint64), 0
+        waiting: list[np.ndarray] = []
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            every = np.unique(np.concatenate([again, *waiting]))
+            for i in range(0, len(every), HASHES_A_ROW):
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part >> bits], pa.int32()), "hashes": [every[i : i + HASHES_A_ROW].tobytes()]})
+
+        for batch in batches:  # part by part
+            for p, hashes in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if p != part:
+                    yield from rows()
+                    part, once, again, held, waiting = p, Bloom(part_bytes), np.zeros(0, np.uint64), 0, []
                 h = np.sort(np.frombuffer(hashes.as_py(), np.uint64))
                 first = np.ones(len(h), bool)
                 first[1:] = h[1:] != h[:-1]
-                twice.add(h[~first])
-                h = h[first]
-                twice.add(h[once.has(h)])
-                once.add(h)
-        for part, (_, twice) in filters.items():
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "bits": [twice.bits.tobytes()]})
-
-    dealt = lists.repartitionByRange(PARTS, "part")
-    parts = {r.part: bytes(r.bits) for r in dealt.mapInArrow(build, "part int, bits binary").collect()}
+                single = h[first]
+                waiting += [h[~first], single[once.has(single)]]
+                once.add(single)
+                held += len(waiting[-2]) + len(waiting[-1])
+                if held > 2 * HASHES_A_ROW:
+                    again, held, waiting = np.unique(np.concatenate([again, *waiting])), 0, []
+        yield from rows()
+
+    dealt = _finer(lists, bits).repartitionByRange(parts, "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(build, "part int, hashes binary")
+
+
+def twice_seen(docs: DataFrame, least: int, most_bytes: int = MOST_BYTES, hashes_a_part: int = HASHES_A_PART) -> list[bytes]:
+    """The twice-seen filter in ``PARTS`` parts: ``BITS_A_HASH`` bits a hash seen twice, ``most_bytes`` in all at most."""
+    repeats = checkpointed(_repeats(checkpointed(_hash_lists(docs, least)), hashes_a_part))
+    n = (repeats.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0) // 8
+    part_bytes = max(64, min(most_bytes // PARTS, n * BITS_A_HASH // 8 // PARTS))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters: dict[int, Bloom] = {}
+        for batch in batches:
+            for part, hashes in zip(batch.column(0).to_pylist(), batch.column(1)):
+                filters.setdefault(part, Bloom(part_bytes)).add(np.frombuffer(hashes.as_py(), np.uint64))
+        for part, bloom in filters.items():
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "bits": [bloom.bits.tobytes()]})
+
+    filled = repeats.repartitionByRange(PARTS, "part").mapInArrow(fill, "part int, bits binary").collect()
+    parts = {r.part: bytes(r.bits) for r in filled}
     return [parts.get(p, b"") for p in range(PARTS)]
 
 

@@ -48,6 +48,31 @@ def test_matches_brute_force(spark, least, min_docs, most_bytes):
     assert sorted([tuple(r) for r in got], key=order) == sorted(brute(rows, least, min_docs), key=order)
 
 
+@pytest.mark.parametrize("hashes_a_part", [20, 1 << 20])
+def test_filter_follows_the_repeats_in_any_number_of_parts(spark, hashes_a_part):
+    import xxhash
+
+    # 12,000 lines of one document each, 300 of two, one of all
+    rows = [(i, "\n".join([f"{LONG} {i} {j}" for j in range(20)] + [f"{LONG} shared by two {i // 2}", LONG])) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    repeats = line_dedup._repeats(line_dedup._hash_lists(df, 20), hashes_a_part).collect()
+    hashes = [h for r in repeats for h in line_dedup.np.frombuffer(r.hashes, line_dedup.np.uint64).tolist()]
+    assert len(set(hashes)) == len(hashes) and 301 <= len(hashes) < 301 + 12_000 * 0.05
+    assert all(int(h) >> 58 == r.part for r in repeats for h in line_dedup.np.frombuffer(r.hashes, line_dedup.np.uint64))
+    want = [xxhash.xxh3_64_intdigest(f"{LONG} shared by two {i}".lower()) for i in range(300)] + [xxhash.xxh3_64_intdigest(LONG.lower())]
+    assert set(want) <= set(hashes)
+    bits = line_dedup.twice_seen(df, 20, hashes_a_part=hashes_a_part)
+    filters = [line_dedup.Bloom(0, b) if b else None for b in bits]
+    suspects = line_dedup._suspects([t for _, t in rows], 20, filters)
+    assert all(len(s) >= 2 for s in suspects) and sum(map(len, suspects)) < 1200 + 12_000 * 0.06
+    assert sum(map(len, bits)) <= 64 * 64  # sized by the repeats, not by all lines
+
+
+def test_a_list_names_a_hash_twice_at_most(spark):
+    df = spark.createDataFrame([(i, LONG) for i in range(500)], "doc_id long, text string").coalesce(1)
+    assert sum(len(r.hashes) for r in line_dedup._hash_lists(df, 20).collect()) == 16
+
+
 def test_empty_table(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], SCHEMA)).collect() == []
 
