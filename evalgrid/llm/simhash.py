@@ -1,14 +1,21 @@
 """SimHash near-duplicates by multi-index hashing.
 
 Fingerprints of 64 bits that differ in at most ``r`` bits are linked. Equal
-fingerprints are first reduced to one. A fingerprint is cut into segments, and
-within each segment (the others unchanged) all values at 1 bit, or for r = 3
-at up to 2 bits, are enumerated: the keys under which the fingerprint stands in
-the table. Two fingerprints within r bits meet under the key halfway between
-them. A key's matches all lie in one small Hamming ball around it, at most 65
-(r <= 2) different fingerprints however large a group of near copies is, and
-each is linked to the ball's centre of links after its complete distance is
-verified. So no bucket grows with the data and no pairs of a group are listed.
+fingerprints are first reduced to one. A fingerprint is cut into two segments
+of 32 bits, and a table holds each fingerprint under the value of each
+segment. Two fingerprints within r <= 3 bits differ by at most one bit in one
+of the segments: so the Hamming ball of that radius around each segment value
+is enumerated (of two values at one bit the one with the bit set looks the
+other up, which halves the ball), the fingerprints under each value of it are
+fetched, and the complete distance decides.
+
+A segment value that more than ``HOT`` different fingerprints share (a large
+group of near copies) is not fetched. Fingerprints that stand under such a
+value or look one up are compared by their whole values instead: each stands
+under all values with up to 1 (r = 3: 2) flipped bits, and two within r bits
+meet under one halfway between them. A key there has at most 65 different
+matches (r <= 2), each linked to one nearest the key. So no bucket grows with
+the data, no pairs of a large group are listed, and no link is lost.
 """
 
 from __future__ import annotations
@@ -25,6 +32,10 @@ from evalgrid.llm.common import checkpointed
 from evalgrid.llm.components import connected_components
 
 SEED = 42
+#: Bits of a segment.
+_SEGMENT = 32
+#: Different fingerprints with one segment value up to which they are fetched by it.
+HOT = 64
 #: Shingles whose bits are counted at once.
 _CHUNK = 1 << 16
 
@@ -80,33 +91,62 @@ def _table(fps: DataFrame, masks: list[int]) -> DataFrame:
     return fps.select("fp", F.explode(flips).alias("mask")).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("key"), "fp")
 
 
-def links(fps: DataFrame, max_distance: int) -> DataFrame:
+def _segments(fps: DataFrame) -> DataFrame:
+    """(segment, value, fp): each fingerprint under the value of each of its two segments."""
+    low = F.col("fp").bitwiseAND(F.lit((1 << _SEGMENT) - 1).cast("long"))
+    values = F.array(low, F.shiftrightunsigned("fp", _SEGMENT))
+    return fps.select("fp", F.posexplode(values).alias("segment", "value")).select("segment", "value", "fp")
+
+
+def _looked_up(table: DataFrame, radius: int) -> DataFrame:
+    """``table`` with the values that each row looks up: its own, and for radius 1 those with one of its set bits off."""
+    if radius == 0:
+        return table
+    masks = F.array(*(F.lit(m).cast("long") for m in _flips(list(range(_SEGMENT)), 1)))
+    ball = table.select("segment", "value", "fp", F.explode(masks).alias("mask"))
+    ball = ball.where(F.col("value").bitwiseAND(F.col("mask")) == F.col("mask"))
+    return ball.select("segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"), "fp")
+
+
+def links(fps: DataFrame, max_distance: int, hot: int = HOT) -> DataFrame:
     """Edges (a, b) between different fingerprints of ``fps`` (column fp, distinct).
 
     Every edge is at most ``max_distance`` bits long, and the edges connect
-    whatever is within that distance.
+    whatever is within that distance, whatever ``hot`` is. An empty table has
+    no edges.
     """
     if not 0 <= max_distance <= 3:
         raise ValueError("max_distance is 0 to 3")
     if max_distance == 0:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
-    segments = [list(range(32)), list(range(32, 64))]
+    # a ball has some 17 rows a segment: as many tasks make it as read it
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = checkpointed(fps.select("fp").repartition(parts, "fp"))
+    place, table = ["segment", "value"], _segments(spread)
+    ball = _looked_up(table, max_distance // 2)
+    crowded = checkpointed(table.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select(*place))
+    fetched = table.join(crowded, place, "left_anti").withColumnRenamed("fp", "match")
+    apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("match")))
+    found = ball.join(fetched, place).where((F.col("fp") != F.col("match")) & (apart <= max_distance))
+    found = found.select(F.greatest("fp", "match").alias("a"), F.least("fp", "match").alias("b"))
+    among = ball.join(crowded, place, "left_semi").select("fp").distinct()
+    return found.unionByName(_whole_value_links(among, max_distance, parts)).distinct()
+
+
+def _whole_value_links(fps: DataFrame, max_distance: int, parts: int) -> DataFrame:
+    """``links`` of fingerprints of which any number may share a segment."""
     near = max_distance // 2  # bits from the key to a possible centre; the others may be one further if r is odd
     reach = max_distance - near
-    if reach == 1:
-        masks = sorted({m for s in segments for m in _flips(s, 1)})
-    else:
-        masks = _flips(segments[0] + segments[1], 2)
-    # the table has dozens of rows a fingerprint: as many tasks make it as read it, and it is dealt out
-    # by key before any grouping, as keys hardly repeat within a task
-    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    masks = _flips(list(range(64)), reach)
+    # the table has dozens of rows a fingerprint: it is dealt out by key before any grouping, as keys
+    # hardly repeat within a task
     table = _table(fps.repartition(parts, "fp"), masks).repartition(parts, "key")
     from_key = F.bit_count(F.col("key").bitwiseXOR(F.col("fp")))
     centre = F.min(F.when(from_key <= near, F.col("fp"))).alias("centre")
     met = table.groupBy("key").agg(F.collect_list("fp").alias("fps"), centre).where((F.size("fps") > 1) & F.col("centre").isNotNull())
     pairs = met.select("centre", F.explode("fps").alias("fp")).where("fp <> centre")
     verified = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))) <= max_distance)
-    return verified.select(F.greatest("fp", "centre").alias("a"), F.least("fp", "centre").alias("b")).distinct()
+    return verified.select(F.greatest("fp", "centre").alias("a"), F.least("fp", "centre").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:

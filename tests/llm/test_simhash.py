@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -47,8 +48,23 @@ def test_spark_has_the_same_hash(spark):
     assert got % (1 << 64) == simhash.fingerprint("a b c", 3)
 
 
-@pytest.mark.parametrize("r", [0, 1, 2, 3])
-def test_links_match_brute_force(spark, r):
+def signed(values):
+    return [(v - (1 << 64) if v >> 63 else v,) for v in values]
+
+
+def linked_alike(spark, fps, r, hot):
+    got = connected_components(simhash.links(spark.createDataFrame(signed(fps), "fp long"), r, hot)).collect()
+    got = {x.node % (1 << 64): x.component % (1 << 64) for x in got}
+    first = {}
+    for f, c in zip(fps, brute_components(fps, r)):
+        g = got.get(f, f)
+        # one found component to one true one, and back
+        assert first.setdefault(("true", c), g) == g and first.setdefault(("found", g), c) == c
+
+
+# hot 64: fetched by segments; 0: all by whole values; 3: some by each
+@pytest.mark.parametrize("r,hot", [(0, 64), (1, 64), (2, 64), (3, 64), (1, 3), (2, 3), (3, 3), (2, 0)])
+def test_links_match_brute_force(spark, r, hot):
     rng = random.Random(r)
     fps = [0, (1 << 64) - 1]
     for _ in range(12):
@@ -58,13 +74,54 @@ def test_links_match_brute_force(spark, r):
             for _ in range(rng.randint(1, 4)):
                 v ^= 1 << rng.randrange(64)
             fps.append(v)
-    fps = sorted(set(fps))
-    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
-    got = {x.node % (1 << 64): x.component % (1 << 64) for x in connected_components(simhash.links(df, r)).collect()}
-    want = brute_components(fps, r)
-    for i in range(len(fps)):
-        for j in range(i):
-            assert (got.get(fps[i], fps[i]) == got.get(fps[j], fps[j])) == (want[i] == want[j])
+    linked_alike(spark, sorted(set(fps)), r, hot)
+
+
+@pytest.mark.parametrize("hot", [10, 64, 1000])
+def test_a_segment_that_many_share(spark, hot):
+    rng = random.Random(5)
+    # 300 fingerprints with the same low half, some close in the high half; and some a bit off in the low half
+    high = [rng.getrandbits(32) for _ in range(100)]
+    high += [h ^ 1 << rng.randrange(32) for h in high] + [h ^ 3 << rng.randrange(31) for h in high]
+    fps = [h << 32 | 12345 for h in high] + [h << 32 | 12345 ^ 1 << rng.randrange(32) for h in high[:100]]
+    linked_alike(spark, sorted(set(fps)), 2, hot)
+
+
+def test_verification_rejects_what_segments_bring(spark):
+    # each pair shares the low half and lies 3 or more bits apart in the high half
+    fps = [(7 << 3 * i) << 32 | 99 for i in range(10)] + [99]
+    df = spark.createDataFrame(signed(fps), "fp long")
+    table = simhash._segments(df)
+    fetched = simhash._looked_up(table, 1).withColumnRenamed("fp", "by").join(table, ["segment", "value"]).where("by <> fp")
+    assert fetched.count() >= 110
+    assert simhash.links(df, 2).collect() == []
+    assert simhash.links(df, 3).count() == 10
+
+
+def test_a_crowded_segment_makes_no_pairs(spark):
+    # 100,000 fingerprints share a segment: no more than their whole-value keys are listed
+    df = spark.range(100_000).select((F.col("id") * 2654435761 % (1 << 31) * (1 << 32) + 77).alias("fp"))
+    got = [tuple(x) for x in simhash.links(df, 2).collect()]
+    assert all((a ^ b).bit_count() <= 2 for a, b in got)
+    fps = [r.fp for r in df.collect()]
+    known, want = np.sort(np.array(fps)), []
+    for i in range(32, 63):
+        for j in range(32, i + 1):  # all share the low half
+            other = known ^ (1 << i | 1 << j)
+            place = np.minimum(np.searchsorted(known, other), len(known) - 1)
+            same = known[place] == other
+            want += zip(known[same].tolist(), other[same].tolist())
+    parent = {f: f for f in fps}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in got:
+        parent[root(a)] = root(b)
+    assert want and all(root(a) == root(b) for a, b in want)
 
 
 def test_components_of_a_path_and_a_star(spark):
