@@ -100,7 +100,8 @@ def test_verification_rejects_what_segments_bring(spark):
 
 def test_a_crowded_segment_makes_no_pairs(spark):
     # 100,000 fingerprints share a segment: no more than their whole-value keys are listed
-    df = spark.range(100_000).select((F.col("id") * 2654435761 % (1 << 31) * (1 << 32) + 77).alias("fp"))
+    high = F.shiftrightunsigned(F.xxhash64("id"), 33)
+    df = spark.range(100_000).select((high * (1 << 32) + 77).alias("fp")).distinct()
     got = [tuple(x) for x in simhash.links(df, 2).collect()]
     assert all((a ^ b).bit_count() <= 2 for a, b in got)
     fps = [r.fp for r in df.collect()]
