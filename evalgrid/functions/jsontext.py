@@ -7,6 +7,9 @@ automaton (a state and a stack of open brackets) that stops where Python's
 decoder does, and says the same. It is meant for texts that a parse has
 rejected; everything runs in the JVM.
 
+``json_beginning_sql`` walks the same way and keeps what can be saved of a
+broken text.
+
 ``member_text_sql`` finds a member of an object in its text, so that nested
 values can be printed with their keys in the text's order (VARIANT sorts them).
 """
@@ -142,6 +145,25 @@ def json_error_sql(text: str) -> str:
     return let(text, "x", f"CASE {bom} WHEN NOT x RLIKE {raw(_BEGINS)} THEN {prose} ELSE {looked} END")
 
 
+def json_beginning_sql(text: str) -> str:
+    """The longest beginning of ``text`` that is JSON once its open brackets are closed, and closed so.
+
+    The automaton's walk, which also keeps the last place after a whole value
+    or an opening bracket, and the brackets open there. Member names without
+    a value, commas and broken strings are left off; a number counts as far as
+    it is one. NULL if no value begins, and for a NULL or empty text.
+    """
+    begin = (
+        f"named_struct('w', named_struct('state', {_VALUE}, 'stack', '', 'at', 0, 'comma', 0, 'message', CAST(NULL AS STRING), 'place', 0), "
+        "'good', 0, 'held', '')"
+    )
+    here = f"n.message IS NULL AND n.state IN ({_AFTER}, {_FIRST_ITEM}, {_FIRST_NAME}) AND NOT t RLIKE r'^[ \\t\\n\\r]'"
+    kept = f"named_struct('w', n, 'good', CASE WHEN {here} THEN n.at ELSE p.good END, 'held', CASE WHEN {here} THEN n.stack ELSE p.held END)"
+    walked = f"aggregate({tokens_sql('x')}, {begin}, (p, t) -> {let('p.w', 'a', let(_step(), 'n', kept))})"
+    closed = "CASE WHEN w.good > 0 THEN concat(left(x, w.good), reverse(translate(w.held, '{[', '}]'))) END"
+    return let(text, "x", f"CASE WHEN x RLIKE {raw(_BEGINS)} THEN {let(walked, 'w', closed)} END")
+
+
 def json_error_text_sql(text: str) -> str:
     """The decoder's whole message: ``Expecting value: line 1 column 1 (char 0)``."""
     before = "left(y, e.place)"
@@ -186,6 +208,10 @@ def json_error(x: str) -> Column:
     return F.expr(json_error_sql(_e(x)))
 
 
+def json_beginning(x: str) -> Column:
+    return F.expr(json_beginning_sql(_e(x)))
+
+
 def json_error_text(x: str) -> Column:
     return F.expr(json_error_text_sql(_e(x)))
 

@@ -88,6 +88,17 @@ def q_json_errors(spark, sf_dir):
     return with_json_verdict(fx.json_texts(spark, sf_dir), "text").select("event_id", "kind", "error")
 
 
+@register(
+    "json_beginnings",
+    lambda: f"""SELECT event_id, {orc.json_beginning(orc.strip("text"))} AS saved FROM ({fx.select_sql(fx.JSON_TEXTS, "events")})""",
+)
+def q_json_beginnings(spark, sf_dir):
+    from evalgrid.functions.jsontext import json_beginning_sql
+    from evalgrid.functions.text import strip_sql
+
+    return fx.json_texts(spark, sf_dir).select("event_id", F.expr(json_beginning_sql(strip_sql("text"))).alias("saved"))
+
+
 @register(
     "score_expected_values",
     lambda: f"""SELECT event_id, CASE half WHEN 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score, half = 0 AS passed,
@@ -222,6 +233,14 @@ def q_task_errors(spark, sf_dir):
     return errors
 
 
+@register("error_records", orc.error_records_sql)
+def q_error_records(spark, sf_dir):
+    rows = src_tasks.error_records(fx.task_lines(spark, sf_dir))
+    d = F.col("details")
+    return rows.select("task_file", "line", "error_type", "message", d.char.alias("char"), d.kind.alias("kind"), d.field.alias("field"),
+                       F.array_join(d.missing, ", ").alias("missing"), "task_partial")
+
+
 @register(
     "first_task_error",
     lambda: f"""SELECT task_file, line_no, error_type, field, message, raw_line FROM (

@@ -350,6 +350,29 @@ def task_errors_sql() -> str:
     )
 
 
+def json_beginning(x: str) -> str:
+    """Brute force: the longest of all beginnings of ``x`` that some closing brackets (three at most) make valid."""
+    closers = "['', '}', ']', '}}', ']}', '}]', ']]', '}}}', ']}}', '}]}', ']]}', '}}]', ']}]', '}]]', ']]]']"
+    ends = "(j[i:i] NOT IN (' ', ',', ':', chr(9), chr(10), chr(13)))"
+    # DuckDB also reads nan and inf in other cases, which are no JSON
+    bare = "regexp_replace(j[1:i], '\"([^\"\\\\]|\\\\.)*\"', '', 'g')"
+    lax = f"regexp_matches(replace(replace({bare}, 'NaN', ''), 'Infinity', ''), '(?i)nan|inf')"
+    closed = f"list_filter({closers}, lambda c: {strict_valid('(j[1:i] || c)')} AND NOT {lax})"
+    tried = f"list_transform(list_filter(range(length(j), 0, -1), lambda i: {ends}), lambda i: j[1:i] || {closed}[1])"
+    return f"list_transform([{x}], lambda j: list_filter({tried}, lambda b: b IS NOT NULL)[1])[1]"
+
+
+def error_records_sql() -> str:
+    s = strip("line")
+    saved = f"CASE error_type WHEN 'parsing' THEN {json_beginning(s)} WHEN 'validation' THEN {s} END"
+    return f"""SELECT task_file, CAST(line_no AS BIGINT) AS line, error_type, message,
+        CASE WHEN error_type = 'parsing' THEN CAST(({json_error(s)}).pos AS INTEGER) END AS char,
+        CASE WHEN error_type = 'not_object' THEN regexp_extract(message, 'got (.*)$', 1) END AS kind, field,
+        CASE WHEN field = 'required_fields' THEN regexp_extract(message, 'fields: (.*)$', 1) END AS missing,
+        CASE WHEN starts_with({saved}, '{{') THEN {saved} END AS task_partial
+        FROM ({checked_lines_sql()}) WHERE error_type IS NOT NULL"""
+
+
 def scan_tasks_sql() -> str:
     cat = "coalesce(json_extract_string(j, '$.metadata.category'), '')"
     return (

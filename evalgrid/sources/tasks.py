@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from evalgrid.functions.jsontext import json_error_sql
+from evalgrid.functions.jsontext import json_beginning_sql, json_error_sql
 from evalgrid.functions.jsonv import json_kind_sql, object_keys_sql, py_text_sql, vget_sql, with_strict_json
 from evalgrid.functions.text import fill_sql, lit, strip_sql
 from evalgrid.operators.scorers import with_task_spec
@@ -214,6 +214,37 @@ def parse_task_lines(lines: DataFrame, category_map: dict[str, str] | None = Non
     return tasks, errors
 
 
+def error_records(lines: DataFrame) -> DataFrame:
+    """Of every line in error task_file, line, error_type, message, details and task_partial.
+
+    ``details`` is a struct of what the error type has: ``char`` (where the
+    decoder stopped in the stripped line, from 0), ``kind`` (what a line that
+    is no object holds), ``field`` and ``missing`` (names); the others are null.
+    ``task_partial`` is a JSON object: of an object that breaks a rule the
+    stripped line, of broken JSON its longest valid beginning with open
+    brackets closed; null where no object begins. Lines that load and blank
+    ones give no row.
+    """
+    line = strip_sql("line")
+    df = _checked(lines).filter(F.col("__err").isNotNull())
+    df = _stage(df, {"__text": line, "__type": "__err.t"})
+    df = _stage(
+        df,
+        {
+            "__char": f"CASE WHEN __type = 'parsing' THEN {json_error_sql('__text')}.place END",
+            "__saved": f"CASE __type WHEN 'parsing' THEN {json_beginning_sql('__text')} WHEN 'validation' THEN __text END",
+        },
+    )
+    details = (
+        "named_struct('char', __char, 'kind', CASE WHEN __type = 'not_object' THEN __kind END, 'field', __err.f, "
+        "'missing', CASE WHEN size(__missing) > 0 THEN __missing END)"
+    )
+    return df.select(
+        "task_file", F.col("line_no").alias("line"), F.col("__type").alias("error_type"), F.col("__err.m").alias("message"),
+        F.expr(details).alias("details"), F.expr("CASE WHEN startswith(__saved, '{') THEN __saved END").alias("task_partial"),
+    )
+
+
 def first_errors(errors: DataFrame) -> DataFrame:
     """The first error (lowest line number) of each task file: what a fail-fast load reports.
 

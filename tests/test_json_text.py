@@ -98,3 +98,69 @@ def test_nested_tools_print_as_python(spark, task, response):
     t, r = json.loads(task), json.loads(response)
     want = t.get("expected_tool", t.get("metadata", {}).get("expected_tool"))
     assert scored.reason == f"JSON parsed successfully; Tool mismatch: expected '{want}', got '{r['tool']}'"
+
+
+def brute_beginning(text):
+    """The longest beginning that its open brackets, closed, make JSON."""
+    for end in range(len(text), 0, -1):
+        begun, stack, quoted, escaped = text[:end], [], False, False
+        if begun[-1] in " \t\n\r":
+            continue
+        for c in begun:
+            if quoted:
+                escaped, quoted = (c == "\\" and not escaped), (c != '"' or escaped)
+            elif c == '"':
+                quoted = True
+            elif c in "{[":
+                stack.append("}" if c == "{" else "]")
+            elif c in "}]" and stack:
+                stack.pop()
+        closed = begun + "".join(reversed(stack))
+        try:
+            json.loads(closed)
+            return closed
+        except ValueError:
+            pass
+    return None
+
+
+def test_beginnings_match_brute_force(spark):
+    import random
+
+    from evalgrid.functions.jsontext import json_beginning
+
+    rng = random.Random(4)
+    whole = [
+        '{"id": "a\\"b{", "n": [1, -2.5e3, {"x": null}], "t": {"u": [true, false]}}', '[[], {}, [[["deep"]]], "\\u00e9"]',
+        ' {"a":NaN,"b":-Infinity}', '"text"', "12.50", "{}", '{"é": "中"}',
+    ]
+    texts = [None, "", " ", "prose", "{", "[", '{"a"', '{"a":', "[1,", "[1,]", '{"a": 1,}', '{"a": tru', "1 2", "{} {}", "nul", '{"a": "x\ny"}', "]", "-"]
+    texts += [w[:i] for w in whole for i in range(len(w) + 1)]
+    for w in whole * 15:  # one character changed, put in or taken out
+        i = rng.randrange(len(w))
+        texts.append(w[:i] + rng.choice(["", '"', "}", "]", ",", ":", "0", w[i] * 2]) + w[i + 1 :])
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", json_beginning("text").alias("saved"))
+    got = {r.i: r.saved for r in df.collect()}
+    wrong = [(t, got[i], brute_beginning(t)) for i, t in enumerate(texts) if t is not None and got[i] != brute_beginning(t)]
+    assert wrong == [] and got[0] is None
+
+
+def test_error_records(spark):
+    from evalgrid.sources.tasks import error_records
+
+    lines = [
+        '{"id": "a", "description": "d", "expected_output": "e"}', "  ", ' {"id": "b", "description": "cut he', "[1, 2", "[1, 2]",
+        '{"id": 3}', '{"id": "c", "description": "", "expected_output": "e"} ', "prose",
+    ]
+    df = spark.createDataFrame([("f", i + 1, t, "x") for i, t in enumerate(lines)], "task_file string, line_no long, line string, details string")
+    got = {r.line: (r.error_type, r.details.asDict(), r.task_partial) for r in error_records(df).collect()}
+    none = {"char": None, "kind": None, "field": None, "missing": None}
+    assert got == {
+        3: ("parsing", none | {"char": 27}, '{"id": "b"}'),
+        4: ("parsing", none | {"char": 5}, None),
+        5: ("not_object", none | {"kind": "list"}, None),
+        6: ("validation", none | {"field": "required_fields", "missing": ["description", "expected_output"]}, '{"id": 3}'),
+        7: ("validation", none | {"field": "description"}, '{"id": "c", "description": "", "expected_output": "e"}'),
+        8: ("parsing", none | {"char": 0}, None),
+    }
+    assert error_records(df.where("false")).collect() == []
