@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evalgrid.llm import forests, quality, stats
@@ -120,3 +121,38 @@ def test_odd_rows(spark, docs):
     assert len(got) == 4 and all(r.base_failed and not r.kept for r in got)
     none = odd.where(F.lit(False))
     assert quality.score_documents(none, model).collect() == quality.keep_good(none, model).collect() == []
+
+
+def test_all_labelled_rows_count(spark):
+    n, bad = 22_000, 60
+    rows = spark.range(n).withColumn("at", F.row_number().over(Window.orderBy(F.xxhash64("id"))))
+    plain = F.concat_ws(" ", *(F.concat(F.lit("w"), ((F.col("id") + 1) * k % 10007).cast("string")) for k in range(1, 30)))
+    text = F.when(F.col("at") > n - bad, F.regexp_replace(plain, "w", "#!| AB")).otherwise(plain)
+    docs = rows.select(F.col("id").alias("doc_id"), text.alias("text")).cache()
+    labels = rows.select(F.col("id").alias("doc_id"), (F.col("at") <= n - bad).cast("int").alias("quality")).cache()
+    rules = quality.fit_rules(docs, labels)  # the bad rows have the largest hashes of all
+    assert np.isfinite(rules.threshold) and rules.forest.scale == pytest.approx(float(forests._path(n)))
+    assert quality.calibrate(spark.createDataFrame([(0.1, 1), (0.2, 1), (0.6, 0), (0.6, 0)], "anomaly double, label int")) == pytest.approx(0.4)
+    counts = quality._leaf_counts(quality.labelled_statistics(docs, labels, "quality"), rules.forest)
+    assert (counts.sum(axis=1) == n).all()
+    model = quality.fit_classifier(docs, labels, rounds=6)
+    got = quality.score_documents(docs, model).join(labels, "doc_id").groupBy("quality").agg(F.min("score"), F.max("score")).collect()
+    low, high = ({r.quality: r for r in got}[y] for y in (0, 1))
+    assert low["max(score)"] < high["min(score)"]
+
+
+def test_boosting_over_blocks_equals_boosting_at_once(spark, docs, monkeypatch):
+    df, labels = docs
+    monkeypatch.setattr(quality, "BLOCK_ROWS", 60)
+    model = quality.fit_classifier(df, labels, rounds=4)
+    known = quality.labelled_statistics(df, labels, "quality")
+    x, y = stats.features(np.array(known.select(*stats.NAMES).collect())), np.array([r[0] for r in known.select("__label").collect()])
+    cuts = quality._cuts(known)
+    bins = forests.binned(x, cuts)
+
+    def histograms(splits, tree, level):
+        return splits.histograms(bins, y, splits.advanced(bins, None, 0, tree), tree, level)
+
+    same = forests.grow_boosted(cuts, (y.sum() + 0.5) / (len(y) + 1), histograms, rounds=4)
+    assert (model.trees.feature == same.trees.feature).all() and (model.trees.threshold == same.trees.threshold).all()
+    assert (model.predict(x) == same.predict(x)).all()
