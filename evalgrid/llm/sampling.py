@@ -22,7 +22,9 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -96,6 +98,9 @@ class Vocabulary:
         self.bytes = [pieces[i].replace(SPACE, " ").encode() for i in range(self.size)]
         for b, i in enumerate(self.byte_ids):
             self.bytes[i] = bytes([b])
+        self._spelling = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self._spelt_len = np.fromiter(map(len, self.bytes), np.int64, self.size)
+        self._spelt_at = np.cumsum(self._spelt_len) - self._spelt_len
         self.longest = max(len(pieces[i]) for i in usable)
         # trie: children by (node, code point)
         children: dict[tuple[int, int], int] = {}
@@ -132,21 +137,29 @@ class Vocabulary:
     def children(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
         """Child nodes by character, -1 where there is none."""
         keys = node.astype(np.int64) << 21 | char
-        slot, out = self._slot(keys), np.full(len(keys), -1, np.int32)
-        left = np.arange(len(keys))
+        slot = self._slot(keys)
+        held = self._keys.take(slot)
+        hit = held == keys
+        out = np.where(hit, self._kids.take(slot), np.int32(-1))
+        left = np.flatnonzero(~hit & (held >= 0))
+        slot = slot[left]
         for _ in range(self._probes):
+            if not len(left):
+                break
+            slot = slot + 1 & (1 << self._bits) - 1
             held = self._keys[slot]
             hit = held == keys[left]
             out[left[hit]] = self._kids[slot[hit]]
             more = ~hit & (held >= 0)
-            if not more.any():
-                break
-            left, slot = left[more], slot[more] + 1 & (1 << self._bits) - 1
+            left, slot = left[more], slot[more]
         return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text that ids were made of (without the space put before it)."""
-        return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
+        size = self._spelt_len.take(ids)
+        ends = np.cumsum(size)
+        at = np.repeat(self._spelt_at.take(ids) - ends + size, size)
+        return self._spelling.take(at + np.arange(len(at))).tobytes().decode("utf-8", "replace")[1:]
 
 
 class Lattice:
@@ -177,36 +190,70 @@ class Lattice:
             at, node = at[more], node[more]
             if not len(at):
                 break
-            ids = np.full(n, -1, np.int32)
-            ids[at] = v.end[node]
-            found.append(ids)
-            self.last[at[ids[at] >= 0]] = k
-        while len(found) > 1 and found[-1].max() < 0:
+            ids = v.end[node]
+            some = ids >= 0
+            found.append((at[some], ids[some], v.logp[ids[some]]))
+            self.last[at[some]] = k
+        while len(found) > 1 and not len(found[-1][0]):
             found.pop()
-        self.code = np.column_stack(found) if found else np.full((n, 1), -1, np.int32)
-        width = self.code.shape[1]
-        spelt = np.flatnonzero(inside & (self.code[:, 0] < 0))
-        raw = v.logp_or_none[self.code]  # -1 picks the last, which is none
-        raw[spelt, 0] = v.unknown_logp * _byte_length(chars[spelt])
-        self.code[spelt, 0] = v.size + chars[spelt]
-        # sums from the right: all places at one distance from their string's end together
-        total = np.zeros(n + width)
+        found = found or [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0))]
+        self.width = width = len(found)
+        # characters without a piece of their own are steps of one character too
+        known = ~inside
+        known[found[0][0]] = True
+        spelt = np.flatnonzero(~known)
+        found[0] = tuple(
+            np.concatenate(both)
+            for both in zip(found[0], (spelt, (v.size + chars[spelt]).astype(np.int32), v.unknown_logp * _byte_length(chars[spelt])))
+        )
+        self.code = np.full((n, width), -1, np.int32)
+        for k, (at, ids, _) in enumerate(found):
+            self.code.reshape(-1)[at * width + k] = ids
+        total = self._sums(lens, n, [(at, w) for at, _, w in found])
+        self.logp = np.full((n, width), -np.inf, np.float32)
+        self.sum = np.zeros((n, width), np.float32)
+        for k, (at, _, w) in enumerate(found):
+            step = (w + (total[at + k + 1] - total[at])).astype(np.float32)
+            self.logp.reshape(-1)[at * width + k] = step
+            self.sum.reshape(-1)[at * width + k] = np.exp(step)
+        np.cumsum(self.sum, axis=1, out=self.sum)
+
+    def _sums(self, lens: np.ndarray, n: int, edges: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Log of the summed weights from each place to its string's end; ``edges``: (places, weights) by length."""
+        # places are put in order of their distance from the end, within it longer strings first:
+        # so those at one distance stand together, and what follows them begins what stands at a smaller one
         by_length = np.argsort(-lens, kind="stable")
-        ends, sizes = self.end[by_length], -lens[by_length]
-        ahead = np.arange(1, width + 1)
-        for d in range(1, int(lens.max(initial=0)) + 1):
-            here = ends[: np.searchsorted(sizes, -d, side="right")] - d
-            k = min(d, width)
-            value = raw[here, :k] + total[here[:, None] + ahead[:k]]
-            top = value.max(axis=1)
-            total[here] = top + np.log(np.exp(value - top[:, None]).sum(axis=1))
-        self.logp = np.empty((n, width), np.float32)
-        self.sum = np.empty((n, width), np.float32)
-        so_far = np.zeros(n, np.float32)
-        for k in range(width):
-            self.logp[:, k] = raw[:, k] + (total[k + 1 : n + k + 1] - total[:n])
-            so_far += np.exp(self.logp[:, k])
-            self.sum[:, k] = so_far
+        most = int(lens.max(initial=0))
+        many = np.searchsorted(-lens[by_length], -np.arange(most + 1), side="right")
+        first = np.cumsum(many) - many
+        rank = np.empty(len(lens), np.int64)
+        rank[by_length] = np.arange(len(lens))
+        ahead = np.repeat(self.end, lens + 1) - np.arange(n)
+        slot = first[ahead] + np.repeat(rank, lens + 1)
+        width = len(edges)
+        weight = np.full((width, n), -np.inf)
+        for k, (at, w) in enumerate(edges):
+            weight[k, slot[at]] = w
+        total = np.zeros(n)
+        for d in range(1, most + 1):
+            a, m, k = first[d], many[d], min(d, width)
+            if m > 64:
+                value = [weight[i, a : a + m] + total[first[d - 1 - i] : first[d - 1 - i] + m] for i in range(k)]
+                top = value[0]
+                for x in value[1:]:
+                    top = np.maximum(top, x)
+                each = np.exp(value[0] - top)
+                for x in value[1:]:
+                    each += np.exp(x - top)
+            else:
+                value = weight[:k, a : a + m] + total[first[d - 1 - np.arange(k)][:, None] + np.arange(m)]
+                top = value.max(axis=0)
+                each = np.exp(value - top).sum(axis=0)
+            total[a : a + m] = top + np.log(each)
+        return total[slot]
+
+    def logp_of(self, node: np.ndarray, step: np.ndarray) -> np.ndarray:
+        return self.logp.reshape(-1).take(node * self.width + step).astype(np.float64)
 
 
 def _byte_length(points: np.ndarray) -> np.ndarray:
@@ -233,45 +280,60 @@ class _Path:
 _AHEAD, _MOST_NOISE = 96, 37.5
 
 
-def _untaken(lattice: Lattice, path: _Path, stop: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the steps from ``path.first`` to ``stop`` had alternatives, and the probability of those."""
-    f = path.first
-    rest = -np.expm1(path.logp[f:stop])
+def _bounds(lattice: Lattice, parts: list[tuple[_Path, np.ndarray, int, int]], seed: np.ndarray, draw: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each (path, sums before its steps, from, to) the steps from ``from`` to ``to`` that had alternatives, and their bounds."""
+    sizes = np.array([b - a for _, _, a, b in parts], np.int64)
+    start = np.cumsum(sizes) - sizes
+    logp, place, node, step, before = (
+        np.concatenate([x[a:b] for x, a, b in xs])
+        for xs in zip(*(((p.logp, a, b), (p.place, a, b), (p.node, a, b), (p.step, a, b), (before, a, b)) for p, before, a, b in parts))
+    )
+    rest = -np.expm1(logp)
     small = rest < 0.01  # here a difference from 1 would lose digits
-    if path.excluded and len(small):
-        small[0] = True
+    excluding = [i for i, (p, _, a, b) in enumerate(parts) if p.excluded and a == p.first < b]
+    small[start[excluding]] = True
     small = np.flatnonzero(small)
-    others = np.exp(lattice.logp[path.node[f + small]])
-    others[np.arange(len(small)), path.step[f + small]] = 0
-    if path.excluded and len(small):
-        others[0, list(path.excluded)] = 0
+    others = np.exp(lattice.logp.take(node[small], axis=0))
+    others[np.arange(len(small)), step[small]] = 0
+    for i, row in zip(excluding, np.searchsorted(small, start[excluding])):
+        others[row, list(parts[i][0].excluded)] = 0
     rest[small] = others.sum(axis=1, dtype=np.float64)
     left = np.flatnonzero(rest)
-    return left, rest[left]
-
-
-def _open(lattice: Lattice, path: _Path, number: int, seed: np.uint64, draw: int, queue: list, k: int) -> None:
-    """Put the k best bounds of steps that the path has not taken into the queue."""
-    f = path.first
-    before = np.cumsum(path.logp) - path.logp  # falls from step to step
-    upto, bound = len(before), np.zeros(0)
-    for first in (_AHEAD, len(before)):
+    cut = np.searchsorted(left, np.append(start, len(rest)))
+    many = np.diff(cut)
+    u = uniforms(np.repeat(seed, many), place[left], 2 * draw + 1)
+    value = np.repeat(np.array([p.value for p, *_ in parts]), many)
+    bound = _below(before[left] + np.log(rest[left]), value, u)
+    left += np.repeat(np.array([a for _, _, a, _ in parts], np.int64) - start, many)
+    return [(left[i:j], bound[i:j]) for i, j in zip(cut, cut[1:])]
+
+
+def _open(lattice: Lattice, opened: list[tuple[int, int, _Path]], seed: np.ndarray, draw: int, queues: list[list], k: int) -> None:
+    """Put the k best bounds of steps that each path has not taken into its text's queue; ``opened``: (text, path's number, path)."""
+    if not opened:
+        return
+    before = [np.cumsum(path.logp) - path.logp for _, _, path in opened]  # falls from step to step
+    own = seed[[d for d, _, _ in opened]]
+    parts = [(path, b, path.first, min(path.first + _AHEAD, len(b))) for (_, _, path), b in zip(opened, before)]
+    found = _bounds(lattice, parts, own, draw)
+    more, further = [], []
+    for i, ((path, b, _, stop), (_, bound)) in enumerate(zip(parts, found)):
+        upto = len(b)
         # noise from 53-bit numbers is below MOST_NOISE, so steps that lie as far below the k-th bound cannot matter
-        if len(bound) >= k:
-            upto = int(np.searchsorted(-before, _MOST_NOISE - np.partition(bound, -k)[-k]))
-            if upto <= f + _AHEAD:
-                break
-        stop = min(f + first, max(upto, f))
-        left, rest = _untaken(lattice, path, stop)
-        u = uniforms(seed, path.place[f + left], 2 * draw + 1)
-        bound = _below(before[f + left] + np.log(rest), path.value, u)
-        if stop == len(before):
-            break
-    best = np.argpartition(-bound, k - 1)[:k] if len(bound) > k else np.arange(len(bound))
-    for b in best.tolist():
-        i = int(left[b])
-        excluded = (*path.excluded, int(path.step[f])) if i == 0 else (int(path.step[f + i]),)
-        heapq.heappush(queue, (-float(bound[b]), number, f + i, excluded))
+        if stop < upto and len(bound) >= k:
+            upto = int(np.searchsorted(-b, _MOST_NOISE - (bound.max() if k == 1 else np.partition(bound, -k)[-k])))
+        if upto > stop:
+            more.append(i)
+            further.append((path, b, stop, upto))
+    if more:
+        for i, (left, bound) in zip(more, _bounds(lattice, further, own[more], draw)):
+            found[i] = np.concatenate([found[i][0], left]), np.concatenate([found[i][1], bound])
+    for (d, number, path), (left, bound) in zip(opened, found):
+        best = np.argpartition(-bound, k - 1)[:k] if len(bound) > k else np.arange(len(bound))
+        for b in best.tolist():
+            i = int(left[b])
+            excluded = (*path.excluded, int(path.step[i])) if i == path.first else (int(path.step[i]),)
+            heapq.heappush(queues[d], (-float(bound[b]), number, i, excluded))
 
 
 def sample(vocabulary: Vocabulary, texts: list[str], keys: list[int], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -285,9 +347,9 @@ def sample(vocabulary: Vocabulary, texts: list[str], keys: list[int], k: int) ->
         own = vocabulary.cut.findall(" " + t) if t else []
         cuts += own
         owner.append(len(own))
-    number = {s: i for i, s in enumerate(dict.fromkeys(cuts))}
-    lattice = Lattice(vocabulary, list(number) or ["x"])
+    number = defaultdict(count().__next__)
     cut, many = np.fromiter(map(number.__getitem__, cuts), np.int64, len(cuts)), np.array(owner, np.int64)
+    lattice = Lattice(vocabulary, list(number) or ["x"])
     doc = np.repeat(np.arange(len(texts)), many)
     lens = lattice.end[cut] - lattice.start[cut]
     first_cut = np.cumsum(many) - many
@@ -296,18 +358,21 @@ def sample(vocabulary: Vocabulary, texts: list[str], keys: list[int], k: int) ->
     seed = seeds(keys)
 
     def walks(jobs: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], draw: int) -> list[tuple[np.ndarray, ...]]:
-        """Steps of (text, nodes, stops, places) for each job, all walked at once."""
+        """Steps (place, node, step, log-probability) of (text, nodes, stops, places) for each job, all walked at once."""
         sizes = np.array([len(j[1]) for j in jobs], np.int64)
         which = np.repeat(np.arange(len(jobs)), sizes)
         if not len(which):
-            return [(np.zeros(0, np.int64),) * 3 for _ in jobs]
+            return [(np.zeros(0, np.int64),) * 3 + (np.zeros(0),) for _ in jobs]
         nodes, stops, places = (np.concatenate([j[i] for j in jobs]) for i in (1, 2, 3))
         shift = np.cumsum([int(j[3][-1] + j[2][-1] - j[1][-1]) + 1 if len(j[3]) else 1 for j in jobs])
         shift = np.concatenate([[0], shift[:-1]])
         # places are made distinct between jobs for the order, the noise uses those in the text
         got = lattice_walk(nodes, stops, places, seed[[j[0] for j in jobs]][which], shift[which], draw)
         at = np.searchsorted(got[0], np.append(shift, np.iinfo(np.int64).max))
-        return [(got[0][a:b] - s, got[1][a:b], got[2][a:b]) for a, b, s in zip(at, at[1:], shift)]
+        logp = lattice.logp_of(got[1], got[2])
+        return [(got[0][a:b] - s, got[1][a:b], got[2][a:b], logp[a:b]) for a, b, s in zip(at, at[1:], shift)]
+
+    ones = np.ones(lattice.width, np.uint8)
 
     def lattice_walk(node, stop, at, row_seed, shift, draw):
         out = []
@@ -317,7 +382,7 @@ def sample(vocabulary: Vocabulary, texts: list[str], keys: list[int], k: int) ->
             if not len(node):
                 break
             u = uniforms(row_seed, at, 2 * draw).astype(np.float32)
-            step = np.minimum((u[:, None] >= lattice.sum[node]).sum(axis=1), lattice.last[node])
+            step = np.minimum((u[:, None] >= lattice.sum.take(node, axis=0)).view(np.uint8) @ ones, lattice.last.take(node))
             out.append((at + shift, node, step))
             node, at = node + step + 1, at + step + 1
         places, nodes, steps = (np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(3))
@@ -329,46 +394,46 @@ def sample(vocabulary: Vocabulary, texts: list[str], keys: list[int], k: int) ->
     root = -np.log(-np.log(uniforms(seed, np.full(len(seed), -1), 0)))
     paths: list[list[_Path]] = []
     queues: list[list] = []
-    for d, (at, node, step) in enumerate(walks([(d, starts[s], stops[s], place[s]) for d, s in enumerate(spans)], 0)):
-        path = _Path(at, node, step, lattice.logp[node, step].astype(np.float64), float(root[d]))
-        paths.append([path])
+    for d, (at, node, step, logp) in enumerate(walks([(d, starts[s], stops[s], place[s]) for d, s in enumerate(spans)], 0)):
+        paths.append([_Path(at, node, step, logp, float(root[d]))])
         queues.append([])
-        _open(lattice, path, 0, seed[d], 0, queues[d], k)
+    _open(lattice, [(d, 0, paths[d][0]) for d in range(len(texts))], seed, 0, queues, k)
     for draw in range(1, k):
-        jobs, made = [], []
-        for d in range(len(texts)):
-            if not queues[d]:
-                continue
-            bound, number_, i, excluded = heapq.heappop(queues[d])
-            parent = paths[d][number_]
-            node, at = int(parent.node[i]), int(parent.place[i])
-            p = np.exp(lattice.logp[node], dtype=np.float64)
-            p[list(excluded)] = 0
-            c = np.cumsum(p)
-            u = float(uniforms(seed[d : d + 1], np.array([at]), 2 * k + draw)[0])
-            step = int(min(np.searchsorted(c, u * c[-1], side="right"), np.flatnonzero(p)[-1]))
+        popped = [(d, *heapq.heappop(queues[d])) for d in range(len(texts)) if queues[d]]
+        if not popped:
+            break
+        nodes = np.array([paths[d][number].node[i] for d, _, number, i, _ in popped])
+        ats = np.array([paths[d][number].place[i] for d, _, number, i, _ in popped])
+        p = np.exp(lattice.logp[nodes], dtype=np.float64)
+        for row, (*_, excluded) in zip(p, popped):
+            row[list(excluded)] = 0
+        c = np.cumsum(p, axis=1)
+        u = uniforms(seed[[d for d, *_ in popped]], ats, 2 * k + draw) * c[:, -1]
+        last = lattice.width - 1 - (p[:, ::-1] > 0).argmax(axis=1)
+        taken = np.minimum((c <= u[:, None]).sum(axis=1), last)
+        jobs = []
+        for (d, *_), node, at, step in zip(popped, nodes.tolist(), ats.tolist(), taken.tolist()):
             nxt, s = at + step + 1, spans[d]
             here = s.start + int(np.searchsorted(place[s], at, side="right")) - 1
             after = slice(here + 1, s.stop)
             jobs.append((
                 d, np.append(node + step + 1, starts[after]), np.append(stops[here], stops[after]), np.append(nxt, place[after])
             ))
-            made.append((d, parent, i, node, at, step, -bound, excluded))
-        if not jobs:
-            break
-        for (d, parent, i, node, at, step, value, excluded), (p2, n2, s2) in zip(made, walks(jobs, draw)):
-            places = np.concatenate([parent.place[:i], [at], p2])
-            nodes, steps = np.concatenate([parent.node[:i], [node], n2]), np.concatenate([parent.step[:i], [step], s2])
-            path = _Path(places, nodes, steps, lattice.logp[nodes, steps].astype(np.float64), value, i, excluded)
-            paths[d].append(path)
-            _open(lattice, path, len(paths[d]) - 1, seed[d], draw, queues[d], k - draw)
+        made, opened = lattice.logp_of(nodes, taken), []
+        for j, ((d, bound, number_, i, excluded), (p2, n2, s2, l2)) in enumerate(zip(popped, walks(jobs, draw))):
+            parent, one = paths[d][number_], slice(j, j + 1)
+            places, node = np.concatenate([parent.place[:i], ats[one], p2]), np.concatenate([parent.node[:i], nodes[one], n2])
+            steps, logp = np.concatenate([parent.step[:i], taken[one], s2]), np.concatenate([parent.logp[:i], made[one], l2])
+            paths[d].append(_Path(places, node, steps, logp, -bound, i, excluded))
+            opened.append((d, len(paths[d]) - 1, paths[d][-1]))
+        _open(lattice, opened, seed, draw, queues, k - draw)
     out = []
     for d in range(len(texts)):
         limit = -queues[d][0][0] if queues[d] and len(paths[d]) == k else -np.inf
         rows = []
         for path in paths[d]:
             phi = float(path.logp.sum())
-            rows.append((_ids(vocabulary, lattice.code[path.node, path.step]), phi, path.value, _log_inclusion(phi - limit)))
+            rows.append((_ids(vocabulary, lattice.code.reshape(-1).take(path.node * lattice.width + path.step)), phi, path.value, _log_inclusion(phi - limit)))
         out.append(rows)
     return out
 

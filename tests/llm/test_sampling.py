@@ -99,3 +99,23 @@ def test_documents(spark):
     assert len(twice) == 4 and len({bytes(r.ids) for r in twice}) == 2
     assert {r.doc_id for r in got} == {r[0] for r in rows}
     assert sampling.sample_segmentations(df.where("false"), default_model()).collect() == []
+
+
+def test_noise_is_drawn_for_all_texts_of_a_batch_at_once(vocabulary, monkeypatch):
+    texts = [f"{'日 é' * (i % 3)} {'the end of it.' * (i % 2)}\n{'the end of it. ' * (i % 40)}{i}" for i in range(300)]
+    calls, uniforms = [], sampling.uniforms
+    monkeypatch.setattr(sampling, "uniforms", lambda *a: calls.append(1) or uniforms(*a))
+    drawn = sample(vocabulary, texts, list(range(len(texts))), 3)
+    assert all(vocabulary.decode(ids) == t.replace(SPACE, " ") for t, d in zip(texts, drawn) for ids, *_ in d)
+    assert len(calls) < len(texts)  # some for each draw and step, none for each text
+
+
+def test_sums_of_few_and_of_many_strings_agree(vocabulary):
+    strings = [f" w{i}hello{'x' * (i % 30)}" for i in range(200)]
+    together = sampling.Lattice(vocabulary, strings)
+    for i in (0, 29, 199):
+        alone = sampling.Lattice(vocabulary, [strings[i]])
+        a, b = together.start[i], together.end[i]
+        assert (together.code[a:b, : alone.width] == alone.code[:-1]).all() and (together.code[a:b, alone.width :] < 0).all()
+        assert np.allclose(np.exp(together.sum[a:b, alone.width - 1].astype(float)), np.exp(1), atol=1e-5)
+        assert np.allclose(together.logp[a:b, : alone.width], alone.logp[:-1], atol=1e-6)
