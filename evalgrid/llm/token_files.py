@@ -42,8 +42,16 @@ def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
     codes[: len(v)] = size - 1
     codes = codes.reshape(-1, 4)
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    used = np.arange(4) < size[:, None]
-    return control.tobytes(), v.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    ends = np.cumsum(size, dtype=np.int64)
+    at = ends - size
+    data = np.empty(int(ends[-1]) if len(v) else 0, np.uint8)
+    data[at] = v & np.uint32(0xFF)
+    for k in (1, 2, 3):
+        longer = np.flatnonzero(size > k)
+        if not len(longer):
+            break
+        data[at[longer] + k] = v[longer] >> np.uint32(8 * k) & np.uint32(0xFF)
+    return control.tobytes(), data.tobytes()
 
 
 def decode_values(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
@@ -59,20 +67,37 @@ def decode_values(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def encode_block(keys: list[int | None], docs: list[np.ndarray]) -> bytes:
-    ids = np.concatenate(docs) if docs else np.zeros(0, "<u4")
+#: Ids below this are counted in a table, without sorting them.
+_TABLE = 1 << 22
+
+
+def rank_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids by descending frequency (ties: ascending), and each id's rank among them."""
+    if int(ids.max(initial=0)) < _TABLE:
+        count = np.bincount(ids)
+        distinct = np.flatnonzero(count)
+        by_frequency = distinct[np.argsort(-count[distinct], kind="stable")]
+        rank = np.zeros(len(count), "<u4")
+        rank[by_frequency] = np.arange(len(distinct), dtype="<u4")
+        return by_frequency.astype("<u4"), rank[ids]
     distinct, inverse, count = np.unique(ids, return_inverse=True, return_counts=True)
-    by_frequency = np.lexsort((distinct, -count))
+    order = np.argsort(-count, kind="stable")
     rank = np.empty(len(distinct), "<u4")
-    rank[by_frequency] = np.arange(len(distinct), dtype="<u4")
-    control, data = encode_values(rank[inverse])
+    rank[order] = np.arange(len(distinct), dtype="<u4")
+    return distinct[order].astype("<u4"), rank[inverse]
+
+
+def encode_block(keys: list[int | None], docs: list[np.ndarray]) -> bytes:
+    ids = np.concatenate(docs) if docs else np.zeros(0, "<u4")
+    by_frequency, ranks = rank_ids(ids)
+    control, data = encode_values(ranks)
     return b"".join([
         MAGIC,
-        np.array([len(docs), len(ids), len(distinct)], "<u8").tobytes(),
+        np.array([len(docs), len(ids), len(by_frequency)], "<u8").tobytes(),
         np.array([k or 0 for k in keys], "<i8").tobytes(),
         np.array([k is None for k in keys], np.uint8).tobytes(),
         np.array([len(d) for d in docs], "<u8").tobytes(),
-        distinct[by_frequency].astype("<u4").tobytes(),
+        by_frequency.tobytes(),
         control,
         data,
     ])

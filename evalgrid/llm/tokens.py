@@ -19,8 +19,6 @@ import numpy as np
 
 from evalgrid.llm.common import kept_in_worker
 
-#: White space (of any kind that Python knows) before a space: rare, needs the exact cut.
-_SPACE_RUN = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
 #: Pieces longer than this are encoded but not kept.
 _LONGEST_KEPT = 64
@@ -51,6 +49,8 @@ def _byte_chars() -> list[str]:
 _BYTE_CHARS = _byte_chars()
 _SHOWN = dict(enumerate(_BYTE_CHARS))
 _SPACE = _BYTE_CHARS[32]
+#: Byte-level characters of a space and of Latin letters.
+_IN_WORDS = {_SPACE, *(_BYTE_CHARS[b] for c in map(chr, range(0x250)) if _LETTERS.fullmatch(c) for b in c.encode())}
 
 
 def default_tokenizer() -> str:
@@ -60,6 +60,28 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _SpaceRun(Exception):
+    """White space (of any kind that Python knows) before a space: rare, needs the exact cut."""
+
+
+class _Words(dict[str, bytes]):
+    """Ids of a space and each word; words that are looked up and not held gather in ``missed``.
+
+    No word is empty or ends with white space, so looking words up also tells
+    that no space follows white space.
+    """
+
+    __slots__ = ("missed",)
+
+    def __init__(self) -> None:
+        self.missed: list[str] = []
+
+    def __missing__(self, word: str) -> None:
+        if not word or word[-1].isspace():
+            raise _SpaceRun
+        self.missed.append(word)
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids; keeps the ids of words in at most ``keep`` bytes.
 
@@ -87,22 +109,21 @@ class Encoder:
         self._keep = keep
         self._model._resize_cache(0)  # words are kept here
         self._packed = [int(i).to_bytes(4, "little") for i in range(self._tok.get_vocab_size())]
+        # words may be merged in one string if no token of these bytes holds a space after others: no merge crosses them then
+        tokens = [self._tok.id_to_token(i) or "" for i in range(len(self._packed))]
+        self._opens = [t.startswith(_SPACE) for t in tokens]
+        own = kind["model"]
+        self._join = not any(_SPACE in t.lstrip(_SPACE) and _IN_WORDS.issuperset(t) for t in tokens) and not any(
+            own.get(x) for x in ("ignore_merges", "dropout", "continuing_subword_prefix", "end_of_word_suffix")
+        )
         self._parts: dict[str, bytes] = {}
-        self._new: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
+        self._new, self._old = _Words(), _Words()
         self._held = 0  # bytes of the newer words
 
-    @staticmethod
-    def _pieces(text: str) -> list[str]:
-        """Cut before each space that follows a non-space; all but the first begin with a space, which is left out."""
-        if _SPACE_RUN.search(text):
-            first, *rest = _CUT.split(text)
-            return [first, *(p[1:] for p in rest)]
-        return text.split(" ")
-
     def _merge(self, chars: str) -> bytes:
         """Ids of one pre-token, given as byte-level characters."""
-        return b"".join([self._packed[t.id] for t in self._model.tokenize(chars)])
+        packed = self._packed
+        return b"".join([packed[t.id] for t in self._model.tokenize(chars)])
 
     def _ids(self, piece: str) -> bytes:
         """Ids of a piece that stands at the start of a text or after a cut."""
@@ -136,14 +157,36 @@ class Encoder:
         return b"".join(out)
 
     def _learn(self, word: str) -> bytes:
-        """Ids of a word that is not among the newer ones; two generations bound what is kept."""
+        """Ids of a word that is not among the newer ones."""
         ids = self._old.get(word) or self._word(word)
+        self._put(word, ids)
+        return ids
+
+    def _put(self, word: str, ids: bytes) -> None:
+        """Keep a word's ids; two generations bound what is kept."""
         if len(word) <= _LONGEST_KEPT:
             if self._held >= self._keep // 2:
-                self._old, self._new, self._held = self._new, {}, 0
+                self._old, self._new, self._held = self._new, _Words(), 0
             self._new[word] = ids
             self._held += _WORD_COST + len(word) + len(ids)
-        return ids
+
+    def _learn_letters(self, words: list[str]) -> None:
+        """Keep the ids of words of Latin letters, or of what stands before their last mark: all merged by one call."""
+        new, old, chars = self._new, self._old, {}
+        for word in words:
+            if word.isascii() and word.isalpha():
+                if word not in old:
+                    chars[word] = _SPACE + word
+                continue
+            core = word[:-1] if word[-1] in _MARKS else word
+            if core.isalpha() and core not in new and core not in old and _LETTERS.fullmatch(core):
+                chars[core] = _SPACE + (core if core.isascii() else core.encode().decode("latin-1").translate(_SHOWN))
+        packed, opens = self._packed, self._opens
+        ids = [t.id for t in self._model.tokenize("".join(chars.values()))]
+        raw = b"".join([packed[i] for i in ids])
+        starts = [4 * n for n, i in enumerate(ids) if opens[i]]
+        for word, a, b in zip(chars, starts, [*starts[1:], len(raw)]):
+            self._put(word, raw[a:b])
 
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """Ids of each text (null: none), as ``<u4`` arrays."""
@@ -161,10 +204,29 @@ class Encoder:
 
     def _part(self, text: str) -> bytes:
         """Ids of a text without added tokens."""
-        first, *rest = self._pieces(text)
-        found = list(map(self._new.get, rest))
-        if None in found:
-            found = [self._learn(w) if b is None else b for w, b in zip(rest, found)]
+        first, *words = text.split(" ")
+        if not words:
+            return self._ids(first)
+        last = words.pop()
+        try:
+            if first[-1:].isspace():
+                raise _SpaceRun
+            new = self._new
+            found = list(map(new.__getitem__, words))
+            if new.missed:
+                missed, new.missed = new.missed, []
+                if self._join:
+                    self._learn_letters(missed)
+                found = [self._new.get(w) or self._learn(w) if ids is None else ids for w, ids in zip(words, found)]
+        except _SpaceRun:
+            self._new.missed = []
+            first, *words = _CUT.split(text)
+            words = [w[1:] for w in words]  # all but the first begin with a space
+            last = words.pop() if words else None
+            found = [self._new.get(w) or self._learn(w) for w in words]
+        if last is not None:
+            kept = last and not last[-1].isspace()
+            found.append(self._new.get(last) or self._learn(last) if kept else self._word(last))
         return (self._ids(first) if first else b"") + b"".join(found)
 
 

@@ -83,6 +83,44 @@ def test_words_are_encoded_once_within_the_bound(monkeypatch):
     assert len(tight._new) + len(tight._old) < 120
 
 
+def test_new_words_are_merged_together(plain):
+    class Counting:
+        def __init__(self, model):
+            self.model, self.calls = model, 0
+
+        def tokenize(self, chars):
+            self.calls += 1
+            return self.model.tokenize(chars)
+
+    words = ["".join("abdeilnorstéü"[i * k % 13] for k in range(1, 3 + i % 9)) + "," * (i % 5 == 0) for i in range(400)]
+    enc = Encoder(default_tokenizer())
+    enc._model = Counting(enc._model)
+    assert enc.encode([" ".join(words)])[0].tolist() == plain(" ".join(words))
+    assert enc._model.calls < 20
+
+
+def test_white_space_before_spaces_matches_the_library(plain):
+    rng = np.random.default_rng(4)
+    parts = [" ", "  ", "\n", " \n", "a", "Bé", ".", "'s", "\t", "\u3000", "\xa0", "\r", "\x1c", "\x85", "1", "日", "ab ", "a\n"]
+    texts = ["".join(parts[i] for i in rng.integers(0, len(parts), n % 9)) for n in range(3000)]
+    for keep in (500, 1 << 20):  # words that end texts may not be taken for words before a space
+        assert [x.tolist() for x in Encoder(default_tokenizer(), keep=keep).encode(texts)] == [plain(t) for t in texts]
+
+
+def test_ids_are_ranked_without_sorting_them(monkeypatch):
+    rng = np.random.default_rng(6)
+    ids = (rng.integers(0, 300, 5000) ** 2 // 9).astype("<u4")
+    distinct, count = np.unique(ids, return_counts=True)
+    want = distinct[np.lexsort((distinct, -count))]
+    high = token_files.rank_ids(np.append(ids, [1 << 31]).astype("<u4"))
+    assert (high[0][high[1]] == np.append(ids, [1 << 31])).all()
+    monkeypatch.setattr(token_files.np, "unique", None)
+    by_frequency, ranks = token_files.rank_ids(ids)
+    assert (by_frequency == want).all() and (by_frequency[ranks] == ids).all()
+    keys, sizes, back = token_files.decode_block(token_files.encode_block([3, None], [ids[:70], ids[70:]]))
+    assert keys == [3, None] and sizes.tolist() == [70, 4930] and (back == ids).all()
+
+
 def test_token_files_of_an_empty_table(spark, tmp_path):
     path = str(tmp_path / "files")
     token_files.write_token_files(spark.createDataFrame([], SCHEMA), path, default_tokenizer())
